@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark gives each task one core; the tokenizer library would start threads of its own.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 #: Rows whose texts are Python objects at the same time.
 STEP = 256
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
