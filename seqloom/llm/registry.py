@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, quality, simhash, token_counts, url_filter, warc
+from seqloom.llm import bpe, decontaminate, language, lm_score, pii, quality, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_language_id": language.op2_language_id,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
+    "op4_bpe": bpe.op4_bpe,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_warc": warc.op7_warc,
+    "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
 }
