@@ -116,15 +116,27 @@ def estimates(counts: DataFrame) -> DataFrame:
 
 
 def judged(counts: DataFrame, fitted: DataFrame) -> DataFrame:
-    """``counts`` (one row for each text) with base_failed, distance (null where the base rule fails) and kept."""
+    """``counts`` (one row for each text) with base_failed, distance (null where the base rule fails) and kept.
+
+    The estimates have a row for each group, which Spark broadcasts only while it measures them as small. A group without an
+    estimate of its own takes the pooled one; without that (no text passes the base rule) nothing is an outlier.
+    """
     df = _statistics(counts).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    own = fitted.where("group <> ''")
-    pool = fitted.where("group = ''").select([F.col(c).alias(f"{c}_all") for c in fitted.columns if c != "group"])
     names = [c for c in fitted.columns if c != "group"]
-    groups = df.select("group").distinct().join(own, "group", "left").join(pool, how="left").select("group", *[F.coalesce(c, f"{c}_all").alias(c) for c in names])
-    df = df.join(groups, "group", "left")
+    own = fitted.where("group <> ''").select("group", F.struct(*names).alias("_own"))
+    pool = fitted.where("group = ''").select(F.lit(1).alias("_one"), F.struct(*names).alias("_all"))
+    df = df.join(own, "group", "left").withColumn("_one", F.lit(1)).join(pool, "_one", "left")
+    df = df.withColumn("_e", F.coalesce("_own", "_all")).select("*", "_e.*")
     df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance(df)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).drop("group", *STATS, *names)
+    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).drop("group", *STATS, *names, "_own", "_all", "_one", "_e")
+
+
+def kept_documents(docs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns; texts are counted in place, so that they are not shuffled."""
+    columns = docs.columns
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), "doc_id", "lang", "source", "text")
+    counts = _with_counts(nested).select("_doc", "doc_id", "lang", "source", "_q.*")
+    return judged(counts, fitted).where("kept").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
