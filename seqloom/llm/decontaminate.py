@@ -1,13 +1,13 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Documents and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. The index holds, for each
-document with at least one anchor, the positions of every word that the benchmark uses. The anchor of a window is its rarest
-word by document frequency over all documents. A window's occurrences are found from its anchor's postings outwards: the
+Documents and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. The anchor of a window is its
+rarest word by document frequency over all documents. The index holds postings of the words of a window for each document that
+has the anchor and then all other words of the window, in whatever places; other documents cannot hold the phrase. A window's occurrences are found from its anchor's postings outwards: the
 postings of the next rarest word, moved by its offset in the window, are intersected with the starts found so far, until all
 words of the window agree; what is left are exact phrase matches. ``proximity`` intersects postings by distance instead.
 
-The words of the benchmark are broadcast only while they are at most ``BROADCAST_WORDS``; beyond that every word is indexed and
-the restriction is a join. Null and empty texts have no words; an item without words has no window; repeated rows (same id and
+The benchmark's windows are broadcast only while they have at most ``BROADCAST_WORDS`` words together; beyond that every word is
+indexed and the restriction is a join. Null and empty texts have no words; an item without words has no window; repeated rows (same id and
 text) get the same result; an empty benchmark hits nothing.
 """
 
@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,13 +26,18 @@ from seqloom.llm.common import as_bytes, record_batch, slices, stored, table, wo
 WINDOW = 13
 #: A document is contaminated if at least one word in this many is hit.
 SHARE = 20
-#: Benchmark words that may be broadcast (a few dozen MB).
-BROADCAST_WORDS = 500_000
+#: Words of all windows together that may be broadcast (a few dozen MB).
+BROADCAST_WORDS = 1_000_000
 TASK_WORDS = 200_000
 #: ASCII letters lowered, digits and all bytes from 0x80 kept, the rest turned into spaces.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Names a row by its id and text, so that rows that share an id are told apart."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
@@ -66,31 +71,37 @@ def document_frequency(docs: DataFrame, vocabulary) -> DataFrame:
     return counted.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("df"))
 
 
-def positional_index(docs: DataFrame, vocabulary, anchors) -> DataFrame:
+def positional_index(docs: DataFrame, anchored) -> DataFrame:
     """key, doc_id, n_words, postings (word, positions): one row for each document.
 
-    With broadcast sets, postings are of ``vocabulary`` words and only in documents that hold an anchor; with None, of all words.
+    ``anchored`` is a broadcast map from an anchor to the word sets of its windows; with None, postings are of all words.
     """
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("postings", pa.list_(pa.struct([("word", pa.string()), ("positions", pa.list_(pa.int32()))])))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sought = (vocabulary.value, anchors.value) if vocabulary else (None, None)
+        windows = anchored.value if anchored else None
+        anchors = frozenset(windows or ())
         for part in slices(batches):
             sizes, postings = [], []
             for text in as_bytes(part.column("text")):
                 found = words(text)
                 sizes.append(len(found))
-                if known is not None and sought.isdisjoint(found):
+                if windows is None:
+                    sought = set(found)
+                else:
+                    own = set(found)
+                    sought = set().union(*(w for a in anchors & own for w in windows[a] if w <= own))
+                if not sought:
                     postings.append(None)
                     continue
                 at: dict[bytes, list[int]] = {}
                 for i, w in enumerate(found):
-                    if known is None or w in known:
+                    if w in sought:
                         at.setdefault(w, []).append(i)
                 postings.append([{"word": w.decode("utf-8", "replace"), "positions": p} for w, p in at.items()])
             yield record_batch(schema, part.column("key"), part.column("doc_id"), sizes, postings)
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return keyed.mapInArrow(build, "key long, doc_id long, n_words long, postings array<struct<word: string, positions: array<int>>>")
 
 
@@ -119,17 +130,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     """key (hash of id and text), doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
     spark = docs.sparkSession
     workers_see_package(spark)
-    windows = stored(item_windows(benchmark, width), "windows")
+    windows = stored(item_windows(benchmark, width).withColumn("window", F.xxhash64("window", "len")), "windows")
     used = windows.select("word").distinct()
-    few = used.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    encode = lambda df: frozenset(r["word"].encode() for r in df.toLocalIterator())
-    vocabulary = spark.sparkContext.broadcast(encode(used)) if few else None
+    distinct = windows.select("window", "len", "off", "word").distinct()
+    few = distinct.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    vocabulary = spark.sparkContext.broadcast(frozenset(r["word"].encode() for r in used.toLocalIterator())) if few else None
     frequency = document_frequency(docs, vocabulary)
-    ranked = windows.select("window", "len", "off", "word").distinct().join(frequency, "word", "left")
     by_rarity = W.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "word", "off")
-    ranked = stored(ranked.withColumn("rank", F.row_number().over(by_rarity)), "ranked")
-    anchors = spark.sparkContext.broadcast(encode(ranked.where("rank = 1").select("word").distinct())) if few else None
-    index = stored(positional_index(docs, vocabulary, anchors), "index")
+    ranked = stored(distinct.join(frequency, "word", "left").withColumn("rank", F.row_number().over(by_rarity)).drop("df"), "ranked")
+    anchored = None
+    if few:
+        sets: dict[bytes, set[frozenset[bytes]]] = {}
+        for r in ranked.groupBy("window").agg(F.max(F.when(F.col("rank") == 1, F.col("word"))).alias("anchor"), F.collect_set("word").alias("ws")).toLocalIterator():
+            sets.setdefault(r["anchor"].encode(), set()).add(frozenset(w.encode() for w in r["ws"]))
+        anchored = spark.sparkContext.broadcast(sets)
+    index = stored(positional_index(docs, anchored), "index")
     lists = index.where("postings is not null").select("key", F.explode("postings").alias("p")).select("key", F.col("p.word").alias("word"), F.explode("p.positions").alias("pos"))
     if not few:
         lists = lists.join(used, "word", "left_semi")
