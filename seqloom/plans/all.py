@@ -1,4 +1,4 @@
 """Imports every module of plans, so that the registry is full."""
 
-from seqloom.plans import checks, geometry, signal  # noqa: F401
+from seqloom.plans import checks, geometry, match, signal  # noqa: F401
 from seqloom.plans.registry import QUERIES, SQL  # noqa: F401
