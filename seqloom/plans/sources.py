@@ -26,7 +26,7 @@ def read_csv(spark, sf_dir):
     path = fresh_path(spark, "csv")
     foreign = F.translate(F.replace("text", F.lit("ou"), F.lit("\u0153")), op.WINDOWS, op.LATIN_1)  # the bytes of windows-1252
     for name, cond, text, encoding in (("u", "lang in ('en', 'es')", F.col("text"), "utf-8"), ("w", "lang = 'fr'", foreign, "iso-8859-1"), ("l", "lang = 'de'", F.col("text"), "iso-8859-1")):
-        d.where(cond).withColumn("text", text).write.option("header", True).option("encoding", encoding).csv(f"{path}/{name}")
+        d.where(cond).withColumn("text", text).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", encoding).csv(f"{path}/{name}")
     back = op.read_csv(spark, f"{path}/*/*.csv")
     return back.select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("head"))
 

@@ -24,7 +24,7 @@ WINDOWS = LATIN_1.encode("latin-1").decode("cp1252")
 def encodings(spark: SparkSession, path: str) -> DataFrame:
     """path, encoding of each file: UTF-8 where its bytes are valid, else windows-1252 where they are defined, else latin-1."""
     files = spark.read.format("binaryFile").load(path)
-    odd = F.decode("content", F.lit("iso-8859-1")).rlike(f"[{_UNDEFINED}]")
+    odd = F.decode("content", "iso-8859-1").rlike(f"[{_UNDEFINED}]")
     return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), ENCODINGS[0]).when(~odd, ENCODINGS[1]).otherwise(ENCODINGS[2]).alias("encoding"))
 
 
