@@ -26,7 +26,10 @@ def mastery(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 def item_mastery(parameters: DataFrame, items: DataFrame) -> DataFrame:
     """learner, item, mastery, attempts: mean over the attempted parameters, ``START`` for items never attempted."""
-    g = parameters.groupBy("learner", "item").agg(F.avg("mastery").alias("m"), F.sum("attempts").alias("n"))
+    # summed in the parameters' order, so that the result is the same to the last bit whatever the partitions
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("parameter", "mastery"))), lambda x: x["mastery"])
+    mean = F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x) / F.count("*")
+    g = parameters.groupBy("learner", "item").agg(mean.alias("m"), F.sum("attempts").alias("n"))
     return items.join(g, ["learner", "item"], "left").select("learner", "item", F.coalesce("m", F.lit(START)).alias("mastery"), F.coalesce("n", F.lit(0)).alias("attempts"))
 
 

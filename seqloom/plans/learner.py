@@ -8,7 +8,6 @@ from seqloom.operators import checks
 from seqloom.operators import learner as op
 from seqloom.plans.bind import ATTEMPTS, attempts, table
 from seqloom.plans.registry import query
-from seqloom.plans.signal import rounded
 
 
 def _attempts(spark, sf_dir):
@@ -25,7 +24,7 @@ _A = f"{ATTEMPTS}, a AS (SELECT *, 'p' || (event_id % 3) AS parameter FROM attem
 _EMA = "list_reduce(array_agg(CASE WHEN correct THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY ord) FILTER (WHERE correct IS NOT NULL), lambda m, x: m + 0.3 * (x - m), 0.5::DOUBLE)"
 _M = f"m AS (SELECT learner, item, parameter, {_EMA} AS mastery, count(correct) AS attempts FROM a GROUP BY 1, 2, 3 HAVING count(correct) > 0)"
 _ITEMS = "items AS (SELECT learner, item FROM (SELECT DISTINCT user_id AS learner FROM events), (SELECT DISTINCT event_type AS item FROM events UNION SELECT 'unseen'))"
-_IM = f"{_ITEMS}, im AS (SELECT i.learner, i.item, coalesce(avg(mastery), 0.5) AS mastery, CAST(coalesce(sum(attempts), 0) AS BIGINT) AS attempts FROM items i LEFT JOIN m USING (learner, item) GROUP BY 1, 2)"
+_IM = f"{_ITEMS}, im AS (SELECT i.learner, i.item, coalesce(list_reduce(array_agg(mastery ORDER BY parameter) FILTER (WHERE mastery IS NOT NULL), lambda a, x: a + x, 0.0::DOUBLE) / count(mastery), 0.5) AS mastery, CAST(coalesce(sum(attempts), 0) AS BIGINT) AS attempts FROM items i LEFT JOIN m USING (learner, item) GROUP BY 1, 2)"
 _PASS = "g AS (SELECT learner, item, ord, coalesce(bool_and(correct), true) AS good FROM a GROUP BY 1, 2, 3)"
 _SM2 = """sm AS (SELECT learner, item, list_reduce(list_transform(array_agg(good ORDER BY ord), lambda x: {'reps': CASE WHEN x THEN 1 ELSE 0 END, 'interval': 0, 'ease': 0.0::DOUBLE}), lambda s, x: CASE WHEN x.reps = 1 THEN
  {'reps': s.reps + 1, 'interval': CASE s.reps WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE least(40, CAST(round_even(s.interval * s.ease, 0) AS INT)) END, 'ease': least(3.0::DOUBLE, s.ease + 0.05::DOUBLE)}
@@ -34,9 +33,9 @@ _DUE = """tk AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY ord,
 du AS (SELECT learner, item, coalesce(clock, 0) AS clock, last_seen, last_seen + s.interval AS due_at, last_seen IS NULL OR clock >= last_seen + s.interval AS is_due FROM items LEFT JOIN ck USING (learner) LEFT JOIN ls USING (learner, item) LEFT JOIN sm USING (learner, item))"""
 
 
-@query("m1_mastery", f"WITH {_A}, {_M} SELECT learner, item, parameter, round(mastery, 6) AS mastery, attempts FROM m")
+@query("m1_mastery", f"WITH {_A}, {_M} SELECT learner, item, parameter, mastery, attempts FROM m")
 def mastery(spark, sf_dir):
-    return rounded(op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]))
+    return op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"])
 
 
 @query("m2_attempts", f"WITH {_A} SELECT learner, item, count(correct) AS attempts FROM a GROUP BY 1, 2")
@@ -44,14 +43,14 @@ def attempt_counts(spark, sf_dir):
     return _attempts(spark, sf_dir).groupBy("learner", "item").agg(F.count("correct").alias("attempts"))
 
 
-@query("m3_item_mastery", f"WITH {_A}, {_M}, {_IM} SELECT learner, item, round(mastery, 8) AS mastery, attempts FROM im")
+@query("m3_item_mastery", f"WITH {_A}, {_M}, {_IM} SELECT learner, item, mastery, attempts FROM im")
 def item_mastery(spark, sf_dir):
-    return rounded(op.item_mastery(op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]), _items(spark, sf_dir)), 8)
+    return op.item_mastery(op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]), _items(spark, sf_dir))
 
 
-@query("m4_spacing", f"WITH {_A}, {_PASS}, {_SM2} SELECT learner, item, s.reps AS repetitions, s.interval AS interval, round(s.ease, 6) AS ease FROM sm")
+@query("m4_spacing", f"WITH {_A}, {_PASS}, {_SM2} SELECT learner, item, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM sm")
 def spacing(spark, sf_dir):
-    return rounded(op.spacing(op.passes(_attempts(spark, sf_dir))))
+    return op.spacing(op.passes(_attempts(spark, sf_dir)))
 
 
 @query("m5_passes", "SELECT l_orderkey AS learner, l_linenumber % 3 AS item, l_suppkey % 4 AS ord, coalesce(bool_and(CASE WHEN l_returnflag <> 'A' THEN l_quantity > 20 END), true) AS good FROM lineitem GROUP BY 1, 2, 3")
@@ -97,9 +96,9 @@ def next_item(spark, sf_dir):
     return op.next_item(pool, last, contrast, 3)
 
 
-@query("m10_replay", f"WITH {_A}, {_M}, {_IM}, {_PASS}, {_SM2}, {_DUE} SELECT learner, item, round(mastery, 8) AS mastery, attempts, is_due, s.reps AS repetitions, s.interval AS interval, round(s.ease, 8) AS ease FROM im JOIN du USING (learner, item) LEFT JOIN sm USING (learner, item)")
+@query("m10_replay", f"WITH {_A}, {_M}, {_IM}, {_PASS}, {_SM2}, {_DUE} SELECT learner, item, mastery, attempts, is_due, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM im JOIN du USING (learner, item) LEFT JOIN sm USING (learner, item)")
 def replay(spark, sf_dir):
-    return rounded(op.replay(_attempts(spark, sf_dir), _items(spark, sf_dir)), 8)
+    return op.replay(_attempts(spark, sf_dir), _items(spark, sf_dir))
 
 
 @query("m11_eligible", """SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09) AS eligible,

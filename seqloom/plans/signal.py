@@ -140,7 +140,7 @@ def swap_test(spark, sf_dir):
 
 
 @query("t16_throughput", """WITH t AS (SELECT o_orderpriority AS source, o_custkey AS series, count(*) AS frames, sum(o_totalprice) / 1000 AS seconds FROM orders GROUP BY 1, 2)
-SELECT source, CAST(sum(frames) AS BIGINT) AS frames, round(sum(seconds), 4) AS seconds, round(1000 * sum(seconds) / sum(frames), 4) AS ms_per_frame, round(sum(frames) / sum(seconds), 6) AS fps, round(1000 * max(seconds / frames), 4) AS worst_ms FROM t GROUP BY 1""")
+SELECT source, CAST(sum(frames) AS BIGINT) AS frames, round(sum(seconds), 6) AS seconds, round(1000 * sum(seconds) / sum(frames), 4) AS ms_per_frame, round(sum(frames) / sum(seconds), 6) AS fps, round(1000 * max(seconds / frames), 4) AS worst_ms FROM t GROUP BY 1""")
 def throughput(spark, sf_dir):
     t = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("series")).agg(F.count("*").alias("frames"), (F.sum("o_totalprice") / 1000).alias("seconds"))
-    return op.throughput(t).select("source", "frames", F.round("seconds", 4).alias("seconds"), F.round("ms_per_frame", 4).alias("ms_per_frame"), F.round("fps", 6).alias("fps"), F.round("worst_ms", 4).alias("worst_ms"))
+    return op.throughput(t).select("source", "frames", F.round("seconds", 6).alias("seconds"), F.round("ms_per_frame", 4).alias("ms_per_frame"), F.round("fps", 6).alias("fps"), F.round("worst_ms", 4).alias("worst_ms"))

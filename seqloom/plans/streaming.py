@@ -104,14 +104,14 @@ def newest(spark, sf_dir):
     return op.newest(e, ["user_id", "day"], "ts", "event_id")
 
 
-@query("s10_record_once", f"WITH {_A}, {_M} SELECT learner, item, parameter, round(mastery, 6) AS mastery, attempts FROM m")
+@query("s10_record_once", f"WITH {_A}, {_M} SELECT learner, item, parameter, mastery, attempts FROM m")
 def record_once(spark, sf_dir):
     """Every event arrives twice; the watermarked stream keeps one, and mastery follows as if it had come once."""
     e = _stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
     twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     once = op.drain(spark, twice.withWatermark("at", "40 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
     a = _attempts(spark, sf_dir).join(once, "event_id")
-    return rounded(learner.mastery(a, ["learner", "item", "parameter"]))
+    return learner.mastery(a, ["learner", "item", "parameter"])
 
 
 @query("s11_admission")
