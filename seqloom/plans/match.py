@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import match as op
-from seqloom.plans.bind import FRAMES, frames, table
+from seqloom.operators import signal
+from seqloom.plans.bind import FRAMES, frames, poses, table
 from seqloom.plans.registry import query
 
 _CLIPS = "clips AS (SELECT vec_id // 10 AS series, min(label) AS label, array_agg(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1)"
@@ -124,13 +125,17 @@ def segments(spark, sf_dir):
 
 @query("d12_align_and_grade")
 def align_and_grade(spark, sf_dir):
-    """Each segment of an alignment, trimmed again to its motion (at least one frame each), against the reference's segment."""
+    """Each segment of an alignment, trimmed again to its own motion and graded against the reference's segment."""
     found = segments(spark, sf_dir)
-    c = clips(spark, sf_dir)
-    f = c.select("series", F.posexplode("seq").alias("t", "f"))
-    mine = f.join(found, "series").where("t >= start and t < stop").select("series", "part", F.struct("t", "f").alias("x")).groupBy("series", "part").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["f"]).alias("a"))
-    other = f.select((F.col("series") - 1).alias("series"), F.expr("t div 5").alias("part"), F.struct("t", "f").alias("x")).groupBy("series", "part").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["f"]).alias("b"))
-    return op.align(mine.join(other, ["series", "part"])).select("series", "part", F.round("distance", 6).alias("distance"))
+    energy = signal.motion_energy(poses(spark, sf_dir)).select("series", "t", "energy")
+    f = clips(spark, sf_dir).select("series", F.posexplode("seq").alias("t", "f"))
+    # a segment is a series of its own; its first frame has no motion yet
+    mine = f.join(energy, ["series", "t"]).join(found, "series").where("t >= start and t < stop").select(F.struct("series", "part", "start").alias("series"), (F.col("t") - F.col("start")).alias("t"), F.when(F.col("t") > F.col("start"), F.col("energy")).otherwise(0.0).alias("energy"), "f")
+    span = signal.capture_span(mine, 0.17, preroll=1, settle=1)
+    cut = op.sequences(signal.trim(mine, span), F.col("f")).join(span, "series").select("series.series", "series.part", (F.col("series.start") + F.col("start")).alias("start"), (F.col("series.start") + F.col("stop")).alias("stop"), F.col("seq").alias("a"))
+    other = f.select(F.struct((F.col("series") - 1).alias("series"), F.expr("t div 5").alias("part")).alias("series"), "t", "f")
+    other = op.sequences(other, F.col("f")).select("series.series", "series.part", F.col("seq").alias("b"))
+    return op.align(cut.join(other, ["series", "part"])).withColumn("distance", F.round("distance", 6))
 
 
 @query("d13_compose", """WITH c AS (SELECT vec_id // 10 AS series, CAST(vec_id % 10 AS INT) AS t, embedding[1] AS f FROM embeddings), n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),

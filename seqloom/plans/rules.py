@@ -1,4 +1,4 @@
-"""Token rules on conversation turns: words are tokens; part of speech and dependency follow from the word by fixed rules."""
+"""Token rules on the sentences (between full stops) of conversation turns: words are tokens; part of speech and dependency follow from the word by fixed rules."""
 
 from __future__ import annotations
 
@@ -16,24 +16,25 @@ _TIME, _WH = ["G-that", "G-on"], ["G-on", "G-are"]
 _KNOWN = ("the", "of", "and", "that", "on", "are", "er", "in", "to", "for")
 
 
+def sentences(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\.")).alias("k", "english"))
+    return c.select((F.col("conv_id") * 1_000_000 + F.col("turn") * 10_000 + F.col("k")).alias("sentence_id"), "english")
+
+
 def tokens(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sentence_id"), F.posexplode(F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""), 1, 14)).alias("i", "text"))
+    c = sentences(spark, sf_dir).select("sentence_id", F.posexplode(F.filter(F.split("english", " "), lambda w: w != "")).alias("i", "text"))
     lemma = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     pick = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), (k % len(names)).cast("int"))
     return c.select("sentence_id", "i", "text", lemma.alias("lemma"), pick(_POS, F.length("text") + F.col("i")).alias("pos"), pick(_DEP, F.length("text") * 7 + F.col("sentence_id") * 3 + F.col("i")).alias("dep"))
 
 
-def sentences(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sentence_id"), F.col("text").alias("english"))
-
-
 def lexicon(spark):
     return spark.createDataFrame([(w, f"G-{w}") for w in _KNOWN] + [(n, n) for n in PHRASES.values()], "lemma string, gloss string")
 
 
 _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
-_TOK = f"""se AS (SELECT conv_id * 100 + turn AS sentence_id, text AS english FROM conversations),
-sp AS (SELECT sentence_id, list_filter(string_split(coalesce(english, ''), ' '), lambda w: w <> '')[1:14] AS w FROM se),
+_TOK = f"""st AS (SELECT conv_id, turn, string_split(coalesce(text, ''), '.') AS p FROM conversations), se AS (SELECT conv_id * 1000000 + turn * 10000 + k AS sentence_id, p[k + 1] AS english FROM (SELECT *, unnest(range(0, len(p))) AS k FROM st)),
+sp AS (SELECT sentence_id, list_filter(string_split(english, ' '), lambda w: w <> '') AS w FROM se),
 tk AS (SELECT sentence_id, CAST(i - 1 AS INT) AS i, w[i] AS text FROM (SELECT sentence_id, w, unnest(range(1, len(w) + 1)) AS i FROM sp)),
 tok AS (SELECT sentence_id, i, text, regexp_replace(lower(text), '[^a-z]', '', 'g') AS lemma, {_LIST(_POS)}[(length(text) + i) % {len(_POS)} + 1] AS pos, {_LIST(_DEP)}[(length(text) * 7 + sentence_id * 3 + i) % {len(_DEP)} + 1] AS dep FROM tk)"""
 _SCOPE = "sc AS (SELECT sentence_id, coalesce(string_agg(dep, ',' ORDER BY i) FILTER (WHERE dep IN ('relcl', 'advcl', 'ccomp', 'auxpass', 'nsubjpass') OR (dep = 'conj' AND pos IN ('VERB', 'AUX'))), '') AS problems FROM tok GROUP BY 1)"

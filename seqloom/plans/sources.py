@@ -19,16 +19,16 @@ from seqloom.sources import files as op
 from seqloom.sources.store import fresh_path
 
 
-@query("io1_read_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(CASE WHEN lang = 'fr' THEN replace(t, 'ou', '\u0153') ELSE t END) AS head FROM (SELECT *, substr(replace(replace(text, chr(10), ' '), '\"', ''), 1, 200) AS t FROM documents)")
+@query("io1_read_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(CASE WHEN lang = 'fr' THEN replace(t, 'ou', '\u0153') ELSE t END) AS text_md5 FROM (SELECT *, replace(replace(text, chr(10), ' '), '\"', '') AS t FROM documents)")
 def read_csv(spark, sf_dir):
     """Documents by language in three encodings under one folder."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), 1, 200).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")).alias("text"))
     path = fresh_path(spark, "csv")
     foreign = F.translate(F.replace("text", F.lit("ou"), F.lit("\u0153")), op.WINDOWS, op.LATIN_1)  # the bytes of windows-1252
     for name, cond, text, encoding in (("u", "lang in ('en', 'es')", F.col("text"), "utf-8"), ("w", "lang = 'fr'", foreign, "iso-8859-1"), ("l", "lang = 'de'", F.col("text"), "iso-8859-1")):
         d.where(cond).withColumn("text", text).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", encoding).csv(f"{path}/{name}")
     back = op.read_csv(spark, f"{path}/*/*.csv")
-    return back.select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("head"))
+    return back.select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("io2_aliases", "SELECT l_orderkey AS id, l_linenumber AS line, l_shipdate AS shipped, l_quantity AS amount FROM lineitem")
