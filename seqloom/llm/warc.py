@@ -7,9 +7,8 @@ by Content-Length, so payloads may hold anything. Captures are put together agai
 identifiers, and revisits find the page of their response by WARC-Refers-To.
 
 Of records with equal payloads (by SHA-1) of at least ``min_bytes``, the one with the smallest page_id is the response and the
-others revisit it. A null payload is an empty one; a null url gives records without a target. Rows with equal page_id count as
-one capture for each different row: the identifiers hash the whole row and its repeats are numbered only by content, so repeated
-equal rows give one capture.
+others revisit it. A null payload is an empty one; a null url gives records without a target; a null page_id is kept. Rows with
+equal page_id and payload are one capture, however often they stand in the table.
 """
 
 from __future__ import annotations
@@ -121,10 +120,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, reply, request and metadata (structs), joined through concurrent-to identifiers."""
+    once = lambda df: df.dropDuplicates(["capture_id"])  # noqa: E731  a page that stood in the table twice was written twice
     reply = records.where("type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), F.struct("type", "target", "refers_to", "payload_digest", "payload").alias("reply"))
     request = records.where("type = 'request'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target").alias("request"))
     metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
-    return reply.join(request, "capture_id", "left").join(metadata, "capture_id", "left")
+    return once(reply).join(once(request), "capture_id", "left").join(once(metadata), "capture_id", "left")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -139,8 +139,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = round_trip(table(spark, sf_dir, "pages"))
     flat = nested.select(
         "capture_id",
-        F.expr("cast(metadata.fields['page-id'] as long)").alias("page_id"),
-        F.expr("cast(metadata.fields['payload-length'] as long)").alias("payload_bytes"),
+        F.expr("try_cast(metadata.fields['page-id'] as long)").alias("page_id"),
+        F.expr("try_cast(metadata.fields['payload-length'] as long)").alias("payload_bytes"),
         F.regexp_replace("reply.payload_digest", "^sha1:", "").alias("payload_digest"),
         F.col("reply.type").alias("record_type"),
         F.col("reply.refers_to").alias("refers_to_id"),

@@ -48,3 +48,10 @@ def test_parse_plain_and_gzip():
 
 def test_empty(spark):
     assert op.round_trip(pages(spark, [])).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    rows = [(1, "http://a/", "one"), (1, "http://a/", "one"), (1, "http://a/", "two"), (None, "http://b/", "three"), (2, None, None), (2, None, None)]
+    pages(spark, rows).select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in op.op7_warc(spark, str(tmp_path)).select("payload_bytes", "record_type", "page_id").collect())
+    assert got == [(0, "response", 2), (3, "response", 1), (3, "response", 1), (5, "response", None)]
