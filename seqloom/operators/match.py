@@ -119,6 +119,11 @@ def per_label(distances: DataFrame, mode: str = "min") -> DataFrame:
     return distances.groupBy("query", "label_q", "label").agg((F.min if mode == "min" else F.avg)("distance").alias("distance"))
 
 
+def per_label_both(distances: DataFrame) -> DataFrame:
+    """query, label_q, label, nearest, mean in one aggregation, so that the distances are computed once."""
+    return distances.groupBy("query", "label_q", "label").agg(F.min("distance").alias("nearest"), F.avg("distance").alias("mean"))
+
+
 def ranked(labels: DataFrame) -> DataFrame:
     """Adds rank by distance within each query; ties go to the smaller label."""
     return labels.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "label")))

@@ -72,9 +72,7 @@ def dtw_path(spark, sf_dir):
 
 @query("d4_per_label", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean FROM d GROUP BY 1, 2")
 def per_label(spark, sf_dir):
-    d = _distances(spark, sf_dir)
-    both = op.per_label(d).withColumnRenamed("distance", "nearest").join(op.per_label(d, "mean").withColumnRenamed("distance", "mean"), ["query", "label_q", "label"])
-    return both.select("query", "label", F.round("nearest", 6).alias("nearest"), F.round("mean", 6).alias("mean"))
+    return op.per_label_both(_distances(spark, sf_dir)).select("query", "label", F.round("nearest", 6).alias("nearest"), F.round("mean", 6).alias("mean"))
 
 
 @query("d5_rank_all", f"WITH {_ALL}, {_PER} SELECT query, label, rank FROM k")
