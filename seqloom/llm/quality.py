@@ -27,6 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Statistics: log mean word length, log number of different words against log words, root symbol rate, root repeat rate.
 STATS = ("x0", "x1", "x2", "x3")
 FLOORS = (0.05, 0.05, 0.04, 0.12)
+#: Groups whose estimates (a few hundred bytes each) may be broadcast; with more, Spark joins by group.
+BROADCAST_GROUPS = 20_000
 SUPPORT, STEPS, MIN_GROUP, CUT = 0.75, 3, 200, 150.0
 #: Makes the covariance of the nearest 75 % consistent for four normal variables: 0.75 / P(chi2_6 <= q_0.75(chi2_4)).
 CONSISTENCY = 1.485
@@ -49,17 +51,18 @@ def counted(docs: DataFrame) -> DataFrame:
 
     A repeated window is found by sorting the windows' hashes within the row, so nothing is shuffled.
     """
-    return _with_counts(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "_q.*")
+    return docs.select("doc_id", "lang", "source", F.inline(F.array(_counts())))
 
 
-def _with_counts(docs: DataFrame) -> DataFrame:
-    # transform over a one-element array binds a name, so each array is made once for a row
+def _counts() -> Column:
+    # transform over a one-element array binds a name, so each array is made once for a row; as a generator's input the whole is
+    # computed once, where a plain column would be computed again in every expression that uses it
     bind = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
     body = bind("r", "transform(filter(s, (x, k) -> (k > 0 and get(s, k - 1).h = x.h) or get(s, k + 1).h <=> x.h), x -> x.i)", _COUNTS)
     body = bind("s", "sort_array(if(size(w) < 3, array(), transform(sequence(0, greatest(size(w) - 3, 0)), i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'i', i))))", body)
     body = bind("l", "filter(split(t, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]')", body)
     body = bind("w", "filter(split(t, '[ \\\\t-\\\\r]+'), x -> x <> '')", body)
-    return docs.withColumn("_q", F.expr(bind("t", "coalesce(text, '')", body)))
+    return F.expr(bind("t", "coalesce(text, '')", body))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -95,6 +98,11 @@ def _factor(groups: DataFrame) -> DataFrame:
     return groups.select("group", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i, j in PAIRS])
 
 
+def _few(df: DataFrame, groups: int) -> DataFrame:
+    """``df``, of at most so many rows, to be broadcast if they are few."""
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+
 def estimates(counts: DataFrame) -> DataFrame:
     """group, centre m0.. and Cholesky factor l00.. for each group of ``counts``; the pooled group is the empty string."""
     passing = _statistics(counts).where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("group", *STATS)
@@ -105,11 +113,12 @@ def estimates(counts: DataFrame) -> DataFrame:
     start = parts[0].join(parts[1], ["group", "k"]).join(parts[2], ["group", "k"])
     start = start.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, F.col("q2") / GRID)).alias(f"m{i}") for i in range(len(STATS))], *[F.max(F.when(F.col("k") == i, F.pow((F.col("q3") - F.col("q1")) / GRID / 1.349, 2))).alias(f"c{i}{i}") for i in range(len(STATS))])
     now = stored(_factor(start.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})), "start")
+    groups = now.count()
     for _ in range(STEPS):
-        far = rows.join(now, "group")
+        far = rows.join(_few(now, groups), "group")
         far = far.withColumn("bin", F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID)).select("group", *STATS, "bin")
         edge = _nearest(far.groupBy("group", "bin").agg(F.count("*").alias("n")), "bin", SUPPORT, "edge")
-        near = far.join(edge, "group").where("bin <= edge").groupBy("group")
+        near = far.join(_few(edge, groups), "group").where("bin <= edge").groupBy("group")
         fit = near.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[(F.covar_pop(STATS[i], STATS[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
         now = stored(_factor(fit.where((F.col("n") >= SUPPORT * MIN_GROUP) | (F.col("group") == ""))), "step")
     return now
@@ -118,14 +127,14 @@ def estimates(counts: DataFrame) -> DataFrame:
 def judged(counts: DataFrame, fitted: DataFrame) -> DataFrame:
     """``counts`` (one row for each text) with base_failed, distance (null where the base rule fails) and kept.
 
-    The estimates have a row for each group, which Spark broadcasts only while it measures them as small. A group without an
+    The estimates have a row for each group and are broadcast while the groups are few. A group without an
     estimate of its own takes the pooled one; without that (no text passes the base rule) nothing is an outlier.
     """
     df = _statistics(counts).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     names = [c for c in fitted.columns if c != "group"]
     own = fitted.where("group <> ''").select("group", F.struct(*names).alias("_own"))
     pool = fitted.where("group = ''").select(F.lit(1).alias("_one"), F.struct(*names).alias("_all"))
-    df = df.join(own, "group", "left").withColumn("_one", F.lit(1)).join(pool, "_one", "left")
+    df = df.join(_few(own, fitted.count()), "group", "left").withColumn("_one", F.lit(1)).join(F.broadcast(pool), "_one", "left")  # the pool is one row
     df = df.withColumn("_e", F.coalesce("_own", "_all")).select("*", "_e.*")
     df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance(df)))
     return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).drop("group", *STATS, *names, "_own", "_all", "_one", "_e")
@@ -135,7 +144,7 @@ def kept_documents(docs: DataFrame, fitted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; texts are counted in place, so that they are not shuffled."""
     columns = docs.columns
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), "doc_id", "lang", "source", "text")
-    counts = _with_counts(nested).select("_doc", "doc_id", "lang", "source", "_q.*")
+    counts = nested.select("_doc", "doc_id", "lang", "source", F.inline(F.array(_counts())))
     return judged(counts, fitted).where("kept").select("_doc.*")
 
 
