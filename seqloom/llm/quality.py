@@ -1,15 +1,18 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame expressions only.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. The base rule fails texts with fewer than ``MIN_WORDS`` words or with more than
-half of their words in repeated 3-word windows. Four transformed statistics (see ``STATS``) of the texts that pass are then held
-against robust estimates of centre and covariance, one for each language and source. Estimates start from coordinate-wise
-medians and quartiles and take ``STEPS`` concentration steps, each fitting mean and covariance on the share ``SUPPORT`` of texts
-that are nearest by the last estimate; texts whose squared Mahalanobis distance passes ``CUT`` are rejected.
+half of their words in repeated 3-word windows. Five transformed statistics (see ``STATS``) of the texts that pass are then held
+against robust estimates of centre and covariance, one for each language and source. Three starts about the coordinate-wise
+medians (quartiles, tanh of the standardized statistics, their spatial signs) take concentration steps, each fitting mean and
+covariance on the share ``SUPPORT`` of texts that are nearest by the last estimate, until no determinant moves or for ``STEPS``
+steps; the start with the smallest determinant is kept, the first of those within ``TIE``. Texts whose squared Mahalanobis
+distance passes ``CUT``, the 0.999 quantile of chi-square, are rejected.
 
 Orders within a group come from counts over bins of a fixed grid, so a group of any size is a few hundred rows in the shuffle
 and every step is an aggregate that combines in the map. Groups with fewer than ``MIN_GROUP`` passing texts use the estimate
-pooled over all groups. ``FLOORS`` is added to the scale of each statistic, so that one that is constant in most texts doesn't
-reject every text that differs a little. Null and empty texts have no words and fail the base rule; null languages and sources
+pooled over all groups. ``FLOORS`` and ``LINE_FLOOR`` are added to the scale of each statistic. Most texts have no symbols, repeats
+or duplicate lines, so their rates have no spread among the nearest texts; there the floor is the noise of counting, so that a
+single chance repeat rejects no text, while each rate can still reject by itself. Null and empty texts have no words and fail the base rule; null languages and sources
 form groups of their own; an empty table gives an empty result.
 """
 
@@ -24,14 +27,21 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import stored, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Statistics: log mean word length, log number of different words against log words, root symbol rate, root repeat rate.
-STATS = ("x0", "x1", "x2", "x3")
-FLOORS = (0.05, 0.05, 0.04, 0.12)
+#: Statistics: log mean word length, log number of different words against log words, root symbol rate, root repeat rate, root
+#: rate of duplicate lines.
+STATS = ("x0", "x1", "x2", "x3", "x4")
+#: Floors of x0 to x3 and of x4. The first two are numeric; the noise of a root rate over n trials is 0.5 / sqrt(n), here of 250
+#: characters and 50 words (the shortest text that passes) and of 25 lines.
+FLOORS, LINE_FLOOR = (0.001, 0.001, 0.0316, 0.0707), 0.1
 #: Groups whose estimates (a few hundred bytes each) may be broadcast; with more, Spark joins by group.
 BROADCAST_GROUPS = 20_000
-SUPPORT, STEPS, MIN_GROUP, CUT = 0.75, 3, 200, 150.0
-#: Makes the covariance of the nearest 75 % consistent for four normal variables: 0.75 / P(chi2_6 <= q_0.75(chi2_4)).
-CONSISTENCY = 1.485
+#: CUT is the 0.999 quantile of chi2_5.
+SUPPORT, STEPS, MIN_GROUP, CUT = 0.75, 12, 200, 20.515
+#: Makes the covariance of the nearest 75 % consistent for five normal variables: 0.75 / P(chi2_7 <= q_0.75(chi2_5)).
+CONSISTENCY = 1.412
+#: Log determinants this near are equal: the edge of the nearest texts is known to a bin of 2 % only. The last steps may still move
+#: them by less than that.
+TIE = 0.05
 #: Bins to a unit of a statistic, and to a factor of e of a distance.
 GRID, DISTANCE_GRID = 200, 50
 PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
@@ -41,13 +51,14 @@ named_struct(
   'word_chars', cast(length(array_join(w, '')) as long),
   'n_symbols', cast(regexp_count(t, '[#*$%&|<>]') as long),
   'n_dup_lines', cast(size(l) - size(array_distinct(l)) as long),
+  'n_lines', cast(size(l) as long),
   'n_repeat_words', aggregate(sort_array(r), named_struct('n', 0L, 'to', 0), (a, i) -> named_struct('n', a.n + i + 3 - greatest(a.to, i), 'to', i + 3), a -> a.n),
   'n_distinct', cast(size(array_distinct(w)) as long))
 """
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct.
+    """doc_id, lang, source and the counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_distinct.
 
     A repeated window is found by sorting the windows' hashes within the row, so nothing is shuffled.
     """
@@ -71,7 +82,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def _statistics(df: DataFrame) -> DataFrame:
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    x = (F.log(chars / n), F.log(F.greatest("n_distinct", F.lit(1))) / F.log(1 + n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_repeat_words") / n))
+    lines = F.greatest("n_lines", F.lit(1)) if "n_lines" in df.columns else n  # counts of another source may lack it
+    x = (F.log(chars / n), F.log(F.greatest("n_distinct", F.lit(1))) / F.log(1 + n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / lines))
     return df.withColumns(dict(zip(STATS, x, strict=True)) | {"group": F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")))})
 
 
@@ -91,11 +103,27 @@ def _distance(df: DataFrame) -> Column:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor of the covariances c00.. of each group, with the floors on the diagonal."""
+    """Cholesky factor of the covariances c00.. of each group and start, with the floors on the diagonal, and the log determinant."""
+    floors = (*FLOORS, LINE_FLOOR)
     for i, j in PAIRS:
-        rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.select("group", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i, j in PAIRS])
+        rest = F.col(f"c{i}{j}") + (floors[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+    size = 2 * reduce(lambda x, y: x + y, (F.log(f"l{i}{i}") for i in range(len(STATS))))
+    return groups.select("group", "start", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i, j in PAIRS], size.alias("size"), "was")
+
+
+def _starts(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """group, start, centre m0.. and covariances c00.. of each start; ``about`` (group, m0.., s0..) has medians and scales."""
+    dims, m = range(len(STATS)), [f"m{i}" for i in range(len(STATS))]
+    floors = (*FLOORS, LINE_FLOOR)
+    z = rows.join(about, "group").select("group", *m, *[F.sqrt(F.col(f"s{i}") ** 2 + floors[i] ** 2).alias(f"w{i}") for i in dims], *STATS)
+    z = z.withColumns({f"z{i}": (F.col(STATS[i]) - F.col(m[i])) / F.col(f"w{i}") for i in dims})
+    z = z.withColumn("r", F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z{i}") ** 2 for i in dims))) + 1e-9)
+    bent = [[F.tanh(f"z{i}") for i in dims], [F.col(f"z{i}") / F.col("r") * len(STATS) ** 0.5 for i in dims]]
+    made = z.groupBy("group").agg(*[F.max(f"w{i}").alias(f"w{i}") for i in dims], *[F.max(c).alias(c) for c in m], *[F.covar_pop(x[i], x[j]).alias(f"b{k}{i}{j}") for k, x in enumerate(bent) for i, j in PAIRS])
+    found = [about.select("group", F.lit(0).alias("start"), *m, *[(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])]
+    found += [made.select("group", F.lit(k + 1).alias("start"), *m, *[(F.col(f"b{k}{i}{j}") * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"c{i}{j}") for i, j in PAIRS]) for k in range(len(bent))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _few(df: DataFrame, groups: int) -> DataFrame:
@@ -111,17 +139,24 @@ def estimates(counts: DataFrame) -> DataFrame:
     long = rows.select("group", F.posexplode(F.array(*STATS)).alias("k", "x")).groupBy("group", "k", F.round(F.col("x") * GRID).alias("bin")).agg(F.count("*").alias("n"))
     parts = [_nearest(long, "bin", q, name) for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
     start = parts[0].join(parts[1], ["group", "k"]).join(parts[2], ["group", "k"])
-    start = start.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, F.col("q2") / GRID)).alias(f"m{i}") for i in range(len(STATS))], *[F.max(F.when(F.col("k") == i, F.pow((F.col("q3") - F.col("q1")) / GRID / 1.349, 2))).alias(f"c{i}{i}") for i in range(len(STATS))])
-    now = stored(_factor(start.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})), "start")
-    groups = now.count()
+    dims = range(len(STATS))
+    about = start.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, F.col("q2") / GRID)).alias(f"m{i}") for i in dims], *[F.max(F.when(F.col("k") == i, (F.col("q3") - F.col("q1")) / GRID / 1.349)).alias(f"s{i}") for i in dims])
+    about = stored(about, "medians")
+    groups = about.count()
+    now = stored(_factor(_starts(rows, _few(about, groups)).withColumn("was", F.lit(None).cast("double"))), "start")
     for _ in range(STEPS):
-        far = rows.join(_few(now, groups), "group")
-        far = far.withColumn("bin", F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID)).select("group", *STATS, "bin")
-        edge = _nearest(far.groupBy("group", "bin").agg(F.count("*").alias("n")), "bin", SUPPORT, "edge")
-        near = far.join(_few(edge, groups), "group").where("bin <= edge").groupBy("group")
-        fit = near.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[(F.covar_pop(STATS[i], STATS[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
+        far = rows.join(_few(now.drop("was"), groups), "group")
+        far = far.withColumn("bin", F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID)).select("group", "start", "size", *STATS, "bin")
+        edge = _nearest(far.groupBy("group", "start", "bin").agg(F.count("*").alias("n")), "bin", SUPPORT, "edge")
+        near = far.join(_few(edge, groups), ["group", "start"]).where("bin <= edge").groupBy("group", "start")
+        fit = near.agg(F.count("*").alias("n"), F.max("size").alias("was"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[(F.covar_pop(STATS[i], STATS[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
         now = stored(_factor(fit.where((F.col("n") >= SUPPORT * MIN_GROUP) | (F.col("group") == ""))), "step")
-    return now
+        moved = now.agg(F.max(F.abs(F.col("size") - F.col("was")))).first()[0]
+        if moved is None or moved < 1e-9:
+            break
+    names = [c for c in now.columns if c[0] in "ml"]
+    best = now.withColumn("least", F.min("size").over(W.partitionBy("group"))).where(F.col("size") <= F.col("least") + TIE)
+    return stored(best.groupBy("group").agg(F.min_by(F.struct(*names), "start").alias("e")).select("group", "e.*"), "estimates")
 
 
 def judged(counts: DataFrame, fitted: DataFrame) -> DataFrame:

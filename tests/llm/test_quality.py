@@ -88,3 +88,15 @@ def test_no_python_in_the_plan(spark, sf):
     counts = op.counted(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = op.judged(counts, op.estimates(counts))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_each_rate_can_reject_by_itself(spark):
+    rng = np.random.default_rng(2)
+    row = lambda symbols=0, lines=0, repeats=0, stretch=1.0: ("en", "s", 200, int(200 * rng.normal(5, 0.1) * stretch), symbols, lines, 20, repeats, int(rng.normal(150, 3)))
+    clean = [row(symbols=int(i % 20 == 0), repeats=6 * (i % 20 == 1), lines=int(i % 20 == 2)) for i in range(400)]
+    junk = [row(symbols=60), row(repeats=80), row(lines=8), row(stretch=1.6)]
+    rows = [(i, *r) for i, r in enumerate(clean + junk)]
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_distinct long")
+    kept = {r["doc_id"] for r in op.judged(counts, op.estimates(counts)).where("kept").collect()}
+    assert not kept & set(range(400, 404))
+    assert len(kept) >= 396
