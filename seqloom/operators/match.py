@@ -215,8 +215,8 @@ def forced_align(rows: DataFrame, blank: int = 0) -> DataFrame:
 
 
 def label_segments(labels: DataFrame, parts: Column) -> DataFrame:
-    """series, part, start, stop for each part from 0 on; (0, 0) for a part without a frame."""
-    want = labels.select("series", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    """series, part, start, stop for each part from 0 on; (0, 0) for a part without a frame, no row for a series without parts."""
+    want = labels.select("series", F.explode(F.when(parts > 0, F.sequence(F.lit(0), parts - 1))).alias("part"))
     have = labels.select("series", F.posexplode("labels").alias("t", "part")).where("part >= 0").groupBy("series", "part").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"))
     return want.join(have, ["series", "part"], "left").select("series", "part", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("stop", F.lit(0)).alias("stop"))
 

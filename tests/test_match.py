@@ -113,3 +113,17 @@ def test_segments(spark):
     paths = spark.createDataFrame([(1, [(0, 0), (1, 0), (2, 1), (3, 2)])], "k long, path array<struct<i: int, j: int>>")
     owner = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 1), (1, 9, 2)], "k long, j int, part int")
     assert sorted(tuple(r) for r in op.segments(paths, owner, ["k"]).collect()) == [(1, 0, 0, 2), (1, 1, 2, 4), (1, 2, None, None)]
+
+
+def test_every_clip_is_forced_aligned(spark, sf):
+    from seqloom.plans import match as plans
+
+    tokens = {r["series"]: r["tokens"] for r in plans._decoded(spark, sf).collect()}
+    labels = {r["series"]: r["labels"].split() for r in plans.forced_align(spark, sf).collect()}
+    assert labels.keys() == tokens.keys() and max(map(len, tokens.values())) > 5
+    for k, t in tokens.items():
+        assert sorted({int(x) for x in labels[k]} - {-1}) == list(range(len(t)))
+    assert plans.label_segments(spark, sf).count() == sum(map(len, tokens.values()))
+    assert op.forced_labels(np.zeros((3, 2)), []) == [-1, -1, -1]
+    none = spark.createDataFrame([(1, [-1, -1], 0)], "series long, labels array<int>, parts int")
+    assert op.label_segments(none, F.col("parts")).count() == 0
