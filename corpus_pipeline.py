@@ -1,8 +1,9 @@
 """Corpus preparation: quality rules, near-duplicates, decontamination, personal data, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's docs.
-All stages but the last return the columns of documents. Rows with a null doc_id are judged like others; of repeated rows with
-one doc_id, near-duplicate removal keeps one. Empty tables pass through.
+All stages but the last return the columns of documents. Rows with a null doc_id are judged like others. Near-duplicate removal
+tells rows by id and text: different texts under one id are judged apart, of rows with one id and text one stays. Empty tables
+pass through.
 """
 
 from __future__ import annotations
@@ -21,16 +22,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near-duplicates."""
-    groups = stored(simhash.near_duplicates(docs), "groups")
-    gone = groups.where("not doc_id <=> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id"]) if _repeats(docs) else left
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id stands on several rows."""
-    return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    """Keep one row of each component of near-duplicates: that with the smallest id (nulls last), then the smallest row key."""
+    key = decontaminate.row_key(docs)
+    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select("doc_id", "component_id").distinct()
+    ids = docs.select(key.alias("key"), F.col("doc_id").alias("id")).groupBy(F.col("key").alias("doc_id")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    ranked = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id", "n")).alias("best"))
+    best = stored(ranked.select(F.col("best.doc_id").alias("key"), F.col("best.n").alias("n")), "best")
+    left = docs.join(best, key == best["key"], "left_semi")
+    return left.dropDuplicates(["doc_id", "text"]) if best.where("n > 1").limit(1).count() else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,11 @@ def test_empty_and_null_rows(spark, sf, stage):
     assert f(spark, empty(spark).select("doc_id", "text", "lang", "source", "n_chars"), sf).count() == 0
     odd = spark.createDataFrame([(None, None, None, None, None, None, None, None, None), (1, "", None, None, 0, 0, "", "", "")], SCHEMA)
     assert f(spark, odd, sf).count() <= 2
+
+
+def test_near_duplicates_tell_rows_by_id_and_text(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{i * k}" for i in range(80))
+    rows = [(None, text(2)), (None, text(3)), (5, text(4)), (5, text(6)), (5, text(6)), (1, text(6)), (None, text(4)), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert len(left) == 5 and set(left) == {(None, text(2)), (None, text(3)), (5, text(4)), (1, text(6)), (7, None)}
