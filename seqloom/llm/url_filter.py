@@ -1,19 +1,22 @@
 """URL filters as a sort-merge range join of reversed hosts with rule intervals.
 
-A key is the host with its labels reversed, each followed by a mark that sorts before every host character, then the path:
-``blog.example.com/en/1`` gives ``com!example!blog!/en/1``. A rule's host covers all keys from ``com!example!`` up to that text
-followed by the largest character, so rules are intervals that nest or are disjoint. Split keys from a bounded sample of the
-urls (``SAMPLE`` keys; they only balance the work) cut the key line into ranges; a hot host is cut inside by path. A rule is
-copied to every range that its interval meets. Each range is sorted and swept once: a stack holds the rules whose interval is
-open, and a url is judged by the longest of them whose path its own path starts with.
+A key is the host with its labels reversed, each followed by a dot, then the path: ``blog.example.com/en/1`` gives
+``com.example.blog./en/1``. A label holds no dot and a path begins with a slash, so a key begins with a rule's ``com.example.``
+just if its host is that host or a subdomain, whatever other characters the host holds. All keys with one beginning stand together
+in order, so rules are intervals that nest or are disjoint. Split places from a sample of the urls (drawn by hash at a rate that
+gives about ``SAMPLE`` places; they only balance the work) cut the line of keys into ranges. A place is a key and a hash of the
+page id, so a host is cut inside by path, and one url that stands for any share of the rows by the rows' hashes. A rule is copied
+to every range that its interval meets. Each range is sorted and swept once: a stack holds the rules whose interval is open, and a
+url is judged by the longest of them whose path its own path starts with.
 
 A null url, or one without ``://``, has empty host and path. No rule: ``DEFAULT``. Several equal rules: the smallest verdict.
-Empty tables give empty results; rules never drop or repeat rows of the urls.
+Null page ids and repeated rows are kept; a repeated row is judged each time. Other columns are ignored. Empty tables give empty
+results; rules never drop or repeat rows of the urls.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import record_batch, table, workers_see_package
 
 DEFAULT = "allow"
-#: Keys in the sample that places the splits, rows that a range should hold.
+#: Places in the sample that sets the splits (on average), rows that a range should hold.
 SAMPLE, RANGE_ROWS = 20_000, 100_000
 #: Host, path, verdict of the rules.
 RULES = (
@@ -46,7 +49,7 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "!"), F.lit("!")))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "."), F.lit(".")))
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -80,31 +83,44 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spark = urls.sparkSession
     workers_see_package(spark)
     keyed = urls.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = keyed.withColumn("key", F.concat(host_key(F.col("host")), "path"))
+    keyed = keyed.withColumn("key", F.concat(host_key(F.col("host")), "path")).withColumn("mark", F.xxhash64("page_id"))
     rows = keyed.count()
     ranges = max(1, -(-rows // RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > RANGE_ROWS // 10 else 1)
-    sample = sorted(r["key"] for r in keyed.select("key", F.xxhash64("page_id", "key").alias("h")).orderBy("h", "key").limit(SAMPLE).select("key").toLocalIterator())
-    splits = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    splits = _splits(keyed, rows, ranges) if ranges > 1 else []
     shipped = spark.sparkContext.broadcast(splits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shipped.value
         for batch in batches:
-            keys, ends = batch.column("key").to_pylist(), batch.column("end").to_pylist()
-            first = [bisect_right(at, k) for k in keys]
-            last = [f if e is None else max(f, bisect_left(at, e)) for f, e in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "end"), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*(n for n in batch.schema.names if n != "end"), "lo", "hi"])
-
-    opened = rules.select(host_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
-    opened = opened.withColumn("end", F.concat("key", F.lit("\U0010ffff")))
-    asked = keyed.select("key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("end"))
-    placed = opened.unionByName(asked).mapInArrow(place, "key string, kind int, page_id long, host string, path string, verdict string, lo int, hi int")
+            keys, marks, kinds = (batch.column(c).to_pylist() for c in ("key", "mark", "kind"))
+            first = [bisect_right(at, (k, m)) for k, m in zip(keys, marks, strict=True)]
+            # a rule meets all ranges up to the last split that begins with its key
+            last = [f if kind else max(f, bisect_right(at, k, key=lambda s: s[0][: len(k)])) for f, k, kind in zip(first, keys, kinds, strict=True)]  # noqa: B023
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*batch.schema.names, "lo", "hi"])
+
+    lowest = F.lit(-(1 << 63)).cast("long")
+    opened = rules.select(host_key(F.col("host")).alias("key"), lowest.alias("mark"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    asked = keyed.select("key", "mark", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    placed = opened.unionByName(asked).mapInArrow(place, "key string, mark long, kind int, page_id long, host string, path string, verdict string, lo int, hi int")
     spread = placed.withColumn("part", F.explode(F.sequence("lo", "hi"))).select("part", "key", "kind", "page_id", "host", "path", "verdict")
     # a rule's own key sorts before the urls inside it; nested rules come in order of length
     ordered = spread.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind")
     return ordered.mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
 
 
+def _splits(keyed: DataFrame, rows: int, ranges: int) -> list[tuple[str, int]]:
+    """Places (key, mark) that cut ``keyed`` into about equal ranges, from a sample of about ``SAMPLE`` different places."""
+    least = int((1 - 2 * min(1.0, SAMPLE / rows)) * (1 << 63))
+    drawn = keyed.where(F.xxhash64("key", "mark") >= F.lit(least)).groupBy("key", "mark").agg(F.count("*").alias("n"))
+    sample = sorted(tuple(r) for r in drawn.toLocalIterator())
+    total, seen, out = sum(n for _, _, n in sample), 0, []
+    for key, mark, n in sample:
+        if seen * ranges // total < (seen + n) * ranges // total:
+            out.append((key, mark))
+        seen += n
+    return out
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark))
 
