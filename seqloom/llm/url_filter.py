@@ -115,7 +115,7 @@ def _splits(keyed: DataFrame, rows: int, ranges: int) -> list[tuple[str, int]]:
     sample = sorted(tuple(r) for r in drawn.toLocalIterator())
     total, seen, out = sum(n for _, _, n in sample), 0, []
     for key, mark, n in sample:
-        if seen * ranges // total < (seen + n) * ranges // total:
+        if seen * ranges // total < (seen + n) * ranges // total < ranges:
             out.append((key, mark))
         seen += n
     return out
