@@ -32,6 +32,8 @@ from seqloom.llm.common import as_bytes, fresh_path, record_batch, stored, table
 
 #: Compressed bytes of an archive; rows with payloads that occur again, of about 100 bytes each, that may be broadcast.
 FILE_BYTES, BROADCAST_ROWS = 32_000_000, 200_000
+#: Compressed bytes inflated at once.
+PIECE = 8192
 #: An empty gzip member: what Spark's writer puts behind each archive.
 END_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 CRLF = "\r\n"
@@ -123,14 +125,16 @@ def members(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    rest = memoryview(data)
-    while len(rest):
-        unpack = zlib.decompressobj(31)
-        held = unpack.decompress(rest)
-        if not unpack.eof:
-            raise ValueError("an archive ends inside a record")
-        rest = rest[len(rest) - len(unpack.unused_data) :]
-        yield held
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, held = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends inside a record")
+            held.append(unpack.decompress(view[at : at + PIECE]))  # pieces, as what stands behind a member is copied
+            at += PIECE
+        at = min(at, len(view)) - len(unpack.unused_data)
+        yield b"".join(held)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
