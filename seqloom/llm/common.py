@@ -52,6 +52,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(df: DataFrame, count: str, most: int) -> Column:
+    """A condition on ``count`` that at most ``most`` rows of ``df`` meet, those with the largest; ties go together.
+
+    The bound comes from how many rows have each size (in steps of a fortieth of a power of two from 40 on), a table of a few
+    thousand rows at most, so no rows are sorted or gathered.
+    """
+    size = lambda c: F.when(c < 40, c.cast("long")).otherwise(F.floor(F.log2(c.cast("double")) * 40))
+    sizes = df.groupBy(size(F.col(count)).alias("size")).agg(F.count("*").alias("n")).collect()
+    seen, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        if seen + r["n"] > most:
+            break
+        seen, least = seen + r["n"], r["size"]
+    return size(F.col(count)) >= least if least is not None else F.lit(False)
+
+
 def held_out(doc_id: Column, divisor: int) -> Column:
     """True where crc32 of the id as text leaves 2; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == 2, F.lit(False))
