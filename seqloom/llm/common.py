@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,23 +33,37 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """spark.checkpoint.dir; only where Spark runs in one process (as in tests) a folder is made if it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def discarded(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the application ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/seqloom-{label}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    The files are deleted when the application ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    discarded(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

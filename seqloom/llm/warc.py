@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import as_bytes, fresh_path, record_batch, stored, table, workers_see_package
+from seqloom.llm.common import as_bytes, discarded, fresh_path, record_batch, stored, table, workers_see_package
 
 #: Compressed bytes of an archive; rows with payloads that occur again, of about 100 bytes each, that may be broadcast.
 FILE_BYTES, BROADCAST_ROWS = 32_000_000, 200_000
@@ -223,6 +223,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, payloads: bool = True) -> D
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path, min_bytes)
+    discarded(spark, path)
     records = read_archives(spark, path)
     return transactions(records if payloads else stored(records.drop("payload"), "records"))
 
