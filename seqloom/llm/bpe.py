@@ -1,17 +1,18 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last ``WINDOW`` code points cuts a text after about every ``AVERAGE`` of them, so passages that documents
-share are cut alike wherever they stand. A worker encodes a chunk that it meets again only once: the second meeting puts the
-encoded chunk into its cache, later ones copy ids and decoded text. Cuts fall inside words, so a chunk keeps its first and last
-word apart where it doesn't begin or end with white space; at a join the pieces are put together, over as many chunks as the word
-spans, and encoded again. White space is where the tokenizer's parts end, so from there on chunk and text agree exactly.
+share are cut alike wherever they stand. Each chunk is encoded as if it were a text. A worker keeps the encoded chunks that it met
+twice (a hash is all that it keeps of those met once) and copies them from then on. Cuts fall anywhere, so joins are repaired: the
+last word before the cut and the first behind it are encoded again together, and if the outer words of that window don't come out as the chunks
+have them, the window doubles on both sides, until both ends agree exactly or a side is used up. What stands beyond agreed words
+is as in the whole text.
 
 Documents never leave their task: ids that move between machines would cost more shuffle than the encoding they save, so reuse is
 within a worker and its caches are bounded (``CHUNK_BYTES``, ``WORDS``, ``SEEN``); what falls out is encoded again.
 
 Holds for tokenizers that drop white space and work on the parts between, such as word_bpe_49k.json. Null and empty texts have no
 ids and an empty decoded text. A text with one of U+001C to U+001F, which Python counts as white space and the tokenizer does
-not, is encoded whole by the library.
+not, is encoded whole by the library. Equal rows give equal results, null ids are kept, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,9 +70,10 @@ class Codec:
         self.tokenizer.no_padding()
         # without a decoder in its file the library joins the tokens by spaces
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())] if self.tokenizer.decoder is None else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.chunks: dict[str, tuple] = {}
+        #: Ids (little-endian, 32 bits) and decoded text of words, in two generations.
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[list[str], list[tuple[bytes, str]]]] = {}
         self.chunk_bytes = 0
         self.seen: set[int] = set()
 
@@ -81,8 +83,8 @@ class Codec:
         tokens = self.tokens
         return " ".join([tokens[i] for i in array("I", ids)])
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of each word."""
+    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each word."""
         out = list(map(self.young.get, words))
         if None not in out:
             return out
@@ -92,27 +94,21 @@ class Codec:
         todo = [w for w, x in missing.items() if x is None]
         if todo:
             for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                missing[w] = array("I", e.ids).tobytes()
+                ids = array("I", e.ids).tobytes()
+                missing[w] = (ids, self.decode(ids))
         self.young.update({w: x for w, x in missing.items() if len(w) <= 64})
         return [missing[w] if x is None else x for w, x in zip(words, out, strict=True)]
 
-    def chunk(self, chunk: str) -> tuple[str, bytes, str, str, bool]:
-        """First word if it may go on to the left, ids and decoded text of the inner words, last word alike, and whether all is one word."""
+    def chunk(self, chunk: str) -> tuple[list[str], list[tuple[bytes, str]]]:
+        """The words of a chunk, encoded as if it were a text."""
         known = self.chunks.get(chunk)
         if known is not None:
             return known
         words = chunk.split()
-        head = tail = ""
-        if words and not chunk[-1].isspace():
-            tail = words.pop()
-        if words and not chunk[0].isspace():
-            head = words.pop(0)
-        one = bool(tail) and len(tail) == len(chunk)
-        ids = b"".join(self.words(words))
-        entry = (head, ids, self.decode(ids), tail, one)
+        entry = words, self.words(words)
         mark = hash(chunk)
         if mark in self.seen:
-            size = 4 * len(chunk) + len(entry[1]) + len(entry[2]) + 400
+            size = 4 * len(chunk) + 140 * len(words) + 400
             if self.chunk_bytes + size > CHUNK_BYTES:
                 self.chunks.clear()
                 self.chunk_bytes = 0
@@ -129,24 +125,38 @@ class Codec:
         if ODD.search(text):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             return ids, self.decode(ids)
-        parts: list[tuple[bytes, str]] = []
-        open_, start = "", 0  # open_: a word that the next chunk may go on with
+        words: list[str] = []
+        coded: list[tuple[bytes, str]] = []
+        start = last = 0
         for end in cuts(text):
-            piece = text[start:end]
+            inside, last = text[last:end], end
+            if end < len(text) and inside and not inside[-1].isspace() and len(inside.split(maxsplit=1)) == 1 and not inside[0].isspace():
+                continue  # a piece of a longer word goes to the next chunk, or else its joins would encode the word again and again
+            more, more_coded = self.chunk(text[start:end])
+            if words and more:
+                self.join(words, coded, more, more_coded, not text[start - 1].isspace() and not text[start].isspace())
+            else:
+                words += more
+                coded += more_coded
             start = end
-            head, inner, inner_text, tail, one = self.chunk(piece)
-            if one:
-                open_ += piece
-                continue
-            if open_ or head:
-                [joint] = self.words([open_ + head])
-                parts.append((joint, self.decode(joint)))
-            parts.append((inner, inner_text))
-            open_ = tail
-        if open_:
-            [joint] = self.words([open_])
-            parts.append((joint, self.decode(joint)))
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        coded = [c for c in coded if c[0]]
+        return b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded])
+
+    def join(self, words: list[str], coded: list, more: list[str], more_coded: list, touching: bool) -> None:
+        """Appends a chunk to what stands before it, with the join encoded again until it agrees with both sides."""
+        size = 1
+        while True:
+            left, right = words[-size:], more[:size]
+            window = [*left[:-1], left[-1] + right[0], *right[1:]] if touching else left + right
+            again = self.words(window)
+            # a side that is in the window as a whole has nothing beyond it that could differ
+            if (again[0] == coded[-len(left)] or len(left) == len(words)) and (again[-1] == more_coded[len(right) - 1] or len(right) == len(more)):
+                words[-len(left) :] = window
+                coded[-len(left) :] = again
+                words += more[len(right) :]
+                coded += more_coded[len(right) :]
+                return
+            size *= 2
 
 
 _codecs: dict[str, Codec] = {}

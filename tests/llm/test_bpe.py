@@ -46,6 +46,33 @@ def test_long_texts_without_space():
         assert bpe.codec(PATH).encode(text) == plain(text)
 
 
+def test_joins_widen_until_they_agree():
+    own = bpe.Codec(PATH)
+    asked = []
+    words = own.words
+    own.words = lambda w: asked.append(list(w)) or words(w)
+    done, coded = ["a", "bb", "cc"], words(["a", "bb", "cc"])
+    own.join(done, coded, ["dd", "ee", "ff"], words(["dd", "ee", "ff"]), True)
+    assert done == ["a", "bb", "ccdd", "ee", "ff"] and coded == words(done)
+    assert asked == [["ccdd"], ["bb", "ccdd", "ee"]]  # the joint alone doesn't agree, with a word on each side it does
+    asked.clear()
+    own.join(done, coded, ["gg"], words(["gg"]), False)
+    assert done[-2:] == ["ff", "gg"] and coded == words(done) and asked == [["ff", "gg"]]
+
+
+def test_chunks_of_any_size(monkeypatch):
+    monkeypatch.setattr(bpe, "AVERAGE_BITS", 3)  # a cut after about eight code points
+    texts = ["Some words, and more of them; " * 40, "averylongwordwithoutspaces" * 30 + " end", " lead and trail \n" * 50]
+    own = bpe.Codec(PATH)
+    assert [own.encode(t) for t in texts * 2] == [plain(t) for t in texts * 2]
+
+
+def test_a_megabyte_without_space_is_linear():
+    text = "".join(chr(97 + i * 7919 % 26) for i in range(1_000_000))
+    ids, decoded = bpe.codec(PATH).encode(text)
+    assert len(ids) > 0 and decoded
+
+
 def test_query_columns(spark):
     docs = awkward(spark)
     got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(bpe.encode(docs, PATH)).collect()}
