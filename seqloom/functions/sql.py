@@ -22,7 +22,7 @@ from seqloom.operators import match
 from seqloom.sources import files
 
 SCALAR = {
-    "dtw(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "if(size(a) = 0 or size(b) = 0, double('inf'), aggregate(a, concat(array(0.0D), transform(b, y -> double('inf'))), (p, x) -> aggregate(b, array(double('inf')), (c, y) -> concat(c, array(abs(x - y) + least(p[size(c)], p[size(c) - 1], c[size(c) - 1])))), p -> p[size(b)] / (size(a) + size(b))))",
+    "dtw(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": match.scalar_dtw_sql("a", "b"),
     "edits(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS INT": "aggregate(a, sequence(0, size(b)), (p, x) -> aggregate(b, array(p[0] + 1), (c, y) -> concat(c, array(least(p[size(c)] + 1, c[size(c) - 1] + 1, p[size(c) - 1] + if(x = y, 0, 1))))), p -> p[size(b)])",
     "best_class(scores ARRAY<DOUBLE>) RETURNS BIGINT": "array_position(scores, array_max(scores)) - 1",
     "confidence_of_best(scores ARRAY<DOUBLE>) RETURNS DOUBLE": "1 / aggregate(transform(scores, x -> exp(x - array_max(scores))), 0.0D, (t, x) -> t + x)",
@@ -32,7 +32,7 @@ SCALAR = {
 class DtwPath:
     def eval(self, a: list, b: list) -> Iterator[tuple[int, int]]:
         if a and b:
-            yield from match.backtrace(match.tables(match.costs(np.array([a], float), np.array([b], float)), None)[:, :, 0])
+            yield from match.backtrace(match.tables(match.costs(np.array([a], float), np.array([b], float)))[:, :, 0], len(a), len(b))
 
 
 class ForcedLabels:

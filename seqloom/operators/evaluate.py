@@ -79,6 +79,25 @@ def generalisation_gap(history: DataFrame) -> DataFrame:
     return g.select("run", (-F.col("b.e")).alias("best_epoch"), F.col("b.val").alias("best_val"), (F.col("b.train") - F.col("b.val")).alias("gap"), "last_gain")
 
 
+def value_at(rows: DataFrame, column: str, rank: int, bins: int = 1024) -> float:
+    """The value of ``column`` at a rank (from 0) in order: counts of bins, then of bins inside the bin that holds the rank, and so on.
+
+    Each round is an aggregate of at most ``bins`` rows, and ends at the latest when a bin is one value, so nothing is sorted.
+    """
+    x = F.col(column).cast("double")
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        size = (high - low) / bins
+        own = F.least(F.floor((x - F.lit(low)) / F.lit(size)), F.lit(bins - 1))
+        found = rows.where((x >= F.lit(low)) & (x <= F.lit(high))).groupBy(own.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
+        for r in sorted(found, key=lambda r: r["bin"]):
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
 def funnel(rows: DataFrame, tries: int = 6) -> DataFrame:
     """One row: n, accepted, on_target, shown, latency_median, latency_p90 (at index int(0.9 (n - 1))), within (mean chance to show within so many tries), never (signs never shown).
 
@@ -88,12 +107,10 @@ def funnel(rows: DataFrame, tries: int = 6) -> DataFrame:
     marked = rows.withColumn("shown", shown)
     per = marked.groupBy("sign").agg(F.avg(F.col("shown").cast("double")).alias("p"))
     per = per.agg(F.avg(1 - F.pow(1 - F.col("p"), F.lit(tries))).alias("within"), F.count_if(F.col("p") == 0).alias("never"))
-    # the 90th percentile is the value whose rank is int(0.9 (n - 1)), found from counts of each latency
-    counts = marked.groupBy("latency").agg(F.count("*").alias("k"))
     total = marked.agg(F.count("*").alias("n"), F.count_if("in_scope").alias("accepted"), F.count_if(F.col("in_scope") & F.col("has_target")).alias("on_target"), F.count_if("shown").alias("shown"), F.percentile("latency", F.lit(0.5)).alias("latency_median"))
-    upto = counts.withColumn("upto", F.sum("k").over(W.orderBy("latency"))).join(F.broadcast(total.select("n")))
-    p90 = upto.where(F.col("upto") > F.floor(F.lit(0.9) * (F.col("n") - 1))).agg(F.min("latency").alias("latency_p90"))
-    return total.join(F.broadcast(p90)).join(F.broadcast(per))
+    n = rows.where("latency is not null").count()
+    p90 = value_at(rows, "latency", int(0.9 * (n - 1))) if n else None
+    return total.join(F.broadcast(per)).withColumn("latency_p90", F.lit(p90).cast("double"))  # one row each
 
 
 def parity(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators import geometry, signal
+
 #: Cells of cost matrices that are computed together.
 CELLS = 2_000_000
 
@@ -30,36 +32,80 @@ def costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
-def _window(i: int, n: int, m: int, band: float | None) -> range:
-    if band is None:
-        return range(1, m + 1)
-    centre = i * (m / n)
-    return range(max(1, int(centre - band)), min(m, int(centre + band) + 1) + 1)
+def _reached(n: np.ndarray, m: np.ndarray, rows: int, columns: int, band: float) -> np.ndarray:
+    """Cells (pairs, rows, columns) that the band of each pair of lengths reaches."""
+    i, j = np.arange(1, rows + 1)[None, :, None], np.arange(1, columns + 1)[None, None, :]
+    centre = i * (m / n)[:, None, None]
+    return (j >= np.maximum(1, np.trunc(centre - band))) & (j <= np.minimum(m[:, None, None], np.trunc(centre + band) + 1))
+
 
+def tables(cost: np.ndarray) -> np.ndarray:
+    """Cumulated costs over steps up, diagonal and left: (n + m + 1, n + 1, pairs), cell (i, j) at [i + j, i].
 
-def tables(cost: np.ndarray, band: float | None) -> np.ndarray:
-    """Cumulated costs (n + 1, m + 1, pairs) over steps up, diagonal and left."""
+    All cells of one anti-diagonal of all pairs are computed together. Cells that must not be used have an infinite cost.
+    """
     pairs, n, m = cost.shape
-    step = np.ascontiguousarray(cost.transpose(1, 2, 0))
-    dp = np.full((n + 1, m + 1, pairs), np.inf)
+    step = np.full((n + m + 1, n + 1, pairs), np.inf)
+    i, j = np.arange(1, n + 1)[:, None], np.arange(1, m + 1)[None]
+    step[i + j, i] = cost.transpose(1, 2, 0)
+    dp = np.full((n + m + 1, n + 1, pairs), np.inf)
     dp[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in _window(i, n, m, band):
-            dp[i, j] = step[i - 1, j - 1] + np.minimum(np.minimum(dp[i - 1, j], dp[i - 1, j - 1]), dp[i, j - 1])
+    for d in range(2, n + m + 1):
+        one, two = dp[d - 1], dp[d - 2]
+        dp[d, 1:] = step[d, 1:] + np.minimum(np.minimum(one[:-1], one[1:]), two[:-1])
     return dp
 
 
-def backtrace(dp: np.ndarray) -> list[tuple[int, int]]:
-    """The path of one table (n + 1, m + 1) in increasing order; of equal steps the diagonal wins, then up."""
-    i, j = dp.shape[0] - 1, dp.shape[1] - 1
+def backtrace(dp: np.ndarray, n: int, m: int) -> list[tuple[int, int]]:
+    """The path to (n, m) of one pair's table in increasing order; of equal steps the diagonal wins, then up."""
+    i, j = n, m
     path = []
     while i and j:
         path.append((i - 1, j - 1))
-        ways = ((dp[i - 1, j - 1], 0, (i - 1, j - 1)), (dp[i - 1, j], 1, (i - 1, j)), (dp[i, j - 1], 2, (i, j - 1)))
+        ways = ((dp[i + j - 2, i - 1], 0, (i - 1, j - 1)), (dp[i + j - 1, i - 1], 1, (i - 1, j)), (dp[i + j - 1, i], 2, (i, j - 1)))
         i, j = min(ways)[2]
     return path[::-1]
 
 
+def _padded(sequences: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(sequences), max(map(len, sequences)), width))
+    for r, x in enumerate(sequences):
+        out[r, : len(x)] = x
+    return out
+
+
+def warp(left: list[np.ndarray], right: list[np.ndarray], band: float | None = None, paths: bool = False) -> tuple[np.ndarray, list]:
+    """Distance (cost over n + m) and, if asked for, path of each pair; pairs of about the same lengths are padded and computed together."""
+    distance, found = np.full(len(left), np.inf), [[] for _ in left]
+    order = sorted((r for r in range(len(left)) if len(left[r]) and len(right[r])), key=lambda r: (len(left[r]), len(right[r])))
+    at = 0
+    while at < len(order):
+        to, n, m = at, 0, 0
+        while to < len(order):
+            wider = max(n, len(left[order[to]])), max(m, len(right[order[to]]))
+            if to > at and (to + 1 - at) * wider[0] * wider[1] > CELLS:
+                break
+            (n, m), to = wider, to + 1
+        some, at = order[at:to], to
+        a, b = ([np.asarray(side[r], float).reshape(len(side[r]), -1) for r in some] for side in (left, right))
+        ns, ms = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        cost = costs(_padded(a, a[0].shape[1]), _padded(b, a[0].shape[1]))
+        if band is not None:
+            cost[~_reached(ns, ms, n, m, band)] = np.inf
+        dp = tables(cost)
+        ends = dp[ns + ms, ns, np.arange(len(some))]
+        distance[some] = ends / (ns + ms)
+        if paths:
+            for k, r in enumerate(some):
+                if np.isfinite(ends[k]):
+                    found[r] = [{"i": i, "j": j} for i, j in backtrace(dp[:, :, k], int(ns[k]), int(ms[k]))]
+    return distance, found
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.array(x if x is not None else [], float) for x in column.to_pylist()]
+
+
 def align(pairs: DataFrame, band: float | None = None, paths: bool = False) -> DataFrame:
     """``pairs`` (any keys, arrays a and b) without a and b, with distance (cost over n + m) and, if asked for, path (array of i, j).
 
@@ -70,20 +116,7 @@ def align(pairs: DataFrame, band: float | None = None, paths: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for r, (x, y) in enumerate(zip(left, right, strict=True)):
-                shapes.setdefault((len(x or ()), len(y or ())), []).append(r)
-            distance, path = [float("inf")] * len(left), [[] for _ in left]
-            for (n, m), rows in shapes.items():
-                size = max(1, CELLS // max(1, n * m))
-                for at in range(0, len(rows) if n and m else 0, size):
-                    some = rows[at : at + size]
-                    dp = tables(costs(np.array([left[r] for r in some], float), np.array([right[r] for r in some], float)), band)
-                    for k, r in enumerate(some):
-                        distance[r] = float(dp[n, m, k]) / (n + m)
-                        if paths and np.isfinite(dp[n, m, k]):
-                            path[r] = [{"i": i, "j": j} for i, j in backtrace(dp[:, :, k])]
+            distance, path = warp(_arrays(batch.column("a")), _arrays(batch.column("b")), band, paths)
             columns = [batch.column(c) for c in keys] + [pa.array(distance, pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(path, step)] if paths else [])], [*keys, "distance", *(["path"] if paths else [])])
 
@@ -93,10 +126,16 @@ def align(pairs: DataFrame, band: float | None = None, paths: bool = False) -> D
 
 
 def scalar_dtw(a: str, b: str) -> Column:
-    """DTW distance of two array columns of doubles as nested folds, without Python."""
-    inner = f"aggregate({b}, array(double('inf')), (c, y) -> concat(c, array(abs(x - y) + least(p[size(c)], p[size(c) - 1], c[size(c) - 1]))))"
-    outer = f"aggregate({a}, concat(array(0.0D), transform({b}, y -> double('inf'))), (p, x) -> {inner}, p -> p[size({b})] / (size({a}) + size({b})))"
-    return F.expr(f"if(size({a}) = 0 or size({b}) = 0, double('inf'), {outer})")
+    """DTW distance of two array columns of doubles as a fold over anti-diagonals, without Python; each step makes one new array."""
+    return F.expr(scalar_dtw_sql(a, b))
+
+
+def scalar_dtw_sql(a: str, b: str) -> str:
+    n, m = f"size({a})", f"size({b})"
+    cell = f"if(i >= 1 and d - i between 1 and {m}, abs({a}[i - 1] - {b}[d - i - 1]) + least(s.one[i - 1], s.one[i], s.two[i - 1]), double('inf'))"
+    first = f"named_struct('two', transform(sequence(0, {n}), i -> if(i = 0, 0.0D, double('inf'))), 'one', transform(sequence(0, {n}), i -> double('inf')))"
+    fold = f"aggregate(sequence(2, {n} + {m}), {first}, (s, d) -> named_struct('two', s.one, 'one', transform(sequence(0, {n}), i -> {cell})), s -> s.one[{n}] / ({n} + {m}))"
+    return f"if({n} = 0 or {m} = 0, double('inf'), {fold})"
 
 
 def cost_matrix(pairs: DataFrame) -> DataFrame:
@@ -106,12 +145,47 @@ def cost_matrix(pairs: DataFrame) -> DataFrame:
     return df.select(*keys, "i", "j", F.expr("sqrt(aggregate(zip_with(x, y, (u, v) -> (u - v) * (u - v)), 0.0D, (s, d) -> s + d))").alias("cost"))
 
 
-def pair_table(queries: DataFrame, bank: DataFrame, on: Column | None = None) -> DataFrame:
-    """query, label_q, series, label, a, b: queries against the bank; ``on`` restricts pairs (over q and r) before any distance."""
-    q, r = queries.alias("q"), bank.alias("r")
-    # the bank is broadcast only where Spark measures it as small; otherwise the pairs are dealt in blocks
-    both = q.join(r, on if on is not None else F.lit(True))
-    return both.select(F.col("q.series").alias("query"), F.col("q.label").alias("label_q"), F.col("r.series").alias("series"), F.col("r.label").alias("label"), F.col("q.seq").alias("a"), F.col("r.seq").alias("b"))
+def distances(queries: DataFrame, bank: DataFrame, band: float | None = None, targets: DataFrame | None = None, others: bool = False, block: int = 256) -> DataFrame:
+    """query, label_q, series, label, distance of each query (series, label, seq) and each series of the bank.
+
+    The bank is cut into blocks of about ``block`` series, of one label each where ``targets`` (label_q, label) restricts the
+    labels that a query meets; queries go to the blocks that they meet, by an equi-join on the label. A block with many queries is
+    dealt to several tasks, so a group has a bounded number of sequences whatever the sizes; pairs are made inside the task and only their distances
+    leave it. ``others``: a query does not meet itself.
+    """
+    ask = queries.select(F.col("series").alias("query"), F.col("label").alias("label_q"), "seq")
+    if targets is None:
+        parts, shares = (max(1, -(-df.count() // block)) for df in (bank, queries))
+        met = ask.withColumns({"of": F.lit(0), "parts": F.lit(parts), "shares": F.lit(shares)})
+        held = bank.withColumns({"of": F.lit(0), "parts": F.lit(parts), "shares": F.lit(shares)})
+    else:
+        # a row for each label
+        many = lambda df, name: df.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        meeting = ask.select("label_q").join(targets, "label_q")
+        cut = many(bank, "parts").join(many(meeting, "shares"), "label").withColumnRenamed("label", "of")
+        met = ask.join(targets.withColumnRenamed("label", "of"), "label_q").join(cut, "of")
+        held = bank.join(cut, bank["label"] == cut["of"])
+    met = met.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slot", F.expr("cast(pmod(xxhash64(query), shares) as int)"))
+    met = met.select("of", "part", "slot", F.col("query").alias("series"), F.col("label_q").alias("label"), "seq", F.lit(True).alias("ask"))
+    held = held.withColumn("part", F.expr("cast(pmod(xxhash64(series), parts) as int)")).withColumn("slot", F.explode(F.expr("sequence(0, shares - 1)")))
+    held = held.select("of", "part", "slot", "series", "label", "seq", F.lit(False).alias("ask"))
+    kinds = [bank.schema[c].dataType.simpleString() for c in ("series", "label")]
+
+    def run(key, table):
+        rows = table.combine_chunks()
+        asks = rows.column("ask").to_numpy().astype(bool)
+        sequences = [np.array(x if x is not None else [], float) for x in rows.column("seq").to_pylist()]
+        ids = rows.column("series").to_pylist()
+        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+        i, j = np.repeat(q, len(r)), np.tile(r, len(q))
+        if others:
+            keep = np.fromiter((ids[x] != ids[y] for x, y in zip(i, j, strict=True)), bool, len(i))
+            i, j = i[keep], j[keep]
+        distance, _ = warp([sequences[x] for x in i], [sequences[y] for y in j], band)
+        series, label = rows.column("series"), rows.column("label")
+        return pa.table([series.take(pa.array(i)), label.take(pa.array(i)), series.take(pa.array(j)), label.take(pa.array(j)), pa.array(distance, pa.float64())], names=["query", "label_q", "series", "label", "distance"])
+
+    return met.unionByName(held).groupBy("of", "part", "slot").applyInArrow(run, f"query {kinds[0]}, label_q {kinds[1]}, series {kinds[0]}, label {kinds[1]}, distance double")
 
 
 def per_label(distances: DataFrame, mode: str = "min") -> DataFrame:
@@ -129,6 +203,13 @@ def ranked(labels: DataFrame) -> DataFrame:
     return labels.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "label")))
 
 
+def reference_bank(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The training rows (train) of the wanted labels, feat standardised by their own columns' mean and deviation, and the labels without any."""
+    bank = rows.where("train").join(wanted.select("label").distinct(), "label", "left_semi")
+    missing = wanted.select("label").distinct().join(bank.select("label").distinct(), "label", "left_anti")
+    return geometry.standardize(bank, geometry.fit_standardizer(bank)), missing
+
+
 def first_references(bank: DataFrame, k: int) -> DataFrame:
     """The first k series of each label."""
     return bank.withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy("series"))).where(F.col("_n") <= k).drop("_n")
@@ -144,6 +225,28 @@ def segments(paths: DataFrame, owner: DataFrame, keys: list[str]) -> DataFrame:
     return found.agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
 
 
+def align_and_grade(attempt: DataFrame, reference: DataFrame, threshold: float, near: float, preroll: int = 12, settle: int = 8) -> DataFrame:
+    """series, part, start, stop, distance, correct: each part of a reference found in an attempt, trimmed and graded.
+
+    ``attempt`` has series, t, f (array of doubles), ``reference`` also part. The alignment path gives the range of attempt frames of each
+    part; the range is cut to its motion (distance of a frame to the one before, none for its first) with ``preroll`` and ``settle``
+    around it, and its distance to the part's own frames decides. A part that the path gives no frame is not judged: nulls.
+    """
+    joined = sequences(attempt, F.col("f")).withColumnRenamed("seq", "a").join(sequences(reference, F.col("f")).withColumnRenamed("seq", "b"), "series")
+    found = segments(align(joined, paths=True), reference.select("series", F.col("t").alias("j"), "part"), ["series"])
+    name = F.struct("series", "part", "start").alias("series")
+    mine = attempt.join(found, "series").where("t >= start and t < stop").select(name, (F.col("t") - F.col("start")).alias("t"), "f")
+    was = F.lag("f").over(signal.by_time())
+    moved = F.sqrt(F.aggregate(F.zip_with("f", "_was", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    mine = mine.withColumn("_was", was).withColumn("energy", F.coalesce(moved, F.lit(0.0))).drop("_was")
+    span = signal.capture_span(mine, threshold, preroll=preroll, settle=settle)
+    cut = sequences(signal.trim(mine, span), F.col("f")).join(span, "series")
+    cut = cut.select("series.series", "series.part", (F.col("series.start") + F.col("start")).cast("int").alias("start"), (F.col("series.start") + F.col("stop")).cast("int").alias("stop"), F.col("seq").alias("a"))
+    parts = sequences(reference.select(F.struct("series", "part").alias("series"), "t", "f"), F.col("f")).select("series.series", "series.part", F.col("seq").alias("b"))
+    graded = align(cut.join(parts, ["series", "part"]))
+    return found.select("series", "part").join(graded, ["series", "part"], "left").withColumn("correct", F.col("distance") <= near)
+
+
 def compose(playlist: DataFrame, frames: DataFrame) -> DataFrame:
     """seq_id, t, part, source, feature: frames of the playlist's clips one after the other; playlist has seq_id, part, source.
 
@@ -221,9 +324,43 @@ def label_segments(labels: DataFrame, parts: Column) -> DataFrame:
     return want.join(have, ["series", "part"], "left").select("series", "part", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("stop", F.lit(0)).alias("stop"))
 
 
-def sample_trials(clips: DataFrame, trials: DataFrame, k: int, seed: int) -> DataFrame:
-    """trial, part, label, series: k labels without replacement for each trial and one clip of each, by hashes of seed, trial and name."""
-    labels = clips.select("label").distinct()
-    drawn = trials.join(labels, how="cross").withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy(F.xxhash64(F.lit(seed), "trial", "label"), "label"))).where(F.col("_r") <= k)
-    clip = drawn.join(clips, "label").withColumn("_c", F.row_number().over(W.partitionBy("trial", "label").orderBy(F.xxhash64(F.lit(seed), "trial", "series"), "series"))).where("_c = 1")
-    return clip.select("trial", (F.col("_r") - 1).alias("part"), "label", "series")
+def numbered(rows: DataFrame, keys: list[str], id_: str, seed: int, piece: int = 100_000) -> DataFrame:
+    """``rows`` with number (0, 1, ... in an order by hash) and size within their keys.
+
+    Rows of a key are numbered in pieces by hash, which running sums over the pieces put in line, so no key is one task.
+    """
+    h = F.xxhash64(F.lit(seed), id_)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    cut = rows.join(sizes, keys).withColumn("_h", h).withColumn("_p", F.expr(f"pmod(shiftright(_h, 7), cast(ceil(size / {piece}) as long))"))
+    line = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*keys, "_p").orderBy("_h", id_)) - 1
+    return cut.join(before, [*keys, "_p"]).withColumn("number", F.col("_before") + inside).drop("_h", "_p", "_before")
+
+
+def stratum(slot: Column, slots: int, size: Column, draw: Column) -> Column:
+    """A number below ``size`` for each of ``slots`` draws: from the slot's own share of the numbers, so no number comes twice."""
+    low = F.floor(slot * size / slots)
+    return low + F.pmod(draw, F.floor((slot + 1) * size / slots) - low)
+
+
+def sample_trials(clips: DataFrame, train: DataFrame, trials: DataFrame, k: int, seed: int) -> DataFrame:
+    """trial, part, label and the columns of one clip: k different labels for each trial and one clip of each, by hashes.
+
+    Labels are drawn among those that have clips both in ``clips`` and in ``train`` (label). Labels and the clips of a label are numbered,
+    and a draw is a number that an equi-join looks up, so a trial never meets all labels or all clips of one. Fewer than k labels
+    are refused.
+    """
+    both = clips.join(train.select("label").distinct(), "label", "left_semi")
+    labels = both.select("label").distinct()
+    n = labels.count()
+    if n < k:
+        raise ValueError(f"{k} labels for each trial, but only {n} have clips on both sides")
+    labels = numbered(labels.withColumn("_all", F.lit(1)), ["_all"], "label", seed).select("label", "number")
+    part = F.col("part")
+    drawn = trials.withColumn("part", F.explode(F.expr(f"sequence(0, {k - 1})"))).withColumn("number", stratum(part, k, F.lit(n), F.xxhash64(F.lit(seed), "trial", part)))
+    drawn = drawn.join(labels, "number").drop("number")
+    clip = numbered(both, ["label"], "series", seed)
+    sizes = both.groupBy("label").agg(F.count("*").alias("size"))
+    pick = drawn.join(sizes, "label").withColumn("number", F.pmod(F.xxhash64(F.lit(seed), "trial", "label"), F.col("size"))).drop("size")
+    return pick.join(clip.drop("size"), ["label", "number"]).drop("number").select("trial", "part", *both.columns)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators.match import numbered, stratum
+
 PARAMETERS = ("handshape", "major_location", "minor_location", "movement", "repeated_movement")
 
 
@@ -35,11 +37,12 @@ def euclid(a: str, b: str) -> Column:
     return F.expr(f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0.0D, (s, d) -> s + d))")
 
 
-def nearest_by_label(queries: DataFrame, bank: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_by_label(queries: DataFrame, bank: DataFrame, block: int = 4096, others: bool = False) -> DataFrame:
     """query, label_q, label, distance: smallest distance from each query to each label's references.
 
     The bank is cut into blocks of a bounded number of vectors and the queries meet every block; a task multiplies matrices in
     numpy, one block against a batch of queries, and keeps one row for each query and label, so no pair of vectors is a row.
+    ``others``: a query does not meet the reference with its own id; labels without another reference give no row.
     """
     parts = max(1, -(-bank.count() // block))
     blocks = bank.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("block"), "vec_id", "label", "embedding", F.lit(False).alias("ask"))
@@ -56,11 +59,15 @@ def nearest_by_label(queries: DataFrame, bank: DataFrame, block: int = 4096) ->
             near = np.abs(d) < 1e-5  # close to 0 the expansion loses digits
             for i, j in zip(*np.nonzero(near), strict=True):
                 d[i, j] = np.sqrt(((q[i] - known[j]) ** 2).sum())
+            if others:
+                d[ids[ask][:, None] == ids[~ask][None]] = np.inf
             for label in np.unique(labels[~ask]):
-                out["query"] += ids[ask].tolist()
-                out["label_q"] += labels[ask].tolist()
-                out["label"] += [int(label)] * len(q)
-                out["distance"] += d[:, labels[~ask] == label].min(axis=1).tolist()
+                best = d[:, labels[~ask] == label].min(axis=1)
+                met = np.isfinite(best)
+                out["query"] += ids[ask][met].tolist()
+                out["label_q"] += labels[ask][met].tolist()
+                out["label"] += [int(label)] * int(met.sum())
+                out["distance"] += best[met].tolist()
         return pa.table(out, schema=pa.schema([("query", pa.int64()), ("label_q", pa.int32()), ("label", pa.int32()), ("distance", pa.float64())]))
 
     # queries are dealt over several groups of a block, so that a group stays small
@@ -145,13 +152,22 @@ def lonely(batch: DataFrame) -> DataFrame:
 
 
 def pk_batches(rows: DataFrame, batches: DataFrame, p: int, k: int, seed: int) -> DataFrame:
-    """batch, label, slot, vec_id: p labels for each batch and k members of each, drawn by hashes; members repeat only where a label has fewer than k."""
+    """batch, label, slot, vec_id: p labels for each batch and k members of each, drawn by hashes; members repeat only where a label has fewer than k.
+
+    Labels and the members of a label are numbered once; a draw is a number that an equi-join looks up, so a batch never meets all
+    labels or all members of one. More labels than there are is refused.
+    """
     labels = rows.groupBy("label").agg(F.count("*").alias("size"))
-    drawn = batches.join(labels, how="cross").withColumn("_r", F.row_number().over(W.partitionBy("batch").orderBy(F.xxhash64(F.lit(seed), "batch", "label"), "label"))).where(F.col("_r") <= p)
-    slots = drawn.select("batch", "label", "size", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-    order = F.row_number().over(W.partitionBy("batch", "label").orderBy(F.xxhash64(F.lit(seed), "batch", "vec_id"), "vec_id")) - 1
-    members = drawn.select("batch", "label").join(rows.select("label", "vec_id"), "label").withColumn("_n", order).where(F.col("_n") < k)
-    return slots.withColumn("_n", (F.col("slot") % F.col("size")).cast("int")).join(members, ["batch", "label", "_n"]).select("batch", "label", "slot", "vec_id")
+    n = labels.count()
+    if n < p:
+        raise ValueError(f"{p} labels for each batch, but there are {n}")
+    labels = numbered(labels.withColumn("_all", F.lit(1)).drop("size"), ["_all"], "label", seed).select("label", "number").join(labels, "label")
+    place = F.col("_place")
+    drawn = batches.withColumn("_place", F.explode(F.expr(f"sequence(0, {p - 1})"))).withColumn("number", stratum(place, p, F.lit(n), F.xxhash64(F.lit(seed), "batch", place)))
+    drawn = drawn.join(labels, "number").select("batch", "label", "size", F.explode(F.expr(f"sequence(0, {k - 1})")).alias("slot"))
+    draw = F.when(F.col("size") >= k, stratum(F.col("slot"), k, F.greatest("size", F.lit(k)), F.xxhash64(F.lit(seed), "batch", "label", "slot"))).otherwise(F.col("slot") % F.col("size"))
+    members = numbered(rows.select("label", "vec_id"), ["label"], "vec_id", seed).select("label", "vec_id", "number")
+    return drawn.withColumn("number", draw).join(members, ["label", "number"]).select("batch", "label", "slot", "vec_id")
 
 
 def majority_profile(rows: DataFrame, code: str, fields: list[str]) -> DataFrame:
@@ -188,7 +204,7 @@ def coach(verdicts: DataFrame, names: dict[str, str], tips: dict[str, str]) -> D
     f = focus(verdicts)
     lookup = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
     name, tip = F.element_at(lookup(names), F.col("focus")), F.element_at(lookup(tips), F.col("focus"))
-    also = F.when(F.size("others") > 0, F.concat(F.lit(" Also off: "), F.array_join(F.transform("others", lambda p: F.element_at(lookup(names), p)), ", "), F.lit("."))).otherwise("")
+    also = F.when(F.size("others") > 0, F.concat(F.lit(" Not yet right: "), F.array_join(F.transform("others", lambda p: F.element_at(lookup(names), p)), ", "), F.lit("."))).otherwise("")
     text = F.concat(F.lit("Work on "), name, F.lit(": seen "), readable(F.col("focus"), F.col("predicted")), F.lit(", wanted "), readable(F.col("focus"), F.col("target")), F.lit(". "), tip, F.lit("."), also)
     return f.select("attempt", F.when(F.col("judged") == 0, "Nothing was judged part by part.").when(F.col("wrong") == 0, "Everything judged matched.").otherwise(text).alias("message"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import match as op
-from seqloom.operators import signal
-from seqloom.plans.bind import FRAMES, frames, poses, table
+from seqloom.plans.bind import FRAMES, frames, table
 from seqloom.plans.registry import query
 
+#: Distance up to which a part counts as right.
+NEAR = 0.65
 _CLIPS = "clips AS (SELECT vec_id // 10 AS series, min(label) AS label, array_agg(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1)"
 _DTW = "list_reduce({a}, lambda p, x: list_reduce({b}, lambda c, y: list_append(c, list_distance(x, y) + least(p[len(c) + 1], p[len(c)], c[len(c)])), ['inf'::DOUBLE]), list_concat([0.0::DOUBLE], list_transform({b}, lambda y: 'inf'::DOUBLE)))[len({b}) + 1] / (len({a}) + len({b}))"
 _ALL = f"""{_CLIPS}, d AS (SELECT q.series AS query, q.label AS label_q, r.series AS series, r.label AS label, {_DTW.format(a='q.seq', b='r.seq')} AS distance FROM clips q JOIN clips r ON q.series % 5 = 4 AND r.series % 5 < 4)"""
@@ -22,9 +23,9 @@ def clips(spark, sf_dir):
     return op.sequences(least, F.col("f"), "label")
 
 
-def _distances(spark, sf_dir, on=None):
+def _distances(spark, sf_dir, band=None, targets=None):
     c = clips(spark, sf_dir)
-    return op.align(op.pair_table(c.where("series % 5 = 4"), c.where("series % 5 < 4"), on))
+    return op.distances(c.where("series % 5 = 4"), c.where("series % 5 < 4"), band, targets)
 
 
 def _near(df):
@@ -55,8 +56,7 @@ def dtw_scalar(spark, sf_dir):
 
 @query("d2_dtw_banded")
 def dtw_banded(spark, sf_dir):
-    c = clips(spark, sf_dir)
-    return op.align(op.pair_table(c.where("series % 5 = 4"), c.where("series % 5 < 4")), band=2).select("query", "series", F.round("distance", 6).alias("distance"))
+    return _distances(spark, sf_dir, band=2).select("query", "series", F.round("distance", 6).alias("distance"))
 
 
 def _paths(spark, sf_dir):
@@ -80,24 +80,29 @@ def rank_all(spark, sf_dir):
     return op.ranked(_near(op.per_label(_distances(spark, sf_dir)))).select("query", "label", "rank")
 
 
+def _labels(spark, sf_dir):
+    return clips(spark, sf_dir).select("label").distinct()
+
+
 @query("d6_target_distance", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS distance FROM d WHERE label = label_q GROUP BY 1, 2")
 def target_distance(spark, sf_dir):
-    d = _distances(spark, sf_dir, F.col("q.label") == F.col("r.label"))
+    d = _distances(spark, sf_dir, targets=_labels(spark, sf_dir).select(F.col("label").alias("label_q"), "label"))
     return op.per_label(d).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
-@query("d7_leave_one_out", f"""WITH {_CLIPS}, d AS (SELECT q.series AS query, r.label, min({_DTW.format(a='q.seq', b='r.seq')}) AS distance FROM clips q JOIN clips r ON q.series <> r.series AND q.series % 10 = 0 GROUP BY 1, 2)
+@query("d7_leave_one_out", f"""WITH {_CLIPS}, d AS (SELECT q.series AS query, r.label, min({_DTW.format(a='q.seq', b='r.seq')}) AS distance FROM clips q JOIN clips r ON q.series <> r.series AND q.series % 50 = 0 GROUP BY 1, 2)
 SELECT query, label, round(distance, 6) AS distance FROM d""")
 def leave_one_out(spark, sf_dir):
+    """The stated query set of searches, series divisible by 50, against all others."""
     c = clips(spark, sf_dir)
-    d = op.align(op.pair_table(c.where("series % 10 = 0"), c, F.col("q.series") != F.col("r.series")))
+    d = op.distances(c.where("series % 50 = 0"), c, others=True)
     return op.per_label(d).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("d8_restricted_targets", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS distance FROM d WHERE label = label_q OR label = (label_q + 1) % 10 GROUP BY 1, 2")
 def restricted_targets(spark, sf_dir):
-    on = (F.col("q.label") == F.col("r.label")) | ((F.col("q.label") + 1) % 10 == F.col("r.label"))
-    return op.per_label(_distances(spark, sf_dir, on)).select("query", "label", F.round("distance", 6).alias("distance"))
+    wanted = _labels(spark, sf_dir).select(F.col("label").alias("label_q"), F.explode(F.array("label", ((F.col("label") + 1) % 10).cast("int"))).alias("label")).distinct()
+    return op.per_label(_distances(spark, sf_dir, targets=wanted)).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("d9_first_references", "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 5")
@@ -105,13 +110,15 @@ def first_references(spark, sf_dir):
     return op.first_references(table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("series")), 5).select("label", F.col("series").alias("vec_id"))
 
 
-@query("d10_reference_bank", """WITH w AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 3 = 0 UNION SELECT 99), t AS (SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 5 < 4 GROUP BY label)
-SELECT label, coalesce(n, 0) AS n, n IS NULL AS missing FROM w LEFT JOIN t USING (label)""")
+@query("d10_reference_bank", """WITH w AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 3 = 0 UNION SELECT 99), e AS (SELECT label, vec_id, embedding, unnest(range(0, 8)) AS col FROM embeddings WHERE vec_id % 5 < 4 AND label IN (SELECT label FROM w)),
+v AS (SELECT label, vec_id, CAST(col AS INT) AS col, CAST(embedding[col + 1] AS DOUBLE) AS v FROM e), f AS (SELECT col, avg(v) AS m, stddev_pop(v) AS s FROM v GROUP BY col), z AS (SELECT label, vec_id, col, (v - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END AS z FROM v JOIN f USING (col))
+SELECT w.label, vec_id, col, round(z, 5) AS z, vec_id IS NULL AS missing FROM w LEFT JOIN z USING (label)""")
 def reference_bank(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    wanted = e.where("vec_id % 3 = 0").select("label").distinct().union(spark.createDataFrame([(99,)], "label int"))
-    bank = e.where("vec_id % 5 < 4").join(wanted, "label", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
-    return wanted.join(bank, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("series"), (F.col("vec_id") % 5 < 4).alias("train"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("feat"))
+    wanted = e.where("series % 3 = 0").select("label").distinct().union(spark.createDataFrame([(99,)], "label int"))
+    bank, missing = op.reference_bank(e, wanted)
+    long = bank.select("label", F.col("series").alias("vec_id"), F.posexplode("feat").alias("col", "z"), F.lit(False).alias("missing"))
+    return long.unionByName(missing.select("label", F.lit(True).alias("missing")), allowMissingColumns=True).withColumn("z", F.round("z", 5))
 
 
 @query("d11_segments")
@@ -123,17 +130,17 @@ def segments(spark, sf_dir):
 
 @query("d12_align_and_grade")
 def align_and_grade(spark, sf_dir):
-    """Each segment of an alignment, trimmed again to its own motion and graded against the reference's segment."""
-    found = segments(spark, sf_dir)
-    energy = signal.motion_energy(poses(spark, sf_dir)).select("series", "t", "energy")
+    """Attempts at two-part sentences: clips s and s + 1 joined, aligned to the reference composed of clips s + 2 and s + 3.
+
+    Each part's segment is trimmed again to its own motion and graded against that part's clip: distance, and whether it is at most
+    ``NEAR`` (null for a segment with no frame).
+    """
     f = clips(spark, sf_dir).select("series", F.posexplode("seq").alias("t", "f"))
-    # a segment is a series of its own; its first frame has no motion yet
-    mine = f.join(energy, ["series", "t"]).join(found, "series").where("t >= start and t < stop").select(F.struct("series", "part", "start").alias("series"), (F.col("t") - F.col("start")).alias("t"), F.when(F.col("t") > F.col("start"), F.col("energy")).otherwise(0.0).alias("energy"), "f")
-    span = signal.capture_span(mine, 0.17, preroll=1, settle=1)
-    cut = op.sequences(signal.trim(mine, span), F.col("f")).join(span, "series").select("series.series", "series.part", (F.col("series.start") + F.col("start")).alias("start"), (F.col("series.start") + F.col("stop")).alias("stop"), F.col("seq").alias("a"))
-    other = f.select(F.struct((F.col("series") - 1).alias("series"), F.expr("t div 5").alias("part")).alias("series"), "t", "f")
-    other = op.sequences(other, F.col("f")).select("series.series", "series.part", F.col("seq").alias("b"))
-    return op.align(cut.join(other, ["series", "part"])).withColumn("distance", F.round("distance", 6))
+    first = f.select("series").distinct()
+    plan = lambda k: first.select(F.col("series").alias("seq_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).withColumn("source", F.col("seq_id") + F.col("part") + k)
+    attempt = op.compose(plan(0), f).select(F.col("seq_id").alias("series"), "t", "f")
+    reference = op.compose(plan(2), f).select(F.col("seq_id").alias("series"), "t", "part", "f")
+    return op.align_and_grade(attempt, reference, threshold=1.3, near=NEAR, preroll=1, settle=1).withColumn("distance", F.round("distance", 6))
 
 
 @query("d13_compose", """WITH c AS (SELECT vec_id // 10 AS series, CAST(vec_id % 10 AS INT) AS t, embedding[1] AS f FROM embeddings), n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),
@@ -151,7 +158,7 @@ w AS (SELECT *, lag(k) OVER (PARTITION BY series ORDER BY t) AS was FROM g), tok
 
 def _decoded(spark, sf_dir):
     f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("series"), (F.col("vec_id") % 10).alias("t"), "embedding")
-    return op.greedy_decode(f, F.slice("embedding", 1, 6))
+    return op.greedy_decode(f, F.slice("embedding", 1, 6))  # six values stand in for the scores of six classes
 
 
 @query("d14_greedy_decode", f"WITH {_GREEDY} SELECT series, tokens FROM tok")
@@ -197,5 +204,7 @@ def label_segments(spark, sf_dir):
 
 @query("d19_sample_trials")
 def sample_trials(spark, sf_dir):
-    clips_ = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 4").select("label", F.col("vec_id").alias("series"))
-    return op.sample_trials(clips_, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trial")), 3, 1)
+    """Three clips of different labels for each customer; a clip keeps its true length."""
+    c = clips(spark, sf_dir).select("series", "label", F.size("seq").alias("length"))
+    trials = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trial"))
+    return op.sample_trials(c.where("series % 5 = 4"), c.where("series % 5 < 4"), trials, 3, 1)

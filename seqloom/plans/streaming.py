@@ -47,19 +47,22 @@ def capture_stream(spark, sf_dir):
 
 @query("s2_degraded")
 def degraded(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("energy", F.when(~((F.col("label") == "error") & (F.col("t") > 20)), F.col("energy")))
-    return op.states(f, LIMITS).select("series", "t", "state", "n")
+    """The capture stream where errors have no energy: from a session's first error on, its machine is a plain window."""
+    df = _stream(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").cast("int").alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("energy"))
+    return op.drain(spark, op.stream_states(df, LIMITS)).select("series", "t", "state", "n")
 
 
-@query("s3_bounded_log", f"WITH {FRAMES} SELECT series, least(count(*), 60) AS kept, greatest(0, count(*) - 60) AS dropped, bool_or(energy > 120) AS ever_active FROM frames GROUP BY series")
+@query("s3_bounded_log", f"""WITH {FRAMES}, k AS (SELECT series, t, energy, row_number() OVER (PARTITION BY series ORDER BY t DESC) AS r FROM frames),
+s AS (SELECT series, greatest(0, count(*) - 60) AS dropped, bool_or(energy > 120) AS ever_active FROM frames GROUP BY series) SELECT series, t, energy, dropped, ever_active FROM k JOIN s USING (series) WHERE r <= 60""")
 def bounded_log(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("active", F.col("energy") > 120)
-    return op.bounded_log(f, 60)[1]
+    kept, totals = op.bounded_log(frames(spark, sf_dir).withColumn("active", F.col("energy") > 120), 60)
+    return kept.join(totals, "series").select("series", "t", "energy", "dropped", "ever_active")
 
 
 @query("s4_captured_span", f"WITH {_REPLAY} SELECT series, start, stop FROM rp WHERE settle = 6 AND state = 2")
 def captured_span(spark, sf_dir):
-    return op.captured_spans(op.states(frames(spark, sf_dir), LIMITS))
+    done = op.replay(frames(spark, sf_dir), spark.createDataFrame([(LIMITS.settle,)], "settle int"), LIMITS)
+    return done.where(F.col("state") == op.SETTLED).select("series", "start", "stop")
 
 
 def _replayed(spark, sf_dir):
@@ -91,7 +94,7 @@ def settle_frames(spark, sf_dir):
 
 @query("s8_gradable")
 def gradable(spark, sf_dir):
-    """What continuous grading would score, batch by batch: collected by foreachBatch over the capture stream."""
+    """What continuous grading would score: the open captures among the states that the capture stream gives, void after a reset."""
     df = _stream(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").cast("int").alias("t"), F.col("value").alias("energy"))
     rows = op.drain(spark, op.stream_states(df, LIMITS))
     resets = rows.where(F.col("state") == op.SETTLED).groupBy("series").agg((F.max("t")).alias("reset"))
@@ -100,8 +103,9 @@ def gradable(spark, sf_dir):
 
 @query("s9_newest", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_id, ts) AS event_id, count(*) - 1 AS skipped FROM events GROUP BY 1, 2")
 def newest(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
-    return op.newest(e, ["user_id", "day"], "ts", "event_id")
+    """A trigger of the stream keeps the newest event of each user and day; all events are one trigger here."""
+    e = _stream(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    return op.each_trigger(spark, e, lambda rows: op.newest(rows, ["user_id", "day"], "ts", "event_id")).drop("trigger")
 
 
 @query("s10_record_once", f"WITH {_A}, {_M} SELECT learner, item, parameter, mastery, attempts FROM m")

@@ -12,7 +12,7 @@ state, first frame, frames in the buffer, last two energies, quiet frames in a r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -158,11 +158,46 @@ def gradable(state_rows: DataFrame, least: int = 20, reset: str | None = None) -
     return df.withColumn("stale", F.col(reset).isNotNull() & (F.col("t") < F.col(reset)) if reset else F.lit(False))
 
 
+def stream_log(frames: DataFrame, cap: int = 1800) -> DataFrame:
+    """The bounded recorder over a stream (series, t, active): after each trigger series, n, kept (the newest ``cap`` t), dropped, ever_active.
+
+    The state of a session holds at most ``cap`` frames; frames not after the last are dropped as late or repeated.
+    """
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept, n, ever = state.get if state.exists else ([], 0, False)
+        new = pd.concat(list(parts)).sort_values("t").drop_duplicates("t")
+        new = new[new["t"] > (kept[-1] if kept else -1)]
+        kept = [*kept, *new["t"].astype(int).tolist()][-cap:]
+        n, ever = n + len(new), bool(ever or new["active"].any())
+        state.update((kept, n, ever))
+        yield pd.DataFrame({"series": [key[0]], "n": [n], "kept": [kept], "dropped": [n - len(kept)], "ever_active": [ever]})
+
+    out = "series long, n long, kept array<int>, dropped long, ever_active boolean"
+    return frames.select("series", "t", "active").groupBy("series").applyInPandasWithState(run, out, "kept array<int>, n long, ever boolean", "update", "NoTimeout")
+
+
+def each_trigger(spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What ``step`` makes of each trigger's rows, with the trigger's number; a trigger that is run again replaces its part."""
+    from seqloom.sources.store import discarded, fresh_path
+
+    path = fresh_path(spark, "triggers")
+
+    def write(rows: DataFrame, number: int) -> None:
+        step(rows).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+
+    job = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    job.awaitTermination()
+    discarded(spark, f"{path}-checkpoint")
+    return spark.read.parquet(discarded(spark, path))
+
+
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into a folder that all executors share, and read what it wrote."""
-    from seqloom.sources.store import fresh_path
+    from seqloom.sources.store import discarded, fresh_path
 
     path = fresh_path(spark, "stream")
     job = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    discarded(spark, f"{path}-checkpoint")
+    return spark.read.schema(stream.schema).parquet(discarded(spark, path))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.streaming import admission
 from seqloom.streaming import capture as op
@@ -102,3 +103,83 @@ def test_admission_equals_one_pass(spark):
     for daily, most, window in ((1000, 3, 60.0), (20, 3, 100.0), (5, 100, 10.0)):
         got = {r["call"] for r in admission.admit(df, daily, most, window).where("admitted").collect()}
         assert got == admitted(calls, daily, most, window)
+
+
+def in_triggers(spark, frames, folder, parts):
+    """The rows as a stream of files, one to a trigger, in order of time."""
+    for low, high in parts:
+        frames.where(f"t >= {low} and t < {high}").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def some_frames(spark, n=30):
+    rng = random.Random(9)
+    rows = [(s, t, None if rng.random() < 0.03 else rng.choice([0.0, 0.5, 2.0]), rng.random() < 0.1) for s in range(4) for t in range(n + s)]
+    return rows, spark.createDataFrame(rows, "series long, t int, energy double, active boolean")
+
+
+def test_streamed_log_equals_the_batch_log(spark, tmp_path):
+    rows, frames = some_frames(spark)
+    stream = in_triggers(spark, frames, str(tmp_path / "in"), [(0, 9), (9, 20), (20, 40)])
+    logs = op.each_trigger(spark, op.stream_log(stream, 12), lambda df: df, "update")
+    last = {r["series"]: r for r in sorted(logs.collect(), key=lambda r: r["n"])}
+    kept, totals = op.bounded_log(frames, 12)
+    want = {r["series"]: (r["dropped"], r["ever_active"]) for r in totals.collect()}
+    times = {}
+    for r in kept.collect():
+        times.setdefault(r["series"], []).append(r["t"])
+    assert {k: (r["dropped"], r["ever_active"]) for k, r in last.items()} == want
+    assert {k: list(r["kept"]) for k, r in last.items()} == {k: sorted(v) for k, v in times.items()}
+    assert {k: len(v) for k, v in times.items()} == dict.fromkeys(range(4), 12)
+    for s in range(4):
+        own = [r for r in rows if r[0] == s]
+        assert want[s] == (len(own) - 12, any(r[3] for r in own)) and sorted(times[s]) == [r[1] for r in own][-12:]
+
+
+def test_streamed_degraded_mode_equals_the_batch(spark, tmp_path):
+    _, frames = some_frames(spark, 60)
+    limits = op.Limits(1.0, 3, 4, 20)
+    stream = in_triggers(spark, frames.select("series", "t", "energy"), str(tmp_path / "in"), [(0, 20), (20, 90)])
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    got = key(op.drain(spark, op.stream_states(stream, limits)))
+    assert got == key(op.states(frames, limits)) and any(e is None for e in (r["energy"] for r in frames.collect()))
+
+
+def test_newest_of_each_trigger(spark, tmp_path):
+    rows = [(s, t, float(t)) for s in range(3) for t in range(10)]
+    frames = spark.createDataFrame(rows, "series long, t int, energy double")
+    stream = in_triggers(spark, frames, str(tmp_path / "in"), [(0, 4), (4, 10)])
+    got = op.each_trigger(spark, stream, lambda df: op.newest(df, ["series"], "t", "energy"))
+    assert sorted((r["trigger"], r["series"], r["energy"], r["skipped"]) for r in got.collect()) == [(k, s, e, n) for k, e, n in ((0, 3.0, 3), (1, 9.0, 5)) for s in range(3)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from seqloom.sources import store
+
+    for master, fails in (("local-cluster[2,1,1024]", True), ("spark://a:7077", True), ("yarn", True), ("local[4]", False), ("local[*]", False), ("local", False)):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+        if fails:
+            with pytest.raises(RuntimeError):
+                store.shared_dir(spark)
+        else:
+            assert store.shared_dir(spark)
+
+
+def test_gradable_frames_equal_a_loop(spark):
+    limits = op.Limits(0.6, 4, 5, 25)
+    found = series(20, 3)
+    frames = spark.createDataFrame([(k, t, e) for k, energies in enumerate(found) for t, e in enumerate(energies)], "series long, t int, energy double")
+    rows = op.states(frames, limits)
+    reset = rows.where("state = 2").groupBy("series").agg(F.min("t").alias("reset"))
+    got = {(r["series"], r["t"]): (r["n"], r["stale"]) for r in op.gradable(rows.join(reset, "series", "left"), 8, "reset").collect()}
+    want = {}
+    for k, energies in enumerate(found):
+        told = with_lists(energies, limits)
+        settled = [t for t, s, _, _ in told if s == op.SETTLED]
+        for t, s, _, n in told:
+            if s != op.IDLE and n >= 8:
+                want[k, t] = (n, bool(settled) and t < settled[0])
+    assert got == want and {x[1] for x in want.values()} == {True, False}

@@ -127,3 +127,120 @@ def test_every_clip_is_forced_aligned(spark, sf):
     assert op.forced_labels(np.zeros((3, 2)), []) == [-1, -1, -1]
     none = spark.createDataFrame([(1, [-1, -1], 0)], "series long, labels array<int>, parts int")
     assert op.label_segments(none, F.col("parts")).count() == 0
+
+
+def series_table(spark, n, labels, seed, longest=6):
+    rng = np.random.default_rng(seed)
+    rows = [(i, int(rng.integers(0, labels)), rng.normal(size=(rng.integers(0, longest), 2)).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "series long, label int, seq array<array<double>>")
+
+
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_distances_in_blocks(spark, block):
+    rows, bank = series_table(spark, 25, 4, 3)
+    asked = [r for r in rows if r[0] % 3 == 0]
+    seqs = {i: np.array(s, float).reshape(-1, 2) for i, _, s in rows}
+    want = {(i, x, j, y): plain_dtw(seqs[i], seqs[j], 1) for i, x, _ in asked for j, y, _ in rows if i != j}
+    df = op.distances(bank.where("series % 3 = 0"), bank, band=1, others=True, block=block)
+    got = {(r["query"], r["label_q"], r["series"], r["label"]): r["distance"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+    assert df.columns == ["query", "label_q", "series", "label", "distance"]
+    wanted = {(0, 1), (0, 0), (1, 3), (2, 2), (2, 7)}
+    targets = spark.createDataFrame(sorted(wanted), "label_q int, label int")
+    got = {(r["query"], r["series"]) for r in op.distances(bank.where("series % 3 = 0"), bank, targets=targets, block=block).collect()}
+    assert got == {(i, j) for i, x, _ in asked for j, y, _ in rows if (x, y) in wanted}
+
+
+def test_numbers_and_draws(spark):
+    rows = spark.createDataFrame([(i, int(i >= 40)) for i in range(55)], "series long, label int")
+    got = [tuple(r) for r in op.numbered(rows, ["label"], "series", 5, piece=7).select("label", "number", "size").collect()]
+    assert sorted(got) == [(0, i, 40) for i in range(40)] + [(1, i, 15) for i in range(15)]
+    for size, slots in ((10, 3), (3, 3), (100, 8)):
+        df = spark.range(200).selectExpr("id", f"explode(sequence(0, {slots - 1})) slot").withColumn("n", op.stratum(F.col("slot"), slots, F.lit(size), F.xxhash64("id", "slot")))
+        per = df.groupBy("id").agg(F.countDistinct("n").alias("k"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
+        assert all(r["k"] == slots and r["a"] >= 0 and r["b"] < size for r in per)
+        assert df.select("n").distinct().count() == size
+
+
+def test_trials(spark):
+    clips = [(i, i % 7, 3 + i % 4) for i in range(90)]
+    df = spark.createDataFrame(clips, "series long, label int, length int")
+    train = spark.createDataFrame([(x,) for x in (0, 1, 2, 3, 4, 4, 9)], "label int")
+    got = op.sample_trials(df, train, spark.range(300).withColumnRenamed("id", "trial"), 3, 11).collect()
+    known = {c[0]: c for c in clips}
+    per: dict = {}
+    for r in got:
+        assert known[r["series"]] == (r["series"], r["label"], r["length"]) and r["label"] < 5
+        per.setdefault(r["trial"], []).append((r["part"], r["label"]))
+    assert len(per) == 300 and all(sorted(p for p, _ in x) == [0, 1, 2] and len({y for _, y in x}) == 3 for x in per.values())
+    assert {y for x in per.values() for _, y in x} == set(range(5))
+    assert len({r["series"] for r in got if r["label"] == 2}) == 13
+    with pytest.raises(ValueError):
+        op.sample_trials(df, train, spark.range(1).withColumnRenamed("id", "trial"), 6, 11)
+
+
+def plain_path(a, b):
+    n, m = len(a), len(b)
+    d = np.full((n + 1, m + 1), np.inf)
+    d[0, 0] = 0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i, j] = np.linalg.norm(a[i - 1] - b[j - 1]) + min(d[i - 1, j], d[i - 1, j - 1], d[i, j - 1])
+    i, j, path = n, m, []
+    while i and j:
+        path.append((i - 1, j - 1))
+        i, j = min(((d[i - 1, j - 1], 0, (i - 1, j - 1)), (d[i - 1, j], 1, (i - 1, j)), (d[i, j - 1], 2, (i, j - 1))))[2]
+    return path[::-1]
+
+
+def test_align_and_grade(spark):
+    rng = np.random.default_rng(4)
+    attempts = {s: rng.normal(size=(int(rng.integers(10, 20)), 2)).cumsum(axis=0) for s in range(12)}
+    parts = {(s, p): (attempts[s][5 * p : 5 * p + 5] + rng.normal(size=(5, 2)) * 0.4)[: int(rng.integers(2, 6))] for s in range(12) for p in range(2)}
+    want = {}
+    for s, a in attempts.items():
+        b = [(p, x) for p in range(2) for x in parts[s, p]]
+        path = plain_path(a, np.array([x for _, x in b]))
+        for p in range(2):
+            mine = [i for i, j in path if b[j][0] == p]
+            start, stop = min(mine), max(mine) + 1
+            seg = a[start:stop]
+            energy = [0.0, *(float(np.linalg.norm(y - x)) for x, y in zip(seg, seg[1:], strict=False))]
+            hot = [t for t, e in enumerate(energy) if e > 0.8]
+            lo, hi = (hot[0], hot[-1] + 1) if hot else (0, len(seg))
+            lo, hi = max(0, lo - 1), min(len(seg), hi + 2)
+            d = plain_dtw(seg[lo:hi], parts[s, p])
+            want[s, p] = (start + lo, start + hi, pytest.approx(d, abs=1e-7), d <= 0.4)
+    frames = lambda rows, more="": spark.createDataFrame(rows, "series long, t int, f array<double>" + more)
+    attempt = frames([(s, t, x.tolist()) for s, a in attempts.items() for t, x in enumerate(a)])
+    reference = frames([(s, t, x.tolist(), p) for s in attempts for t, (p, x) in enumerate((p, x) for p in range(2) for x in parts[s, p])], ", part int")
+    got = {(r["series"], r["part"]): (r["start"], r["stop"], r["distance"], r["correct"]) for r in op.align_and_grade(attempt, reference, 0.8, 0.4, preroll=1, settle=2).collect()}
+    assert got == want and {w[3] for w in want.values()} == {True, False}
+
+
+def test_label_segments_and_forced_alignment_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, np.log(rng.dirichlet(np.ones(4), 6)).tolist(), rng.integers(1, 4, size=int(rng.integers(0, 3))).tolist()) for k in range(20)]
+    df = spark.createDataFrame(rows, "series long, probs array<array<double>>, target array<int>")
+    labels = op.forced_align(df)
+    found = {r["series"]: list(r["labels"]) for r in labels.collect()}
+    for k, probs, target in rows:
+        best = None
+        for path in np.ndindex(*(4,) * 6):
+            folded = [c for i, c in enumerate(path) if c and (not i or path[i - 1] != c)]
+            if folded == target:
+                score = sum(probs[t][c] for t, c in enumerate(path))
+                if best is None or score > best[0]:
+                    best = (score, path)
+        if best is None:
+            continue
+        at, want, was = -1, [], 0
+        for c in best[1]:
+            at += c != 0 and c != was
+            want.append(at if c else -1)
+            was = c
+        assert found[k] == want
+    parts = {k: len(t) for k, _, t in rows}
+    segments = op.label_segments(labels.join(df.selectExpr("series", "size(target) parts"), "series"), F.col("parts"))
+    got = {(r["series"], r["part"]): (r["start"], r["stop"]) for r in segments.collect()}
+    assert got == {(k, p): (min(own), max(own) + 1) if (own := [t for t, x in enumerate(found[k]) if x == p]) else (0, 0) for k in parts for p in range(parts[k])}
