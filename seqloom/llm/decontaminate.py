@@ -7,8 +7,11 @@ postings of the next rarest word, moved by its offset in the window, are interse
 words of the window agree; what is left are exact phrase matches. ``proximity`` intersects postings by distance instead.
 
 The benchmark's windows are broadcast only while they have at most ``BROADCAST_WORDS`` words together; beyond that every word is
-indexed and the restriction is a join. Null and empty texts have no words; an item without words has no window; repeated rows (same id and
-text) get the same result; an empty benchmark hits nothing.
+indexed and the restriction is a join. So the stored index serves the given windows, not any later query: for phrases that are not
+known beforehand ``positional_index`` takes None and stores the postings of all words.
+
+Null and empty texts have no words; an item without words has no window; repeated rows (same id and text) get the same result, null
+ids are kept, rarity ties go to the word that sorts first, other columns are ignored; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ that occur in at least ``MIN_SHARE`` of its training texts. A text's n-grams are
 the hits of n n-grams are corrected for the filter's false positives, (hits - n f) / (1 - f), and the largest count decides. Its
 share of all corrected counts is the score; ties go to the language that sorts first.
 
-The model is fitted on a bounded sample of the training texts, about ``PER_LANGUAGE`` of each language drawn by a hash of the id.
+The model is fitted on a bounded sample of the training texts, about ``PER_LANGUAGE`` of each language drawn by a hash of id and
+text; it is counted in the tasks, and the driver gets the n-grams that pass ``MIN_SHARE``.
 N-grams are ``GRAM`` letters of the lower-cased text with a word's edge as a letter; everything that is no letter is an edge.
 A null text, or one without a letter, gives ``und`` with score 0; so does everything where nothing was learned. A text with
-letters but no known n-gram gives the language with the most training texts, with score 0. Very long texts count whole.
+letters but no known n-gram gives the language with the most training texts, with score 0. Very long texts count whole. Equal rows
+get equal results, null ids are kept, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +130,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = labelled.where((F.xxhash64("doc_id", "text").cast("double") / 2.0**63 + 1) / 2 < share)
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ its own, so no task holds a whole hot bucket and nothing is capped. Inside a blo
 bit planes; all distances grow together in carry-save counters (ones, twos, over), and rows whose every counter has passed the
 radius are abandoned. A block reports a forest of its links, not all pairs; alternating stars then join the forests.
 
-Null, empty and blank texts have fingerprint zero, which links like any other. Fewer words than a shingle make one shingle.
+Null, empty and blank texts have fingerprint zero, which links like any other. Fewer words than a shingle make one shingle. Equal rows
+get equal results, a bit with exactly half of the shingles is 0, other columns are ignored.
 """
 
 from __future__ import annotations

@@ -45,3 +45,32 @@ def test_awkward(spark):
     nothing = op.fit(train.where("false"))
     assert {r["lang_pred"] for r in op.identify(docs, nothing).collect()} == {"und"}
     assert op.identify(empty(spark).withColumn("held_out", F.lit(True)), op.fit(train)).count() == 0
+
+
+def test_predictions_equal_sets_of_slots():
+    rng = np.random.default_rng(2)
+    alphabets = {"aa": "abcdeé", "bb": "defghß", "cc": "xyzabд"}
+    word = lambda lang: "".join(rng.choice(list(alphabets[lang]), int(rng.integers(1, 8))))
+    train = {lang: [" ".join(word(lang) for _ in range(30)) for _ in range(20)] for lang in alphabets}
+    found = [(i, np.unique(np.concatenate([op.grams([t])[0] for t in train[lang]]))) for i, lang in enumerate(sorted(alphabets))]
+    model = op.Model(sorted(alphabets), [20, 20, 20], found, size=1 << 10)  # small, so that filters overlap
+    held = {lang: {int(op.slots(codes[j : j + 1], k, 1 << 10)[0]) for j in range(len(codes)) for k in range(op.HASHES)} for lang, (_, codes) in zip(sorted(alphabets), found, strict=True)}
+    texts = [" ".join(word(lang) for _ in range(12)) for lang in alphabets for _ in range(5)] + ["", "12 !", "ж", "abc xyz def"]
+
+    def plain(text):
+        codes = op.grams([text])[0]
+        if not any(c.isalpha() for c in text):
+            return "und", 0.0
+        counts = {}
+        for lang, slots in held.items():
+            false = (len(slots) / (1 << 10)) ** op.HASHES
+            hits = sum(all(int(op.slots(codes[j : j + 1], k, 1 << 10)[0]) in slots for k in range(op.HASHES)) for j in range(len(codes)))
+            counts[lang] = max(0.0, (hits - len(codes) * false) / (1 - min(false, 0.999)))
+        total = sum(counts.values())
+        best = max(sorted(counts), key=lambda x: counts[x])
+        return (best, counts[best] / total) if total > 0 else ("aa", 0.0)
+
+    got = model.predict(texts)
+    want = [plain(t) for t in texts]
+    assert [g[0] for g in got] == [w[0] for w in want]
+    np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
