@@ -1,9 +1,10 @@
 """Corpus preparation: quality rules, near-duplicates, decontamination, personal data, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's docs.
-All stages but the last return the columns of documents. Rows with a null doc_id are judged like others. Near-duplicate removal
-tells rows by id and text: different texts under one id are judged apart, of rows with one id and text one stays. Empty tables
-pass through.
+All stages but the last return the columns of documents; other columns stay as they are. Rows with a null doc_id are judged like
+others. Near-duplicate removal tells rows by id and text: different texts under one id are judged apart, of rows with one id and
+text one stays. Null and empty texts fail the quality rules; where a stage gets them, all of them are near-duplicates of each other
+(one stays), they are never contaminated, they have no personal data and no tokens. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, pii, quality, simhash
-from seqloom.llm.common import fresh_path, stored, table
+from seqloom.llm.common import discarded, fresh_path, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spark.read.parquet(discarded(spark, path))
     return docs
