@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.sources.store import discarded, fresh_path
 
-def _by_client(calls: DataFrame, most: int, window: float) -> DataFrame:
-    """Adds ok: whether fewer than ``most`` admitted calls of the client lie in the window before; ``open`` false refuses a call."""
-    g = calls.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("time", "call", "open"))).alias("h"))
+
+def _folded(calls: DataFrame, recent: DataFrame, most: int, window: float) -> DataFrame:
+    """Adds ok: whether fewer than ``most`` admitted calls of the client lie in the window before; ``recent`` (client, q) has those of earlier days."""
+    g = calls.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("time", "call"))).alias("h")).join(recent, "client", "left")
     kept = f"filter(s.q, y -> x.time - y <= {window}D)"
-    fold = f"""aggregate(h, named_struct('q', cast(array() as array<double>), 'out', cast(array() as array<struct<call: bigint, ok: boolean>>)), (s, x) -> if(x.open and size({kept}) < {most},
+    fold = f"""aggregate(h, named_struct('q', coalesce(q, cast(array() as array<double>)), 'out', cast(array() as array<struct<call: bigint, ok: boolean>>)), (s, x) -> if(size({kept}) < {most},
         named_struct('q', array_append({kept}, x.time), 'out', array_append(s.out, named_struct('call', x.call, 'ok', true))),
         named_struct('q', s.q, 'out', array_append(s.out, named_struct('call', x.call, 'ok', false)))), s -> s.out)"""
     flags = g.select("client", F.explode(F.expr(fold)).alias("o")).select("client", "o.call", "o.ok")
@@ -19,24 +20,31 @@ def _by_client(calls: DataFrame, most: int, window: float) -> DataFrame:
 
 
 def admit(calls: DataFrame, daily: int = 1000, most: int = 30, window: float = 600.0) -> DataFrame:
-    """call, client, admitted for ``calls`` (call, client, time in seconds, day), in order of time and call.
+    """call, client, admitted for ``calls`` (call, client, time in seconds, day), in order of time and call; days follow one another in time.
 
-    Clients are folded each by itself; then a day closes with its ``daily``-th admitted call and the clients are folded again
-    with later calls of that day refused, until no day's closing changes. Time only runs forward, so each round settles at least
-    one more day.
+    Days are taken one by one, each over its own calls only: clients are folded side by side, the day closes with its ``daily``-th
+    admitted call (later ones are refused, which changes nothing before them), and each client's admitted calls at the day's end go
+    on to the next day. So every call is folded once. The driver gets a row for each day.
     """
-    closing: dict = {}
-    while True:
-        limit = F.lit(float("inf"))
-        for day, (time, call) in closing.items():
-            limit = F.when(F.col("day") == day, F.lit(time)).otherwise(limit)
-        last = F.lit(-1)
-        for day, (time, call) in closing.items():
-            last = F.when(F.col("day") == day, F.lit(call)).otherwise(last)
-        opened = calls.withColumn("open", (F.col("time") < limit) | ((F.col("time") == limit) & (F.col("call") <= last)))
-        judged = _by_client(opened, most, window)
-        taken = judged.where("ok").withColumn("_r", F.row_number().over(W.partitionBy("day").orderBy("time", "call")))
-        found = {r["day"]: (r["time"], r["call"]) for r in taken.where(F.col("_r") == daily).select("day", "time", "call").collect()}  # one row a day at most
-        if found == closing:
-            return judged.select("call", "client", F.col("ok").alias("admitted"))
-        closing = found
+    spark = calls.sparkSession
+    path = fresh_path(spark, "admission")
+    recent = spark.createDataFrame([], f"client {calls.schema['client'].dataType.simpleString()}, q array<double>")
+    days = calls.groupBy("day").agg(F.max("time").alias("last")).orderBy("last").collect()
+    for k, r in enumerate(days):
+        judged = _folded(calls.where(F.col("day").eqNullSafe(F.lit(r["day"]))), recent, most, window)
+        judged.write.parquet(f"{path}/judged/day={k}")
+        today = spark.read.parquet(f"{path}/judged/day={k}")
+        # at most ``daily`` rows of each task
+        close = today.where("ok").orderBy("time", "call").limit(daily).agg(F.count("*").alias("n"), F.max(F.struct("time", "call")).alias("at")).first()
+        inside = F.lit(True)
+        if close["n"] == daily:
+            inside = (F.col("time") < close["at"]["time"]) | ((F.col("time") == close["at"]["time"]) & (F.col("call") <= close["at"]["call"]))
+        today.select("call", "client", "time", (F.col("ok") & inside).alias("admitted")).write.parquet(f"{path}/admitted/day={k}")
+        done = spark.read.parquet(f"{path}/admitted/day={k}").where("admitted").select("client", "time")
+        both = recent.select("client", F.explode("q").alias("time")).union(done).where(F.lit(r["last"]) - F.col("time") <= window)
+        both.groupBy("client").agg(F.sort_array(F.collect_list("time")).alias("q")).write.parquet(f"{path}/recent/day={k}")  # at most ``most`` times a client
+        recent = spark.read.parquet(f"{path}/recent/day={k}")
+    discarded(spark, path)
+    if not days:
+        return calls.select("call", "client", F.lit(True).alias("admitted"))
+    return spark.read.parquet(*[f"{path}/admitted/day={k}" for k in range(len(days))]).select("call", "client", "admitted")
