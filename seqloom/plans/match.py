@@ -10,7 +10,7 @@ from seqloom.plans.bind import FRAMES, frames, table
 from seqloom.plans.registry import query
 
 #: Distance up to which a part counts as right.
-NEAR = 0.65
+NEAR = 0.71
 _CLIPS = "clips AS (SELECT vec_id // 10 AS series, min(label) AS label, array_agg(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1)"
 _DTW = "list_reduce({a}, lambda p, x: list_reduce({b}, lambda c, y: list_append(c, list_distance(x, y) + least(p[len(c) + 1], p[len(c)], c[len(c)])), ['inf'::DOUBLE]), list_concat([0.0::DOUBLE], list_transform({b}, lambda y: 'inf'::DOUBLE)))[len({b}) + 1] / (len({a}) + len({b}))"
 _ALL = f"""{_CLIPS}, d AS (SELECT q.series AS query, q.label AS label_q, r.series AS series, r.label AS label, {_DTW.format(a='q.seq', b='r.seq')} AS distance FROM clips q JOIN clips r ON q.series % 5 = 4 AND r.series % 5 < 4)"""
