@@ -16,6 +16,15 @@ from seqloom.llm import bpe, decontaminate, pii, quality, simhash
 from seqloom.llm.common import discarded, fresh_path, stored, table
 
 
+#: Row keys (8 bytes each) that may be broadcast, so that the texts stay in place; with more, Spark joins by key.
+BROADCAST_KEYS = 500_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys``, a stored table, to be broadcast if it has few rows."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rule and are no outliers of their language and source."""
     fitted = quality.estimates(stored(quality.counted(docs), "counts"))
@@ -29,15 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.select(key.alias("key"), F.col("doc_id").alias("id")).groupBy(F.col("key").alias("doc_id")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
     ranked = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id", "n")).alias("best"))
     best = stored(ranked.select(F.col("best.doc_id").alias("key"), F.col("best.n").alias("n")), "best")
-    left = docs.join(best, key == best["key"], "left_semi")
+    left = docs.join(_small(best), key == best["key"], "left_semi")
     return left.dropDuplicates(["doc_id", "text"]) if best.where("n > 1").limit(1).count() else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.where("contaminated").select("key").distinct()
-    return docs.join(gone, decontaminate.row_key(docs) == gone["key"], "left_anti")
+    gone = stored(judged.where("contaminated").select("key").distinct(), "contaminated")
+    return docs.join(_small(gone), decontaminate.row_key(docs) == gone["key"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
