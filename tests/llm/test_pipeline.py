@@ -50,7 +50,9 @@ def test_empty_and_null_rows(spark, sf, stage):
     assert name == "bpe" or out.columns == odd.columns
 
 
-def test_near_duplicates_tell_rows_by_id_and_text(spark, sf):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_near_duplicates_tell_rows_by_id_and_text(spark, sf, few, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", few)
     text = lambda k: " ".join(f"w{k}x{i * k}" for i in range(80))
     rows = [(None, text(2)), (None, text(3)), (5, text(4)), (5, text(6)), (5, text(6)), (1, text(6)), (None, text(4)), (7, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
