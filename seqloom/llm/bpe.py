@@ -3,9 +3,9 @@
 A rolling hash over the last ``WINDOW`` code points cuts a text after about every ``AVERAGE`` of them, so passages that documents
 share are cut alike wherever they stand. Each chunk is encoded as if it were a text. A worker keeps the encoded chunks that it met
 twice (a hash is all that it keeps of those met once) and copies them from then on. Cuts fall anywhere, so joins are repaired: the
-last word before the cut and the first behind it are encoded again together, and if the outer words of that window don't come out as the chunks
-have them, the window doubles on both sides, until both ends agree exactly or a side is used up. What stands beyond agreed words
-is as in the whole text.
+words about the cut are encoded again together, and if the outer words of that window don't come out as the chunks have them, the
+window doubles on both sides, until both ends agree exactly or a side is used up. What stands beyond agreed words is as in the
+whole text.
 
 Documents never leave their task: ids that move between machines would cost more shuffle than the encoding they save, so reuse is
 within a worker and its caches are bounded (``CHUNK_BYTES``, ``WORDS``, ``SEEN``); what falls out is encoded again.
@@ -144,7 +144,7 @@ class Codec:
 
     def join(self, words: list[str], coded: list, more: list[str], more_coded: list, touching: bool) -> None:
         """Appends a chunk to what stands before it, with the join encoded again until it agrees with both sides."""
-        size = 1
+        size = 2 if touching else 1  # a joined word is neither of its parts, so its window begins with a word on each side
         while True:
             left, right = words[-size:], more[:size]
             window = [*left[:-1], left[-1] + right[0], *right[1:]] if touching else left + right

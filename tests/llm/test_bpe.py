@@ -54,7 +54,15 @@ def test_joins_widen_until_they_agree():
     done, coded = ["a", "bb", "cc"], words(["a", "bb", "cc"])
     own.join(done, coded, ["dd", "ee", "ff"], words(["dd", "ee", "ff"]), True)
     assert done == ["a", "bb", "ccdd", "ee", "ff"] and coded == words(done)
-    assert asked == [["ccdd"], ["bb", "ccdd", "ee"]]  # the joint alone doesn't agree, with a word on each side it does
+    assert asked == [["bb", "ccdd", "ee"]]
+    asked.clear()
+    wrong = ["aa", "bb", "ccdd", "ee", "ff"], words(["aa", "xx", "ccdd", "ee", "ff"])  # the word before the join is not as in the text
+    own.join(*wrong, ["gg", "hh", "ii"], words(["gg", "hh", "ii"]), False)
+    assert asked == [["ff", "gg"]]
+    asked.clear()
+    wrong = ["aa", "bb", "cc"], words(["aa", "xx", "xx"])
+    own.join(*wrong, ["dd", "ee", "ff"], words(["dd", "ee", "ff"]), False)
+    assert [len(w) for w in asked] == [2, 4, 6] and wrong[1] == words(["aa", "bb", "cc", "dd", "ee", "ff"])
     asked.clear()
     own.join(done, coded, ["gg"], words(["gg"]), False)
     assert done[-2:] == ["ff", "gg"] and coded == words(done) and asked == [["ff", "gg"]]
