@@ -146,10 +146,15 @@ def estimates(counts: DataFrame) -> DataFrame:
     now = stored(_factor(_starts(rows, _few(about, groups)).withColumn("was", F.lit(None).cast("double"))), "start")
     for _ in range(STEPS):
         far = rows.join(_few(now.drop("was"), groups), "group")
-        far = far.withColumn("bin", F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID)).select("group", "start", "size", *STATS, "bin")
-        edge = _nearest(far.groupBy("group", "start", "bin").agg(F.count("*").alias("n")), "bin", SUPPORT, "edge")
-        near = far.join(_few(edge, groups), ["group", "start"]).where("bin <= edge").groupBy("group", "start")
-        fit = near.agg(F.count("*").alias("n"), F.max("size").alias("was"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[(F.covar_pop(STATS[i], STATS[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
+        far = far.withColumns({"bin": F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID), **{f"d{i}": F.col(STATS[i]) - F.col(f"m{i}") for i in dims}})
+        # what the fit needs is summed by bin, so one pass over the texts gives both the edge and the fit inside it
+        sums = [F.sum(f"d{i}").alias(f"s{i}") for i in dims] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
+        bins = far.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("was"), *[F.max(f"m{i}").alias(f"m{i}") for i in dims], *sums)
+        every = W.partitionBy("group", "start")
+        bins = bins.withColumn("before", F.sum("n").over(every.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(every)).where(F.col("before") < SUPPORT * F.col("all"))
+        fit = bins.groupBy("group", "start").agg(F.sum("n").alias("n"), F.max("was").alias("was"), *[F.max(f"m{i}").alias(f"m{i}") for i in dims], *[F.sum(c).alias(c) for c in (*(f"s{i}" for i in dims), *(f"p{i}{j}" for i, j in PAIRS))])
+        mean = [F.col(f"s{i}") / F.col("n") for i in dims]
+        fit = fit.select("group", "start", "n", "was", *[(F.col(f"m{i}") + mean[i]).alias(f"m{i}") for i in dims], *[((F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
         now = stored(_factor(fit.where((F.col("n") >= SUPPORT * MIN_GROUP) | (F.col("group") == ""))), "step")
         moved = now.agg(F.max(F.abs(F.col("size") - F.col("was")))).first()[0]
         if moved is None or moved < 1e-9:
