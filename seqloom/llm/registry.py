@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, decontaminate, language, lm_score, pii, quality, simhash, token_counts, url_filter, warc
+from seqloom.llm import bpe, decontaminate, divergence, language, lm_score, neighbours, periodic_runs, pii, quality, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 SQL = {
     "op6_url_filters": url_filter.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op12_nearest_neighbours": neighbours.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
