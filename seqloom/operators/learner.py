@@ -1,8 +1,7 @@
 """Learner model and scheduling: ordered mastery, spacing, due items, contrast pairs, next item.
 
 ``attempts`` has learner, item, ord (order within the learner) and correct (null: not judged), one row for each judged parameter
-of an attempt; several rows may share an order. Histories of one learner and item are folded in order by window or array
-expressions; a history is one item's attempts by one learner.
+of an attempt; several rows may share an order. A history is one item's attempts by one learner; its folds (``fold.py``) hold a state, never the history.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators.fold import affine, fold
+
 START, STEP = 0.5, 0.3
 EASE, EASE_LEAST, EASE_MOST, EASE_UP, EASE_DOWN = 2.5, 1.3, 3.0, 0.05, 0.2
 SECOND, LONGEST = 3, 40
@@ -18,10 +19,9 @@ FLOOR, HIGH, REDIRECT = 0.05, 0.8, 0.5
 
 
 def mastery(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mastery, attempts: exponential average of correct (1) and wrong (0), null skipped, from ``START``."""
-    seen = attempts.where("correct is not null").select(*keys, F.struct("ord", F.col("correct").cast("double").alias("c")).alias("x"))
-    g = seen.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("h"))
-    return g.select(*keys, F.aggregate("h", F.lit(START), lambda m, x: m + STEP * (x["c"] - m)).alias("mastery"), F.size("h").alias("attempts"))
+    """keys, mastery, attempts: exponential average of correct (1) and wrong (0), null skipped, from ``START``; a history may be of any length and is joined from pieces."""
+    seen = attempts.where("correct is not null").select(*keys, "ord", F.col("correct").cast("double").alias("mastery"))
+    return affine(seen, keys, ["ord"], "mastery", 1 - STEP, START).withColumnRenamed("n", "attempts")
 
 
 def item_mastery(parameters: DataFrame, items: DataFrame) -> DataFrame:
@@ -38,13 +38,19 @@ def passes(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("learner", "item", "ord").agg(F.coalesce(F.bool_and("correct"), F.lit(True)).alias("good"))
 
 
+def advance_spacing(s: tuple[int, int, float], good: bool) -> tuple[int, int, float]:
+    """repetitions, interval, ease after a pass or a miss; intervals are rounded half to even."""
+    reps, interval, ease = s
+    if not good:
+        return 0, 1, max(EASE_LEAST, ease - EASE_DOWN)
+    interval = 1 if reps == 0 else SECOND if reps == 1 else min(LONGEST, round(interval * ease))
+    return reps + 1, interval, min(EASE_MOST, ease + EASE_UP)
+
+
 def spacing(passed: DataFrame) -> DataFrame:
-    """learner, item, repetitions, interval, ease after all passes and misses in order; intervals are rounded half to even."""
-    g = passed.select("learner", "item", F.struct("ord", "good").alias("x")).groupBy("learner", "item").agg(F.array_sort(F.collect_list("x")).alias("h"))
-    fold = f"""aggregate(h, named_struct('reps', 0, 'interval', 1, 'ease', {EASE}D), (s, x) -> if(x.good,
-        named_struct('reps', s.reps + 1, 'interval', case s.reps when 0 then 1 when 1 then {SECOND} else least({LONGEST}, cast(rint(s.interval * s.ease) as int)) end, 'ease', least({EASE_MOST}D, s.ease + {EASE_UP}D)),
-        named_struct('reps', 0, 'interval', 1, 'ease', greatest({EASE_LEAST}D, s.ease - {EASE_DOWN}D))))"""
-    return g.withColumn("s", F.expr(fold)).select("learner", "item", F.col("s.reps").alias("repetitions"), F.col("s.interval").alias("interval"), F.col("s.ease").alias("ease"))
+    """learner, item, repetitions, interval, ease after all passes and misses in order; a history passes through its task in batches."""
+    kinds = ", ".join(f"{c} {passed.schema[c].dataType.simpleString()}" for c in ("learner", "item"))
+    return fold(passed, ["learner", "item"], ["ord"], ["good"], lambda: (0, 1, EASE), advance_spacing, lambda s: [s], f"{kinds}, repetitions int, interval int, ease double")
 
 
 def due(passed: DataFrame, spaced: DataFrame, items: DataFrame) -> DataFrame:

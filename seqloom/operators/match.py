@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import geometry, signal
+from seqloom.sources.package import ship
 
 #: Cells of cost matrices that are computed together.
 CELLS = 2_000_000
@@ -111,6 +112,7 @@ def align(pairs: DataFrame, band: float | None = None, paths: bool = False) -> D
 
     An empty sequence, or an end that the band doesn't reach, gives an infinite distance and an empty path.
     """
+    ship(pairs.sparkSession)
     keys = [c for c in pairs.columns if c not in ("a", "b")]
     step = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
 
@@ -153,6 +155,7 @@ def distances(queries: DataFrame, bank: DataFrame, band: float | None = None, ta
     dealt to several tasks, so a group has a bounded number of sequences whatever the sizes; pairs are made inside the task and only their distances
     leave it. ``others``: a query does not meet itself.
     """
+    ship(queries.sparkSession)
     ask = queries.select(F.col("series").alias("query"), F.col("label").alias("label_q"), "seq")
     if targets is None:
         parts, shares = (max(1, -(-df.count() // block)) for df in (bank, queries))
@@ -308,6 +311,7 @@ def forced_labels(log_probs: np.ndarray, target: list[int], blank: int = 0) -> l
 
 def forced_align(rows: DataFrame, blank: int = 0) -> DataFrame:
     """series, labels of rows (series, probs: array of arrays of log probabilities, target: array of classes)."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

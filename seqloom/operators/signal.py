@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from seqloom.sources.package import ship
+
 
 def by_time() -> WindowSpec:
     return W.partitionBy("series").orderBy("t")
@@ -69,6 +71,7 @@ def tempo(frames: DataFrame) -> DataFrame:
             place, height = (best + 2) / n, max(-1.0, min(1.0, float(r[best]) / zero))
         return pa.table({"series": table.column("series")[:1], "lag": [place], "height": [height]})
 
+    ship(frames.sparkSession)
     kind = frames.schema["series"].dataType.simpleString()
     rows = frames.select("series", "t", F.coalesce(F.col("energy").cast("double"), F.lit(0.0)).alias("energy"))
     return rows.groupBy("series").applyInArrow(run, f"series {kind}, lag double, height double")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators.match import numbered, stratum
+from seqloom.sources.package import ship
 
 PARAMETERS = ("handshape", "major_location", "minor_location", "movement", "repeated_movement")
 
@@ -44,6 +45,7 @@ def nearest_by_label(queries: DataFrame, bank: DataFrame, block: int = 4096, oth
     numpy, one block against a batch of queries, and keeps one row for each query and label, so no pair of vectors is a row.
     ``others``: a query does not meet the reference with its own id; labels without another reference give no row.
     """
+    ship(bank.sparkSession)
     parts = max(1, -(-bank.count() // block))
     blocks = bank.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("block"), "vec_id", "label", "embedding", F.lit(False).alias("ask"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"), "vec_id", "label", "embedding", F.lit(True).alias("ask"))
@@ -98,6 +100,7 @@ def score_batches(rows: DataFrame, feature: str, model: bytes | Callable[[np.nda
 
     ``model`` is the bytes of an ONNX file with one input (run by onnxruntime, one session for each task) or a function on matrices.
     """
+    ship(rows.sparkSession)
     shipped = rows.sparkSession.sparkContext.broadcast(model) if isinstance(model, bytes) else None
     call = None if shipped else model  # a model's bytes travel only once, by the broadcast
     names = rows.columns

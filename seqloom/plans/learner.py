@@ -33,9 +33,9 @@ _DUE = """tk AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY ord,
 du AS (SELECT learner, item, coalesce(clock, 0) AS clock, last_seen, last_seen + s.interval AS due_at, last_seen IS NULL OR clock >= last_seen + s.interval AS is_due FROM items LEFT JOIN ck USING (learner) LEFT JOIN ls USING (learner, item) LEFT JOIN sm USING (learner, item))"""
 
 
-@query("m1_mastery", f"WITH {_A}, {_M} SELECT learner, item, parameter, mastery, attempts FROM m")
+@query("m1_mastery", f"WITH {_A}, {_M} SELECT learner, item, parameter, round(mastery, 12) AS mastery, attempts FROM m")
 def mastery(spark, sf_dir):
-    return op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"])
+    return op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]).withColumn("mastery", F.round("mastery", 12))
 
 
 @query("m2_attempts", f"WITH {_A} SELECT learner, item, count(correct) AS attempts FROM a GROUP BY 1, 2")
@@ -43,9 +43,9 @@ def attempt_counts(spark, sf_dir):
     return _attempts(spark, sf_dir).groupBy("learner", "item").agg(F.count("correct").alias("attempts"))
 
 
-@query("m3_item_mastery", f"WITH {_A}, {_M}, {_IM} SELECT learner, item, mastery, attempts FROM im")
+@query("m3_item_mastery", f"WITH {_A}, {_M}, {_IM} SELECT learner, item, round(mastery, 12) AS mastery, attempts FROM im")
 def item_mastery(spark, sf_dir):
-    return op.item_mastery(op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]), _items(spark, sf_dir))
+    return op.item_mastery(op.mastery(_attempts(spark, sf_dir), ["learner", "item", "parameter"]), _items(spark, sf_dir)).withColumn("mastery", F.round("mastery", 12))
 
 
 @query("m4_spacing", f"WITH {_A}, {_PASS}, {_SM2} SELECT learner, item, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM sm")
@@ -96,9 +96,9 @@ def next_item(spark, sf_dir):
     return op.next_item(pool, last, contrast, 3)
 
 
-@query("m10_replay", f"WITH {_A}, {_M}, {_IM}, {_PASS}, {_SM2}, {_DUE} SELECT learner, item, mastery, attempts, is_due, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM im JOIN du USING (learner, item) LEFT JOIN sm USING (learner, item)")
+@query("m10_replay", f"WITH {_A}, {_M}, {_IM}, {_PASS}, {_SM2}, {_DUE} SELECT learner, item, round(mastery, 12) AS mastery, attempts, is_due, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM im JOIN du USING (learner, item) LEFT JOIN sm USING (learner, item)")
 def replay(spark, sf_dir):
-    return op.replay(_attempts(spark, sf_dir), _items(spark, sf_dir))
+    return op.replay(_attempts(spark, sf_dir), _items(spark, sf_dir)).withColumn("mastery", F.round("mastery", 12))
 
 
 @query("m11_eligible", """SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09) AS eligible,

@@ -16,6 +16,7 @@ from seqloom.plans.registry import query
 from seqloom.plans.signal import rounded
 from seqloom.plans.verdict import _SUPPORT, _PARAMS, _attributes
 from seqloom.sources import files as op
+from seqloom.sources.package import ship
 from seqloom.sources.store import fresh_path
 
 
@@ -80,6 +81,7 @@ def to_do(spark, sf_dir):
 
 def _blobs(spark, sf_dir):
     """Each user's events as one binary attempt of one point a frame."""
+    ship(spark)
     g = frames(spark, sf_dir).select("series", "t", "energy", F.col("present").cast("int").alias("p")).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "energy", "p"))).alias("x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

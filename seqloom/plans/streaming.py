@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.operators import learner, signal
+from seqloom.operators import signal
 from seqloom.plans.bind import FRAMES, frames, table
-from seqloom.plans.learner import _A, _M, _attempts
+from seqloom.plans.learner import _A, _M, _PASS, _SM2
 from seqloom.plans.registry import query
 from seqloom.plans.signal import rounded
-from seqloom.streaming import admission
+from seqloom.streaming import admission, feed, live_learner
 from seqloom.streaming import capture as op
 
 LIMITS = op.Limits(threshold=120.0, settle=6, preroll=5, longest=30)
@@ -32,24 +32,26 @@ rp AS (SELECT series, settle, s.state AS state, CASE WHEN s.state = 2 THEN s.fir
 
 
 def _stream(spark, sf_dir):
-    """The events as a stream of frames; t is the event's number, which grows with time."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of frames; t is the event's number."""
+    e = feed.of_table(spark, f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("t"), F.col("value").alias("energy"), "event_type")
 
 
-@query("s1_capture_stream", f"WITH {FRAMES}, f AS (SELECT series, {_fold('6')} AS s FROM (SELECT series, CAST(event_id AS INT) AS t, energy FROM frames) GROUP BY series) SELECT series, s.state AS state, s.n AS n, s.at AS settle_index FROM f")
+@query("s1_capture_stream", f"WITH {FRAMES}, f AS (SELECT series, {_fold('6')} AS s FROM (SELECT series, ts, t AS k, event_id AS t, energy FROM frames) GROUP BY series) SELECT series, s.state AS state, s.n AS n, s.at AS settle_index FROM f".replace("ORDER BY t)", "ORDER BY k)").replace("CAST(NULL AS INT)", "CAST(NULL AS BIGINT)"))
 def capture_stream(spark, sf_dir):
-    df = _stream(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").cast("int").alias("t"), F.col("value").alias("energy"))
-    rows = op.drain(spark, op.stream_states(df, LIMITS))
-    g = rows.groupBy("series").agg(F.max_by(F.struct("state", "n"), "t").alias("s"), F.min(F.when(F.col("state") == op.SETTLED, F.col("t"))).alias("settle_index"))
+    rows = feed.replayed(_stream(spark, sf_dir), lambda s: op.stream_states(s, LIMITS))
+    # a settled machine stays as it is; before that, frames are counted in order
+    last = F.max_by(F.struct("state", "n"), F.struct("at", "t"))
+    at = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("t"), F.col("ts").alias("at"))
+    g = rows.join(at, ["series", "t"]).groupBy("series").agg(last.alias("s"), F.min_by("t", F.when(F.col("state") == op.SETTLED, F.struct("at", "t"))).alias("settle_index"))
     return g.select("series", "s.state", "s.n", "settle_index")
 
 
 @query("s2_degraded")
 def degraded(spark, sf_dir):
     """The capture stream where errors have no energy: from a session's first error on, its machine is a plain window."""
-    df = _stream(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").cast("int").alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("energy"))
-    return op.drain(spark, op.stream_states(df, LIMITS)).select("series", "t", "state", "n")
+    frames = _stream(spark, sf_dir).withColumn("energy", F.when(F.col("event_type") != "error", F.col("energy")))
+    return feed.replayed(frames, lambda s: op.stream_states(s, LIMITS)).select("series", "t", "state", "n")
 
 
 @query("s3_bounded_log", f"""WITH {FRAMES}, k AS (SELECT series, t, energy, row_number() OVER (PARTITION BY series ORDER BY t DESC) AS r FROM frames),
@@ -61,12 +63,12 @@ def bounded_log(spark, sf_dir):
 
 @query("s4_captured_span", f"WITH {_REPLAY} SELECT series, start, stop FROM rp WHERE settle = 6 AND state = 2")
 def captured_span(spark, sf_dir):
-    done = op.replay(frames(spark, sf_dir), spark.createDataFrame([(LIMITS.settle,)], "settle int"), LIMITS)
+    done = op.replay(frames(spark, sf_dir), [LIMITS.settle], LIMITS)
     return done.where(F.col("state") == op.SETTLED).select("series", "start", "stop")
 
 
 def _replayed(spark, sf_dir):
-    return op.replay(frames(spark, sf_dir), spark.createDataFrame([(3,), (6,), (10,)], "settle int"), LIMITS)
+    return op.replay(frames(spark, sf_dir), [3, 6, 10], LIMITS)
 
 
 @query("s5_replay", f"WITH {_REPLAY} SELECT series, settle, state, start, stop, settle_index FROM rp")
@@ -92,36 +94,82 @@ def settle_frames(spark, sf_dir):
     return rate.select("series", op.settle_frames(F.col("fps") * 86400, seconds=12.0).alias("settle"))
 
 
-@query("s8_gradable")
+def _kinds(spark, sf_dir):
+    """event_type and what its clip is known by: mean and largest value of its events."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.max("value").alias("most"))
+
+
+def _nearest_kind(kinds):
+    """Grades captures by the event type whose mean and largest value are nearest to the buffer's."""
+
+    def grade(rows):
+        mean, most = F.aggregate("f", F.lit(0.0), lambda a, x: a + x) / F.size("f"), F.array_max("f")
+        # a row for each event type
+        met = rows.select("series", mean.alias("_mean"), most.alias("_most")).join(kinds, how="cross")
+        distance = F.sqrt((F.col("mean") - F.col("_mean")) ** 2 + (F.col("most") - F.col("_most")) ** 2)
+        best = met.groupBy("series").agg(F.min(F.struct(F.round(distance, 6).alias("distance"), "event_type")).alias("b"))
+        return best.select("series", F.col("b.event_type").alias("label"), F.col("b.distance").alias("distance"))
+
+    return grade
+
+
+@query("s8_gradable", f"""WITH {FRAMES}, f AS (SELECT series, {_fold('6')} AS s FROM frames GROUP BY series), b AS (SELECT f.series, s.n AS n, arg_max(event_id, t) AS last, avg(energy) AS m, max(energy) AS x
+  FROM f JOIN frames ON f.series = frames.series AND t >= s.first AND t < s.first + s.n WHERE s.state <> 0 AND s.n >= 20 GROUP BY f.series, s.n),
+k AS (SELECT event_type AS label, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1),
+d AS (SELECT series, n, label, round(sqrt((mean - m) * (mean - m) + (most - x) * (most - x)), 6) AS distance FROM b, k)
+SELECT series, n, label, distance, false AS stale FROM d QUALIFY row_number() OVER (PARTITION BY series ORDER BY distance, label) = 1""")
 def gradable(spark, sf_dir):
-    """What continuous grading would score: the open captures among the states that the capture stream gives, void after a reset."""
-    df = _stream(spark, sf_dir).select(F.col("user_id").alias("series"), F.col("event_id").cast("int").alias("t"), F.col("value").alias("energy"))
-    rows = op.drain(spark, op.stream_states(df, LIMITS))
-    resets = rows.where(F.col("state") == op.SETTLED).groupBy("series").agg((F.max("t")).alias("reset"))
-    return op.gradable(rows.join(resets, "series", "left"), 20, "reset").select("series", "t", "n", "stale")
+    """Continuous grading: each trigger grades the open captures as they stand, and a session's verdict is replaced as its capture grows."""
+    kinds = F.broadcast(_kinds(spark, sf_dir))  # a row for each event type
+    log = feed.fresh_path(spark, "verdicts")
+    grade = _nearest_kind(kinds)
+    step = lambda rows, number: op.graded(rows, grade).write.mode("overwrite").parquet(f"{log}/trigger={number}")
+    feed.replayed(_stream(spark, sf_dir).withColumn("f", F.array("energy")), lambda s: op.stream_captures(s, LIMITS), step=step)
+    return op.verdicts(spark.read.parquet(feed.discarded(spark, log))).select("series", "n", "label", "distance", "stale")
 
 
-@query("s9_newest", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_id, ts) AS event_id, count(*) - 1 AS skipped FROM events GROUP BY 1, 2")
+@query("s9_newest", """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(hour(ts) // 8 AS INT) AS trigger, arg_max(event_id, (ts, event_id)) AS event_id, count(*) - 1 AS skipped FROM events GROUP BY 1, 2, 3""")
 def newest(spark, sf_dir):
-    """A trigger of the stream keeps the newest event of each user and day; all events are one trigger here."""
-    e = _stream(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
-    return op.each_trigger(spark, e, lambda rows: op.newest(rows, ["user_id", "day"], "ts", "event_id")).drop("trigger")
+    """A trigger of the stream keeps the newest event of each user and day; the events of each third of a day arrive together, so there are three triggers."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    parts = [e.where(F.floor(F.hour("ts") / 8) == k) for k in range(3)]
+    step = lambda rows: op.newest(rows, ["user_id", "day"], F.struct("ts", "event_id"), "event_id")
+    return feed.arriving(parts, step)
 
 
-@query("s10_record_once", f"WITH {_A}, {_M} SELECT learner, item, parameter, mastery, attempts FROM m")
+@query("s10_record_once", f"WITH {_A}, {_M}, {_PASS}, {_SM2} SELECT learner, item, parameter, mastery, attempts, s.reps AS repetitions, s.interval AS interval, s.ease AS ease FROM m JOIN sm USING (learner, item)")
 def record_once(spark, sf_dir):
-    """Every event arrives twice; the watermarked stream keeps one, and mastery follows as if it had come once."""
-    e = _stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    once = op.drain(spark, twice.withWatermark("at", "40 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
-    a = _attempts(spark, sf_dir).join(once, "event_id")
-    return learner.mastery(a, ["learner", "item", "parameter"])
+    """Every event arrives twice, and a stale verdict of it, too; the learner's state follows as if it had come once."""
+    e = feed.of_table(spark, f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    copies = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    right = F.when(F.col("event_type") != "error", F.col("value") > 30)
+    stale = F.col("copy") == 1
+    a = copies.select(F.col("event_id").alias("attempt"), F.col("user_id").alias("learner"), F.col("event_type").alias("item"), "at", F.concat(F.lit("p"), F.col("event_id") % 3).alias("parameter"), F.when(stale, ~right).otherwise(right).alias("correct"), stale.alias("stale"))
+    log = feed.fresh_path(spark, "learners")
+    step = lambda rows, number: rows.write.mode("overwrite").parquet(f"{log}/trigger={number}")
+    feed.replayed(a, live_learner.stream_learner, step=step)
+    now = feed.latest(spark.read.parquet(feed.discarded(spark, log)), ["learner", "item", "parameter"]).where("parameter is not null")
+    # an item's spacing moves on with any of its parameters
+    item = now.groupBy("learner", "item").agg(F.max_by(F.struct("repetitions", "interval", "ease"), "last_seen").alias("s"))
+    return now.select("learner", "item", "parameter", "mastery", "attempts").join(item.select("learner", "item", "s.*"), ["learner", "item"])
+
+
+def _calls(e):
+    at = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_id").alias("call"), F.col("user_id").alias("client"), (F.unix_micros(at) / 1e6).alias("time"), F.to_date("ts").cast("string").alias("day"), at.alias("at"))
 
 
 @query("s11_admission")
 def admit(spark, sf_dir):
-    c = table(spark, sf_dir, "events").select(F.col("event_id").alias("call"), F.col("user_id").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), F.to_date("ts").cast("string").alias("day"))
-    return admission.admit(c, daily=250, most=2, window=43200.0)
+    """The calls as a stream: held back, let go in order of time, judged trigger by trigger."""
+    gate = admission.Gate(spark, feed.discarded(spark, feed.fresh_path(spark, "gate")), daily=250, most=2, window=43200.0)
+    feed.replayed(_calls(feed.of_table(spark, f"{sf_dir}/events.parquet")), admission.stream, step=gate.step)
+    return gate.told()
+
+
+@query("s11_admission_batch")
+def admit_batch(spark, sf_dir):
+    return admission.admit(_calls(table(spark, sf_dir, "events")), daily=250, most=2, window=43200.0)
 
 
 @query("s12_event_log", """SELECT '{"kind":"' || event_type || '","id":' || event_id || ',"time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","ok":' || (event_type <> 'error') || '}' AS line FROM events""")

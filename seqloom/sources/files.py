@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.sources.package import ship
+
 #: Tried in this order; the last one reads any bytes.
 ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
 #: Bytes that windows-1252 leaves undefined, and the characters that latin-1 and windows-1252 make of the bytes in which they differ.
@@ -90,6 +92,7 @@ CLIP = "series long, t int, kp array<struct<x: double, y: double>>, score array<
 
 def encode_clips(clips: DataFrame) -> DataFrame:
     """series, content: each clip's arrays (kp: frames of points, score, optional extra) as the bytes of a compressed array file."""
+    ship(clips.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,6 +110,7 @@ def encode_clips(clips: DataFrame) -> DataFrame:
 
 def decode_clips(files: DataFrame) -> DataFrame:
     """Frames (see ``CLIP``) of array files; ``extra`` is null where a file has none. One file is held at a time."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("series", pa.int64()), ("t", pa.int32()), ("kp", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("score", pa.list_(pa.float64())), ("extra", pa.list_(pa.float64()))])
@@ -155,6 +159,7 @@ def unpack_attempt(content: bytes, meta: dict) -> tuple[np.ndarray, np.ndarray,
 
 def decode_attempts(blobs: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Frames (see ``ATTEMPT``) of ``blobs`` (attempt, content, meta: JSON); attempts that are done already are left out."""
+    ship(blobs.sparkSession)
     rows = blobs if done is None else blobs.join(done.select("attempt").distinct(), "attempt", "left_anti")
     kinds = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())])), pa.list_(pa.float32())]
 

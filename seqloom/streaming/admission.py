@@ -1,50 +1,127 @@
-"""Admission control: a cap for each day over all clients, and a cap for each client in a sliding window; refused calls don't count."""
+"""Admission control: a cap for each day over all clients, and a cap for each client in a sliding window; refused calls don't count.
+
+Each client's calls are folded in order: a call passes the client's cap if fewer than ``most`` admitted calls of the client lie in the window before. A day
+closes with its ``daily``-th call that passes; calls after that are refused, and only a client's window that reaches over the end of a closed day has to know.
+So all days are judged side by side, with the closes known so far, until no close moves: the first day is right in the first round, each later one at the latest a round
+after the day before it, and two rounds do unless closed days follow one another in such windows. No table of a day or a client is gathered: clients pass through their
+tasks in batches with at most ``most`` times as state, and a day's close is a rank of which each task hands on ``daily`` rows.
+
+As a stream, calls are held back until the watermark has passed them, each trigger judges what was let go, and what the next one must know is a table of the
+trigger: the admitted calls of the last window, and how many each day has. A trigger that is run again reads the table of the one before it and writes its own anew.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators.fold import fold
 from seqloom.sources.store import discarded, fresh_path
+from seqloom.streaming import feed
 
+CALL = ["call", "client", "time", "day"]
 
-def _folded(calls: DataFrame, recent: DataFrame, most: int, window: float) -> DataFrame:
-    """Adds ok: whether fewer than ``most`` admitted calls of the client lie in the window before; ``recent`` (client, q) has those of earlier days."""
-    g = calls.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("time", "call"))).alias("h")).join(recent, "client", "left")
-    kept = f"filter(s.q, y -> x.time - y <= {window}D)"
-    fold = f"""aggregate(h, named_struct('q', coalesce(q, cast(array() as array<double>)), 'out', cast(array() as array<struct<call: bigint, ok: boolean>>)), (s, x) -> if(size({kept}) < {most},
-        named_struct('q', array_append({kept}, x.time), 'out', array_append(s.out, named_struct('call', x.call, 'ok', true))),
-        named_struct('q', s.q, 'out', array_append(s.out, named_struct('call', x.call, 'ok', false)))), s -> s.out)"""
-    flags = g.select("client", F.explode(F.expr(fold)).alias("o")).select("client", "o.call", "o.ok")
-    return calls.join(flags, ["client", "call"])
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def admit(calls: DataFrame, daily: int = 1000, most: int = 30, window: float = 600.0) -> DataFrame:
-    """call, client, admitted for ``calls`` (call, client, time in seconds, day), in order of time and call; days follow one another in time.
 
-    Days are taken one by one, each over its own calls only: clients are folded side by side, the day closes with its ``daily``-th
-    admitted call (later ones are refused, which changes nothing before them), and each client's admitted calls at the day's end go
-    on to the next day. So every call is folded once. The driver gets a row for each day.
-    """
+def _passing(calls: DataFrame, known: DataFrame, closes: DataFrame, most: int, window: float) -> DataFrame:
+    """The calls with ok: whether they pass their client's cap, if days close as ``closes`` (day, time, call) says; ``known`` calls were admitted before."""
+    late = F.col("_time").isNotNull() & (F.struct(F.col("time"), F.col("call")) > F.struct(F.col("_time"), F.col("_call")))
+    timed = calls.join(closes.select("day", F.col("time").alias("_time"), F.col("call").alias("_call")), "day", "left")
+    rows = timed.select(*CALL, late.alias("late"), F.lit(False).alias("known")).union(known.select(*CALL, F.lit(False), F.lit(True)))
+
+    def step(q, call, time, day, late, was_admitted):
+        while q and time - q[0][0] > window:
+            q.popleft()
+        if was_admitted:
+            q.append((time, day, False))
+            return q, (call, time, day, None)
+        # what a closed day refused counts in no later day; in its own day all later calls are refused, too
+        if sum(1 for _, d, gone in q if not gone or d == day) >= most:
+            return q, (call, time, day, False)
+        q.append((time, day, late))
+        return q, (call, time, day, True)
+
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+    out = f"client {kinds['client']}, call {kinds['call']}, time double, day {kinds['day']}, ok boolean"
+    return fold(rows, ["client"], ["time", "call"], ["call", "time", "day", "late", "known"], deque, step, None, out, each=True).where("ok is not null")
+
+
+def judge(calls: DataFrame, known: DataFrame, counts: DataFrame, daily: int, most: int, window: float) -> DataFrame:
+    """call, client, time, day, admitted for ``calls``; ``known`` calls were admitted before, ``counts`` (day, n) says how many of each day."""
     spark = calls.sparkSession
     path = fresh_path(spark, "admission")
-    recent = spark.createDataFrame([], f"client {calls.schema['client'].dataType.simpleString()}, q array<double>")
-    days = calls.groupBy("day").agg(F.max("time").alias("last")).orderBy("last").collect()
-    for k, r in enumerate(days):
-        judged = _folded(calls.where(F.col("day").eqNullSafe(F.lit(r["day"]))), recent, most, window)
-        judged.write.parquet(f"{path}/judged/day={k}")
-        today = spark.read.parquet(f"{path}/judged/day={k}")
-        # at most ``daily`` rows of each task
-        close = today.where("ok").orderBy("time", "call").limit(daily).agg(F.count("*").alias("n"), F.max(F.struct("time", "call")).alias("at")).first()
-        inside = F.lit(True)
-        if close["n"] == daily:
-            inside = (F.col("time") < close["at"]["time"]) | ((F.col("time") == close["at"]["time"]) & (F.col("call") <= close["at"]["call"]))
-        today.select("call", "client", "time", (F.col("ok") & inside).alias("admitted")).write.parquet(f"{path}/admitted/day={k}")
-        done = spark.read.parquet(f"{path}/admitted/day={k}").where("admitted").select("client", "time")
-        both = recent.select("client", F.explode("q").alias("time")).union(done).where(F.lit(r["last"]) - F.col("time") <= window)
-        both.groupBy("client").agg(F.sort_array(F.collect_list("time")).alias("q")).write.parquet(f"{path}/recent/day={k}")  # at most ``most`` times a client
-        recent = spark.read.parquet(f"{path}/recent/day={k}")
     discarded(spark, path)
-    if not days:
-        return calls.select("call", "client", F.lit(True).alias("admitted"))
-    return spark.read.parquet(*[f"{path}/admitted/day={k}" for k in range(len(days))]).select("call", "client", "admitted")
+    closes = spark.createDataFrame([], f"day {calls.schema['day'].dataType.simpleString()}, time double, call {calls.schema['call'].dataType.simpleString()}")
+    number = 0
+    while True:
+        judged = _stored(_passing(calls, known, closes, most, window), f"{path}/judged-{number}")
+        first = F.row_number().over(W.partitionBy("day").orderBy("time", "call"))
+        ranked = judged.where("ok").select("day", "time", "call", first.alias("rank")).where(F.col("rank") <= daily)
+        left = F.lit(daily) - F.coalesce("n", F.lit(0))
+        found = ranked.join(counts, "day", "left").where((F.col("rank") == left) | ((left <= 0) & (F.col("rank") == 1)))
+        # a day that was full before closes ahead of its first call
+        now = _stored(found.select("day", F.when(left > 0, F.col("time")).otherwise(F.lit(float("-inf"))).alias("time"), "call"), f"{path}/closes-{number}")
+        moved = now.exceptAll(closes).limit(1).count() + closes.exceptAll(now).limit(1).count()
+        closes, number = now, number + 1
+        if not moved:
+            break
+    inside = F.col("_time").isNull() | (F.struct(F.col("time"), F.col("call")) <= F.struct(F.col("_time"), F.col("_call")))
+    judged = judged.join(closes.select("day", F.col("time").alias("_time"), F.col("call").alias("_call")), "day", "left")
+    return judged.select(*CALL, (F.col("ok") & inside).alias("admitted"))
+
+
+def admit(calls: DataFrame, daily: int = 1000, most: int = 30, window: float = 600.0) -> DataFrame:
+    """call, client, admitted for ``calls`` (call, client, time in seconds, day), in order of time and call; days follow one another in time."""
+    calls = calls.select(*CALL)
+    counts = calls.sparkSession.createDataFrame([], f"day {calls.schema['day'].dataType.simpleString()}, n long")
+    return judge(calls, calls.limit(0), counts, daily, most, window).select("call", "client", "admitted")
+
+
+class Gate:
+    """Admission of a stream, trigger by trigger, with what it has to know in tables below ``path``; made again on the same path, it goes on where it was."""
+
+    def __init__(self, spark: SparkSession, path: str, daily: int = 1000, most: int = 30, window: float = 600.0):
+        self.spark, self.path, self.daily, self.most, self.window = spark, path, daily, most, window
+
+    def _before(self, number: int) -> int | None:
+        """The last trigger before ``number`` whose tables are whole."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(place):
+            return None
+        done = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(place) if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max((n for n in done if n < number), default=None)
+
+    def step(self, rows: DataFrame, number: int) -> None:
+        """Judge the calls (call, client, time, day) of a trigger; they are later than those of the triggers before."""
+        calls, last = rows.select(*CALL), self._before(number)
+        read = lambda name: self.spark.read.parquet(f"{self.path}/{name}/trigger={last}")
+        known = calls.limit(0) if last is None else read("known").select(*CALL)
+        counts = self.spark.createDataFrame([], f"day {calls.schema['day'].dataType.simpleString()}, n long") if last is None else read("counts").select("day", "n")
+        calls = _stored(calls, f"{self.path}/calls/trigger={number}")  # they are read several times
+        if not calls.limit(1).count():
+            return
+        told = judge(calls, known, counts, self.daily, self.most, self.window)
+        told = _stored(told, f"{self.path}/told/trigger={number}")
+        admitted = told.where("admitted").select(*CALL).union(known)
+        newest = told.agg(F.max("time").alias("_newest"))
+        kept = admitted.join(F.broadcast(newest), F.col("_newest").isNull() | (F.col("_newest") - F.col("time") <= self.window)).drop("_newest")  # a row for each trigger
+        kept.write.mode("overwrite").parquet(f"{self.path}/known/trigger={number}")
+        added = told.where("admitted").groupBy("day").agg(F.count("*").alias("n")).union(counts)
+        added.groupBy("day").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.path}/counts/trigger={number}")
+
+    def told(self) -> DataFrame:
+        """call, client, admitted of all triggers so far."""
+        return self.spark.read.option("basePath", f"{self.path}/told").parquet(f"{self.path}/told/trigger=*").select("call", "client", "admitted")
+
+
+def stream(calls: DataFrame) -> DataFrame:
+    """The calls of a watermarked stream (call, client, time, day and the event time ``at``) in order of time, for ``Gate.step``; clients are numbers."""
+    return feed.in_order(calls, "client", "call")

@@ -1,6 +1,7 @@
 """Live capture: an idle, active, settled machine for each session, in batch as an ordered fold and as a stream with keyed state.
 
-A frame has series, t and energy (its motion since the frame before; null when it can't be computed). The first frame of the
+A frame has series, t (a long) and energy (its motion since the frame before; null when it can't be computed). In streams it also has ``at``, the event
+time, and comes with a watermark: frames are held until the watermark has passed them and taken in order of at and t, whatever files and triggers they come in. The first frame of the
 buffer counts as energy 0. Idle keeps the last ``preroll`` frames (all, if that is 0) and becomes active when one of the last
 three energies is above the threshold; active settles when the buffer has ``longest`` frames, or else when the last ``settle``
 energies are all at or below the threshold; settled stays until a reset. After a null energy the machine is degraded: a plain
@@ -15,10 +16,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.fold import fold
+from seqloom.sources.package import ship
+from seqloom.streaming.feed import arrived, let_go, wake
+
 IDLE, ACTIVE, SETTLED = 0, 1, 2
 
 
@@ -37,7 +43,7 @@ class Limits:
 #: state, first frame, frames, last energy, the one before, quiet frames, degraded
 Machine = tuple[int, int, int, float, float, int, bool]
 FRESH: Machine = (IDLE, 0, 0, 0.0, 0.0, 0, False)
-STATE = "state int, first int, n int, e1 double, e2 double, quiet int, degraded boolean"
+STATE = "state int, first long, n int, e1 double, e2 double, quiet int, degraded boolean"
 
 
 def advance(m: Machine, t: int, energy: float | None, limits: Limits) -> Machine:
@@ -67,64 +73,143 @@ def advance(m: Machine, t: int, energy: float | None, limits: Limits) -> Machine
     return (state, first, n, e, e1, quiet, False)
 
 
-def fold_sql(history: str, settle: str, limits: Limits) -> str:
-    """The machine as a fold over an array of (t, energy) in order, with the frame that settled it; no degraded mode (null counts as 0)."""
-    e = "if(s.n = 0, 0.0D, coalesce(x.energy, 0.0D))"
-    quiet = f"if({e} <= {limits.threshold}D, s.quiet + 1, 0)"
-    make = lambda st, first, n, at: f"named_struct('state', {st}, 'first', {first}, 'n', {n}, 'e1', {e}, 'e2', s.e1, 'quiet', {quiet}, 'at', {at})"
-    first, n = "if(s.n = 0, x.t, s.first)", "s.n + 1"
-    trimmed = make("0", f"{first} + greatest(0, s.n + 1 - {limits.preroll})", f"least(s.n + 1, {limits.preroll})", "s.at") if limits.preroll else make("0", first, n, "s.at")
-    return f"""aggregate({history}, named_struct('state', 0, 'first', 0, 'n', 0, 'e1', 0.0D, 'e2', 0.0D, 'quiet', 0, 'at', cast(null as int)), (s, x) -> case
-      when s.state = 2 then s
-      when s.n = 0 then {make('s.state', first, n, 's.at')}
-      when s.state = 0 and greatest({e}, s.e1, s.e2) > {limits.threshold}D then {make('1', first, n, 's.at')}
-      when s.state = 0 then {trimmed}
-      when s.n + 1 >= {limits.longest} or {quiet} >= {settle} then {make('2', first, n, 'x.t')}
-      else {make('1', first, n, 's.at')} end)"""
+def replay(frames: DataFrame, settles: list[int], limits: Limits) -> DataFrame:
+    """series, settle, state, start, stop, settle_index: each session replayed with each settle length, in one pass over its frames.
 
+    A session passes through its task in batches; only a machine for each setting is held.
+    """
+    every = [Limits(limits.threshold, s, limits.preroll, limits.longest) for s in settles]
 
-def histories(frames: DataFrame) -> DataFrame:
-    """series, h: each session's (t, energy) in order."""
-    return frames.groupBy("series").agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), F.col("energy").cast("double").alias("energy")))).alias("h"))
+    def step(machines, t, energy):
+        for k, each in enumerate(every):
+            m, at = machines[k]
+            if m[0] != SETTLED:
+                m = advance(m, t, energy, each)
+                machines[k] = (m, t if m[0] == SETTLED else None)
+        return machines
 
+    def finish(machines):
+        return [(each.settle, m[0], m[1] if at is not None else None, at + 1 if at is not None else None, at) for each, (m, at) in zip(every, machines, strict=True)]
 
-def replay(frames: DataFrame, grid: DataFrame, limits: Limits) -> DataFrame:
-    """series, settle, state, start, stop, settle_index: each session replayed with each settle length of ``grid`` (settle)."""
-    df = histories(frames).join(F.broadcast(grid), how="cross")  # the grid is a handful of settings
-    df = df.withColumn("s", F.expr(fold_sql("h", "settle", limits)))
-    done = F.col("s.state") == SETTLED
-    return df.select("series", "settle", F.col("s.state").alias("state"), F.when(done, F.col("s.first")).alias("start"), F.when(done, F.col("s.at") + 1).alias("stop"), F.col("s.at").alias("settle_index"))
+    kind = frames.schema["series"].dataType.simpleString()
+    rows = frames.select("series", F.col("t").cast("long").alias("t"), F.col("energy").cast("double").alias("energy"))
+    return fold(rows, ["series"], ["t"], ["t", "energy"], lambda: [(FRESH, None)] * len(every), step, finish, f"series {kind}, settle int, state int, start long, stop long, settle_index long")
 
 
 def states(frames: DataFrame, limits: Limits) -> DataFrame:
-    """series, t, state, first, n after every frame, as a batch; a session's frames are one group."""
+    """series, t, state, first, n after every frame, as a batch; a session's frames pass through a task one batch at a time."""
+
+    def step(m, t, energy):
+        m = advance(m, t, energy, limits)
+        return m, (t, m[0], m[1], m[2])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows = FRESH, []
-        for t, e in pdf.sort_values("t")[["t", "energy"]].itertuples(index=False):
-            m = advance(m, int(t), None if pd.isna(e) else float(e), limits)
-            rows.append((pdf["series"].iloc[0], int(t), m[0], m[1], m[2]))
-        return pd.DataFrame(rows, columns=["series", "t", "state", "first", "n"])
+    kind = frames.schema["series"].dataType.simpleString()
+    rows = frames.select("series", F.col("t").cast("long").alias("t"), F.col("energy").cast("double").alias("energy"))
+    return fold(rows, ["series"], ["t"], ["t", "energy"], lambda: FRESH, step, None, f"series {kind}, t long, state int, first long, n int", each=True)
 
-    return frames.select("series", "t", "energy").groupBy("series").applyInPandas(run, "series long, t int, state int, first int, n int")
+
+def _timed(frames: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with at and us, the time in microseconds."""
+    ship(frames.sparkSession)
+    return frames.select("series", "at", F.unix_micros("at").alias("us"), F.col("t").cast("long").alias("t"), *columns)
 
 
 def stream_states(frames: DataFrame, limits: Limits) -> DataFrame:
-    """The same over a stream: keyed state of constant size; late or repeated frames of a session (t not after the last) are dropped."""
+    """The same over a stream (series, at, t, energy): the keyed state is a machine and the frames that the watermark has not passed."""
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        *m, last = state.get if state.exists else (*FRESH, -1)
-        m, rows = tuple(m), []
-        for t, e in pd.concat(list(parts)).sort_values("t")[["t", "energy"]].itertuples(index=False):
-            if t <= last:
-                continue
-            last = int(t)
-            m = advance(m, last, None if pd.isna(e) else float(e), limits)
-            rows.append((key[0], last, m[0], m[1], m[2]))
-        state.update((*m, last))
+        if pd.isna(key[0]):  # the end of the stream
+            return
+        *m, at, t, e = state.get if state.exists else (*FRESH, [], [], [])
+        m, held = tuple(m), [list(x) for x in (at, t, e)]
+        out, held = let_go(held, arrived(parts), ["us", "t", "energy"], state.getCurrentWatermarkMs() * 1000)
+        rows = []
+        for t, e in zip(out[1].tolist(), out[2].tolist(), strict=True):
+            m = advance(m, t, e, limits)
+            rows.append((key[0], t, m[0], m[1], m[2]))
+        state.update((*m, *held))
+        wake(state, held[0])
         yield pd.DataFrame(rows, columns=["series", "t", "state", "first", "n"])
 
-    return frames.select("series", "t", "energy").groupBy("series").applyInPandasWithState(run, "series long, t int, state int, first int, n int", f"{STATE}, last int", "append", "NoTimeout")
+    # a missing energy is NaN in the state
+    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"))
+    kept = f"{STATE}, at array<long>, t array<long>, energy array<double>"
+    return timed.groupBy("series").applyInPandasWithState(run, "series long, t long, state int, first long, n int", kept, "append", "EventTimeTimeout")
+
+
+def stream_captures(frames: DataFrame, limits: Limits) -> DataFrame:
+    """series, t, state, n, width, f, reset after each trigger that let frames of a session go: its buffer as it stands then.
+
+    ``frames`` has series, at, t, energy, f (array of doubles, as long in every frame) and reset. A row with reset is no frame: it empties the buffer.
+    f holds the n buffered frames one after the other, ``width`` numbers each; reset tells that a reset came since the last report. State: the machine, its buffer (``longest`` frames at most) and the frames held.
+    """
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        *m, width, buffer, at, t, e, r, f = state.get if state.exists else (*FRESH, 0, [], [], [], [], [], [])
+        m, buffer, parts = tuple(m), list(buffer), arrived(parts)
+        before = m
+        flat = np.concatenate([np.asarray(f, float)] + [np.concatenate([np.zeros(0), *p["f"]]) for p in parts])
+        sizes = [len(x) for p in parts for x in p["f"]]
+        width = width or max(sizes, default=0)
+        # rows are told apart by their number in ``flat``; resets have no numbers there
+        held_frames = len(f) // width if width else 0
+        places = _places(list(r), 0) + _places([bool(x) for p in parts for x in p["reset"]], held_frames)
+        number = 0
+        for p in parts:
+            p["place"] = places[len(at) + number : len(at) + number + len(p)]
+            number += len(p)
+        out, held = let_go([list(at), list(t), list(e), list(r), places[: len(at)]], parts, ["us", "t", "energy", "reset", "place"], state.getCurrentWatermarkMs() * 1000)
+        was_reset = False
+        for t, e, r, k in zip(out[1].tolist(), out[2].tolist(), out[3].tolist(), out[4].tolist(), strict=True):
+            if r:
+                m, buffer, was_reset = FRESH, [], True
+                continue
+            settled = m[0] == SETTLED
+            m = advance(m, t, e, limits)
+            if not settled:
+                buffer = [*buffer, *flat[k * width : (k + 1) * width].tolist()][-m[2] * width :]
+        kept = np.concatenate([np.zeros(0)] + [flat[k * width : (k + 1) * width] for k in held[4] if k >= 0]).tolist()
+        state.update((*m, width, buffer, *held[:4], kept))
+        wake(state, held[0])
+        if len(out[0]) and (m != before or was_reset):
+            yield pd.DataFrame({"series": [key[0]], "t": [int(out[1][-1])], "state": [m[0]], "n": [m[2]], "width": [width], "f": [buffer], "reset": [was_reset]})
+
+    reset = F.coalesce("reset", F.lit(False)) if "reset" in frames.columns else F.lit(False)
+    # a tie of a reset and a frame goes by t
+    values = F.when(reset, F.array().cast("array<double>")).otherwise(F.col("f").cast("array<double>"))
+    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"), values.alias("f"), reset.alias("reset"))
+    kept = f"{STATE}, width int, buffer array<double>, at array<long>, t array<long>, energy array<double>, reset array<boolean>, f array<double>"
+    return timed.groupBy("series").applyInPandasWithState(run, "series long, t long, state int, n int, width int, f array<double>, reset boolean", kept, "append", "EventTimeTimeout")
+
+
+def _places(resets: list[bool], first: int) -> list[int]:
+    """Numbers of the frames among rows of which some are resets (-1)."""
+    out = []
+    for r in resets:
+        out.append(-1 if r else first)
+        first += not r
+    return out
+
+
+def graded(captures: DataFrame, grade: Callable[[DataFrame], DataFrame], least: int = 20) -> DataFrame:
+    """A trigger's changes of the table of verdicts: series, t, n, stale and what ``grade`` adds, for captures (a trigger's reports) to be graded or made stale.
+
+    A capture that is not idle and has ``least`` frames is graded as it stands, and replaces the session's verdict; one that was reset and is not yet
+    long enough leaves the verdict there, but stale. ``grade`` takes series, n, width, f and returns series and its columns.
+    """
+    open_ = (F.col("state") != IDLE) & (F.col("n") >= least)
+    found = grade(captures.where(open_).select("series", "n", "width", "f"))
+    return captures.where(open_ | F.col("reset")).select("series", "t", "n", (~open_).alias("stale")).join(found, "series", "left")
+
+
+def verdicts(log: DataFrame) -> DataFrame:
+    """The table of verdicts that a table of triggers' changes amounts to: a row for each session that was graded, stale if it has been reset since."""
+    judged = F.when(~F.col("stale"), F.col("trigger"))
+    rest = [c for c in log.columns if c not in ("series", "stale", "trigger")]
+    g = log.groupBy("series").agg(F.max_by(F.struct(*rest), judged).alias("_r"), F.max(judged).alias("_judged"), F.max("trigger").alias("_last"))
+    return g.where("_judged is not null").select("series", "_r.*", (F.col("_last") > F.col("_judged")).alias("stale"))
 
 
 def captured_spans(state_rows: DataFrame) -> DataFrame:
@@ -159,45 +244,23 @@ def gradable(state_rows: DataFrame, least: int = 20, reset: str | None = None) -
 
 
 def stream_log(frames: DataFrame, cap: int = 1800) -> DataFrame:
-    """The bounded recorder over a stream (series, t, active): after each trigger series, n, kept (the newest ``cap`` t), dropped, ever_active.
+    """The bounded recorder over a stream (series, at, t, active): after each trigger series, n, kept (the newest ``cap`` t), dropped, ever_active.
 
-    The state of a session holds at most ``cap`` frames; frames not after the last are dropped as late or repeated.
+    The state of a session holds at most ``cap`` frames and those that the watermark has not passed.
     """
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept, n, ever = state.get if state.exists else ([], 0, False)
-        new = pd.concat(list(parts)).sort_values("t").drop_duplicates("t")
-        new = new[new["t"] > (kept[-1] if kept else -1)]
-        kept = [*kept, *new["t"].astype(int).tolist()][-cap:]
-        n, ever = n + len(new), bool(ever or new["active"].any())
-        state.update((kept, n, ever))
-        yield pd.DataFrame({"series": [key[0]], "n": [n], "kept": [kept], "dropped": [n - len(kept)], "ever_active": [ever]})
-
-    out = "series long, n long, kept array<int>, dropped long, ever_active boolean"
-    return frames.select("series", "t", "active").groupBy("series").applyInPandasWithState(run, out, "kept array<int>, n long, ever boolean", "update", "NoTimeout")
-
-
-def each_trigger(spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """What ``step`` makes of each trigger's rows, with the trigger's number; a trigger that is run again replaces its part."""
-    from seqloom.sources.store import discarded, fresh_path
-
-    path = fresh_path(spark, "triggers")
-
-    def write(rows: DataFrame, number: int) -> None:
-        step(rows).write.mode("overwrite").parquet(f"{path}/trigger={number}")
-
-    job = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
-    discarded(spark, f"{path}-checkpoint")
-    return spark.read.parquet(discarded(spark, path))
-
-
-def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a folder that all executors share, and read what it wrote."""
-    from seqloom.sources.store import discarded, fresh_path
-
-    path = fresh_path(spark, "stream")
-    job = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
-    job.awaitTermination()
-    discarded(spark, f"{path}-checkpoint")
-    return spark.read.schema(stream.schema).parquet(discarded(spark, path))
+        if pd.isna(key[0]):
+            return
+        kept, n, ever, *held = state.get if state.exists else ([], 0, False, [], [], [])
+        out, held = let_go([list(x) for x in held], arrived(parts), ["us", "t", "active"], state.getCurrentWatermarkMs() * 1000)
+        kept = [*kept, *out[1].tolist()][-cap:]
+        n, ever = n + len(out[1]), bool(ever or out[2].any())
+        state.update((kept, n, ever, *held))
+        wake(state, held[0])
+        if len(out[1]):
+            yield pd.DataFrame({"series": [key[0]], "n": [n], "kept": [kept], "dropped": [n - len(kept)], "ever_active": [ever]})
+
+    out = "series long, n long, kept array<long>, dropped long, ever_active boolean"
+    timed = _timed(frames, F.coalesce("active", F.lit(False)).alias("active"))
+    return timed.groupBy("series").applyInPandasWithState(run, out, "kept array<long>, n long, ever boolean, at array<long>, t array<long>, active array<boolean>", "append", "EventTimeTimeout")
