@@ -6,7 +6,7 @@ in Arrow batches: pairs of the same shape are computed together, cell by cell, i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,26 +228,30 @@ def segments(paths: DataFrame, owner: DataFrame, keys: list[str]) -> DataFrame:
     return found.agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
 
 
-def align_and_grade(attempt: DataFrame, reference: DataFrame, threshold: float, near: float, preroll: int = 12, settle: int = 8) -> DataFrame:
-    """series, part, start, stop, distance, correct: each part of a reference found in an attempt, trimmed and graded.
+def align_and_grade(attempt: DataFrame, reference: DataFrame, targets: DataFrame, grade: Callable[[DataFrame], DataFrame], threshold: float, preroll: int = 12, settle: int = 8) -> DataFrame:
+    """series, part, parameter, start, stop, distance, predicted, target, confidence, correct: each part of a reference found in an attempt and judged.
 
     ``attempt`` has series, t, f (array of doubles), ``reference`` also part. The alignment path gives the range of attempt frames of each
     part; the range is cut to its motion (distance of a frame to the one before, none for its first) with ``preroll`` and ``settle``
-    around it, and its distance to the part's own frames decides. A part that the path gives no frame is not judged: nulls.
+    around it, and graded like an attempt of its own: ``grade`` takes frames (series: struct of series and part, t, f) and returns series, parameter, predicted,
+    confidence. ``targets`` (series, part, parameter, target, judged) says what was wanted; correct is null where the target is not judged, for lack of support, and
+    all that was found is null for a part that the path gives no frame. distance is that of the alignment as a whole.
     """
     joined = sequences(attempt, F.col("f")).withColumnRenamed("seq", "a").join(sequences(reference, F.col("f")).withColumnRenamed("seq", "b"), "series")
-    found = segments(align(joined, paths=True), reference.select("series", F.col("t").alias("j"), "part"), ["series"])
+    paths = align(joined, paths=True)
+    found = segments(paths, reference.select("series", F.col("t").alias("j"), "part"), ["series"])
     name = F.struct("series", "part", "start").alias("series")
     mine = attempt.join(found, "series").where("t >= start and t < stop").select(name, (F.col("t") - F.col("start")).alias("t"), "f")
     was = F.lag("f").over(signal.by_time())
     moved = F.sqrt(F.aggregate(F.zip_with("f", "_was", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     mine = mine.withColumn("_was", was).withColumn("energy", F.coalesce(moved, F.lit(0.0))).drop("_was")
     span = signal.capture_span(mine, threshold, preroll=preroll, settle=settle)
-    cut = sequences(signal.trim(mine, span), F.col("f")).join(span, "series")
-    cut = cut.select("series.series", "series.part", (F.col("series.start") + F.col("start")).cast("int").alias("start"), (F.col("series.start") + F.col("stop")).cast("int").alias("stop"), F.col("seq").alias("a"))
-    parts = sequences(reference.select(F.struct("series", "part").alias("series"), "t", "f"), F.col("f")).select("series.series", "series.part", F.col("seq").alias("b"))
-    graded = align(cut.join(parts, ["series", "part"]))
-    return found.select("series", "part").join(graded, ["series", "part"], "left").withColumn("correct", F.col("distance") <= near)
+    at = lambda c: (F.col("series.start") + F.col(c)).cast("int").alias(c)
+    places = span.select("series.series", "series.part", at("start"), at("stop"))
+    judged = grade(signal.trim(mine, span).select(F.struct("series.series", "series.part").alias("series"), "t", "f"))
+    judged = judged.select("series.series", "series.part", "parameter", "predicted", "confidence")
+    whole = targets.join(paths.select("series", "distance"), "series").join(places, ["series", "part"], "left").join(judged, ["series", "part", "parameter"], "left")
+    return whole.select("series", "part", "parameter", "start", "stop", "distance", "predicted", "target", "confidence", F.when(F.col("judged"), F.col("predicted") == F.col("target")).alias("correct"))
 
 
 def compose(playlist: DataFrame, frames: DataFrame) -> DataFrame:
@@ -282,35 +286,34 @@ def word_error_rate(a: str, b: str) -> Column:
     return F.when(F.expr(f"size({a}) > 0"), edit_distance(a, b) / F.expr(f"size({a})")).when(F.expr(f"size({b}) = 0"), 0.0).otherwise(F.lit(float("inf")))
 
 
-def forced_labels(log_probs: np.ndarray, target: list[int], blank: int = 0) -> list[int]:
-    """Index into the target for each frame, -1 for blanks, on the best path through blank-interleaved targets."""
+def forced_labels(log_probs: np.ndarray, target: list[int], blank: int = 0) -> list[int] | None:
+    """Index into the target for each frame, -1 for blanks, on the best path through blank-interleaved targets; None if there are too few frames for any."""
     states = [blank]
     for k in target:
         states += [k, blank]
     n, size = len(log_probs), len(states)
-    skips = np.array([s >= 2 and states[s] != blank and states[s] != states[s - 2] for s in range(size)])
+    may_skip = np.array([s >= 2 and states[s] != blank and states[s] != states[s - 2] for s in range(size)])
     emit = log_probs[:, states]
-    score = np.full(size, -1e18)
-    score[:2] = emit[0, :2]
-    back = np.zeros((n, size), np.int64)
-    at = np.arange(size)
+    score = np.where(np.arange(size) < 2, emit[0], -np.inf)
+    came = np.zeros((n, size), np.int64)  # how many states back the best way into each state starts
     for t in range(1, n):
-        one = np.concatenate([[-np.inf], score[:-1]])
-        two = np.where(skips, np.concatenate([[-np.inf, -np.inf], score[:-2]])[:size], -np.inf)
-        ways = np.stack([score, one, two])
-        back[t] = at - ways.argmax(axis=0)
-        best = ways.max(axis=0)
-        score = np.where(best > -1e18, best + emit[t], -1e18)
-    state = size - 1 if size == 1 or score[-1] >= score[-2] else size - 2
-    out = []
+        behind = np.concatenate([[-np.inf, -np.inf], score])
+        ways = np.stack([score, behind[1:-1], np.where(may_skip, behind[:-2], -np.inf)])
+        came[t] = ways.argmax(axis=0)
+        score = ways.max(axis=0) + emit[t]
+    ends = np.arange(size)[-2:][::-1]  # the last blank, or the last class itself; the blank wins a tie
+    state = int(ends[score[ends].argmax()])
+    if not np.isfinite(score[state]):
+        return None
+    trail = np.empty(n, np.int64)
     for t in range(n - 1, -1, -1):
-        out.append(-1 if states[state] == blank else (state - 1) // 2)
-        state = int(back[t, state])
-    return out[::-1]
+        trail[t] = state
+        state -= came[t, state]
+    return np.where(trail % 2 == 1, trail // 2, -1).tolist()
 
 
 def forced_align(rows: DataFrame, blank: int = 0) -> DataFrame:
-    """series, labels of rows (series, probs: array of arrays of log probabilities, target: array of classes)."""
+    """series, labels of rows (series, probs: array of arrays of log probabilities, target: array of classes); null where no path fits."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,25 +227,3 @@ def describe(rows: DataFrame, key: str, shape: str, place: str, motion: str, rep
     head = F.when(multi, "The first part has ").otherwise("It has ")
     moves = F.when(F.col(motion) == "None", F.when(repeats, "It stays in place with a small repeated motion.").otherwise("It stays in place.")).otherwise(F.concat(F.lit("It makes a "), F.when(repeats, "repeated ").otherwise("single "), F.lower(readable(F.lit(""), F.col(motion))), F.lit(" movement.")))
     return rows.select(key, F.concat(head, article, label, F.lit(" shape "), where, F.lit(". "), moves).alias("description"))
-
-
-def fit_heads(train: DataFrame, heads: dict[str, tuple[str, list[int]]]):
-    """One logistic regression for each parameter: name to (label column of doubles, columns of the feature array that it may see)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    models = {}
-    for name, (label, columns) in heads.items():
-        picked = F.transform(F.array(*[F.lit(c) for c in columns]), lambda i: F.get("feat", i))
-        models[name] = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=20, regParam=0.01).fit(train.withColumn("_v", array_to_vector(picked)))
-    return models
-
-
-def apply_heads(rows: DataFrame, models, heads: dict[str, tuple[str, list[int]]]) -> DataFrame:
-    """Adds one predicted class (double) for each head."""
-    from pyspark.ml.functions import array_to_vector
-
-    for name, (_, columns) in heads.items():
-        picked = F.transform(F.array(*[F.lit(c) for c in columns]), lambda i: F.get("feat", i))
-        rows = models[name].transform(rows.withColumn("_v", array_to_vector(picked))).drop("_v", "rawPrediction", "probability").withColumnRenamed("prediction", name)
-    return rows

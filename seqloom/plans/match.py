@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.operators import heads
 from seqloom.operators import match as op
+from seqloom.operators import verdict as grading
+from seqloom.plans import verdict as verdicts
 from seqloom.plans.bind import FRAMES, frames, table
 from seqloom.plans.registry import query
 
-#: Distance up to which a part counts as right.
-NEAR = 0.71
 _CLIPS = "clips AS (SELECT vec_id // 10 AS series, min(label) AS label, array_agg(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1)"
 _DTW = "list_reduce({a}, lambda p, x: list_reduce({b}, lambda c, y: list_append(c, list_distance(x, y) + least(p[len(c) + 1], p[len(c)], c[len(c)])), ['inf'::DOUBLE]), list_concat([0.0::DOUBLE], list_transform({b}, lambda y: 'inf'::DOUBLE)))[len({b}) + 1] / (len({a}) + len({b}))"
 _ALL = f"""{_CLIPS}, d AS (SELECT q.series AS query, q.label AS label_q, r.series AS series, r.label AS label, {_DTW.format(a='q.seq', b='r.seq')} AS distance FROM clips q JOIN clips r ON q.series % 5 = 4 AND r.series % 5 < 4)"""
@@ -130,17 +131,23 @@ def segments(spark, sf_dir):
 
 @query("d12_align_and_grade")
 def align_and_grade(spark, sf_dir):
-    """Attempts at two-part sentences: clips s and s + 1 joined, aligned to the reference composed of clips s + 2 and s + 3.
+    """Attempts at two-part sentences: clips s and s + 1 joined, aligned to the reference composed of clips s + 2 and s + 3, for s of which s % 5 = 3.
 
-    Each part's segment is trimmed again to its own motion and graded against that part's clip: distance, and whether it is at most
-    ``NEAR`` (null for a segment with no frame).
+    Each part's segment is trimmed again to its own motion, pooled and judged by heads, one verdict for each parameter, against what the part's own clip is
+    like. Values that fewer than three clips share are not judged.
     """
-    f = clips(spark, sf_dir).select("series", F.posexplode("seq").alias("t", "f"))
-    first = f.select("series").distinct()
+    f = verdicts.clips_of_five(spark, sf_dir)
+    first = f.select("series").distinct().where("series % 5 = 3")
     plan = lambda k: first.select(F.col("series").alias("seq_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).withColumn("source", F.col("seq_id") + F.col("part") + k)
     attempt = op.compose(plan(0), f).select(F.col("seq_id").alias("series"), "t", "f")
     reference = op.compose(plan(2), f).select(F.col("seq_id").alias("series"), "t", "part", "f")
-    return op.align_and_grade(attempt, reference, threshold=1.3, near=NEAR, preroll=1, settle=1).withColumn("distance", F.round("distance", 6))
+    clips = verdicts.profiled(spark, sf_dir)
+    wanted = grading.judged(clips, "series", list(verdicts.HEADS), F.lit(False)).select(F.col("series").alias("source"), "parameter", F.col("value").alias("target"), "judged")
+    targets = plan(2).join(wanted, "source").select(F.col("seq_id").alias("series"), "part", "parameter", "target", "judged")
+    model = heads.fit(clips.where("series % 5 < 3"), verdicts.HEADS)
+    grade = lambda rows: heads.verdicts(verdicts.pooled_clips(rows), model)
+    graded = op.align_and_grade(attempt, reference, targets, grade, threshold=1.3, preroll=1, settle=1)
+    return graded.withColumns({"distance": F.round("distance", 6), "confidence": F.round("confidence", 3)})
 
 
 @query("d13_compose", """WITH c AS (SELECT vec_id // 10 AS series, CAST(vec_id % 10 AS INT) AS t, embedding[1] AS f FROM embeddings), n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from seqloom.operators import heads as fitted
 from seqloom.operators import verdict as op
 from seqloom.plans.bind import table
 from seqloom.plans.evaluate import _DIST, _EMB, distances
@@ -104,14 +105,37 @@ def pk_batches(spark, sf_dir):
     return op.pk_batches(table(spark, sf_dir, "embeddings"), spark.range(0, 40).withColumnRenamed("id", "batch"), 4, 8, 7)
 
 
+#: Columns of the hands in the clips, the other columns, and the columns of the pooled features that each head sees.
+_LEFT, _RIGHT, _REST = list(range(8)), list(range(8, 16)), list(range(16, 32))
+HEADS = {"handshape": list(range(16)), "major_location": list(range(16, 48)), "minor_location": list(range(16, 48)), "movement": list(range(16, 48)), "repeated_movement": list(range(16, 48))}
+
+
+def clips_of_five(spark, sf_dir):
+    """series, t, f: five embeddings in a row make a clip."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("series"), (F.col("vec_id") % 5).cast("int").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+
+
+def pooled_clips(frames):
+    return fitted.pooled(frames, "f", _LEFT, _RIGHT, _REST)
+
+
+def profiled(spark, sf_dir):
+    """series, feat and what each clip is like: which of a few columns is largest (the tables' own labels can't be told from the embeddings)."""
+    largest = lambda c, *at: F.concat(F.lit(c), (F.array_position(x := F.array(*[F.col("feat")[i] for i in at]), F.array_max(x)) - 1).cast("string"))
+    kinds = {"handshape": largest("h", 0, 1, 2, 3), "major_location": largest("a", 16, 17, 18), "minor_location": largest("b", 19, 20, 21), "movement": largest("m", 32, 33, 34), "repeated_movement": (F.col("feat")[22] > F.col("feat")[23]).cast("string")}
+    return pooled_clips(clips_of_five(spark, sf_dir)).select("series", "feat", *[c.alias(n) for n, c in kinds.items()])
+
+
 @query("e14_heads")
 def heads(spark, sf_dir):
-    """One classifier for each of three parameters, trained on four fifths; accuracy on the rest."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("feat"), F.col("label").cast("double").alias("whole"), (F.col("label") % 2).cast("double").alias("odd"), F.expr("cast(label div 3 as double)").alias("third"))
-    plan = {"hand": ("whole", list(range(32))), "place": ("third", list(range(32, 64))), "repeat": ("odd", list(range(64)))}
-    models = op.fit_heads(e.where("vec_id % 5 < 4"), plan)
-    said = op.apply_heads(e.where("vec_id % 5 = 4"), models, plan)
-    return said.agg(*[F.round(F.avg((F.col(h) == F.col(y)).cast("double")), 4).alias(h) for h, (y, _) in plan.items()])
+    """Five heads fitted together on four fifths of the clips; on the rest, each one's accuracy and that of the most frequent class."""
+    clips = profiled(spark, sf_dir)
+    test = clips.where("series % 5 = 4")
+    said = fitted.verdicts(test.select("series", "feat"), fitted.fit(clips.where("series % 5 < 4"), HEADS))
+    truth = test.unpivot(["series"], list(HEADS), "parameter", "target")
+    most = truth.groupBy("parameter", "target").agg(F.count("*").alias("n")).groupBy("parameter").agg((F.max("n") / F.sum("n")).alias("majority"))
+    accuracy = said.join(truth, ["series", "parameter"]).groupBy("parameter").agg(F.count("*").alias("clips"), F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"))
+    return rounded(accuracy.join(most, "parameter"))
 
 
 @query("e15_majority_profile", """WITH g AS (SELECT p_brand, concat_ws('/', p_type, p_size % 4) AS profile, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, profile, n FROM g QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, profile) = 1""")

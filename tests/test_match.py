@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import heads
 from seqloom.operators import match as op
 
 
@@ -195,27 +196,42 @@ def plain_path(a, b):
 
 def test_align_and_grade(spark):
     rng = np.random.default_rng(4)
-    attempts = {s: rng.normal(size=(int(rng.integers(10, 20)), 2)).cumsum(axis=0) for s in range(12)}
-    parts = {(s, p): (attempts[s][5 * p : 5 * p + 5] + rng.normal(size=(5, 2)) * 0.4)[: int(rng.integers(2, 6))] for s in range(12) for p in range(2)}
+    attempts = {s: rng.normal(size=(int(rng.integers(10, 20)), 4)).cumsum(axis=0) for s in range(12)}
+    parts = {(s, p): (attempts[s][5 * p : 5 * p + 5] + rng.normal(size=(5, 4)) * 0.4)[: int(rng.integers(2, 6))] for s in range(12) for p in range(2)}
+    classes, columns = {"shape": ["a", "b", "c"], "repeats": ["False", "True"]}, {"shape": [0, 1], "repeats": [2, 3, 4, 5]}
+    weights = {name: rng.normal(size=(len(c), len(columns[name]) + 1)) for name, c in classes.items()}
+    model = heads.Model(classes, columns, weights, rng.normal(size=6), rng.uniform(1, 2, size=6))
+    wanted = {(s, p, name): (classes[name][(s + p) % len(classes[name])], bool((s + k) % 3)) for s in range(12) for p in range(2) for k, name in enumerate(classes)}
     want = {}
     for s, a in attempts.items():
         b = [(p, x) for p in range(2) for x in parts[s, p]]
         path = plain_path(a, np.array([x for _, x in b]))
+        d = plain_dtw(a, np.array([x for _, x in b]))
         for p in range(2):
             mine = [i for i, j in path if b[j][0] == p]
             start, stop = min(mine), max(mine) + 1
             seg = a[start:stop]
             energy = [0.0, *(float(np.linalg.norm(y - x)) for x, y in zip(seg, seg[1:], strict=False))]
-            hot = [t for t, e in enumerate(energy) if e > 0.8]
+            hot = [t for t, e in enumerate(energy) if e > 1.6]
             lo, hi = (hot[0], hot[-1] + 1) if hot else (0, len(seg))
             lo, hi = max(0, lo - 1), min(len(seg), hi + 2)
-            d = plain_dtw(seg[lo:hi], parts[s, p])
-            want[s, p] = (start + lo, start + hi, pytest.approx(d, abs=1e-7), d <= 0.4)
+            cut = seg[lo:hi]
+            mean, top = cut.mean(axis=0), cut.max(axis=0)  # columns 0 and 1 are the hands
+            feat = [max(mean[0], mean[1]), max(top[0], top[1]), mean[2], mean[3], top[2], top[3]]
+            x = (np.array(feat) - model.mean) / model.scale
+            for name in classes:
+                z = weights[name] @ np.append(x[columns[name]], 1)
+                said, sure = classes[name][int(z.argmax())], 1 / np.exp(z - z.max()).sum()
+                target, judged = wanted[s, p, name]
+                want[s, p, name] = (start + lo, start + hi, pytest.approx(d, abs=1e-7), said, target, pytest.approx(sure, abs=1e-9), said == target if judged else None)
     frames = lambda rows, more="": spark.createDataFrame(rows, "series long, t int, f array<double>" + more)
     attempt = frames([(s, t, x.tolist()) for s, a in attempts.items() for t, x in enumerate(a)])
     reference = frames([(s, t, x.tolist(), p) for s in attempts for t, (p, x) in enumerate((p, x) for p in range(2) for x in parts[s, p])], ", part int")
-    got = {(r["series"], r["part"]): (r["start"], r["stop"], r["distance"], r["correct"]) for r in op.align_and_grade(attempt, reference, 0.8, 0.4, preroll=1, settle=2).collect()}
-    assert got == want and {w[3] for w in want.values()} == {True, False}
+    targets = spark.createDataFrame([(s, p, name, t, j) for (s, p, name), (t, j) in wanted.items()], "series long, part int, parameter string, target string, judged boolean")
+    grade = lambda rows: heads.verdicts(heads.pooled(rows, "f", [0], [1], [2, 3]), model)
+    found = op.align_and_grade(attempt, reference, targets, grade, 1.6, preroll=1, settle=2).collect()
+    got = {(r["series"], r["part"], r["parameter"]): (r["start"], r["stop"], r["distance"], r["predicted"], r["target"], r["confidence"], r["correct"]) for r in found}
+    assert got == want and {w[-1] for w in want.values()} == {True, False, None}
 
 
 def test_label_segments_and_forced_alignment_by_brute_force(spark):
@@ -223,7 +239,7 @@ def test_label_segments_and_forced_alignment_by_brute_force(spark):
     rows = [(k, np.log(rng.dirichlet(np.ones(4), 6)).tolist(), rng.integers(1, 4, size=int(rng.integers(0, 3))).tolist()) for k in range(20)]
     df = spark.createDataFrame(rows, "series long, probs array<array<double>>, target array<int>")
     labels = op.forced_align(df)
-    found = {r["series"]: list(r["labels"]) for r in labels.collect()}
+    found = {r["series"]: r["labels"] for r in labels.collect()}
     for k, probs, target in rows:
         best = None
         for path in np.ndindex(*(4,) * 6):
@@ -233,6 +249,7 @@ def test_label_segments_and_forced_alignment_by_brute_force(spark):
                 if best is None or score > best[0]:
                     best = (score, path)
         if best is None:
+            assert found[k] is None
             continue
         at, want, was = -1, [], 0
         for c in best[1]:
@@ -243,4 +260,4 @@ def test_label_segments_and_forced_alignment_by_brute_force(spark):
     parts = {k: len(t) for k, _, t in rows}
     segments = op.label_segments(labels.join(df.selectExpr("series", "size(target) parts"), "series"), F.col("parts"))
     got = {(r["series"], r["part"]): (r["start"], r["stop"]) for r in segments.collect()}
-    assert got == {(k, p): (min(own), max(own) + 1) if (own := [t for t, x in enumerate(found[k]) if x == p]) else (0, 0) for k in parts for p in range(parts[k])}
+    assert got == {(k, p): (min(own), max(own) + 1) if (own := [t for t, x in enumerate(found[k] or []) if x == p]) else (0, 0) for k in parts for p in range(parts[k])}
