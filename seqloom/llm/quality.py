@@ -42,6 +42,8 @@ CONSISTENCY = 1.412
 #: Log determinants this near are equal: the edge of the nearest texts is known to a bin of 2 % only. The last steps may still move
 #: them by less than that.
 TIE = 0.05
+#: Steps after which the driver asks whether a determinant still moves; a step that moves none leaves the estimates as they are.
+LOOK = 4
 #: Bins to a unit of a statistic, and to a factor of e of a distance.
 GRID, DISTANCE_GRID = 200, 50
 PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
@@ -87,42 +89,45 @@ def _statistics(df: DataFrame) -> DataFrame:
     return df.withColumns(dict(zip(STATS, x, strict=True)) | {"group": F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")))})
 
 
-def _nearest(groups: DataFrame, bin_: str, share: float, name: str) -> DataFrame:
-    """The bin in which the share of a group's rows is reached; ``groups`` has keys, bin and n."""
-    keys = [c for c in groups.columns if c not in (bin_, "n")]
-    run = groups.withColumn("upto", F.sum("n").over(W.partitionBy(*keys).orderBy(bin_))).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
-    return run.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min(bin_).alias(name))
-
-
-def _distance(df: DataFrame) -> Column:
-    """Squared Mahalanobis distance from m0.. and the Cholesky factor l00.. that ``df`` carries."""
+def _distance() -> Column:
+    """Squared Mahalanobis distance from the centre m and the Cholesky factor l (its rows one after the other) that a row carries."""
     z: list[Column] = []
     for i, x in enumerate(STATS):
-        z.append((F.col(x) - F.col(f"m{i}") - sum((F.col(f"l{i}{j}") * z[j] for j in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
+        z.append((F.col(x) - F.col("m")[i] - sum((F.col("l")[PAIRS.index((i, j))] * z[j] for j in range(i)), F.lit(0.0))) / F.col("l")[PAIRS.index((i, i))])
     return reduce(lambda a, b: a + b, (v * v for v in z))
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor of the covariances c00.. of each group and start, with the floors on the diagonal, and the log determinant."""
+    """group, start, m, l, size, was: the Cholesky factor of the covariances c of each group and start, with the floors on the diagonal, and the log determinant.
+
+    The entries are made one after the other in one fold, each from those before it, so that a plan of any number of them stays small.
+    """
     floors = (*FLOORS, LINE_FLOOR)
-    for i, j in PAIRS:
-        rest = F.col(f"c{i}{j}") + (floors[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    size = 2 * reduce(lambda x, y: x + y, (F.log(f"l{i}{i}") for i in range(len(STATS))))
-    return groups.select("group", "start", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i, j in PAIRS], size.alias("size"), "was")
+    at = lambda *values: "array(" + ", ".join(map(str, values)) + ")"
+    rows, columns = at(*(i for i, _ in PAIRS)), at(*(j for _, j in PAIRS))
+    extra, least = at(*(f"{floors[i] ** 2 if i == j else 0.0}D" for i, j in PAIRS)), at(*(f"{floors[i] ** 2 / 4}D" for i, _ in PAIRS))
+    start = lambda i: f"{i} * ({i} + 1) div 2"
+    inner = "aggregate(zip_with(slice(l, cast({0} as int) + 1, k.j), slice(l, cast({1} as int) + 1, k.j), (x, y) -> x * y), 0.0D, (s, x) -> s + x)".format(start("k.i"), start("k.j"))
+    rest = f"k.c + k.extra - {inner}"
+    entry = f"if(k.i = k.j, sqrt(greatest({rest}, k.least)), ({rest}) / l[cast({start('k.j')} as int) + k.j])"
+    steps = f"transform(sequence(0, {len(PAIRS) - 1}), n -> named_struct('i', {rows}[n], 'j', {columns}[n], 'c', c[n], 'extra', {extra}[n], 'least', {least}[n]))"
+    factored = groups.withColumn("l", F.expr(f"aggregate({steps}, cast(array() as array<double>), (l, k) -> array_append(l, {entry}))"))
+    size = 2 * reduce(lambda x, y: x + y, (F.log(F.col("l")[PAIRS.index((i, i))]) for i in range(len(STATS))))
+    return factored.select("group", "start", "m", "l", size.alias("size"), "was")
 
 
 def _starts(rows: DataFrame, about: DataFrame) -> DataFrame:
-    """group, start, centre m0.. and covariances c00.. of each start; ``about`` (group, m0.., s0..) has medians and scales."""
-    dims, m = range(len(STATS)), [f"m{i}" for i in range(len(STATS))]
+    """group, start, centre m and covariances c of each start; ``about`` (group, m, s) has medians and scales."""
+    dims = range(len(STATS))
     floors = (*FLOORS, LINE_FLOOR)
-    z = rows.join(about, "group").select("group", *m, *[F.sqrt(F.col(f"s{i}") ** 2 + floors[i] ** 2).alias(f"w{i}") for i in dims], *STATS)
-    z = z.withColumns({f"z{i}": (F.col(STATS[i]) - F.col(m[i])) / F.col(f"w{i}") for i in dims})
+    width = [F.sqrt(F.col("s")[i] ** 2 + floors[i] ** 2) for i in dims]
+    z = rows.join(about, "group").select("group", "m", F.array(*width).alias("w"), *STATS)
+    z = z.select("group", "m", "w", *[((F.col(STATS[i]) - F.col("m")[i]) / F.col("w")[i]).alias(f"z{i}") for i in dims])
     z = z.withColumn("r", F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z{i}") ** 2 for i in dims))) + 1e-9)
     bent = [[F.tanh(f"z{i}") for i in dims], [F.col(f"z{i}") / F.col("r") * len(STATS) ** 0.5 for i in dims]]
-    made = z.groupBy("group").agg(*[F.max(f"w{i}").alias(f"w{i}") for i in dims], *[F.max(c).alias(c) for c in m], *[F.covar_pop(x[i], x[j]).alias(f"b{k}{i}{j}") for k, x in enumerate(bent) for i, j in PAIRS])
-    found = [about.select("group", F.lit(0).alias("start"), *m, *[(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])]
-    found += [made.select("group", F.lit(k + 1).alias("start"), *m, *[(F.col(f"b{k}{i}{j}") * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"c{i}{j}") for i, j in PAIRS]) for k in range(len(bent))]
+    made = z.groupBy("group").agg(F.max("m").alias("m"), F.max("w").alias("w"), *[F.covar_pop(x[i], x[j]).alias(f"b{k}{i}{j}") for k, x in enumerate(bent) for i, j in PAIRS])
+    found = [about.select("group", F.lit(0).alias("start"), "m", F.array(*[F.col("s")[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS]).alias("c"))]
+    found += [made.select("group", F.lit(k + 1).alias("start"), "m", F.array(*[F.col(f"b{k}{i}{j}") * F.col("w")[i] * F.col("w")[j] for i, j in PAIRS]).alias("c")) for k in range(len(bent))]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -132,36 +137,39 @@ def _few(df: DataFrame, groups: int) -> DataFrame:
 
 
 def estimates(counts: DataFrame) -> DataFrame:
-    """group, centre m0.. and Cholesky factor l00.. for each group of ``counts``; the pooled group is the empty string."""
+    """group, centre m and Cholesky factor l for each group of ``counts``; the pooled group is the empty string."""
     passing = _statistics(counts).where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("group", *STATS)
     # each row stands once under its own group and once under the pool
     rows = stored(passing, "statistics").withColumn("group", F.explode(F.array("group", F.lit(""))))
     long = rows.select("group", F.posexplode(F.array(*STATS)).alias("k", "x")).groupBy("group", "k", F.round(F.col("x") * GRID).alias("bin")).agg(F.count("*").alias("n"))
-    parts = [_nearest(long, "bin", q, name) for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
-    start = parts[0].join(parts[1], ["group", "k"]).join(parts[2], ["group", "k"])
-    dims = range(len(STATS))
-    about = start.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, F.col("q2") / GRID)).alias(f"m{i}") for i in dims], *[F.max(F.when(F.col("k") == i, (F.col("q3") - F.col("q1")) / GRID / 1.349)).alias(f"s{i}") for i in dims])
-    about = stored(about, "medians")
+    dims, every = range(len(STATS)), W.partitionBy("group", "k")
+    run = long.withColumn("share", F.sum("n").over(every.orderBy("bin")) / F.sum("n").over(every))
+    quarters = run.groupBy("group", "k").agg(*[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(f"q{i}") for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))])
+    by_statistic = lambda value: F.array(*[F.max(F.when(F.col("k") == i, value)) for i in dims])
+    about = stored(quarters.groupBy("group").agg(by_statistic(F.col("q2") / GRID).alias("m"), by_statistic((F.col("q3") - F.col("q1")) / GRID / 1.349).alias("s")), "medians")
     groups = about.count()
     now = stored(_factor(_starts(rows, _few(about, groups)).withColumn("was", F.lit(None).cast("double"))), "start")
-    for _ in range(STEPS):
-        far = rows.join(_few(now.drop("was"), groups), "group")
-        far = far.withColumns({"bin": F.floor(F.log(_distance(far) + 1e-9) * DISTANCE_GRID), **{f"d{i}": F.col(STATS[i]) - F.col(f"m{i}") for i in dims}})
+    # the expressions are the same in every step
+    within = W.partitionBy("group", "start")
+    bin_, off = F.floor(F.log(_distance() + 1e-9) * DISTANCE_GRID).alias("bin"), [(F.col(STATS[i]) - F.col("m")[i]).alias(f"d{i}") for i in dims]
+    sums = [F.sum(f"d{i}").alias(f"s{i}") for i in dims] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
+    before, whole = (F.sum("n").over(within.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(within).alias("all")
+    summed = [F.sum("n").alias("n"), F.max("was").alias("was"), F.max("m").alias("m"), *[F.sum(c).alias(c) for c in (*(f"s{i}" for i in dims), *(f"p{i}{j}" for i, j in PAIRS))]]
+    mean = [F.col(f"s{i}") / F.col("n") for i in dims]
+    centre, spread = F.array(*[F.col("m")[i] + mean[i] for i in dims]).alias("m"), F.array(*[(F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * CONSISTENCY for i, j in PAIRS]).alias("c")
+    for step in range(STEPS):
+        far = rows.join(_few(now.drop("was"), groups), "group").select("group", "start", "m", "size", bin_, *off)
         # what the fit needs is summed by bin, so one pass over the texts gives both the edge and the fit inside it
-        sums = [F.sum(f"d{i}").alias(f"s{i}") for i in dims] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
-        bins = far.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("was"), *[F.max(f"m{i}").alias(f"m{i}") for i in dims], *sums)
-        every = W.partitionBy("group", "start")
-        bins = bins.withColumn("before", F.sum("n").over(every.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(every)).where(F.col("before") < SUPPORT * F.col("all"))
-        fit = bins.groupBy("group", "start").agg(F.sum("n").alias("n"), F.max("was").alias("was"), *[F.max(f"m{i}").alias(f"m{i}") for i in dims], *[F.sum(c).alias(c) for c in (*(f"s{i}" for i in dims), *(f"p{i}{j}" for i, j in PAIRS))])
-        mean = [F.col(f"s{i}") / F.col("n") for i in dims]
-        fit = fit.select("group", "start", "n", "was", *[(F.col(f"m{i}") + mean[i]).alias(f"m{i}") for i in dims], *[((F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
-        now = stored(_factor(fit.where((F.col("n") >= SUPPORT * MIN_GROUP) | (F.col("group") == ""))), "step")
-        moved = now.agg(F.max(F.abs(F.col("size") - F.col("was")))).first()[0]
-        if moved is None or moved < 1e-9:
-            break
-    names = [c for c in now.columns if c[0] in "ml"]
+        bins = far.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("was"), F.max("m").alias("m"), *sums)
+        fit = bins.select("*", before, whole).where(F.col("before") < SUPPORT * F.col("all")).groupBy("group", "start").agg(*summed)
+        fit = fit.where((F.col("n") >= SUPPORT * MIN_GROUP) | (F.col("group") == ""))
+        now = stored(_factor(fit.select("group", "start", "was", centre, spread)), "step")
+        if step % LOOK == LOOK - 1:
+            moved = now.agg(F.max(F.abs(F.col("size") - F.col("was")))).first()[0]
+            if moved is None or moved < 1e-9:
+                break
     best = now.withColumn("least", F.min("size").over(W.partitionBy("group"))).where(F.col("size") <= F.col("least") + TIE)
-    return stored(best.groupBy("group").agg(F.min_by(F.struct(*names), "start").alias("e")).select("group", "e.*"), "estimates")
+    return stored(best.groupBy("group").agg(F.min_by(F.struct("m", "l"), "start").alias("e")).select("group", "e.*"), "estimates")
 
 
 def judged(counts: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def judged(counts: DataFrame, fitted: DataFrame) -> DataFrame:
     pool = fitted.where("group = ''").select(F.lit(1).alias("_one"), F.struct(*names).alias("_all"))
     df = df.join(_few(own, fitted.count()), "group", "left").withColumn("_one", F.lit(1)).join(F.broadcast(pool), "_one", "left")  # the pool is one row
     df = df.withColumn("_e", F.coalesce("_own", "_all")).select("*", "_e.*")
-    df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance(df)))
+    df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).drop("group", *STATS, *names, "_own", "_all", "_one", "_e")
 
 
