@@ -147,13 +147,12 @@ def cost_matrix(pairs: DataFrame) -> DataFrame:
     return df.select(*keys, "i", "j", F.expr("sqrt(aggregate(zip_with(x, y, (u, v) -> (u - v) * (u - v)), 0.0D, (s, d) -> s + d))").alias("cost"))
 
 
-def distances(queries: DataFrame, bank: DataFrame, band: float | None = None, targets: DataFrame | None = None, others: bool = False, block: int = 256) -> DataFrame:
-    """query, label_q, series, label, distance of each query (series, label, seq) and each series of the bank.
+def _blocks(queries: DataFrame, bank: DataFrame, targets: DataFrame | None, block: int) -> DataFrame:
+    """Queries (ask) and bank series that meet, as rows of groups (of, part, slot) of a bounded number of sequences.
 
     The bank is cut into blocks of about ``block`` series, of one label each where ``targets`` (label_q, label) restricts the
     labels that a query meets; queries go to the blocks that they meet, by an equi-join on the label. A block with many queries is
-    dealt to several tasks, so a group has a bounded number of sequences whatever the sizes; pairs are made inside the task and only their distances
-    leave it. ``others``: a query does not meet itself.
+    dealt to several tasks, so a group has a bounded number of sequences whatever the sizes.
     """
     ship(queries.sparkSession)
     ask = queries.select(F.col("series").alias("query"), F.col("label").alias("label_q"), "seq")
@@ -172,23 +171,195 @@ def distances(queries: DataFrame, bank: DataFrame, band: float | None = None, ta
     met = met.select("of", "part", "slot", F.col("query").alias("series"), F.col("label_q").alias("label"), "seq", F.lit(True).alias("ask"))
     held = held.withColumn("part", F.expr("cast(pmod(xxhash64(series), parts) as int)")).withColumn("slot", F.explode(F.expr("sequence(0, shares - 1)")))
     held = held.select("of", "part", "slot", "series", "label", "seq", F.lit(False).alias("ask"))
+    return met.unionByName(held)
+
+
+def _group(table: pa.Table, others: bool) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
+    """A group's rows, its sequences, and the pairs (row of a query, row of a series) that meet in it."""
+    rows = table.combine_chunks()
+    asks = rows.column("ask").to_numpy().astype(bool)
+    sequences = [np.array(x if x is not None else [], float) for x in rows.column("seq").to_pylist()]
+    ids = rows.column("series").to_pylist()
+    q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+    i, j = np.repeat(q, len(r)), np.tile(r, len(q))
+    if others:
+        keep = np.fromiter((ids[x] != ids[y] for x, y in zip(i, j, strict=True)), bool, len(i))
+        i, j = i[keep], j[keep]
+    return rows, sequences, i, j
+
+
+def distances(queries: DataFrame, bank: DataFrame, band: float | None = None, targets: DataFrame | None = None, others: bool = False, block: int = 256) -> DataFrame:
+    """query, label_q, series, label, distance of each query (series, label, seq) and each series of the bank that it meets (see ``_blocks``).
+
+    Every pair is a row: where only the nearest of each label count, ``nearest`` does less. ``others``: a query does not meet itself.
+    """
     kinds = [bank.schema[c].dataType.simpleString() for c in ("series", "label")]
 
     def run(key, table):
-        rows = table.combine_chunks()
-        asks = rows.column("ask").to_numpy().astype(bool)
-        sequences = [np.array(x if x is not None else [], float) for x in rows.column("seq").to_pylist()]
-        ids = rows.column("series").to_pylist()
-        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-        i, j = np.repeat(q, len(r)), np.tile(r, len(q))
-        if others:
-            keep = np.fromiter((ids[x] != ids[y] for x, y in zip(i, j, strict=True)), bool, len(i))
-            i, j = i[keep], j[keep]
+        rows, sequences, i, j = _group(table, others)
         distance, _ = warp([sequences[x] for x in i], [sequences[y] for y in j], band)
         series, label = rows.column("series"), rows.column("label")
         return pa.table([series.take(pa.array(i)), label.take(pa.array(i)), series.take(pa.array(j)), label.take(pa.array(j)), pa.array(distance, pa.float64())], names=["query", "label_q", "series", "label", "distance"])
 
-    return met.unionByName(held).groupBy("of", "part", "slot").applyInArrow(run, f"query {kinds[0]}, label_q {kinds[1]}, series {kinds[0]}, label {kinds[1]}, distance double")
+    return _blocks(queries, bank, targets, block).groupBy("of", "part", "slot").applyInArrow(run, f"query {kinds[0]}, label_q {kinds[1]}, series {kinds[0]}, label {kinds[1]}, distance double")
+
+
+def ends_within(cost: np.ndarray, ns: np.ndarray, ms: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Cumulated cost of each pair's best path, infinite where it would be above ``limit``.
+
+    ``cost`` (pairs, n, m) is padded; a pair is given up when nothing on two successive anti-diagonals, which every path touches, is within its limit.
+    """
+    pairs, n, m = cost.shape
+    out = np.full(pairs, np.inf)
+    live = np.arange(pairs)
+    two, one = np.full((pairs, n + 1), np.inf), np.full((pairs, n + 1), np.inf)
+    two[:, 0] = 0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        now = np.full((len(live), n + 1), np.inf)
+        now[:, i] = cost[:, i - 1, d - i - 1] + np.minimum(np.minimum(one[:, i - 1], one[:, i]), two[:, i - 1])
+        done = ns[live] + ms[live] == d
+        out[live[done]] = now[done, ns[live[done]]]
+        two, one = one, now
+        going = ~done & (np.minimum(one.min(axis=1), two.min(axis=1)) <= limit[live])
+        if going.sum() <= len(live) * 0.75 or d == n + m:
+            live, two, one, cost = live[going], two[going], one[going], cost[going]
+        elif done.any():
+            one[done] = two[done] = np.inf
+        if not len(live):
+            break
+    return np.where(out <= limit, out, np.inf)
+
+
+class _Nearest:
+    """The smallest distance of each query and label of a group, found by bounds of growing cost.
+
+    A path passes each frame of either side, the first two together and the last two together. So its cost is at least that of the first and
+    last pairs plus, for each frame between, its distance to the ball about the other series' frames (their mean, and the radius that holds
+    them); and at least the sum over frames of the smallest cost in their row, or column, of the cost matrix. The series of a label are taken in order of the first
+    bound, in rounds of growing size: those that can't be below the best so far are dropped by the first bound, then by the second, then while the
+    cumulated costs grow.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], band: float | None):
+        self.sequences, self.band, self.computed = sequences, band, 0
+        self.mean = [x.mean(axis=0) if len(x) else None for x in sequences]
+        self.radius = [float(np.sqrt(((x - c) ** 2).sum(axis=1)).max()) if len(x) else 0.0 for x, c in zip(sequences, self.mean, strict=True)]
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """First bound of the pairs, as a cost."""
+        out = np.zeros(len(i))
+        right = np.unique(j)
+        place = {r: k for k, r in enumerate(right.tolist())}
+        heads, tails, means = (np.stack([pick(r) for r in right]) for pick in (lambda r: self.sequences[r][0], lambda r: self.sequences[r][-1], lambda r: self.mean[r]))
+        radius = np.array([self.radius[r] for r in right])
+        to = np.array([place[r] for r in j.tolist()])
+        for q in np.unique(i):
+            mine, x = i == q, self.sequences[q]
+            total = np.sqrt(((heads - x[0]) ** 2).sum(axis=1))
+            if len(x) > 1:
+                total = total + np.sqrt(((tails - x[-1]) ** 2).sum(axis=1))
+            if len(x) > 2:
+                away = np.sqrt(np.maximum((x[1:-1] ** 2).sum(axis=1)[:, None] + (means**2).sum(axis=1) - 2 * x[1:-1] @ means.T, 0))
+                total = total + np.maximum(away - radius, 0).sum(axis=0)
+            out[mine] = total[to[mine]]
+        return out
+
+    def refined(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Exact costs of the pairs where they are within ``limit``, else infinite."""
+        out = np.full(len(i), np.inf)
+        ns, ms = (np.array([len(self.sequences[x]) for x in side]) for side in (i, j))
+        order = np.lexsort((ms, ns))
+        at = 0
+        while at < len(order):
+            n = m = 0
+            to = at
+            while to < len(order):
+                wider = max(n, ns[order[to]]), max(m, ms[order[to]])
+                if to > at and (to + 1 - at) * wider[0] * wider[1] > CELLS:
+                    break
+                (n, m), to = wider, to + 1
+            some, at = order[at:to], to
+            width = self.sequences[i[some[0]]].shape[1]
+            cost = costs(_padded([self.sequences[x] for x in i[some]], width), _padded([self.sequences[x] for x in j[some]], width))
+            inside = (np.arange(n)[None, :, None] < ns[some][:, None, None]) & (np.arange(m)[None, None, :] < ms[some][:, None, None])
+            bare = np.where(inside, cost, np.inf)
+            rows, columns = (np.where(np.isfinite(x := bare.min(axis=axis)), x, 0).sum(axis=1) for axis in (2, 1))
+            close = np.maximum(rows, columns) <= limit[some] * (1 + 1e-9)
+            some, cost = some[close], cost[close]
+            self.computed += len(some)
+            if not len(some):
+                continue
+            if self.band is not None:
+                cost[~_reached(ns[some], ms[some], n, m, self.band)] = np.inf
+            out[some] = ends_within(cost, ns[some], ms[some], limit[some] * (1 + 1e-9))
+        return out
+
+    def best(self, i: np.ndarray, j: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """Smallest distance (cost over n + m) of each group of pairs."""
+        size = np.array([len(self.sequences[a]) + len(self.sequences[b]) for a, b in zip(i, j, strict=True)])
+        whole = np.array([bool(len(self.sequences[a]) and len(self.sequences[b])) for a, b in zip(i, j, strict=True)], bool)
+        best = np.full(groups, np.inf)
+        i, j, group, size = i[whole], j[whole], group[whole], size[whole]
+        if not len(i):
+            return best
+        bound = self.bounds(i, j)
+        order = np.lexsort((bound / size, group))
+        i, j, group, size, bound = (x[order] for x in (i, j, group, size, bound))
+        take = 1
+        while len(i):
+            first = np.append(True, group[1:] != group[:-1])
+            number = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+            now = number < take
+            cost = self.refined(i[now], j[now], best[group[now]] * size[now])
+            np.minimum.at(best, group[now], cost / size[now])
+            left = ~now
+            left[left] = bound[left] / size[left] <= best[group[left]] * (1 + 1e-9)
+            i, j, group, size, bound, take = i[left], j[left], group[left], size[left], bound[left], take * 4
+        return best
+
+
+def nearest(queries: DataFrame, bank: DataFrame, band: float | None = None, targets: DataFrame | None = None, others: bool = False, block: int = 256) -> DataFrame:
+    """query, label_q, label, distance, met, computed: the smallest distance to each label's series, exactly (see ``_Nearest``).
+
+    A task hands on a row for each query and label; ``met`` pairs were there, for ``computed`` of them cumulated costs were begun. ``others``: a query does not meet itself.
+    """
+    kinds = [bank.schema[c].dataType.simpleString() for c in ("series", "label")]
+
+    def run(key, table):
+        rows, sequences, i, j = _group(table, others)
+        codes = rows.column("label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        pairs, group = np.unique(np.stack([i, codes[j]]), axis=1, return_inverse=True) if len(i) else (np.zeros((2, 0), np.int64), i)
+        group = group.reshape(-1)
+        some = _Nearest(sequences, band)
+        best = some.best(i, j, group, pairs.shape[1])
+        met = np.bincount(group, minlength=pairs.shape[1])
+        one = np.zeros(pairs.shape[1], np.int64)
+        one[:1] = some.computed  # the task's count stands with its first row
+        series, label = rows.column("series"), rows.column("label")
+        example = np.zeros(pairs.shape[1], np.int64)
+        example[group] = j
+        columns = [series.take(pa.array(pairs[0])), label.take(pa.array(pairs[0])), label.take(pa.array(example)), pa.array(best, pa.float64()), pa.array(met, pa.int64()), pa.array(one, pa.int64())]
+        return pa.table(columns, names=["query", "label_q", "label", "distance", "met", "computed"])
+
+    found = _blocks(queries, bank, targets, block).groupBy("of", "part", "slot").applyInArrow(run, f"query {kinds[0]}, label_q {kinds[1]}, label {kinds[1]}, distance double, met long, computed long")
+    return found.groupBy("query", "label_q", "label").agg(F.min("distance").alias("distance"), F.sum("met").alias("met"), F.sum("computed").alias("computed"))
+
+
+def summaries(queries: DataFrame, bank: DataFrame, band: float | None = None, block: int = 256) -> DataFrame:
+    """query, label_q, label, nearest, mean over all pairs; a task hands on a row for each query and label."""
+    kinds = [bank.schema[c].dataType.simpleString() for c in ("series", "label")]
+
+    def run(key, table):
+        rows, sequences, i, j = _group(table, False)
+        distance, _ = warp([sequences[x] for x in i], [sequences[y] for y in j], band)
+        series, label = rows.column("series"), rows.column("label")
+        named = pa.table([series.take(pa.array(i)), label.take(pa.array(i)), label.take(pa.array(j)), pa.array(distance, pa.float64())], names=["query", "label_q", "label", "d"])
+        g = named.group_by(["query", "label_q", "label"]).aggregate([("d", "min"), ("d", "sum"), ("d", "count")])
+        return g.select(["query", "label_q", "label", "d_min", "d_sum", "d_count"]).rename_columns(["query", "label_q", "label", "low", "total", "n"])
+
+    found = _blocks(queries, bank, None, block).groupBy("of", "part", "slot").applyInArrow(run, f"query {kinds[0]}, label_q {kinds[1]}, label {kinds[1]}, low double, total double, n long")
+    return found.groupBy("query", "label_q", "label").agg(F.min("low").alias("nearest"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def per_label(distances: DataFrame, mode: str = "min") -> DataFrame:
@@ -196,11 +367,6 @@ def per_label(distances: DataFrame, mode: str = "min") -> DataFrame:
     return distances.groupBy("query", "label_q", "label").agg((F.min if mode == "min" else F.avg)("distance").alias("distance"))
 
 
-def per_label_both(distances: DataFrame) -> DataFrame:
-    """query, label_q, label, nearest, mean in one aggregation, so that the distances are computed once."""
-    return distances.groupBy("query", "label_q", "label").agg(F.min("distance").alias("nearest"), F.avg("distance").alias("mean"))
-
-
 def ranked(labels: DataFrame) -> DataFrame:
     """Adds rank by distance within each query; ties go to the smaller label."""
     return labels.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "label")))

@@ -24,9 +24,14 @@ def clips(spark, sf_dir):
     return op.sequences(least, F.col("f"), "label")
 
 
-def _distances(spark, sf_dir, band=None, targets=None):
+def _sides(spark, sf_dir):
+    """Queries and bank."""
     c = clips(spark, sf_dir)
-    return op.distances(c.where("series % 5 = 4"), c.where("series % 5 < 4"), band, targets)
+    return c.where("series % 5 = 4"), c.where("series % 5 < 4")
+
+
+def _distances(spark, sf_dir, band=None):
+    return op.distances(*_sides(spark, sf_dir), band)
 
 
 def _near(df):
@@ -73,12 +78,12 @@ def dtw_path(spark, sf_dir):
 
 @query("d4_per_label", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean FROM d GROUP BY 1, 2")
 def per_label(spark, sf_dir):
-    return op.per_label_both(_distances(spark, sf_dir)).select("query", "label", F.round("nearest", 6).alias("nearest"), F.round("mean", 6).alias("mean"))
+    return op.summaries(*_sides(spark, sf_dir)).select("query", "label", F.round("nearest", 6).alias("nearest"), F.round("mean", 6).alias("mean"))
 
 
 @query("d5_rank_all", f"WITH {_ALL}, {_PER} SELECT query, label, rank FROM k")
 def rank_all(spark, sf_dir):
-    return op.ranked(_near(op.per_label(_distances(spark, sf_dir)))).select("query", "label", "rank")
+    return op.ranked(_near(op.nearest(*_sides(spark, sf_dir)))).select("query", "label", "rank")
 
 
 def _labels(spark, sf_dir):
@@ -87,8 +92,8 @@ def _labels(spark, sf_dir):
 
 @query("d6_target_distance", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS distance FROM d WHERE label = label_q GROUP BY 1, 2")
 def target_distance(spark, sf_dir):
-    d = _distances(spark, sf_dir, targets=_labels(spark, sf_dir).select(F.col("label").alias("label_q"), "label"))
-    return op.per_label(d).select("query", "label", F.round("distance", 6).alias("distance"))
+    d = op.nearest(*_sides(spark, sf_dir), targets=_labels(spark, sf_dir).select(F.col("label").alias("label_q"), "label"))
+    return d.select("query", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("d7_leave_one_out", f"""WITH {_CLIPS}, d AS (SELECT q.series AS query, r.label, min({_DTW.format(a='q.seq', b='r.seq')}) AS distance FROM clips q JOIN clips r ON q.series <> r.series AND q.series % 50 = 0 GROUP BY 1, 2)
@@ -96,14 +101,13 @@ SELECT query, label, round(distance, 6) AS distance FROM d""")
 def leave_one_out(spark, sf_dir):
     """The stated query set of searches, series divisible by 50, against all others."""
     c = clips(spark, sf_dir)
-    d = op.distances(c.where("series % 50 = 0"), c, others=True)
-    return op.per_label(d).select("query", "label", F.round("distance", 6).alias("distance"))
+    return op.nearest(c.where("series % 50 = 0"), c, others=True).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("d8_restricted_targets", f"WITH {_ALL} SELECT query, label, round(min(distance), 6) AS distance FROM d WHERE label = label_q OR label = (label_q + 1) % 10 GROUP BY 1, 2")
 def restricted_targets(spark, sf_dir):
     wanted = _labels(spark, sf_dir).select(F.col("label").alias("label_q"), F.explode(F.array("label", ((F.col("label") + 1) % 10).cast("int"))).alias("label")).distinct()
-    return op.per_label(_distances(spark, sf_dir, targets=wanted)).select("query", "label", F.round("distance", 6).alias("distance"))
+    return op.nearest(*_sides(spark, sf_dir), targets=wanted).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("d9_first_references", "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 5")

@@ -261,3 +261,35 @@ def test_label_segments_and_forced_alignment_by_brute_force(spark):
     segments = op.label_segments(labels.join(df.selectExpr("series", "size(target) parts"), "series"), F.col("parts"))
     got = {(r["series"], r["part"]): (r["start"], r["stop"]) for r in segments.collect()}
     assert got == {(k, p): (min(own), max(own) + 1) if (own := [t for t, x in enumerate(found[k] or []) if x == p]) else (0, 0) for k in parts for p in range(parts[k])}
+
+
+@pytest.mark.parametrize("band", [None, 2.0])
+@pytest.mark.parametrize("others", [False, True])
+def test_nearest_with_bounds_equals_all_pairs(spark, band, others):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(90):
+        centre = rng.normal(size=3) * 6 if k % 3 else np.zeros(3)
+        rows.append((k, k % 4, [(centre + x).tolist() for x in rng.normal(size=(int(rng.integers(0 if k % 17 == 0 else 1, 14)), 3)).cumsum(axis=0) * 0.3]))
+    rows += [(90, 1, rows[5][2]), (91, 2, rows[5][2])]  # equal series
+    df = spark.createDataFrame(rows, "series long, label int, seq array<array<double>>")
+    queries = df.where("series % 3 = 0 or series > 88")
+    for targets in (None, spark.createDataFrame([(a, b) for a in range(4) for b in (a, (a + 1) % 4)], "label_q int, label int")):
+        every = op.per_label(op.distances(queries, df, band, targets, others, block=20))
+        want = {(r["query"], r["label"]): r["distance"] for r in every.collect()}
+        found = op.nearest(queries, df, band, targets, others, block=20).collect()
+        got = {(r["query"], r["label"]): r["distance"] for r in found}
+        assert got.keys() == want.keys() and len(found) == len(want)
+        for k, d in want.items():
+            assert got[k] == d or abs(got[k] - d) < 1e-9
+        met, computed = sum(r["met"] for r in found), sum(r["computed"] for r in found)
+        assert met == op.distances(queries, df, band, targets, others, block=20).count()
+        assert computed < 0.8 * met
+    mean = {(r["query"], r["label"]): (r["nearest"], r["mean"]) for r in op.summaries(df.where("series between 1 and 16"), df.where("size(seq) > 0"), block=20).collect()}
+    plain = op.distances(df.where("series between 1 and 16"), df.where("size(seq) > 0"), block=20).groupBy("query", "label").agg(F.min("distance").alias("a"), F.avg("distance").alias("b"))
+    assert {k: pytest.approx(v) for k, v in mean.items()} == {(r["query"], r["label"]): (r["a"], r["b"]) for r in plain.collect()}
+
+
+def test_nearest_of_nothing(spark):
+    df = spark.createDataFrame([(1, 1, [[0.0]])], "series long, label int, seq array<array<double>>")
+    assert op.nearest(df, df, others=True).count() == 0 and op.nearest(df.limit(0), df).count() == 0 and op.nearest(df, df.limit(0)).count() == 0
