@@ -177,3 +177,28 @@ def partition_faults(points: DataFrame, regions: DataFrame) -> DataFrame:
     """idx, n: points that no region or more than one region covers."""
     g = regions.groupBy("idx").agg(F.count("*").alias("n"))
     return points.join(g, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+
+
+def clip_problems(clips: DataFrame, points: dict[str, int], extras: dict[str, int]) -> DataFrame:
+    """clip, problems (all that were found, joined by "; ", empty for a healthy clip) of stored clips, as expressions over their nested arrays.
+
+    ``clips`` has clip, backend, tag, keypoints (frames of points of coordinates), scores (frames of numbers) and extra (frames of numbers); ``points`` says how many points a
+    backend has, ``extras`` which backends must have extra numbers, and how many. A null array is missing; a clip without keypoints or scores has no other problem named.
+    """
+    lookup = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("backend"))
+    df = clips.withColumns({"_points": lookup(points), "_extra": lookup(extras)})
+    bad = "x -> x is null or isnan(x) or abs(x) = double('inf')"
+    rules = {
+        "points without two coordinates": "exists(keypoints, f -> exists(f, p -> size(p) <> 2))",
+        "no frames": "size(keypoints) = 0",
+        "keypoints and scores differ in frames": "size(keypoints) <> size(scores)",
+        "wrong number of points": "_points is null or exists(keypoints, f -> size(f) <> _points) or exists(scores, f -> size(f) <> _points)",
+        "keypoints not finite": f"exists(keypoints, f -> exists(f, p -> exists(p, {bad})))",
+        "scores not finite": f"exists(scores, f -> exists(f, {bad}))",
+        "extra missing": "_extra is not null and extra is null",
+        "extra of the wrong shape": "_extra is not null and (size(extra) <> size(keypoints) or exists(extra, f -> size(f) <> _extra))",
+        "extra not finite": f"_extra is not null and exists(extra, f -> exists(f, {bad}))",
+        "tag of another backend": "tag is not null and tag <> backend",
+    }
+    found = F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), text) for text, c in rules.items()])), "; ")
+    return df.select("clip", F.when(F.expr("keypoints is null or scores is null"), "missing arrays").otherwise(found).alias("problems"))

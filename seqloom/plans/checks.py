@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from seqloom.operators import checks as op
 from seqloom.plans.bind import table
 from seqloom.plans.registry import query
+from seqloom.sources.files import listed
+from seqloom.sources.store import discarded, fresh_path
 
 
 def _split(col):
@@ -42,6 +44,16 @@ def missing_files(spark, sf_dir):
     return op.missing(table(spark, sf_dir, "orders").select("o_orderkey"), present, "o_orderkey")
 
 
+@query("q4_missing_listed", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 397 = 0 AND source IS NOT NULL)")
+def missing_listed(spark, sf_dir):
+    """Sources that the documents name but that have no file: documents of some ids are written in a folder for each source, and the folders' files are listed."""
+    d, path = table(spark, sf_dir, "documents"), fresh_path(spark, "listed")
+    d.where("doc_id % 397 = 0").select("doc_id", "source").write.partitionBy("source").parquet(path)
+    name = F.regexp_extract("path", r"/source=([^/]+)/[^/]+$", 1)
+    present = listed(spark, discarded(spark, path)).where("length > 0").select(name.alias("source"))
+    return op.missing(d.where("source is not null").select("source").distinct(), present, "source")
+
+
 @query("q5_completeness", """SELECT doc_id, CASE WHEN l IS NULL THEN 'missing' WHEN d IS NULL THEN 'orphan' ELSE 'ok' END AS status
 FROM (SELECT DISTINCT doc_id, 1 AS d FROM documents WHERE doc_id % 3 < 2) FULL JOIN (SELECT DISTINCT doc_id, 1 AS l FROM labels) USING (doc_id)""")
 def completeness(spark, sf_dir):
@@ -56,6 +68,28 @@ def structural_checks(spark, sf_dir):
     return op.problems(d, ["doc_id"], rules)
 
 
+#: What is done to the clip of each number modulo 9, and what is found.
+_PLANTED = ("missing arrays", "points without two coordinates", "no frames", "keypoints and scores differ in frames", "wrong number of points", "keypoints not finite", "scores not finite", "extra of the wrong shape; tag of another backend", "")
+_FOUND = " ".join(f"WHEN {k} THEN '{text}'" for k, text in enumerate(_PLANTED))
+
+
+@query("q6_clip_checks", f"SELECT DISTINCT vec_id // 10 AS clip, CASE vec_id // 10 % 9 {_FOUND} END AS problems FROM embeddings")
+def clip_checks(spark, sf_dir):
+    """Ten embeddings are a clip of 32 points; a fault is planted in each of eight clips out of nine."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip"), (F.col("vec_id") % 10).alias("t"), e.alias("e"))
+    f = f.select("clip", F.struct("t", F.expr("transform(sequence(0, 31), i -> array(e[2 * i], e[2 * i + 1]))").alias("k"), F.expr("transform(sequence(0, 31), i -> abs(e[i]))").alias("s"), F.slice("e", 1, 52).alias("x")).alias("f"))
+    g = f.groupBy("clip").agg(F.array_sort(F.collect_list("f")).alias("f")).select("clip", (F.col("clip") % 9).alias("m"), F.col("f.k").alias("k"), F.col("f.s").alias("s"), F.col("f.x").alias("x"))
+    first = lambda new, column: F.expr(f"concat(array({new}), slice({column}, 2, 100))")
+    m = F.col("m")
+    k = F.when(m == 1, first("concat(array(array(1D, 2D, 3D)), slice(k[0], 2, 100))", "k")).when(m == 2, F.expr("slice(k, 1, 0)")).when(m == 4, first("slice(k[0], 2, 100)", "k"))
+    k = k.when(m == 5, first("concat(array(array(double('nan'), 0D)), slice(k[0], 2, 100))", "k")).when(m != 0, F.col("k"))
+    s = F.when(m == 2, F.expr("slice(s, 1, 0)")).when(m == 3, F.expr("slice(s, 2, 100)")).when(m == 6, first("concat(array(double('-inf')), slice(s[0], 2, 100))", "s")).otherwise(F.col("s"))
+    x = F.when(m == 2, F.expr("slice(x, 1, 0)")).when(m == 7, first("slice(x[0], 1, 51)", "x")).otherwise(F.col("x"))
+    clips = g.select("clip", F.lit("full").alias("backend"), F.when(m == 7, "small").when(m == 8, "full").alias("tag"), k.alias("keypoints"), s.alias("scores"), x.alias("extra"))
+    return op.clip_problems(clips, {"full": 32, "small": 17}, {"full": 52})
+
+
 _DRIFT = """e AS (SELECT source, mode(lang) AS lang, CASE WHEN max(n_chars) > 20000 THEN 'long' ELSE 'short' END AS kind FROM documents WHERE lang = 'en' AND source <> 'src3' GROUP BY source),
 r AS (SELECT doc_id, d.source, d.lang, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS kind FROM documents d),
 j AS (SELECT doc_id, r.source, CASE WHEN e.source IS NULL THEN '' ELSE concat_ws(',', CASE WHEN r.lang IS DISTINCT FROM e.lang THEN 'lang' END, CASE WHEN r.kind IS DISTINCT FROM e.kind THEN 'kind' END) END AS mismatches, e.source IS NULL AS unk FROM r LEFT JOIN e USING (source)),

@@ -17,7 +17,7 @@ from seqloom.plans.signal import rounded
 from seqloom.plans.verdict import _SUPPORT, _PARAMS, _attributes
 from seqloom.sources import files as op
 from seqloom.sources.package import ship
-from seqloom.sources.store import fresh_path
+from seqloom.sources.store import discarded, fresh_path
 
 
 @query("io1_read_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(CASE WHEN lang = 'fr' THEN replace(t, 'ou', '\u0153') ELSE t END) AS text_md5 FROM (SELECT *, replace(replace(text, chr(10), ' '), '\"', '') AS t FROM documents)")
@@ -129,9 +129,33 @@ def learner_state(spark, sf_dir):
     return op.load_state(spark, path, schema).unionByName(fresh)
 
 
+def _blob(spark, sf_dir):
+    """The parts' prices and sizes as a blob by brand."""
+    path = fresh_path(spark, "blob")
+    p = table(spark, sf_dir, "part").withColumn("v", F.array(F.col("p_retailprice"), F.col("p_size").cast("double")))
+    op.write_blob(p, "p_brand", ["p_partkey"], "v", path)
+    return discarded(spark, path)
+
+
 @query("io12_blob_index", "WITH g AS (SELECT p_brand, count(*) AS c FROM part GROUP BY 1) SELECT p_brand, CAST(coalesce(sum(c) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, c AS count FROM g")
 def blob_index(spark, sf_dir):
-    return op.blob_index(table(spark, sf_dir, "part"), "p_brand")
+    return op.blob_index(spark, _blob(spark, sf_dir)).withColumnRenamed("key", "p_brand")
+
+
+@query("io12_read_blob", """WITH o AS (SELECT CAST(row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS BIGINT) AS place, p_brand, CAST(p_retailprice AS FLOAT) AS price, p_size AS size FROM part), m AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT place, round(CAST(price AS DOUBLE), 3) AS price, size FROM o WHERE p_brand IN (SELECT p_brand FROM m)""")
+def read_blob(spark, sf_dir):
+    """The rows of the largest brand, read back by its offset."""
+    path = _blob(spark, sf_dir)
+    r = op.blob_index(spark, path).orderBy(F.desc("count"), "key").first()
+    return op.read_blob(spark, path, r["start"], r["count"], 2).select(F.col("at").alias("place"), F.round(F.col("v")[0].cast("double"), 3).alias("price"), F.col("v")[1].cast("int").alias("size"))
+
+
+@query("io14_coverage", "SELECT p_brand, count(*) FILTER (WHERE p_size = 50 AND p_retailprice > 1500) AS cases FROM part GROUP BY 1")
+def coverage(spark, sf_dir):
+    """Brands are declared; the large dear parts are the cases of a review."""
+    p = table(spark, sf_dir, "part")
+    return op.coverage(p.where("p_size = 50 and p_retailprice > 1500"), p, "p_brand")
 
 
 @query("io13_bundle_metadata", f"""WITH {_SUPPORT}, j AS (SELECT p_partkey, parameter, value, NOT m AND n >= 3 AS judged, m FROM l JOIN s USING (parameter, value))

@@ -23,11 +23,21 @@ LATIN_1 = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _UNDEFINED)
 WINDOWS = LATIN_1.encode("latin-1").decode("cp1252")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, url, length of all files below ``path`` that are not empty; no file is opened."""
+    return spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("url"), "length")
+
+
 def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """path, encoding of each file: UTF-8 where its bytes are valid, else windows-1252 where they are defined, else latin-1."""
-    files = spark.read.format("binaryFile").load(path)
-    odd = F.decode("content", "iso-8859-1").rlike(f"[{_UNDEFINED}]")
-    return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), ENCODINGS[0]).when(~odd, ENCODINGS[1]).otherwise(ENCODINGS[2]).alias("encoding"))
+    """path, encoding of each file that is not empty: UTF-8 where its bytes are valid, else windows-1252 where they are defined, else latin-1.
+
+    Lines are judged where they lie, and a file by its lines: a line break is never part of a longer UTF-8 character. So a file of any size is read in splits.
+    """
+    line = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("url"), "value")
+    odd = F.decode(F.col("value").cast("binary"), "iso-8859-1").rlike(f"[{_UNDEFINED}]")
+    judged = line.groupBy("url").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd).alias("odd"))
+    encoding = F.when(F.coalesce("utf8", F.lit(True)), ENCODINGS[0]).when(~F.col("odd"), ENCODINGS[1]).otherwise(ENCODINGS[2])
+    return listed(spark, path).join(judged, "url", "left").select("path", encoding.alias("encoding"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -205,11 +215,67 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}")
 
 
-def blob_index(rows: DataFrame, key: str) -> DataFrame:
-    """key, start, count: where each key's rows stand when all rows are laid out by key. Keys are classes, so the running sum is short."""
-    g = rows.groupBy(key).agg(F.count("*").alias("count"))
-    before = F.sum("count").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1))
-    return g.select(key, F.coalesce(before, F.lit(0)).alias("start"), "count")
+BLOB = "piece int, chunk int, first long, n long, content binary, runs array<struct<key: string, first: long, n: long>>"
+
+
+def write_blob(rows: DataFrame, key: str, order: list[str], vector: str, path: str, chunk_rows: int = 4096) -> None:
+    """Vectors (arrays of numbers, as long in every row) laid out by key and order: little-endian f32, one row after the other, in chunks, and an index by key.
+
+    The rows are dealt by ranges of key and order, and each task packs its range (a piece). Where a piece begins follows from the sizes of those before it, a row
+    for each piece, so the layout takes one pass over the rows and a running sum over the pieces. The index has key, start, count (rows); keys are strings.
+    """
+    ship(rows.sparkSession)
+    laid = rows.select(F.col(key).cast("string").alias("_key"), *order, F.col(vector).cast("array<float>").alias("_v"))
+    laid = laid.repartitionByRange("_key", *order).sortWithinPartitions("_key", *order).select("_key", "_v")
+    run_type = pa.list_(pa.struct([("key", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("piece", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("runs", run_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece, chunk, first = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk_rows):
+                part = batch.slice(at, chunk_rows)
+                keys, n = part.column("_key").to_pylist(), part.num_rows
+                content = part.column("_v").flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+                starts = [i for i in range(n) if not i or keys[i] != keys[i - 1]]
+                runs = [{"key": keys[s], "first": first + s, "n": e - s} for s, e in zip(starts, [*starts[1:], n], strict=True)]
+                columns = ([piece], [chunk], [first], [n], [content], [runs])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                chunk, first = chunk + 1, first + n
+
+    laid.mapInArrow(run, BLOB).write.parquet(f"{path}/pieces")
+    pieces = rows.sparkSession.read.schema(BLOB).parquet(f"{path}/pieces")
+    sizes = pieces.groupBy("piece").agg(F.sum("n").alias("size"))
+    sizes.select("piece", F.coalesce(F.sum("size").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")).write.parquet(f"{path}/before")  # a row for each piece
+    runs = pieces.select("piece", F.explode("runs").alias("r")).join(rows.sparkSession.read.parquet(f"{path}/before"), "piece")
+    index = runs.groupBy(F.col("r.key").alias("key")).agg(F.min(F.col("before") + F.col("r.first")).alias("start"), F.sum("r.n").alias("count"))
+    index.write.parquet(f"{path}/index")
+
+
+def blob_index(spark: SparkSession, path: str) -> DataFrame:
+    """key, start, count: where each key's rows stand in the whole."""
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_blob(spark: SparkSession, path: str, start: int, count: int, width: int) -> DataFrame:
+    """at (row of the whole), v (array of ``width``) of the ``count`` rows from ``start`` on; chunks outside the range are not handed to Python."""
+    ship(spark)
+    pieces = spark.read.schema(BLOB).parquet(f"{path}/pieces").join(spark.read.parquet(f"{path}/before"), "piece")
+    at = F.col("before") + F.col("first")
+    wanted = pieces.where((at < start + count) & (at + F.col("n") > start)).select(at.alias("at"), "content")
+    schema = pa.schema([("at", pa.int64()), ("v", pa.list_(pa.float32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column("at").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                v = np.frombuffer(content, "<f4").reshape(-1, width)
+                here = np.arange(first, first + len(v))
+                inside = (here >= start) & (here < start + count)
+                yield pa.RecordBatch.from_arrays([pa.array(here[inside]), pa.array(v[inside].tolist(), schema.field("v").type)], schema=schema)
+
+    return wanted.mapInArrow(run, "at long, v array<float>")
 
 
 def bundle_metadata(judged: DataFrame, key: str, multi: DataFrame) -> DataFrame:
@@ -225,6 +291,12 @@ def review_rows(cases: DataFrame, tokens: DataFrame, picks: DataFrame) -> DataFr
     return df.select("sentence_id", F.to_json(F.struct("reason", F.coalesce("glosses", F.expr("cast(array() as array<struct<place: int, gloss: string, video_id: bigint>>)")).alias("glosses")), {"ignoreNullFields": "false"}).alias("review"))
 
 
+def coverage(cases: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """key, cases of all declared ids: a review sheet without a case for one of them (0) is incomplete."""
+    counted = cases.groupBy(key).agg(F.count("*").alias("cases"))
+    return declared.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("cases", F.lit(0)).alias("cases"))
+
+
 def assemble_layout(detections: DataFrame, slots: int) -> DataFrame:
     """frame, kp, score: detections (frame, slot, ord, score, x, y, width, height, mirrored) laid out by slot in pixels.
 

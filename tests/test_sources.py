@@ -89,3 +89,49 @@ def test_hard_examples_and_lonely_labels(spark):
     got = {r["vec_id"]: (r["positive"], r["negative"]) for r in verdict.hard_examples(df).collect()}
     assert got[1] == (5.0, 1.0) and got[3] == (None, 1.0)
     assert [tuple(r) for r in verdict.lonely(df).collect()] == [(0, 1)]
+
+
+def test_encodings_of_a_file_in_many_splits(spark, tmp_path):
+    lines = b"".join(b"%d,caf\xc3\xa9\n" % i for i in range(3000))
+    (tmp_path / "good.csv").write_bytes(b"Code,Name\n" + lines)
+    (tmp_path / "late.csv").write_bytes(b"Code,Name\n" + lines + b"9,caf\xe9\n")
+    (tmp_path / "odd.csv").write_bytes(b"Code,Name\n9,\x9d\n" + lines)
+    (tmp_path / "none.csv").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = op.encodings(spark, str(tmp_path))
+        assert {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in found.collect()} == {"good.csv": "utf-8", "late.csv": "windows-1252", "odd.csv": "iso-8859-1"}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in op.listed(spark, str(tmp_path)).collect()} == {f: (tmp_path / f).stat().st_size for f in ("good.csv", "late.csv", "odd.csv")}
+
+
+def test_a_blob_is_read_back_by_offset(spark, tmp_path):
+    rows = [(f"k{(i * 7) % 5}" if i % 3 else "k1", i, [float(i), i / 2, -1.0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, i long, v array<double>").repartition(7)
+    path = str(tmp_path / "blob")
+    op.write_blob(df, "key", ["i"], "v", path, chunk_rows=16)
+    laid = [v for _, _, v in sorted(rows)]
+    index = {r["key"]: (r["start"], r["count"]) for r in op.blob_index(spark, path).collect()}
+    assert sum(n for _, n in index.values()) == 500
+    for key, (start, n) in index.items():
+        got = sorted((r["at"], list(r["v"])) for r in op.read_blob(spark, path, start, n, 3).collect())
+        assert got == [(start + k, laid[start + k]) for k in range(n)]
+        assert [v for _, v in got] == [v for k, _, v in sorted(rows) if k == key]
+    assert op.read_blob(spark, path, 500, 10, 3).count() == 0
+
+
+def test_each_fault_of_a_clip_is_found(spark):
+    good = [[[0.0, 1.0], [2.0, 3.0]]] * 3
+    score, extra = [[0.5, 1.0]] * 3, [[0.0]] * 3
+    nan, inf = float("nan"), float("inf")
+    clips = [
+        ("ok", "a", "a", good, score, extra, ""), ("ok b", "b", None, [[[0.0, 1.0]]] * 2, [[1.0]] * 2, None, ""), ("none", "a", None, None, score, extra, "missing arrays"),
+        ("flat", "a", None, [[[0.0], [1.0]]] * 3, score, extra, "points without two coordinates"), ("empty", "a", None, [], [], [], "no frames"), ("short", "a", None, good, score[:2], extra, "keypoints and scores differ in frames"),
+        ("k", "b", None, good, score, None, "wrong number of points"), ("nan", "a", None, [[[nan, 1.0], [2.0, 3.0]]] * 3, score, extra, "keypoints not finite"), ("inf", "a", None, good, [[inf, 1.0]] * 3, extra, "scores not finite"),
+        ("gone", "a", None, good, score, None, "extra missing"), ("wide", "a", "b", good, score, [[0.0, 1.0]] * 3, "extra of the wrong shape; tag of another backend"), ("odd", "a", None, good, score, [[nan]] * 3, "extra not finite"),
+        ("unknown", "c", None, good, score, extra, "wrong number of points"),
+    ]
+    df = spark.createDataFrame([c[:6] for c in clips], "clip string, backend string, tag string, keypoints array<array<array<double>>>, scores array<array<double>>, extra array<array<double>>")
+    assert {r["clip"]: r["problems"] for r in checks.clip_problems(df, {"a": 2, "b": 1}, {"a": 1}).collect()} == {c[0]: c[6] for c in clips}
