@@ -41,7 +41,7 @@ class Pipeline:
 
 def anchors(points: DataFrame, names: DataFrame) -> DataFrame:
     """Points with the anchor or region name that a dimension table (idx, name) gives them; a point may have several."""
-    return points.join(F.broadcast(names), "idx")  # a topology has a few hundred names
+    return points.join(names, "idx")
 
 
 def _zero(n: str) -> str:

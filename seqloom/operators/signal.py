@@ -149,7 +149,7 @@ def swap_test(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """left, right, same, crossed, swapped: mean distance between two sources for each pair of points, straight and crosswise."""
     two = b.select("series", "t", F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("score").alias("s2"))
     want = pairs.select("left", "right", F.explode(F.expr("transform(array(array(left, left, 0), array(right, right, 0), array(left, right, 1), array(right, left, 1)), p -> struct(p[0] as i, p[1] as j, p[2] = 1 as cross))")).alias("p")).select("left", "right", "p.*")
-    met = a.select("series", "t", "i", "x", "y", "score").join(F.broadcast(want), "i").join(two, ["series", "t", "j"]).where("score > 0 and s2 > 0")  # four rows for each pair of a topology's points
+    met = a.select("series", "t", "i", "x", "y", "score").join(want, "i").join(two, ["series", "t", "j"]).where("score > 0 and s2 > 0")  # four rows for each pair of a topology's points
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
     out = met.groupBy("left", "right").agg(F.avg(F.when(~F.col("cross"), d)).alias("same"), F.avg(F.when(F.col("cross"), d)).alias("crossed"))
     return out.withColumn("swapped", F.col("crossed") < F.col("same"))
