@@ -60,7 +60,10 @@ def dtw_scalar(spark, sf_dir):
     return pairs.select("series", F.round(op.scalar_dtw("a", "b"), 6).alias("distance"))
 
 
-@query("d2_dtw_banded")
+_BAND = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i::DOUBLE]), lambda p, x: list_reduce({b}, lambda c, y: list_append(c, CASE WHEN len(c) BETWEEN greatest(1, trunc(x[1] * (len({b}) / len({a})) - 2)) AND trunc(x[1] * (len({b}) / len({a})) + 2) + 1 THEN list_distance({a}[x[1]::INT], y) + least(p[len(c) + 1], p[len(c)], c[len(c)]) ELSE 'inf'::DOUBLE END), ['inf'::DOUBLE]), list_concat([0.0::DOUBLE], list_transform({b}, lambda y: 'inf'::DOUBLE)))[len({b}) + 1] / (len({a}) + len({b}))"
+
+
+@query("d2_dtw_banded", f"WITH {_CLIPS} SELECT q.series AS query, r.series AS series, round({_BAND.format(a='q.seq', b='r.seq')}, 6) AS distance FROM clips q JOIN clips r ON q.series % 5 = 4 AND r.series % 5 < 4")
 def dtw_banded(spark, sf_dir):
     return _distances(spark, sf_dir, band=2).select("query", "series", F.round("distance", 6).alias("distance"))
 
@@ -71,7 +74,15 @@ def _paths(spark, sf_dir):
     return op.align(pairs, paths=True)
 
 
-@query("d3_dtw_path")
+#: The table of cumulated costs of each pair of clips, and the path back from its end: the diagonal wins, then up.
+_TRACE = f"""{_CLIPS}, pr AS (SELECT a.series, a.seq AS a, b.seq AS b FROM clips a JOIN clips b ON b.series = a.series + 1),
+t AS (SELECT series, len(a) AS n, len(b) AS m, list_reduce(list_transform(a, lambda x: [x]), lambda p, x: list_append(p, list_reduce(b, lambda c, y: list_append(c, list_distance(x[1], y) + least(p[len(p)][len(c) + 1], p[len(p)][len(c)], c[len(c)])), ['inf'::DOUBLE])),
+  [list_concat([0.0::DOUBLE], list_transform(b, lambda y: 'inf'::DOUBLE))]) AS d FROM pr),
+r AS (SELECT series, n AS i, m AS j FROM t UNION ALL SELECT series, CASE WHEN diagonal <= up AND diagonal <= aside OR up <= aside THEN i - 1 ELSE i END, CASE WHEN diagonal <= up AND diagonal <= aside OR up > aside THEN j - 1 ELSE j END
+  FROM (SELECT r.*, d[i][j] AS diagonal, d[i][j + 1] AS up, d[i + 1][j] AS aside FROM r JOIN t USING (series) WHERE i > 1 OR j > 1))"""
+
+
+@query("d3_dtw_path", f"""WITH RECURSIVE {_TRACE} SELECT series, round(any_value(d[n + 1][m + 1] / (n + m)), 6) AS distance, CAST(count(*) AS INT) AS steps, string_agg((i - 1) || ':' || (j - 1), ',' ORDER BY i, j) AS path FROM r JOIN t USING (series) GROUP BY series""")
 def dtw_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("series", F.round("distance", 6).alias("distance"), F.size("path").alias("steps"), F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["i"], p["j"])), ",").alias("path"))
 
@@ -126,7 +137,7 @@ def reference_bank(spark, sf_dir):
     return long.unionByName(missing.select("label", F.lit(True).alias("missing")), allowMissingColumns=True).withColumn("z", F.round("z", 5))
 
 
-@query("d11_segments")
+@query("d11_segments", f"WITH RECURSIVE {_TRACE} SELECT series, (j - 1) // 5 AS part, CAST(min(i) - 1 AS INT) AS start, CAST(max(i) AS INT) AS stop FROM r GROUP BY 1, 2")
 def segments(spark, sf_dir):
     owner = clips(spark, sf_dir).select((F.col("series") - 1).alias("series"), F.posexplode("seq").alias("j", "f")).select("series", "j", F.expr("j div 5").alias("part"))
     p = _paths(spark, sf_dir)
@@ -201,12 +212,24 @@ def _forced(spark, sf_dir):
     return c.join(d, "series")
 
 
-@query("d17_forced_align")
+#: The best cumulated log probability of each state (classes with blanks around) after each frame, and the states back from the better of the last two.
+_FORCED = f"""{_GREEDY}, tg AS (SELECT series, seq, CASE WHEN coalesce(tokens, '') = '' THEN CAST([] AS INT[]) ELSE list_transform(string_split(tokens, ' '), lambda x: CAST(x AS INT)) END AS target FROM (SELECT vec_id // 10 AS series, array_agg(list_transform(CAST(embedding[1:6] AS DOUBLE[]), lambda v: v * 3) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1) JOIN tok USING (series)),
+u AS (SELECT *, list_transform(range(1, 2 * len(target) + 2), lambda s: CASE WHEN s % 2 = 1 THEN 0 ELSE target[s // 2] END) AS k FROM tg),
+p AS (SELECT series, target, k, len(seq) AS n, list_reduce(list_transform(seq[2:], lambda x: [x]), lambda p, x: list_append(p, list_transform(range(1, len(k) + 1), lambda s: x[1][k[s] + 1] + greatest(p[len(p)][s], CASE WHEN s > 1 THEN p[len(p)][s - 1] ELSE '-inf'::DOUBLE END,
+  CASE WHEN s > 2 AND k[s] <> 0 AND k[s] <> k[s - 2] THEN p[len(p)][s - 2] ELSE '-inf'::DOUBLE END))), [list_transform(range(1, len(k) + 1), lambda s: CASE WHEN s < 3 THEN seq[1][k[s] + 1] ELSE '-inf'::DOUBLE END)]) AS d FROM u),
+f AS (SELECT series, n AS t, CAST(CASE WHEN len(k) > 1 AND d[n][len(k) - 1] > d[n][len(k)] THEN len(k) - 1 ELSE len(k) END AS BIGINT) AS s FROM p WHERE greatest(d[n][len(k)], CASE WHEN len(k) > 1 THEN d[n][len(k) - 1] ELSE '-inf'::DOUBLE END) > '-inf'::DOUBLE
+  UNION ALL SELECT series, t - 1, CASE WHEN stay >= greatest(one, two) THEN s WHEN one >= two THEN s - 1 ELSE s - 2 END FROM (SELECT f.*, d[t - 1][s] AS stay, CASE WHEN s > 1 THEN d[t - 1][s - 1] ELSE '-inf'::DOUBLE END AS one,
+  CASE WHEN s > 2 AND k[s] <> 0 AND k[s] <> k[s - 2] THEN d[t - 1][s - 2] ELSE '-inf'::DOUBLE END AS two FROM f JOIN p USING (series) WHERE t > 1)),
+lb AS (SELECT series, t - 1 AS t, CASE WHEN s % 2 = 1 THEN -1 ELSE (s - 2) // 2 END AS label FROM f)"""
+
+
+@query("d17_forced_align", f"WITH RECURSIVE {_FORCED} SELECT series, string_agg(CAST(label AS VARCHAR), ' ' ORDER BY t) AS labels FROM p LEFT JOIN lb USING (series) GROUP BY series")
 def forced_align(spark, sf_dir):
     return op.forced_align(_forced(spark, sf_dir)).select("series", F.array_join(F.transform("labels", lambda k: k.cast("string")), " ").alias("labels"))
 
 
-@query("d18_label_segments")
+@query("d18_label_segments", f"""WITH RECURSIVE {_FORCED}, q AS (SELECT series, CAST(unnest(range(0, len(target))) AS INT) AS part FROM p)
+SELECT q.series, part, CAST(coalesce(min(t), 0) AS INT) AS start, CAST(coalesce(max(t) + 1, 0) AS INT) AS stop FROM q LEFT JOIN lb ON lb.series = q.series AND label = part GROUP BY 1, 2""")
 def label_segments(spark, sf_dir):
     rows = _forced(spark, sf_dir)
     labels = op.forced_align(rows).join(rows.select("series", F.size("target").alias("parts")), "series")

@@ -47,7 +47,21 @@ def capture_stream(spark, sf_dir):
     return g.select("series", "s.state", "s.n", "settle_index")
 
 
-@query("s2_degraded")
+def _degraded():
+    """The machine with its degraded mode in SQL, with what it is after each frame."""
+    e, deg = "(CASE WHEN s.n = 0 THEN 0.0::DOUBLE ELSE x.e1 END)", "(s.degraded OR (s.state <> 2 AND x.e1 IS NULL))"
+    quiet = f"(CASE WHEN {e} <= 120 THEN s.quiet + 1 ELSE 0 END)"
+    moving = f"greatest({e}, s.e1, s.e2) > 120"
+    state = f"(CASE WHEN s.state = 2 THEN 2 WHEN s.degraded THEN CASE WHEN least(s.n + 1, 30) >= 5 THEN 1 ELSE 0 END WHEN x.e1 IS NULL OR s.n = 0 THEN s.state WHEN s.state = 0 THEN CASE WHEN {moving} THEN 1 ELSE 0 END WHEN s.n + 1 >= 30 OR {quiet} >= 6 THEN 2 ELSE s.state END)"
+    n = f"(CASE WHEN s.state = 2 THEN s.n WHEN s.degraded THEN least(s.n + 1, 30) WHEN x.e1 IS NULL OR s.n = 0 THEN s.n + 1 WHEN s.state = 0 AND NOT {moving} THEN least(s.n + 1, 5) ELSE s.n + 1 END)"
+    kept = lambda new, old: f"CASE WHEN s.state = 2 OR {deg} THEN {old} ELSE {new} END"
+    step = f"{{'state': {state}, 'n': {n}, 'e1': {kept(e, 's.e1')}, 'e2': {kept('s.e1', 's.e2')}, 'quiet': {kept(quiet, 's.quiet')}, 'degraded': {deg}, 't': x.t, 'out': list_append(s.out, {{'t': x.t, 'state': {state}, 'n': {n}}})}}"
+    none = "CAST([] AS STRUCT(t BIGINT, state INT, n INT)[])"
+    make = lambda energy, t: f"{{'state': 0, 'n': 0, 'e1': {energy}, 'e2': 0.0::DOUBLE, 'quiet': 0, 'degraded': false, 't': {t}, 'out': {none}}}"
+    return f"list_reduce(array_agg({make('energy', 't')} ORDER BY ts, t), lambda s, x: {step}, {make('0.0::DOUBLE', '0::BIGINT')}).out"
+
+
+@query("s2_degraded", f"SELECT series, o.t AS t, o.state AS state, o.n AS n FROM (SELECT series, unnest({_degraded()}) AS o FROM (SELECT user_id AS series, ts, event_id AS t, CASE WHEN event_type <> 'error' THEN value END AS energy FROM events) GROUP BY series)")
 def degraded(spark, sf_dir):
     """The capture stream where errors have no energy: from a session's first error on, its machine is a plain window."""
     frames = _stream(spark, sf_dir).withColumn("energy", F.when(F.col("event_type") != "error", F.col("energy")))
