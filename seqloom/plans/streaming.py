@@ -40,10 +40,8 @@ def _stream(spark, sf_dir):
 @query("s1_capture_stream", f"WITH {FRAMES}, f AS (SELECT series, {_fold('6')} AS s FROM (SELECT series, ts, t AS k, event_id AS t, energy FROM frames) GROUP BY series) SELECT series, s.state AS state, s.n AS n, s.at AS settle_index FROM f".replace("ORDER BY t)", "ORDER BY k)").replace("CAST(NULL AS INT)", "CAST(NULL AS BIGINT)"))
 def capture_stream(spark, sf_dir):
     rows = feed.replayed(_stream(spark, sf_dir), lambda s: op.stream_states(s, LIMITS))
-    # a settled machine stays as it is; before that, frames are counted in order
-    last = F.max_by(F.struct("state", "n"), F.struct("at", "t"))
-    at = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("t"), F.col("ts").alias("at"))
-    g = rows.join(at, ["series", "t"]).groupBy("series").agg(last.alias("s"), F.min_by("t", F.when(F.col("state") == op.SETTLED, F.struct("at", "t"))).alias("settle_index"))
+    when = F.struct("us", "t")
+    g = rows.groupBy("series").agg(F.max_by(F.struct("state", "n"), when).alias("s"), F.min_by("t", F.when(F.col("state") == op.SETTLED, when)).alias("settle_index"))
     return g.select("series", "s.state", "s.n", "settle_index")
 
 

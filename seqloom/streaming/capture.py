@@ -115,7 +115,7 @@ def _timed(frames: DataFrame, *columns: str) -> DataFrame:
 
 
 def stream_states(frames: DataFrame, limits: Limits) -> DataFrame:
-    """The same over a stream (series, at, t, energy): the keyed state is a machine and the frames that the watermark has not passed."""
+    """The same over a stream (series, at, t, energy), with us, the frame's time in microseconds: the keyed state is a machine and the frames that the watermark has not passed."""
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):  # the end of the stream
@@ -124,17 +124,18 @@ def stream_states(frames: DataFrame, limits: Limits) -> DataFrame:
         m, held = tuple(m), [list(x) for x in (at, t, e)]
         out, held = let_go(held, arrived(parts), ["us", "t", "energy"], state.getCurrentWatermarkMs() * 1000)
         rows = []
-        for t, e in zip(out[1].tolist(), out[2].tolist(), strict=True):
+        for us, t, e in zip(*(c.tolist() for c in out), strict=True):
             m = advance(m, t, e, limits)
-            rows.append((key[0], t, m[0], m[1], m[2]))
+            rows.append((key[0], us, t, m[0], m[1], m[2]))
         state.update((*m, *held))
         wake(state, held[0])
-        yield pd.DataFrame(rows, columns=["series", "t", "state", "first", "n"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["series", "us", "t", "state", "first", "n"])
 
     # a missing energy is NaN in the state
     timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"))
     kept = f"{STATE}, at array<long>, t array<long>, energy array<double>"
-    return timed.groupBy("series").applyInPandasWithState(run, "series long, t long, state int, first long, n int", kept, "append", "EventTimeTimeout")
+    return timed.groupBy("series").applyInPandasWithState(run, "series long, us long, t long, state int, first long, n int", kept, "append", "EventTimeTimeout")
 
 
 def stream_captures(frames: DataFrame, limits: Limits) -> DataFrame:
