@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,32 +67,33 @@ def fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], st
     return rows.mapInArrow(run, schema)
 
 
-def affine(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, start: float) -> DataFrame:
+def affine(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, start: float, block: Column | None = None) -> DataFrame:
     """keys, value, n: from ``start``, each row in order makes x into ``keep * x + (1 - keep) * value``.
 
-    Such steps join to steps of the same kind: n rows are ``keep^n x + b``. Rows are dealt by ranges of key and order, so a long history is many
-    tasks; each task joins what it has of a key, and the pieces (a row for each key and task) are joined by a sum, weighted by the rows that come after.
+    Such steps join to steps of the same kind: n rows are ``keep^n x + b``. A long history is dealt to many tasks, by ranges of key and order, or by key and ``block`` where
+    that is given (a number that does not fall in the order; it saves looking at the rows for ranges first). Each task joins what it has of a key, and the
+    pieces, a row for each key and task or block, are joined by a sum, weighted by the rows that come after.
     """
     ship(df.sparkSession)
-    rows = df.select(*keys, *order, F.col(value).cast("double").alias("_v")).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = df.select(*keys, *order, F.col(value).cast("double").alias("_v"), (block if block is not None else F.lit(0)).cast("long").alias("_piece"))
+    if block is not None:
+        rows = rows.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", *order)
+    else:
+        rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_piece", F.spark_partition_id().cast("long"))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, _piece int, _n long, _b double"
+    schema = f"{kinds}, _piece long, _n long, _b double"
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        piece = TaskContext.get().partitionId()
-
         def told(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*((*key, piece, n, b) for key, n, b in found), strict=True)) if found else [()] * len(out_schema)
+            columns = list(zip(*((*name, n, b) for name, n, b in found), strict=True)) if found else [()] * len(out_schema)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-        held: tuple | None = None  # key, rows, b of the key that the last batch ended with
+        held: tuple | None = None  # key and piece, rows, b of what the last batch ended with
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            names = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "_piece"]), strict=True))
             v = batch.column("_v").to_numpy(zero_copy_only=False)
             starts = np.array([0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]])
             ends = np.append(starts[1:], len(names))

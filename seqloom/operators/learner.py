@@ -16,12 +16,15 @@ START, STEP = 0.5, 0.3
 EASE, EASE_LEAST, EASE_MOST, EASE_UP, EASE_DOWN = 2.5, 1.3, 3.0, 0.05, 0.2
 SECOND, LONGEST = 3, 40
 FLOOR, HIGH, REDIRECT = 0.05, 0.8, 0.5
+#: Orders that stand together in a piece of a history.
+PIECE = 65_536
 
 
 def mastery(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, mastery, attempts: exponential average of correct (1) and wrong (0), null skipped, from ``START``; a history may be of any length and is joined from pieces."""
     seen = attempts.where("correct is not null").select(*keys, "ord", F.col("correct").cast("double").alias("mastery"))
-    return affine(seen, keys, ["ord"], "mastery", 1 - STEP, START).withColumnRenamed("n", "attempts")
+    whole = attempts.schema["ord"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return affine(seen, keys, ["ord"], "mastery", 1 - STEP, START, F.expr(f"ord div {PIECE}") if whole else None).withColumnRenamed("n", "attempts")
 
 
 def item_mastery(parameters: DataFrame, items: DataFrame) -> DataFrame:

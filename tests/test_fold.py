@@ -14,12 +14,16 @@ from seqloom.operators.fold import affine, fold
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_affine_steps_join_to_the_plain_loop(spark, parts):
+@pytest.mark.parametrize("parts, piece", [(1, 65_536), (7, 10), (3, None)])
+def test_affine_steps_join_to_the_plain_loop(spark, parts, piece, monkeypatch):
     rng = random.Random(parts)
+    if piece:
+        monkeypatch.setattr(learner, "PIECE", piece)
     rows = [(k if k % 3 else 0, f"i{k % 2}", t, rng.random() < 0.6) for k in range(5) for t in range(rng.randint(1, 200))]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "learner long, item string, ord long, correct boolean").repartition(parts)
+    if piece is None:
+        df = df.withColumn("ord", F.col("ord") / 2)  # no whole numbers: dealt by ranges
     got = {(r["learner"], r["item"]): (r["mastery"], r["attempts"]) for r in learner.mastery(df, ["learner", "item"]).collect()}
     want = {}
     for who, item, _, correct in sorted(rows):
