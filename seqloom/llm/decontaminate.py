@@ -37,8 +37,11 @@ FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 3
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Names a row by its id and text, so that rows that share an id are told apart."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    """Names a row by its id and text (16 bytes), so that rows that share an id are told apart at any number of rows.
+
+    A digest of the id in digits, a mark for a null text and the text, so rows share a key only if id and text are the same.
+    """
+    return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":"), docs["text"]), F.lit("."))).cast("binary")))
 
 
 def words(text: bytes) -> list[bytes]:
@@ -79,7 +82,7 @@ def positional_index(docs: DataFrame, anchored) -> DataFrame:
 
     ``anchored`` is a broadcast map from an anchor to the word sets of its windows; with None, postings are of all words.
     """
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("postings", pa.list_(pa.struct([("word", pa.string()), ("positions", pa.list_(pa.int32()))])))])
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("postings", pa.list_(pa.struct([("word", pa.string()), ("positions", pa.list_(pa.int32()))])))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = anchored.value if anchored else None
@@ -105,7 +108,7 @@ def positional_index(docs: DataFrame, anchored) -> DataFrame:
             yield record_batch(schema, part.column("key"), part.column("doc_id"), sizes, postings)
 
     keyed = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(build, "key long, doc_id long, n_words long, postings array<struct<word: string, positions: array<int>>>")
+    return keyed.mapInArrow(build, "key binary, doc_id long, n_words long, postings array<struct<word: string, positions: array<int>>>")
 
 
 def phrase_matches(windows: DataFrame, postings: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def proximity(postings: DataFrame, left: str, right: str, within: int) -> DataFr
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """key (hash of id and text), doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
+    """key (see ``row_key``), doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
     spark = docs.sparkSession
     workers_see_package(spark)
     windows = stored(item_windows(benchmark, width).withColumn("window", F.xxhash64("window", "len")), "windows")

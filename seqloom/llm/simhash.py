@@ -45,16 +45,18 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row of ``docs`` (doc_id, text)."""
+    """doc_id, fp (the 64 bits as a signed long) for each row of ``docs`` (doc_id, text); ids are long, or binary as they are."""
     workers_see_package(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    digest = docs.schema["doc_id"].dataType.typeName() == "binary"
+    kind = "binary" if digest else "long"
+    schema = pa.schema([("doc_id", pa.binary() if digest else pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             marks = b"".join(fingerprint(t, width) for t in as_bytes(part.column("text")))
             yield record_batch(schema, part.column("doc_id"), np.frombuffer(marks, ">i8").astype(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def links_in_block(marks: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:

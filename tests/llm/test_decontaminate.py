@@ -72,3 +72,10 @@ def test_proximity(spark):
     lists = spark.createDataFrame([(1, "a", 0), (1, "b", 3), (1, "b", 9), (1, "a", 12), (2, "a", 5), (2, "b", 5 + 4)], "key long, word string, pos int")
     got = {tuple(r) for r in op.proximity(lists, "a", "b", 3).select("key", "left_pos", "right_pos").collect()}
     assert got == {(1, 0, 3), (1, 12, 9)}
+
+
+def test_row_keys_tell_ids_and_texts_apart(spark):
+    rows = [(None, None), (None, ""), (None, "."), (None, "1"), (1, None), (1, ""), (1, "."), (1, "1"), (11, ""), (11, None), (1, "x"), (None, "1:x"), (-1, "x")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    keys = [bytes(r["k"]) for r in docs.select(op.row_key(docs).alias("k")).collect()]
+    assert len(set(keys)) == len(rows) and keys[len(rows) :] == keys[:3] and {len(k) for k in keys} == {16}
