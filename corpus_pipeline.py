@@ -16,7 +16,7 @@ from seqloom.llm import bpe, decontaminate, pii, quality, simhash
 from seqloom.llm.common import discarded, fresh_path, stored, table
 
 
-#: Row keys (8 bytes each) that may be broadcast, so that the texts stay in place; with more, Spark joins by key.
+#: Row keys (16 bytes each) that may be broadcast, so that the texts stay in place; with more, Spark joins by key.
 BROADCAST_KEYS = 500_000
 
 
