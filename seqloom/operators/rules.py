@@ -41,9 +41,10 @@ def merge_phrases(tokens: DataFrame, phrases: dict[tuple[str, ...], str]) -> Dat
         hit = F.coalesce(hit, F.lit(False))
         found, size = F.when(hit, F.lit(name)).otherwise(found), F.when(hit, F.lit(len(words))).otherwise(size)
     df = tokens.withColumns({"_name": found, "_size": size, "_pos": F.row_number().over(by_order())})
-    starts = df.where("_name is not null").groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_size"))).alias("m"))
-    kept = F.expr("aggregate(m, named_struct('to', 0, 'k', cast(array() as array<struct<a: int, b: int>>)), (s, x) -> if(x._pos > s.to, named_struct('to', x._pos + x._size - 1, 'k', array_append(s.k, named_struct('a', x._pos, 'b', x._pos + x._size - 1))), s), s -> s.k)")
-    df = df.join(starts.select("sentence_id", kept.alias("k")), "sentence_id", "left").withColumn("k", F.coalesce("k", F.expr("cast(array() as array<struct<a: int, b: int>>)")))
+    # the sentence's matches stand beside each of its tokens, so the tokens are shuffled and sorted once
+    matches = F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_pos", "_size"))).over(W.partitionBy("sentence_id"))
+    kept = F.expr("aggregate(array_sort(m), named_struct('to', 0, 'k', cast(array() as array<struct<a: int, b: int>>)), (s, x) -> if(x._pos > s.to, named_struct('to', x._pos + x._size - 1, 'k', array_append(s.k, named_struct('a', x._pos, 'b', x._pos + x._size - 1))), s), s -> s.k)")
+    df = df.withColumn("m", matches).withColumn("k", kept).drop("m")
     begins, inside = F.exists("k", lambda x: x["a"] == F.col("_pos")), F.exists("k", lambda x: (F.col("_pos") > x["a"]) & (F.col("_pos") <= x["b"]))
     return df.where(~inside).withColumn("lemma", F.when(begins, F.col("_name")).otherwise(F.col("lemma"))).drop("_name", "_size", "_pos", "k")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import rules as op
 from seqloom.plans.bind import table
 from seqloom.plans.registry import query
+from seqloom.sources.store import stored
 
 _POS = ("NOUN", "VERB", "DET", "ADJ", "PUNCT", "INTJ", "ADV", "NOUN")
 _DEP = ("ROOT", "nsubj", "dobj", "neg", "advcl", "conj", "amod", "det", "relcl", "pobj", "prep", "punct", "advmod")
@@ -61,20 +63,36 @@ def _lexical(spark, sf_dir):
     return op.lexicalise(_merged(spark, sf_dir), lexicon(spark), _DROPPED)
 
 
-def _refused(spark, sf_dir):
-    return op.refusals(sentences(spark, sf_dir), op.scope(tokens(spark, sf_dir)), _lexical(spark, sf_dir))
+def _once(spark, sf_dir):
+    """The tokens with their outcomes, stored: several branches of a plan need them."""
+    return stored(_lexical(spark, sf_dir).select("sentence_id", "i", "text", "pos", "gloss", "outcome"), "lexical")
 
 
-def _typed(spark, sf_dir):
-    g = _lexical(spark, sf_dir).groupBy("sentence_id").agg(F.collect_list(F.when(F.col("outcome") == "kept", F.col("gloss"))).alias("glosses"))
-    df = g.join(sentences(spark, sf_dir), "sentence_id")
+def _refused(spark, sf_dir, lexical):
+    return op.refusals(sentences(spark, sf_dir), op.scope(tokens(spark, sf_dir)), lexical)
+
+
+def _type(glosses):
     asked = F.when(F.col("sentence_id") % 5 == 0, F.concat("english", F.lit("?"))).otherwise(F.col("english"))
-    return df.select("sentence_id", op.sentence_type(F.col("glosses"), asked, _WH).alias("type"))
+    return op.sentence_type(glosses, asked, _WH)
+
+
+def _typed(spark, sf_dir, lexical):
+    g = lexical.groupBy("sentence_id").agg(F.collect_list(F.when(F.col("outcome") == "kept", F.col("gloss"))).alias("glosses"))
+    df = g.join(sentences(spark, sf_dir), "sentence_id")
+    return df.select("sentence_id", _type(F.col("glosses")).alias("type"))
+
+
+def _ordered(spark, sf_dir, lexical):
+    whole = F.collect_list(F.when(F.col("outcome") == "kept", F.col("gloss"))).over(W.partitionBy("sentence_id"))
+    kept = lexical.withColumn("glosses", whole).where("outcome = 'kept'").join(sentences(spark, sf_dir), "sentence_id")
+    return op.reorder(kept.withColumn("type", _type(F.col("glosses"))).drop("glosses", "english"), _TIME, _WH)
 
 
-def _ordered(spark, sf_dir):
-    kept = _lexical(spark, sf_dir).where("outcome = 'kept'").join(_typed(spark, sf_dir), "sentence_id")
-    return op.reorder(kept, _TIME, _WH)
+def _negated(spark, sf_dir):
+    """The ordered glosses with whether their sentence is negated."""
+    lexical = _once(spark, sf_dir)
+    return _ordered(spark, sf_dir, lexical).join(_refused(spark, sf_dir, lexical).select("sentence_id", "negated"), "sentence_id")
 
 
 @query("r1_scope", f"WITH {_TOK}, {_SCOPE} SELECT sentence_id, problems FROM sc")
@@ -94,31 +112,29 @@ def lexicalise(spark, sf_dir):
 
 @query("r4_refusals", f"{_BASE} SELECT sentence_id, negated, n_kept, reason FROM ref")
 def refusals(spark, sf_dir):
-    return _refused(spark, sf_dir)
+    return _refused(spark, sf_dir, _lexical(spark, sf_dir))
 
 
 @query("r5_sentence_type", f"{_BASE}, {_TYPE} SELECT sentence_id, type FROM ty")
 def sentence_type(spark, sf_dir):
-    return _typed(spark, sf_dir)
+    return _typed(spark, sf_dir, _lexical(spark, sf_dir))
 
 
 @query("r6_reorder", f"{_BASE}, {_TYPE}, {_ORDER} SELECT sentence_id, i, gloss, place FROM od")
 def reorder(spark, sf_dir):
-    return _ordered(spark, sf_dir).select("sentence_id", "i", "gloss", "place")
+    return _ordered(spark, sf_dir, _lexical(spark, sf_dir)).select("sentence_id", "i", "gloss", "place")
 
 
 @query("r7_spans", f"""{_BASE}, {_TYPE}, {_ORDER}, g AS (SELECT sentence_id, type, negated, count(*) AS n, min(place) FILTER (WHERE pos = 'VERB') AS verb FROM od JOIN ref USING (sentence_id) GROUP BY 1, 2, 3)
 SELECT sentence_id, n, concat_ws(',', CASE type WHEN 'wh_question' THEN 'brow_furrow:0:' || n WHEN 'yes_no_question' THEN 'brow_raise:0:' || n END, CASE WHEN negated THEN 'headshake:' || coalesce(verb, 0) || ':' || n END) AS spans FROM g""")
 def spans(spark, sf_dir):
-    df = _ordered(spark, sf_dir).join(_refused(spark, sf_dir).select("sentence_id", "negated"), "sentence_id")
-    return op.spans(df)
+    return op.spans(_negated(spark, sf_dir))
 
 
 @query("r8_confidence", f"""{_BASE}, {_TYPE}, {_ORDER}, f AS (SELECT sentence_id, CAST(max(type) <> 'statement' AS INT) + CAST(bool_or(negated) AS INT) + CAST(bool_or(gloss IN ('G-that', 'G-on')) AS INT) AS f FROM od JOIN ref USING (sentence_id) GROUP BY 1)
 SELECT sentence_id, round(CASE WHEN f <= 1 THEN 1.0 ELSE greatest(0.4, 1 - 0.15 * (f - 1)) END, 6) AS confidence FROM f""")
 def confidence(spark, sf_dir):
-    df = _ordered(spark, sf_dir).join(_refused(spark, sf_dir).select("sentence_id", "negated"), "sentence_id")
-    g = df.groupBy("sentence_id").agg((F.max("type") != "statement").cast("int").alias("q"), F.bool_or("negated").cast("int").alias("n"), F.bool_or(F.col("gloss").isin(*_TIME)).cast("int").alias("t"))
+    g = _negated(spark, sf_dir).groupBy("sentence_id").agg((F.max("type") != "statement").cast("int").alias("q"), F.bool_or("negated").cast("int").alias("n"), F.bool_or(F.col("gloss").isin(*_TIME)).cast("int").alias("t"))
     return g.select("sentence_id", F.round(op.confidence(F.col("q") + F.col("n") + F.col("t")), 6).alias("confidence"))
 
 
@@ -126,8 +142,9 @@ def confidence(spark, sf_dir):
 SELECT sentence_id, CASE WHEN ok AND ix < len(g) THEN array_to_string(list_concat([g[ix + 1]], list_concat(g[1:ix], g[ix + 2:])), ' ') END AS glosses, CASE WHEN ok AND ix < len(g) THEN concat_ws(',', 'brow_raise:0:1', CASE WHEN type = 'wh_question' THEN 'brow_furrow:0:' || len(g) END) END AS spans,
  CASE WHEN NOT ok THEN 'out of scope' WHEN ix >= len(g) THEN 'no such place' END AS reason FROM q""")
 def topicalise(spark, sf_dir):
-    r = _refused(spark, sf_dir).select("sentence_id", (F.col("reason").isNull() | F.col("reason").startswith("unknown")).alias("in_scope"))
-    g = _ordered(spark, sf_dir).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gloss"))), lambda x: x["gloss"]).alias("glosses"), F.max("type").alias("type")).join(r, "sentence_id")
+    lexical = _once(spark, sf_dir)
+    r = _refused(spark, sf_dir, lexical).select("sentence_id", (F.col("reason").isNull() | F.col("reason").startswith("unknown")).alias("in_scope"))
+    g = _ordered(spark, sf_dir, lexical).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gloss"))), lambda x: x["gloss"]).alias("glosses"), F.max("type").alias("type")).join(r, "sentence_id")
     return op.topicalise(g, (F.col("sentence_id") % 4).cast("int"))
 
 
@@ -172,25 +189,25 @@ def pick_reference(spark, sf_dir):
 SELECT sentence_id, count(miss) = 0 AS ok, coalesce(string_agg(miss, '; ' ORDER BY place), '') AS reasons, CASE WHEN count(miss) = 0 THEN string_agg(CAST(video_id AS VARCHAR), ',' ORDER BY place) END AS clips FROM j GROUP BY 1""")
 def resolve_sequences(spark, sf_dir):
     c = _clips(spark, sf_dir)
-    return op.resolve_sequences(_ordered(spark, sf_dir), op.pick_reference(c), c.where("video_id % 3 <> 1"))
+    return op.resolve_sequences(_ordered(spark, sf_dir, _lexical(spark, sf_dir)), op.pick_reference(c), c.where("video_id % 3 <> 1"))
 
 
 @query("r15_playlist", f"""{_BASE}, {_TYPE}, {_ORDER}, {_CLIPS} SELECT sentence_id, place, video_id, CAST(sum(n_frames) OVER (PARTITION BY sentence_id ORDER BY place) - n_frames AS BIGINT) AS start, CAST(sum(n_frames) OVER (PARTITION BY sentence_id ORDER BY place) AS BIGINT) AS stop FROM od JOIN pk USING (gloss)""")
 def playlist(spark, sf_dir):
     c = _clips(spark, sf_dir)
     picked = op.pick_reference(c).join(c.select("video_id", "n_frames"), "video_id")
-    return op.playlist(_ordered(spark, sf_dir).join(picked, "gloss")).select("sentence_id", "place", "video_id", "start", "stop")
+    return op.playlist(_ordered(spark, sf_dir, _lexical(spark, sf_dir)).join(picked, "gloss")).select("sentence_id", "place", "video_id", "start", "stop")
 
 
 @query("r16_trace", f"""{_BASE} SELECT sentence_id, list_reduce(list_transform(list_filter([CASE WHEN negated THEN 'negated' END, n_kept || ' kept', CASE WHEN reason IS NOT NULL THEN 'refused, ' || reason END], lambda x: x IS NOT NULL), lambda x, k: k || '. ' || x), lambda a, x: a || chr(10) || x) AS trace FROM ref""")
 def trace(spark, sf_dir):
-    r = _refused(spark, sf_dir)
+    r = _refused(spark, sf_dir, _lexical(spark, sf_dir))
     return r.select("sentence_id", op.trace([F.when(F.col("negated"), "negated"), F.concat("n_kept", F.lit(" kept")), F.concat(F.lit("refused, "), "reason")]).alias("trace"))
 
 
 @query("r17_acceptance", f"""{_BASE} SELECT sentence_id, CASE WHEN reason LIKE 'unsupported%' THEN 'refused' WHEN NOT (english LIKE '% the %') THEN 'off_target' WHEN (sentence_id * 37) % 50 / 10 < 2.5 THEN 'nonsense' ELSE 'shown' END AS outcome FROM ref""")
 def acceptance(spark, sf_dir):
-    r = _refused(spark, sf_dir).join(sentences(spark, sf_dir), "sentence_id")
+    r = _refused(spark, sf_dir, _lexical(spark, sf_dir)).join(sentences(spark, sf_dir), "sentence_id")
     scoped = ~F.coalesce(F.col("reason").startswith("unsupported"), F.lit(False))
     return r.select("sentence_id", op.acceptance(scoped, F.contains("english", F.lit(" the ")), (F.col("sentence_id") * 37) % 50 / 10).alias("outcome"))
 
