@@ -77,19 +77,20 @@ def next_item(pool: DataFrame, last: DataFrame, contrast: DataFrame, seed: int)
 
     ``pool`` has learner, item, clock, is_due, mastery; ``last`` learner, item, field (of the last mistake, null without one);
     ``contrast`` item, field, partner. A contrast to the last mistake comes first if its partner is in the pool. Else the smallest
-    -ln(u) / weight among due items (all, if none is due) wins, which draws by weight; u hashes seed, learner, clock and item, so
-    that a rerun gives the same. A mastered choice is redirected to a partner half of the time.
+    -ln(u) / weight among due items (all, if none is due) wins, which draws by weight; u is the first 52 bits of the MD5 of seed, learner,
+    clock and item (joined by bars), so that a rerun, or SQL, gives the same. A mastered choice is redirected to a partner half of the time.
     """
     mine = last.join(contrast, ["item", "field"]).select("learner", F.col("partner").alias("item"))
     forced = mine.join(pool.select("learner", "item"), ["learner", "item"], "left_semi").groupBy("learner").agg(F.min("item").alias("forced"))
-    draw = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+    digest = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *[x.cast("string") for x in c]).cast("binary"))
+    draw = lambda *c: (F.conv(F.substring(digest(*c), 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
     weight = F.greatest(F.lit(FLOOR), F.lit(1.05) - F.col("mastery"))
     any_due = F.max(F.col("is_due").cast("int")).over(W.partitionBy("learner"))
     live = pool.withColumn("_any", any_due).where("is_due or _any = 0")
-    best = live.groupBy("learner").agg(F.min_by(F.struct("item", "mastery", "clock"), F.struct(-F.log(draw("learner", "clock", "item")) / weight, "item")).alias("b")).select("learner", "b.*")
+    best = live.groupBy("learner").agg(F.min_by(F.struct("item", "mastery", "clock"), F.struct(-F.log(draw(F.col("learner"), F.col("clock"), F.col("item"))) / weight, "item")).alias("b")).select("learner", "b.*")
     first = contrast.groupBy("item").agg(F.min_by("partner", "field").alias("partner"))
     turned = best.join(first, "item", "left").join(pool.select("learner", F.col("item").alias("partner"), F.lit(True).alias("there")), ["learner", "partner"], "left")
-    redirect = (F.col("mastery") >= HIGH) & F.coalesce("there", F.lit(False)) & (draw("learner", "clock", F.lit("turn")) < REDIRECT)
+    redirect = (F.col("mastery") >= HIGH) & F.coalesce("there", F.lit(False)) & (draw(F.col("learner"), F.col("clock"), F.lit("turn")) < REDIRECT)
     out = turned.join(forced, "learner", "left")
     return out.select("learner", F.when(F.col("forced").isNotNull(), F.col("forced")).when(redirect, F.col("partner")).otherwise(F.col("item")).alias("item"), F.when(F.col("forced").isNotNull(), "contrast").when(redirect, "redirect").otherwise("drawn").alias("reason"))
 

@@ -86,7 +86,16 @@ def partners(spark, sf_dir):
     return op.partners(_pairs(spark, sf_dir))
 
 
-@query("m9_next_item")
+_DRAW = "(CAST('0x' || substr(md5(concat_ws('|', 3, learner, clock, {0})), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE"
+_NEXT = f"""la AS (SELECT learner, item, CASE WHEN NOT correct THEN parameter END AS field FROM a QUALIFY row_number() OVER (PARTITION BY learner ORDER BY ord DESC) = 1),
+ct(item, field, partner) AS (VALUES ('click', 'p0', 'view'), ('view', 'p0', 'click'), ('signup', 'p1', 'purchase')), fi AS (SELECT item, arg_min(partner, field) AS partner FROM ct GROUP BY item),
+fo AS (SELECT la.learner, min(partner) AS forced FROM la JOIN ct USING (item, field) JOIN items ON items.learner = la.learner AND items.item = partner GROUP BY 1),
+lv AS (SELECT learner, item, clock, is_due, mastery, bool_or(is_due) OVER (PARTITION BY learner) AS any_due FROM du JOIN im USING (learner, item)),
+be AS (SELECT * FROM lv WHERE is_due OR NOT any_due QUALIFY row_number() OVER (PARTITION BY learner ORDER BY -ln({_DRAW.format('item')}) / greatest(0.05, 1.05 - mastery), item) = 1),
+tu AS (SELECT be.*, fi.partner, forced, mastery >= 0.8 AND there.item IS NOT NULL AND {_DRAW.format("'turn'").replace('learner', 'be.learner')} < 0.5 AS turn FROM be LEFT JOIN fi USING (item) LEFT JOIN fo USING (learner) LEFT JOIN items there ON there.learner = be.learner AND there.item = fi.partner)"""
+
+
+@query("m9_next_item", f"""WITH {_A}, {_M}, {_IM}, {_PASS}, {_SM2}, {_DUE}, {_NEXT} SELECT learner, CASE WHEN forced IS NOT NULL THEN forced WHEN turn THEN partner ELSE item END AS item, CASE WHEN forced IS NOT NULL THEN 'contrast' WHEN turn THEN 'redirect' ELSE 'drawn' END AS reason FROM tu""")
 def next_item(spark, sf_dir):
     a, items = _attempts(spark, sf_dir), _items(spark, sf_dir)
     passed = op.passes(a)

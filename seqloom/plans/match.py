@@ -126,11 +126,11 @@ def first_references(spark, sf_dir):
     return op.first_references(table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("series")), 5).select("label", F.col("series").alias("vec_id"))
 
 
-@query("d10_reference_bank", """WITH w AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 3 = 0 UNION SELECT 99), e AS (SELECT label, vec_id, embedding, unnest(range(0, 8)) AS col FROM embeddings WHERE vec_id % 5 < 4 AND label IN (SELECT label FROM w)),
+@query("d10_reference_bank", """WITH w AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 3 = 0 UNION SELECT 99), e AS (SELECT label, vec_id, embedding, unnest(range(0, len(embedding))) AS col FROM embeddings WHERE vec_id % 5 < 4 AND label IN (SELECT label FROM w)),
 v AS (SELECT label, vec_id, CAST(col AS INT) AS col, CAST(embedding[col + 1] AS DOUBLE) AS v FROM e), f AS (SELECT col, avg(v) AS m, stddev_pop(v) AS s FROM v GROUP BY col), z AS (SELECT label, vec_id, col, (v - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END AS z FROM v JOIN f USING (col))
 SELECT w.label, vec_id, col, round(z, 5) AS z, vec_id IS NULL AS missing FROM w LEFT JOIN z USING (label)""")
 def reference_bank(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("series"), (F.col("vec_id") % 5 < 4).alias("train"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("feat"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("series"), (F.col("vec_id") % 5 < 4).alias("train"), F.transform("embedding", lambda x: x.cast("double")).alias("feat"))
     wanted = e.where("series % 3 = 0").select("label").distinct().union(spark.createDataFrame([(99,)], "label int"))
     bank, missing = op.reference_bank(e, wanted)
     long = bank.select("label", F.col("series").alias("vec_id"), F.posexplode("feat").alias("col", "z"), F.lit(False).alias("missing"))
@@ -165,22 +165,23 @@ def align_and_grade(spark, sf_dir):
     return graded.withColumns({"distance": F.round("distance", 6), "confidence": F.round("confidence", 3)})
 
 
-@query("d13_compose", """WITH c AS (SELECT vec_id // 10 AS series, CAST(vec_id % 10 AS INT) AS t, embedding[1] AS f FROM embeddings), n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),
+@query("d13_compose", """WITH c AS (SELECT vec_id // 10 AS series, CAST(vec_id % 10 AS INT) AS t, embedding AS f FROM embeddings), n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),
 pl AS (SELECT series // 3 AS seq_id, series % 3 AS part, series AS source FROM n), o AS (SELECT seq_id, part, source, coalesce(sum(n) OVER (PARTITION BY seq_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pl JOIN n ON series = source)
-SELECT seq_id, CAST(off + t AS INT) AS t, part, source, round(CAST(f AS DOUBLE), 6) AS f FROM o JOIN c ON c.series = o.source""")
+SELECT seq_id, CAST(off + t AS INT) AS t, part, source, CAST(i AS INT) AS i, round(CAST(f[i + 1] AS DOUBLE), 6) AS f FROM (SELECT *, unnest(range(0, len(f))) AS i FROM o JOIN c ON c.series = o.source)""")
 def compose(spark, sf_dir):
-    c = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("series"), (F.col("vec_id") % 10).cast("int").alias("t"), F.round(F.col("embedding")[0].cast("double"), 6).alias("f"))
+    c = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("series"), (F.col("vec_id") % 10).cast("int").alias("t"), "embedding")
     playlist = c.select("series").distinct().select(F.expr("series div 3").alias("seq_id"), (F.col("series") % 3).alias("part"), F.col("series").alias("source"))
-    return op.compose(playlist, c).select("seq_id", "t", "part", "source", "f")
+    framed = op.compose(playlist, c).select("seq_id", "t", "part", "source", F.posexplode("embedding").alias("i", "f"))
+    return framed.withColumn("f", F.round(F.col("f").cast("double"), 6))
 
 
-_GREEDY = """g AS (SELECT vec_id // 10 AS series, vec_id % 10 AS t, list_position(embedding[1:6], list_max(embedding[1:6])) - 1 AS k FROM embeddings),
+_GREEDY = """g AS (SELECT vec_id // 10 AS series, vec_id % 10 AS t, list_position(embedding, list_max(embedding)) - 1 AS k FROM embeddings),
 w AS (SELECT *, lag(k) OVER (PARTITION BY series ORDER BY t) AS was FROM g), tok AS (SELECT series, coalesce(string_agg(CAST(k AS VARCHAR), ' ' ORDER BY t) FILTER (WHERE k <> 0 AND was IS DISTINCT FROM k), '') AS tokens FROM w GROUP BY series)"""
 
 
 def _decoded(spark, sf_dir):
     f = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("series"), (F.col("vec_id") % 10).alias("t"), "embedding")
-    return op.greedy_decode(f, F.slice("embedding", 1, 6))  # six values stand in for the scores of six classes
+    return op.greedy_decode(f, F.col("embedding"))  # each value is the score of a class
 
 
 @query("d14_greedy_decode", f"WITH {_GREEDY} SELECT series, tokens FROM tok")
@@ -188,16 +189,14 @@ def greedy_decode(spark, sf_dir):
     return _decoded(spark, sf_dir).select("series", F.array_join(F.transform("tokens", lambda k: k.cast("string")), " ").alias("tokens"))
 
 
-
-
-@query("d15_edit_distance", f"WITH {_GREEDY}, s AS (SELECT series, replace(tokens, ' ', '') AS c FROM tok) SELECT a.series, levenshtein(a.c, b.c) AS edits FROM s a JOIN s b ON b.series = a.series + 1")
+@query("d15_edit_distance", f"WITH {_GREEDY}, s AS (SELECT series, coalesce(array_to_string(list_transform(string_split(nullif(tokens, ''), ' '), lambda x: chr(CAST(x AS INT) + 40)), ''), '') AS c FROM tok) SELECT a.series, levenshtein(a.c, b.c) AS edits FROM s a JOIN s b ON b.series = a.series + 1")
 def edit_distance(spark, sf_dir):
     d = _decoded(spark, sf_dir)
     both = d.select("series", F.col("tokens").alias("a")).join(d.select((F.col("series") - 1).alias("series"), F.col("tokens").alias("b")), "series")
     return both.select("series", op.edit_distance("a", "b").cast("long").alias("edits"))
 
 
-@query("d16_word_error_rate", f"""WITH {_GREEDY}, s AS (SELECT series, replace(tokens, ' ', '') AS c FROM tok), e AS (SELECT levenshtein(a.c, b.c) / length(a.c) AS wer FROM s a JOIN s b ON b.series = a.series + 1 WHERE a.c <> '')
+@query("d16_word_error_rate", f"""WITH {_GREEDY}, s AS (SELECT series, coalesce(array_to_string(list_transform(string_split(nullif(tokens, ''), ' '), lambda x: chr(CAST(x AS INT) + 40)), ''), '') AS c FROM tok), e AS (SELECT levenshtein(a.c, b.c) / length(a.c) AS wer FROM s a JOIN s b ON b.series = a.series + 1 WHERE a.c <> '')
 SELECT count(*) AS n, round(avg(wer), 6) AS mean, round(quantile_cont(wer, 0.5), 6) AS median FROM e""")
 def word_error_rate(spark, sf_dir):
     d = _decoded(spark, sf_dir)
@@ -207,13 +206,13 @@ def word_error_rate(spark, sf_dir):
 
 
 def _forced(spark, sf_dir):
-    c = clips(spark, sf_dir).select("series", F.transform("seq", lambda x: F.transform(F.slice(x, 1, 6), lambda v: v * 3)).alias("probs"))
+    c = clips(spark, sf_dir).select("series", F.transform("seq", lambda x: F.transform(x, lambda v: v * 3)).alias("probs"))
     d = _decoded(spark, sf_dir).select("series", F.col("tokens").alias("target"))
     return c.join(d, "series")
 
 
 #: The best cumulated log probability of each state (classes with blanks around) after each frame, and the states back from the better of the last two.
-_FORCED = f"""{_GREEDY}, tg AS (SELECT series, seq, CASE WHEN coalesce(tokens, '') = '' THEN CAST([] AS INT[]) ELSE list_transform(string_split(tokens, ' '), lambda x: CAST(x AS INT)) END AS target FROM (SELECT vec_id // 10 AS series, array_agg(list_transform(CAST(embedding[1:6] AS DOUBLE[]), lambda v: v * 3) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1) JOIN tok USING (series)),
+_FORCED = f"""{_GREEDY}, tg AS (SELECT series, seq, CASE WHEN coalesce(tokens, '') = '' THEN CAST([] AS INT[]) ELSE list_transform(string_split(tokens, ' '), lambda x: CAST(x AS INT)) END AS target FROM (SELECT vec_id // 10 AS series, array_agg(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * 3) ORDER BY vec_id) AS seq FROM embeddings GROUP BY 1) JOIN tok USING (series)),
 u AS (SELECT *, list_transform(range(1, 2 * len(target) + 2), lambda s: CASE WHEN s % 2 = 1 THEN 0 ELSE target[s // 2] END) AS k FROM tg),
 p AS (SELECT series, target, k, len(seq) AS n, list_reduce(list_transform(seq[2:], lambda x: [x]), lambda p, x: list_append(p, list_transform(range(1, len(k) + 1), lambda s: x[1][k[s] + 1] + greatest(p[len(p)][s], CASE WHEN s > 1 THEN p[len(p)][s - 1] ELSE '-inf'::DOUBLE END,
   CASE WHEN s > 2 AND k[s] <> 0 AND k[s] <> k[s - 2] THEN p[len(p)][s - 2] ELSE '-inf'::DOUBLE END))), [list_transform(range(1, len(k) + 1), lambda s: CASE WHEN s < 3 THEN seq[1][k[s] + 1] ELSE '-inf'::DOUBLE END)]) AS d FROM u),

@@ -51,15 +51,15 @@ def self_excluded(spark, sf_dir):
     return op.nearest_by_label(e.where("vec_id % 50 = 0"), e, others=True).select("query", "label", F.round("distance", 6).alias("distance"))
 
 
-_LOGITS = "l AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS g FROM embeddings)"
+_LOGITS = "l AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS g FROM embeddings)"
 
 
-@query("e6_categorical_verdict", f"""WITH {_LOGITS}, p AS (SELECT vec_id, label, ['a', 'b', 'c', 'd'][list_position(g, list_max(g))] AS predicted, 1 / list_sum(list_transform(g, lambda x: exp(x - list_max(g)))) AS confidence FROM l)
-SELECT vec_id, predicted, round(confidence, 6) AS confidence, CASE WHEN label % 4 <> 3 THEN predicted = ['a', 'b', 'c', 'd'][label % 4 + 1] END AS correct FROM p""")
+@query("e6_categorical_verdict", f"""WITH {_LOGITS}, p AS (SELECT vec_id, label, 'c' || (list_position(g, list_max(g)) - 1) AS predicted, 1 / list_sum(list_transform(g, lambda x: exp(x - list_max(g)))) AS confidence FROM l)
+SELECT vec_id, predicted, round(confidence, 6) AS confidence, CASE WHEN label % 4 <> 3 THEN predicted = 'c' || label END AS correct FROM p""")
 def categorical_verdict(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).alias("g"))
-    target = F.get(F.array(*[F.lit(c) for c in "abcd"]), F.col("label") % 4)
-    return op.categorical_verdict(e, "g", list("abcd"), target, F.col("label") % 4 != 3).select("vec_id", "predicted", F.round("confidence", 6).alias("confidence"), "correct")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("g"))
+    target = F.concat(F.lit("c"), "label")  # each value is the logit of a class
+    return op.categorical_verdict(e, "g", [f"c{k}" for k in range(64)], target, F.col("label") % 4 != 3).select("vec_id", "predicted", F.round("confidence", 6).alias("confidence"), "correct")
 
 
 @query("e7_binary_verdict", """WITH p AS (SELECT vec_id, label, 1 / (1 + exp(-CAST(embedding[5] AS DOUBLE))) AS p FROM embeddings)
@@ -87,10 +87,10 @@ def merge_max(spark, sf_dir):
     return both.select("vec_id", F.round(F.aggregate(op.merge_max("a", "b"), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("e11_unit", "WITH s AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS x0, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS x7 FROM s")
+@query("e11_unit", "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, CAST(i AS INT) AS i, round(v[i + 1] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12), 6) AS x FROM (SELECT *, unnest(range(0, len(v))) AS i FROM s)")
 def unit(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v")).select("vec_id", op.unit("v").alias("u"))
-    return e.select("vec_id", F.round(F.col("u")[0], 6).alias("x0"), F.round(F.col("u")[7], 6).alias("x7"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(op.unit("embedding")).alias("i", "x"))
+    return e.withColumn("x", F.round("x", 6))
 
 
 @query("e12_hard_examples", f"""WITH {_EMB}, d AS (SELECT a.vec_id, a.label = b.label AS same, greatest(1e-6, list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id // 50 = b.vec_id // 50 AND a.vec_id <> b.vec_id),
