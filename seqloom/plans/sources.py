@@ -170,8 +170,9 @@ SELECT sentence_id, '{{"reason":' || coalesce('"' || reason || '"', 'null') || '
 def review_rows(spark, sf_dir):
     from seqloom.operators import rules as r
 
-    cases = rules._refused(spark, sf_dir).where("reason is null or reason not like 'unknown%'")
-    return op.review_rows(cases, rules._ordered(spark, sf_dir), r.pick_reference(rules._clips(spark, sf_dir)))
+    lexical = rules._once(spark, sf_dir)
+    cases = rules._refused(spark, sf_dir, lexical).where("reason is null or reason not like 'unknown%'")
+    return op.review_rows(cases, rules._ordered(spark, sf_dir, lexical), r.pick_reference(rules._clips(spark, sf_dir)))
 
 
 @query("io15_assemble_layout", """WITH d AS (SELECT l_orderkey AS frame, CASE WHEN l_tax > 0.06 AND l_suppkey % 3 = 1 THEN 2 WHEN l_tax > 0.06 AND l_suppkey % 3 = 2 THEN 1 ELSE l_suppkey % 3 END AS slot, l_discount AS score, l_quantity / 50 * 640 AS x FROM lineitem),

@@ -135,3 +135,15 @@ def test_each_fault_of_a_clip_is_found(spark):
     ]
     df = spark.createDataFrame([c[:6] for c in clips], "clip string, backend string, tag string, keypoints array<array<array<double>>>, scores array<array<double>>, extra array<array<double>>")
     assert {r["clip"]: r["problems"] for r in checks.clip_problems(df, {"a": 2, "b": 1}, {"a": 1}).collect()} == {c[0]: c[6] for c in clips}
+
+
+def test_review_query(spark, tmp_path):
+    """The registered query on sentences that are empty, null, refused or without a clip."""
+    from seqloom.plans.all import QUERIES, SQL
+    from tests.oracle import connect, of_spark, of_sql
+
+    texts = [(1, 1, "the of the. . xylo xylo"), (1, 2, None), (2, 1, "in the and the of on are"), (2, 2, "")]
+    spark.createDataFrame(texts, "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, 5 * k % 7) for k in range(1, 7)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = of_spark(QUERIES["io14_review_rows"](spark, str(tmp_path)))
+    assert got == of_sql(connect(str(tmp_path)), SQL["io14_review_rows"]) and len(got[1]) > 3
