@@ -71,19 +71,18 @@ _DIFF = " + ".join(f"CAST(x.{f} IS DISTINCT FROM y.{f} AS INT)" for f in _FIELDS
 _MP = f"mp AS (SELECT x.p_partkey AS a, y.p_partkey AS b, CASE {' '.join(f'''WHEN x.{f} IS DISTINCT FROM y.{f} THEN '{f}' ''' for f in _FIELDS)} END AS field FROM p x JOIN p y ON x.p_partkey < y.p_partkey AND {_DIFF} = 1)"
 
 
-def _pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size <= 40").select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_size") % 5).alias("size"), (F.col("p_retailprice") > 1000).alias("dear"))
-    return checks.minimal_pairs(p, "p_partkey", _FIELDS)
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_size <= 40").select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_size") % 5).alias("size"), (F.col("p_retailprice") > 1000).alias("dear"))
 
 
 @query("m7_minimal_pairs", f"WITH {_PARTS}, {_MP} SELECT a, b, field FROM mp")
 def minimal_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir)
+    return checks.minimal_pairs(_parts(spark, sf_dir), "p_partkey", _FIELDS)
 
 
 @query("m8_partners", f"WITH {_PARTS}, {_MP}, u AS (SELECT a AS item, field, b AS partner, a, b FROM mp UNION ALL SELECT b, field, a, a, b FROM mp) SELECT item, field, partner FROM u QUALIFY row_number() OVER (PARTITION BY item, field ORDER BY a, b) = 1")
 def partners(spark, sf_dir):
-    return op.partners(_pairs(spark, sf_dir))
+    return checks.first_partners(_parts(spark, sf_dir), "p_partkey", _FIELDS)
 
 
 _DRAW = "(CAST('0x' || substr(md5(concat_ws('|', 3, learner, clock, {0})), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE"

@@ -137,6 +137,34 @@ def test_each_fault_of_a_clip_is_found(spark):
     assert {r["clip"]: r["problems"] for r in checks.clip_problems(df, {"a": 2, "b": 1}, {"a": 1}).collect()} == {c[0]: c[6] for c in clips}
 
 
+def test_minimal_pairs_in_blocks(spark, monkeypatch):
+    """Against all pairs: nulls, copies, groups of several blocks; partners are the first of the pairs. Nothing is broadcast from the driver."""
+    from seqloom.operators import learner
+
+    monkeypatch.setattr(checks, "BLOCK", 4)
+    rows = [(k, k % 3, None if k % 5 == 0 else k % 2, "c" if k % 7 else None, k * k % 4) for k in range(60)] + [(None, 1, 1, "c", 1)]
+    df = spark.createDataFrame(rows, "id long, f int, g int, h string, e int")
+    for exempt, spared in ((None, ()), ({"f": "e"}, ("e",))):
+        want = []
+        for x in rows[:-1]:
+            for y in rows[:-1]:
+                differ = {n for n, a, b in zip("fghe", x[1:], y[1:], strict=True) if a != b}
+                want += [(x[0], y[0], n) for n in "fghe" if x[0] < y[0] and n in differ and differ - {n} <= ({*spared} if n == "f" else set())]
+        pairs = checks.minimal_pairs(df, "id", ["f", "g", "h", "e"], exempt)
+        assert sorted(map(tuple, pairs.collect())) == sorted(want)
+        first = checks.first_partners(df, "id", ["f", "g", "h", "e"], exempt)
+        assert sorted(map(tuple, first.collect())) == sorted(map(tuple, learner.partners(pairs).collect()))
+        for made in (pairs, first):
+            assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partners_of_keys_that_stand_twice(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "a", 0), (3, "b", 0)], "id long, f string, g int")
+    from seqloom.operators import learner
+
+    assert sorted(map(tuple, checks.first_partners(df, "id", ["f", "g"]).collect())) == sorted(map(tuple, learner.partners(checks.minimal_pairs(df, "id", ["f", "g"])).collect()))
+
+
 def test_review_query(spark, tmp_path):
     """The registered query on sentences that are empty, null, refused or without a clip."""
     from seqloom.plans.all import QUERIES, SQL
