@@ -131,15 +131,17 @@ def resumed_motion(frames: DataFrame, threshold: float, after: Column, before: C
     return frames.select("series").distinct().join(longest, "series", "left").select("series", (F.coalesce("k", F.lit(0)) >= least).alias("resumed"))
 
 
-def source_comparison(a: DataFrame, b: DataFrame, suspicious: float = 0.5) -> DataFrame:
+def source_comparison(a: DataFrame, b: DataFrame, suspicious: float = 0.5, whole: bool = True) -> DataFrame:
     """region, n, mean, median, p90, suspicious: distance of the same points in two sources, over the width of the first.
 
-    ``a`` and ``b`` have series, t, region, i, x, y, score; ``a`` also width. Series whose frame counts differ are left out.
+    ``a`` and ``b`` have series, t, region, i, x, y, score; ``a`` also width. Series whose frame counts differ are left out if ``whole``; else
+    all frames that both sources have are compared.
     """
-    size = lambda df, name: df.groupBy("series").agg(F.max("t").alias(name))
-    same = size(a, "n1").join(size(b, "n2"), "series").where("n1 = n2").select("series")
     other = b.select("series", "t", "i", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("score").alias("s2"))
-    both = a.join(same, "series", "left_semi").join(other, ["series", "t", "i"]).where("score > 0 and s2 > 0 and width > 1e-6")
+    if whole:
+        size = lambda df, name: df.groupBy("series").agg(F.max("t").alias(name))
+        a = a.join(size(a, "n1").join(size(b, "n2"), "series").where("n1 = n2").select("series"), "series", "left_semi")
+    both = a.join(other, ["series", "t", "i"]).where("score > 0 and s2 > 0 and width > 1e-6")
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) / F.col("width")
     out = both.select("region", d.alias("d")).groupBy("region").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"))
     return out.withColumn("suspicious", F.col("mean") > suspicious)

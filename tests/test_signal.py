@@ -94,3 +94,12 @@ def test_fixed_length_and_standardizer(spark):
     assert {r["col"]: r["std"] for r in fit.collect()}[1] == 1.0
     out = np.array([r["feat"] for r in geometry.standardize(f, fit).collect()])
     assert out.mean(axis=0) == pytest.approx([0, 0]) and out.std(axis=0)[0] == pytest.approx(1)
+
+
+def test_source_comparison_with_a_short_series(spark, sf, tmp_path):
+    """The last series has six frames, its neighbour ten: as in the SQL, the six count."""
+    from seqloom.plans.all import QUERIES, SQL
+    from tests.oracle import connect, of_spark, of_sql
+
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 36").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert of_spark(QUERIES["t14_source_comparison"](spark, str(tmp_path))) == of_sql(connect(str(tmp_path)), SQL["t14_source_comparison"])
