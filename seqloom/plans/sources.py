@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,19 +80,28 @@ def to_do(spark, sf_dir):
     return op.to_do(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey", limit=500)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """attempt, content, meta of series with x, an array of t, energy, p."""
+    for batch in batches:
+        # an attempt's numbers are read where they lie in the batch; a few attempts are handed on together
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            content, meta = [], []
+            for x in part.column("x"):
+                n, (t, energy, p) = len(x), x.values.flatten()
+                p = p.to_numpy()
+                kp = np.stack([energy.to_numpy(zero_copy_only=False), np.full(n, -1.0)], axis=1)
+                content.append(op.pack_attempt(t.to_numpy() / 25, kp, p, p))
+                meta.append(json.dumps({"format": op.FORMAT, "n_frames": n, "n_keypoints": 1}))
+            names = pa.array([f"u{s}" for s in part.column("series").to_pylist()])
+            yield pa.RecordBatch.from_arrays([names, pa.array(content, pa.binary()), pa.array(meta)], ["attempt", "content", "meta"])
+
+
 def _blobs(spark, sf_dir):
     """Each user's events as one binary attempt of one point a frame."""
     ship(spark)
     g = frames(spark, sf_dir).select("series", "t", "energy", F.col("present").cast("int").alias("p")).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "energy", "p"))).alias("x"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            content = [op.pack_attempt([f["t"] / 25 for f in r["x"]], [[[f["energy"], -1.0]] for f in r["x"]], [[float(f["p"])] for f in r["x"]], [f["p"] for f in r["x"]]) for r in rows]
-            meta = [json.dumps({"format": op.FORMAT, "n_frames": len(r["x"]), "n_keypoints": 1}) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([f"u{r['series']}" for r in rows]), pa.array(content, pa.binary()), pa.array(meta)], ["attempt", "content", "meta"])
-
-    return g.mapInArrow(pack, "attempt string, content binary, meta string")
+    return g.mapInArrow(_packed, "attempt string, content binary, meta string")
 
 
 @query("io8_binary_attempts", f"WITH {FRAMES} SELECT 'u' || series AS attempt, t, round(t / 25, 6) AS time, CAST(present AS INT) AS state, round(CAST(CAST(energy AS FLOAT) AS DOUBLE), 4) AS x FROM frames WHERE series % 10 <> 0")

@@ -175,11 +175,15 @@ def decode_attempts(blobs: DataFrame, done: DataFrame | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
                 times, kp, score, state = unpack_attempt(row["content"], json.loads(row["meta"]))
-                n = len(times)
-                data = [[row["attempt"]] * n, range(n), times, state.astype(int), [[{"x": x, "y": y} for x, y in f] for f in kp.tolist()], score.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], ["attempt", "t", "time", "state", "kp", "score"])
+                n, k = score.shape
+                # lists by their offsets: no object for each point
+                at = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+                point = pa.StructArray.from_arrays([pa.array(kp[:, :, c].reshape(-1), pa.float32()) for c in (0, 1)], ["x", "y"])
+                lists = [pa.ListArray.from_arrays(at, x) for x in (point, pa.array(score.reshape(-1), pa.float32()))]
+                data = [pa.repeat(row["attempt"], n), pa.array(np.arange(n, dtype=np.int32)), pa.array(times), pa.array(state.astype(np.int32)), *lists]
+                yield pa.RecordBatch.from_arrays([d.cast(k) for d, k in zip(data, kinds, strict=True)], ["attempt", "t", "time", "state", "kp", "score"])
 
     return rows.select("attempt", "content", "meta").mapInArrow(run, ATTEMPT)
 

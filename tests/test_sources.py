@@ -165,6 +165,30 @@ def test_partners_of_keys_that_stand_twice(spark):
     assert sorted(map(tuple, checks.first_partners(df, "id", ["f", "g"]).collect())) == sorted(map(tuple, learner.partners(checks.minimal_pairs(df, "id", ["f", "g"])).collect()))
 
 
+def test_attempts_are_packed_without_an_object_for_each_frame():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from seqloom.plans.sources import _packed
+
+    n, k = 2000, 200
+    x = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(np.arange(n * k) / 8), pa.array(np.arange(n * k, dtype=np.int32) % 2)], ["t", "energy", "p"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), x)], ["series", "x"])
+    tracemalloc.start()
+    last = None
+    for last in _packed(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    row = last.slice(last.num_rows - 1).to_pylist()[0]
+    times, kp, score, state = op.unpack_attempt(row["content"], json.loads(row["meta"]))
+    assert row["attempt"] == "u1999" and times.tolist() == [t / 25 for t in range(k)] and kp[-1].tolist() == [[(n * k - 1) / 8, -1.0]]
+    assert score[:, 0].tolist() == state.tolist() == [t % 2 for t in range(k)]
+
+
 def test_review_query(spark, tmp_path):
     """The registered query on sentences that are empty, null, refused or without a clip."""
     from seqloom.plans.all import QUERIES, SQL
