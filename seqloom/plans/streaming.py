@@ -9,6 +9,7 @@ from seqloom.plans.bind import FRAMES, frames, table
 from seqloom.plans.learner import _A, _M, _PASS, _SM2
 from seqloom.plans.registry import query
 from seqloom.plans.signal import rounded
+from seqloom.sources.store import stored
 from seqloom.streaming import admission, feed, live_learner
 from seqloom.streaming import capture as op
 
@@ -135,7 +136,8 @@ def gradable(spark, sf_dir):
     kinds = F.broadcast(_kinds(spark, sf_dir))  # a row for each event type
     log = feed.fresh_path(spark, "verdicts")
     grade = _nearest_kind(kinds)
-    step = lambda rows, number: op.graded(rows, grade).write.mode("overwrite").parquet(f"{log}/trigger={number}")
+    # a trigger's captures are read twice: stored, the stream's step runs once
+    step = lambda rows, number: op.graded(stored(rows, "captures"), grade).write.mode("overwrite").parquet(f"{log}/trigger={number}")
     feed.replayed(_stream(spark, sf_dir).withColumn("f", F.array("energy")), lambda s: op.stream_captures(s, LIMITS), step=step)
     return op.verdicts(spark.read.parquet(feed.discarded(spark, log))).select("series", "n", "label", "distance", "stale")
 

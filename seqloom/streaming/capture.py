@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.fold import fold
 from seqloom.sources.package import ship
-from seqloom.streaming.feed import arrived, let_go, wake
+from seqloom.streaming.feed import arrived, let_go, together, wake
 
 IDLE, ACTIVE, SETTLED = 0, 1, 2
 
@@ -43,7 +43,9 @@ class Limits:
 #: state, first frame, frames, last energy, the one before, quiet frames, degraded
 Machine = tuple[int, int, int, float, float, int, bool]
 FRESH: Machine = (IDLE, 0, 0, 0.0, 0.0, 0, False)
-STATE = "state int, first long, n int, e1 double, e2 double, quiet int, degraded boolean"
+#: The machines of the sessions that share a state.
+STATE = "series array<long>, state array<int>, first array<long>, n array<int>, e1 array<double>, e2 array<double>, quiet array<int>, degraded array<boolean>"
+_PARTS = len(FRESH) + 1
 
 
 def advance(m: Machine, t: int, energy: float | None, limits: Limits) -> Machine:
@@ -114,84 +116,86 @@ def _timed(frames: DataFrame, *columns: str) -> DataFrame:
     return frames.select("series", "at", F.unix_micros("at").alias("us"), F.col("t").cast("long").alias("t"), *columns)
 
 
+def _machines(kept: list) -> dict[int, Machine]:
+    return {s: tuple(m) for s, *m in zip(*kept, strict=True)}
+
+
+def _columns(machines: dict[int, Machine]) -> list[list]:
+    return [list(c) for c in zip(*((s, *m) for s, m in machines.items()), strict=True)] if machines else [[] for _ in range(_PARTS)]
+
+
 def stream_states(frames: DataFrame, limits: Limits) -> DataFrame:
-    """The same over a stream (series, at, t, energy), with us, the frame's time in microseconds: the keyed state is a machine and the frames that the watermark has not passed."""
+    """The same over a stream (series, at, t, energy), with us, the frame's time in microseconds: the keyed state is the machines of a few sessions and the frames that the watermark has not passed."""
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):  # the end of the stream
             return
-        *m, at, t, e = state.get if state.exists else (*FRESH, [], [], [])
-        m, held = tuple(m), [list(x) for x in (at, t, e)]
-        out, held = let_go(held, arrived(parts), ["us", "t", "energy"], state.getCurrentWatermarkMs() * 1000)
+        kept = [list(x) for x in state.get] if state.exists else [[] for _ in range(_PARTS + 4)]
+        machines = _machines(kept[:_PARTS])
+        out, held = let_go(kept[_PARTS:], arrived(parts), ["us", "t", "energy", "series"], state.getCurrentWatermarkMs() * 1000, "series")
         rows = []
-        for us, t, e in zip(*(c.tolist() for c in out), strict=True):
-            m = advance(m, t, e, limits)
-            rows.append((key[0], us, t, m[0], m[1], m[2]))
-        state.update((*m, *held))
+        for us, t, e, s in zip(*(c.tolist() for c in out), strict=True):
+            m = machines[s] = advance(machines.get(s, FRESH), t, e, limits)
+            rows.append((s, us, t, m[0], m[1], m[2]))
+        state.update((*_columns(machines), *held))
         wake(state, held[0])
         if rows:
             yield pd.DataFrame(rows, columns=["series", "us", "t", "state", "first", "n"])
 
     # a missing energy is NaN in the state
-    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"))
-    kept = f"{STATE}, at array<long>, t array<long>, energy array<double>"
-    return timed.groupBy("series").applyInPandasWithState(run, "series long, us long, t long, state int, first long, n int", kept, "append", "EventTimeTimeout")
+    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy")).withColumn("_set", together("series"))
+    kept = f"{STATE}, at array<long>, t array<long>, energy array<double>, of array<long>"
+    return timed.groupBy("_set").applyInPandasWithState(run, "series long, us long, t long, state int, first long, n int", kept, "append", "EventTimeTimeout")
 
 
 def stream_captures(frames: DataFrame, limits: Limits) -> DataFrame:
     """series, t, state, n, width, f, reset after each trigger that let frames of a session go: its buffer as it stands then.
 
     ``frames`` has series, at, t, energy, f (array of doubles, as long in every frame) and reset. A row with reset is no frame: it empties the buffer.
-    f holds the n buffered frames one after the other, ``width`` numbers each; reset tells that a reset came since the last report. State: the machine, its buffer (``longest`` frames at most) and the frames held.
+    f holds the n buffered frames one after the other, ``width`` numbers each; reset tells that a reset came since the last report. State, of a few sessions: the machine, its buffer (``longest`` frames at most) and the frames held.
     """
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return
-        *m, width, buffer, at, t, e, r, f = state.get if state.exists else (*FRESH, 0, [], [], [], [], [], [])
-        m, buffer, parts = tuple(m), list(buffer), arrived(parts)
-        before = m
+        kept = [list(x) for x in state.get] if state.exists else [[] for _ in range(_PARTS + 9)]
+        machines, parts = _machines(kept[:_PARTS]), arrived(parts)
+        widths, buffers, *held, sizes, f = kept[_PARTS:]
+        widths, buffers = (dict(zip(kept[0], x, strict=True)) for x in (widths, buffers))
         flat = np.concatenate([np.asarray(f, float)] + [np.concatenate([np.zeros(0), *p["f"]]) for p in parts])
-        sizes = [len(x) for p in parts for x in p["f"]]
-        width = width or max(sizes, default=0)
-        # rows are told apart by their number in ``flat``; resets have no numbers there
-        held_frames = len(f) // width if width else 0
-        places = _places(list(r), 0) + _places([bool(x) for p in parts for x in p["reset"]], held_frames)
-        number = 0
+        sizes = [*sizes, *(len(x) for p in parts for x in p["f"])]
+        ends = np.cumsum([0, *sizes])
+        # a row is told by its number: its numbers in ``flat`` lie between two ends, those of a reset are none
+        number = len(held[0])
         for p in parts:
-            p["place"] = places[len(at) + number : len(at) + number + len(p)]
+            p["place"] = np.arange(number, number + len(p))
             number += len(p)
-        out, held = let_go([list(at), list(t), list(e), list(r), places[: len(at)]], parts, ["us", "t", "energy", "reset", "place"], state.getCurrentWatermarkMs() * 1000)
-        was_reset = False
-        for t, e, r, k in zip(out[1].tolist(), out[2].tolist(), out[3].tolist(), out[4].tolist(), strict=True):
+        out, held = let_go([*held, list(range(len(held[0])))], parts, ["us", "t", "energy", "reset", "series", "place"], state.getCurrentWatermarkMs() * 1000, "series")
+        before, last, was_reset = dict(machines), {}, set()
+        for t, e, r, s, k in zip(*(c.tolist() for c in out[1:]), strict=True):
+            last[s], m = t, machines.get(s, FRESH)
             if r:
-                m, buffer, was_reset = FRESH, [], True
+                machines[s], buffers[s] = FRESH, []
+                was_reset.add(s)
                 continue
-            settled = m[0] == SETTLED
-            m = advance(m, t, e, limits)
-            if not settled:
-                buffer = [*buffer, *flat[k * width : (k + 1) * width].tolist()][-m[2] * width :]
-        kept = np.concatenate([np.zeros(0)] + [flat[k * width : (k + 1) * width] for k in held[4] if k >= 0]).tolist()
-        state.update((*m, width, buffer, *held[:4], kept))
+            widths[s] = widths.get(s) or sizes[k]
+            machines[s] = advance(m, t, e, limits)
+            if m[0] != SETTLED:
+                buffers[s] = [*buffers.get(s, ()), *flat[ends[k] : ends[k + 1]].tolist()][-machines[s][2] * widths[s] :]
+        waiting = held.pop()
+        numbers = np.concatenate([np.zeros(0)] + [flat[ends[k] : ends[k + 1]] for k in waiting]).tolist()
+        state.update((*_columns(machines), [widths.get(s, 0) for s in machines], [buffers.get(s, []) for s in machines], *held, [sizes[k] for k in waiting], numbers))
         wake(state, held[0])
-        if len(out[0]) and (m != before or was_reset):
-            yield pd.DataFrame({"series": [key[0]], "t": [int(out[1][-1])], "state": [m[0]], "n": [m[2]], "width": [width], "f": [buffer], "reset": [was_reset]})
+        told = [s for s in last if machines[s] != before.get(s, FRESH) or s in was_reset]
+        if told:
+            yield pd.DataFrame({"series": told, "t": [last[s] for s in told], "state": [machines[s][0] for s in told], "n": [machines[s][2] for s in told], "width": [widths.get(s, 0) for s in told], "f": [buffers[s] for s in told], "reset": [s in was_reset for s in told]})
 
     reset = F.coalesce("reset", F.lit(False)) if "reset" in frames.columns else F.lit(False)
     # a tie of a reset and a frame goes by t
     values = F.when(reset, F.array().cast("array<double>")).otherwise(F.col("f").cast("array<double>"))
-    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"), values.alias("f"), reset.alias("reset"))
-    kept = f"{STATE}, width int, buffer array<double>, at array<long>, t array<long>, energy array<double>, reset array<boolean>, f array<double>"
-    return timed.groupBy("series").applyInPandasWithState(run, "series long, t long, state int, n int, width int, f array<double>, reset boolean", kept, "append", "EventTimeTimeout")
-
-
-def _places(resets: list[bool], first: int) -> list[int]:
-    """Numbers of the frames among rows of which some are resets (-1)."""
-    out = []
-    for r in resets:
-        out.append(-1 if r else first)
-        first += not r
-    return out
+    timed = _timed(frames, F.coalesce(F.col("energy").cast("double"), F.lit(float("nan"))).alias("energy"), values.alias("f"), reset.alias("reset")).withColumn("_set", together("series"))
+    kept = f"{STATE}, width array<int>, buffer array<array<double>>, at array<long>, t array<long>, energy array<double>, reset array<boolean>, of array<long>, sizes array<int>, f array<double>"
+    return timed.groupBy("_set").applyInPandasWithState(run, "series long, t long, state int, n int, width int, f array<double>, reset boolean", kept, "append", "EventTimeTimeout")
 
 
 def graded(captures: DataFrame, grade: Callable[[DataFrame], DataFrame], least: int = 20) -> DataFrame:

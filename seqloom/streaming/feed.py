@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from seqloom.sources.store import discarded, fresh_path
 
 END = datetime.datetime(2261, 1, 1)
+#: Keys that share a state: a call of Python for each key costs more than the rows of a short history.
+TOGETHER = 16
 
 
 def of_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -125,20 +127,26 @@ def latest(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("_r")).select(*keys, "_r.*")
 
 
-def let_go(held: list[list], parts: list[pd.DataFrame], columns: list[str], watermark: int) -> tuple[list[np.ndarray], list[list]]:
+def together(key: str):
+    """The set of ``TOGETHER`` neighbouring keys (numbers) that share a state; null for the end of a stream."""
+    return F.floor(F.col(key) / TOGETHER)
+
+
+def let_go(held: list[list], parts: list[pd.DataFrame], columns: list[str], watermark: int, key: str | None = None) -> tuple[list[np.ndarray], list[list]]:
     """Columns of the rows that the watermark (in microseconds) has passed, in order, and of those that stay held.
 
-    The first two columns are the time in microseconds and what tells rows of one time apart; of rows that agree in both the first counts.
+    The first two columns are the time in microseconds and what tells rows of one time apart; of rows that agree in both the first counts. Where several keys
+    stand together, ``key`` names their column: rows are ordered, and told apart, by it first.
     """
     if parts:
         new = [np.concatenate([p[c].to_numpy() for p in parts]) for c in columns]
         both = [np.concatenate([np.asarray(h, n.dtype), n]) for h, n in zip(held, new, strict=True)]
     else:
         both = [np.asarray(h, np.int64 if not len(h) else None) for h in held]
-    at, other = both[0].astype(np.int64), both[1].astype(np.int64)
-    order = np.lexsort((np.arange(len(at)), other, at))
-    at, other = at[order], other[order]
-    order = order[np.append(True, (at[1:] != at[:-1]) | (other[1:] != other[:-1]))[: len(order)]]
+    marks = [both[0].astype(np.int64), both[1].astype(np.int64)] + ([both[columns.index(key)].astype(np.int64)] if key else [])
+    order = np.lexsort((np.arange(len(marks[0])), marks[1], marks[0], *marks[2:]))
+    marks = [m[order] for m in marks]
+    order = order[np.append(True, np.logical_or.reduce([m[1:] != m[:-1] for m in marks]))[: len(order)]]
     both = [c[order] for c in both]
     gone = both[0].astype(np.int64) <= watermark
     return [c[gone] for c in both], [c[~gone].tolist() for c in both]
@@ -170,7 +178,7 @@ def in_order(stream: DataFrame, key: str, tie: str) -> DataFrame:
         if pd.isna(key_of[0]):
             return
         held = [list(x) for x in state.get] if state.exists else [[] for _ in columns]
-        out, held = let_go(held, arrived(parts), columns, state.getCurrentWatermarkMs() * 1000)
+        out, held = let_go(held, arrived(parts), columns, state.getCurrentWatermarkMs() * 1000, key)
         if held[0]:
             state.update(tuple(held))
             wake(state, held[0])
@@ -179,11 +187,11 @@ def in_order(stream: DataFrame, key: str, tie: str) -> DataFrame:
         if len(out[0]):
             yield pd.DataFrame(dict(zip(columns, out, strict=True)))
 
-    numbered = stream.withColumn("us", F.unix_micros("at"))
+    numbered = stream.withColumn("us", F.unix_micros("at")).withColumn("_set", together(key))
     kinds["us"] = "bigint"
     out = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     kept = ", ".join(f"`{c}` array<{kinds[c]}>" for c in columns)
     from seqloom.sources.package import ship
 
     ship(stream.sparkSession)
-    return numbered.groupBy(key).applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout").withColumn("at", F.timestamp_micros("us")).drop("us")
+    return numbered.groupBy("_set").applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout").withColumn("at", F.timestamp_micros("us")).drop("us")

@@ -311,3 +311,18 @@ def test_shared_folder_must_be_named_on_a_cluster():
                 store.shared_dir(spark)
         else:
             assert store.shared_dir(spark)
+
+
+def test_sessions_that_share_a_state_stay_apart(spark):
+    """Rows of different keys that agree in time and number are no repeats; a set is of neighbouring keys, and the end of a stream is in none."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from seqloom.streaming import feed
+
+    rows = pd.DataFrame({"us": [5, 5, 5, 9], "t": [1, 1, 1, 2], "series": [8, 7, 7, 7]})
+    out, held = feed.let_go([[], [], []], [rows], ["us", "t", "series"], 6, "series")
+    assert [c.tolist() for c in out] == [[5, 5], [1, 1], [7, 8]] and held == [[9], [2], [7]]
+    keys = spark.range(-20, 40).select(F.col("id").alias("k"), feed.together("k").alias("s"))
+    assert keys.select("s").distinct().count() == 5 and max(r["count"] for r in keys.groupBy("s").count().collect()) == feed.TOGETHER
+    assert spark.sql("select cast(null as long) as k").select(feed.together("k")).first()[0] is None
