@@ -273,14 +273,14 @@ class _Nearest:
         at = 0
         while at < len(order):
             n = m = 0
-            to = at
+            to, width = at, self.sequences[i[order[at]]].shape[1]
             while to < len(order):
                 wider = max(n, ns[order[to]]), max(m, ms[order[to]])
-                if to > at and (to + 1 - at) * wider[0] * wider[1] > CELLS:
+                # the frames of both sides are more numbers than their costs
+                if to > at and (to + 1 - at) * (wider[0] * wider[1] + sum(wider) * width) > CELLS:
                     break
                 (n, m), to = wider, to + 1
             some, at = order[at:to], to
-            width = self.sequences[i[some[0]]].shape[1]
             cost = costs(_padded([self.sequences[x] for x in i[some]], width), _padded([self.sequences[x] for x in j[some]], width))
             inside = (np.arange(n)[None, :, None] < ns[some][:, None, None]) & (np.arange(m)[None, None, :] < ms[some][:, None, None])
             bare = np.where(inside, cost, np.inf)

@@ -293,3 +293,21 @@ def test_nearest_with_bounds_equals_all_pairs(spark, band, others):
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([(1, 1, [[0.0]])], "series long, label int, seq array<array<double>>")
     assert op.nearest(df, df, others=True).count() == 0 and op.nearest(df.limit(0), df).count() == 0 and op.nearest(df, df.limit(0)).count() == 0
+
+
+def test_frames_of_pairs_are_held_in_bounded_parts():
+    """What a task holds at once goes by the numbers of the frames, too, not by the cells of the costs alone."""
+    import tracemalloc
+
+    import numpy as np
+
+    from seqloom.operators.match import _Nearest
+
+    rng = np.random.default_rng(0)
+    some = _Nearest([rng.normal(size=(10, 64)) for _ in range(200)], None)
+    i, j = np.repeat(np.arange(100), 100), np.tile(np.arange(100, 200), 100)
+    tracemalloc.start()
+    cost = some.refined(i, j, np.full(len(i), np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and np.isfinite(cost).all()
