@@ -28,6 +28,8 @@ FOLLOWERS = 3.0
 #: Windows scored together, words in each of the two generations of a worker's cache.
 TOGETHER, CACHE_WORDS = 128, 120_000
 
+#: Frequent ids whose neighbourhood tells classes apart, and how far they stand.
+MET, DISTANCES = 256, (1, 2, 3, 5, 8)
 #: Classes: starts (clusters, then those of no cluster), the end, the rest (alike).
 END_CLASS = START_CLUSTERS + 1
 FIRST_REST = END_CLASS + 1
@@ -38,6 +40,9 @@ CLASSES = FIRST_REST + RESTS
 RECORD = np.dtype([("id", "<u2"), ("cls", "u1"), ("pad", "u1"), ("within", "<f4"), ("after", "<f2", (1 + RESTS,))])
 
 _encoders: dict[str, object] = {}
+_starts: dict[str, np.ndarray] = {}
+#: Words encoded together.
+JOINED = 512
 
 
 def subwords(path: str):
@@ -54,14 +59,31 @@ def subwords(path: str):
 
 def starts_of(path: str) -> np.ndarray:
     """Which ids begin with a space; the end, the last, doesn't."""
-    encoder = subwords(path)
-    return np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(encoder.n_vocab)] + [False])
+    if path not in _starts:
+        encoder = subwords(path)
+        _starts[path] = np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(encoder.n_vocab)] + [False])
+    return _starts[path]
 
 
 def encode(words: list[bytes], path: str) -> list[list[int]]:
-    """Ids of each word, with a space before it."""
+    """Ids of each word, with a space before it.
+
+    Words without whitespace of their own are encoded together: a space always goes to the piece behind it, so the ids are those of
+    single words, and only a word's first id begins with a space.
+    """
     one = subwords(path).encode_ordinary
-    return [one(" " + w.decode("utf-8", "replace")) for w in words]
+    plain = [w.decode("utf-8", "replace") for w in words]
+    out: list[list[int]] = []
+    for at in range(0, len(plain), JOINED):
+        part = plain[at : at + JOINED]
+        joined = " ".join(part)
+        if joined.split() == part:
+            ids = one(" " + joined)
+            first = np.flatnonzero(starts_of(path)[ids]).tolist()
+            out += [ids[a:b] for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+        else:
+            out += [one(" " + w) for w in part]
+    return out
 
 
 # The prior
@@ -119,15 +141,43 @@ def gram_counts(words: list[list[int]], n: np.ndarray, end: int) -> tuple[np.nda
     return context[new], following[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each asked number in the sorted keys, and whether it is there; asked in order, as that is kinder to caches."""
-    if not len(keys):
-        return np.zeros(len(asked), int), np.zeros(len(asked), bool)
-    order = np.argsort(asked)
-    at = np.empty(len(asked), int)
-    at[order] = np.searchsorted(keys, asked[order])
-    np.minimum(at, len(keys) - 1, out=at)
-    return at, keys[at] == asked
+class Places:
+    """Where numbers stand in an array of different ones: a hash table with open addresses, asked for many at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        slot = self.slots(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several for a slot one stays
+            wait = self.table[slot] != left
+            left, slot = left[wait], (slot[wait] + 1) & self.mask
+
+    def slots(self, asked: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((asked * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each asked number, and whether it is there (else the place says nothing)."""
+        if not len(self.keys):
+            return np.zeros(len(asked), int), np.zeros(len(asked), bool)
+        slot = self.slots(asked)
+        at = self.table[slot]
+        there = (self.keys[at] == asked) & (at >= 0)
+        left = np.flatnonzero(~there & (at >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            found = self.table[slot]
+            same = (self.keys[found] == asked[left]) & (found >= 0)
+            at[left[same]], there[left[same]] = found[same], True
+            more = ~same & (found >= 0)
+            left, slot = left[more], slot[more]
+        return at, there
 
 
 class Prior:
@@ -166,18 +216,31 @@ class Prior:
         keys = event(self.context[owner], following)
         order = np.argsort(keys, kind="stable")
         self.events, self.counts = keys[order], n[order].astype(np.float32)
+        self.places: tuple[Places, Places] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": None}  # each process makes its own
 
     def records(self, words: list[list[int]]) -> list[bytes]:
         """``RECORD`` of each id of each word, as bytes."""
+        out, offsets = self.flat_records(words)
+        data, ends = out.tobytes(), (offsets * RECORD.itemsize).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def flat_records(self, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """``RECORD`` of each id of all words, and where each word begins and the last ends."""
         flat = Flat(words, self.end)
+        if self.places is None:
+            self.places = Places(self.context), Places(self.events)
+        of_context, of_event = self.places
         kinds = np.repeat(self.kinds.astype(np.float32)[None], len(flat.ids), axis=0)
         p = self.single[flat.next]
         for context, asked in zip(flat.contexts, flat.asked, strict=True):
             own = np.flatnonzero(asked)
-            at, known = _find(self.context, context[own])
+            at, known = of_context.find(context[own])
             own, at = own[known], at[known]
             back, total = self.back[at], self.total[at]
-            where, there = _find(self.events, event(context[own], flat.next[own]))
+            where, there = of_event.find(event(context[own], flat.next[own]))
             p[own] = (np.where(there, self.counts[where], 0) + back * p[own]) / total
             kinds[own] = (self.by_kind[at] + back[:, None] * kinds[own]) / total[:, None]
         out = np.zeros(len(flat.ids), RECORD)
@@ -186,8 +249,7 @@ class Prior:
         out["within"] = self.start_within[flat.ids]
         out["within"][inside + 1] = np.log(p[inside] / kinds[inside, self.kind[flat.next[inside]]])
         out["after"] = np.log(np.maximum(kinds, 1e-12))
-        data, ends = out.tobytes(), (flat.offsets * RECORD.itemsize).tolist()
-        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out, flat.offsets
 
     def end_record(self) -> bytes:
         out = np.zeros(1, RECORD)
@@ -198,28 +260,67 @@ class Prior:
 # The attention
 
 
+def most_met(counts: np.ndarray) -> np.ndarray:
+    """The ids whose neighbours tell classes apart."""
+    return np.argsort(-counts, kind="stable")[:MET]
+
+
+class Neighbours:
+    """How often each id has each of the ids ``top`` at one of ``DISTANCES`` before or behind it in a text; ``size`` ids with the end."""
+
+    def __init__(self, top: np.ndarray, size: int) -> None:
+        self.end = size - 1
+        self.place = np.full(size, MET)
+        self.place[top] = np.arange(len(top))
+        self.cells = np.zeros(size * MET, np.int32)
+        self.pairs = 0  # with any id beside
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        gap = np.full(DISTANCES[-1], self.end)  # texts aren't neighbours; what the end gets isn't kept
+        ids = np.concatenate([x for t in texts for x in (gap, t)] + [gap]).astype(np.int64)
+        place = self.place[ids]
+        at = np.flatnonzero(place < MET)
+        place = place[at]
+        for k in DISTANCES:
+            for beside in (at - k, at + k):
+                np.add.at(self.cells, ids[beside] * MET + place, np.int32(1))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.pairs += 2 * sum(int(np.maximum(sizes - k, 0).sum()) for k in DISTANCES)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Id, place in ``top`` and count of what was met, and the number of pairs; begins anew."""
+        cell = np.flatnonzero(self.cells[: self.end * MET])
+        out = cell // MET, cell % MET, self.cells[cell], self.pairs
+        self.cells[:] = 0
+        self.pairs = 0
+        return out
+
+
 def classes(texts: list[np.ndarray], starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A class for each id: k-means over the frequent ids around it in ``texts``, apart for ids that start a word and others."""
+    """A class for each id by its neighbours in ``texts``, see ``clusters``."""
     size = len(starts)
     counts = np.bincount(np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    top = np.argsort(-counts, kind="stable")[:256]
-    place = np.full(size, 256)
-    place[top] = np.arange(256)
-    around = np.zeros((size, 257), np.float32)
-    for ids in texts:
-        ids = ids.astype(np.int64)
-        for k in (1, 2, 3, 5, 8):
-            if len(ids) > k:
-                np.add.at(around, (ids[k:], place[ids[:-k]]), 1)
-                np.add.at(around, (ids[:-k], place[ids[k:]]), 1)
+    met = Neighbours(most_met(counts), size)
+    met.add(texts)
+    around = np.zeros((size, MET), np.float32)
+    own, place, n, pairs = met.taken()
+    around[own, place] = n
+    return clusters(around, pairs, counts, starts, rng)
+
+
+def clusters(around: np.ndarray, pairs: int, counts: np.ndarray, starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class for each id: k-means over the frequent ids ``around`` it, apart for ids that start a word and others."""
+    size = len(starts)
     label = np.where(starts, START_CLUSTERS, CLASSES - 1)
-    expected = (around[:, :256].sum(axis=0) + 1) / (around.sum() + 1)
+    expected = ((around.sum(axis=0, dtype=np.float64) + 1) / (pairs + 1)).astype(np.float32)
     for own, first, k in ((starts, 0, START_CLUSTERS), (~starts, FIRST_REST, REST_CLUSTERS)):
         seen = np.flatnonzero((counts >= 5) & own & (np.arange(size) < size - 1))
         if len(seen) <= k:
             continue
-        x = around[seen, :256] + 0.1
-        x = np.log(x / x.sum(axis=1, keepdims=True) / expected)
+        x = around[seen] + np.float32(0.1)
+        x /= x.sum(axis=1, keepdims=True)
+        x /= expected
+        np.log(x, out=x)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
         centres = x[rng.choice(len(x), k, replace=False, p=counts[seen] / counts[seen].sum())]
         for _ in range(15):
@@ -246,76 +347,95 @@ BOUND = np.float32(30)
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, prior: np.ndarray):
-    """Logits (windows * LIVE, classes) of what follows each live place, and what led to them.
+    """Logits (classes, windows * LIVE) of what follows each live place, and what led to them.
 
-    ``x`` (windows, SPAN, WIDTH) has the inputs, an id behind; ``prior`` the log probabilities that the attention corrects.
+    ``x`` (windows, SPAN, WIDTH) has the inputs, an id behind; ``prior`` (windows * LIVE, classes) the log probabilities that the
+    attention corrects. Weights of attention are not divided by their sum; what they gather is.
     """
     n = len(x)
     x = x + p["pos"][None]
     own = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
-    q = (own @ p["q"]).reshape(n, LIVE, WIDTH)
-    kv = (x.reshape(-1, WIDTH) @ p["kv"]).reshape(n, SPAN, 2 * WIDTH)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    q = (own @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(n, LIVE, WIDTH)
+    flat = x.reshape(-1, WIDTH)
+    k = (flat @ np.ascontiguousarray(p["kv"][:, :WIDTH])).reshape(n, SPAN, WIDTH)
+    v = flat @ np.append(p["kv"][:, WIDTH:], np.zeros((WIDTH, 1), x.dtype), axis=1)
+    v[:, WIDTH] = 1  # the weights' sum comes with the product
+    v = v.reshape(n, SPAN, WIDTH + 1)
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(WIDTH**-0.5)
-    held = np.abs(a) < BOUND
-    np.clip(a, -BOUND, BOUND, out=a)
+    held = None
+    if a.size and max(a.max(), -a.min()) >= BOUND:
+        held = np.abs(a) < BOUND
+        np.clip(a, -BOUND, BOUND, out=a)
     np.exp(a, out=a)
     a[:, :, OVERLAP:] *= _SEEN
-    a /= a.sum(axis=2, keepdims=True)
-    m = np.matmul(a, v).reshape(-1, WIDTH)
+    m = np.matmul(a, v).reshape(-1, WIDTH + 1)
+    share = 1 / m[:, WIDTH:]
+    m = m[:, :WIDTH] * share
     y = own + m @ p["out"]
     h = y @ p["w1"]
     h += p["b1"]
     np.maximum(h, 0, out=h)
     z = h @ p["w2"]
     z += y
-    g = z @ p["top"]
-    g += p["bias"]
-    g += prior
-    return g, (x, own, q, k, v, a, held, m, y, h, z)
+    g = np.ascontiguousarray(p["top"].T) @ z.T
+    g += p["bias"][:, None]
+    g += prior.T
+    return g, (x, own, q, k, v, a, held, share, m, y, h, z)
 
 
 def log_share(g: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each goal class, and the probabilities of all; overwrites ``g``."""
-    g -= g.max(axis=1, keepdims=True)
-    own = g[np.arange(len(goal)), goal]
+    """Log probability of each goal class, and the probabilities of all (classes, places); overwrites ``g``."""
+    g -= g.max(axis=0)
+    own = g[goal, np.arange(len(goal))]
     np.exp(g, out=g)
-    total = g.sum(axis=1)
-    g /= total[:, None]
+    total = g.sum(axis=0)
+    g /= total
     return own - np.log(total), g
 
 
 def gradients(p: dict[str, np.ndarray], c: np.ndarray, o: np.ndarray, prior: np.ndarray, goal: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over live places, and its gradient for every parameter; c and o are classes and own numbers of the inputs."""
-    g, (x, own, q, k, v, a, held, m, y, h, z) = forward(p, p["cls"][c] + p["own"][o], prior)
+    g, (x, own, q, k, v, a, held, share, m, y, h, z) = forward(p, p["cls"][c] + p["own"][o], prior)
     n = len(c)
     w = (live / max(1, live.sum())).reshape(-1).astype(np.float32)
     logp, dg = log_share(g, goal.reshape(-1))
     loss = -float((logp * w).sum())
-    dg[np.arange(len(dg)), goal.reshape(-1)] -= 1
-    dg *= w[:, None]
-    d = {"top": z.T @ dg, "bias": dg.sum(axis=0)}
-    dz = dg @ p["top"].T
+    dg[goal.reshape(-1), np.arange(dg.shape[1])] -= 1
+    dg *= w
+    d = {"top": (dg @ z).T, "bias": dg.sum(axis=1)}
+    dz = dg.T @ np.ascontiguousarray(p["top"].T)
     d["w2"] = h.T @ dz
-    dh = (dz @ p["w2"].T) * (h > 0)
+    dh = dz @ np.ascontiguousarray(p["w2"].T)
+    dh *= h > 0
     d["w1"], d["b1"] = y.T @ dh, dh.sum(axis=0)
-    dy = dz + dh @ p["w1"].T
+    dy = dz
+    dy += dh @ np.ascontiguousarray(p["w1"].T)
     d["out"] = m.T @ dy
-    dm = (dy @ p["out"].T).reshape(n, LIVE, WIDTH)
-    dv = np.matmul(a.transpose(0, 2, 1), dm)
-    da = np.matmul(dm, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * held * np.float32(WIDTH**-0.5)
+    dm = np.empty((len(m), WIDTH + 1), m.dtype)  # the last: what the division by the sum takes off
+    np.matmul(dy, np.ascontiguousarray(p["out"].T), out=dm[:, :WIDTH])
+    dm[:, WIDTH] = -np.einsum("ij,ij->i", dm[:, :WIDTH], m)
+    dm *= share
+    dm = dm.reshape(n, LIVE, WIDTH + 1)
+    ds = np.matmul(dm, v.transpose(0, 2, 1))
+    ds *= a
+    if held is not None:
+        ds *= held
     dq = np.matmul(ds, k).reshape(-1, WIDTH)
-    dkv = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q), dv], axis=2).reshape(-1, 2 * WIDTH)
-    d["q"] = own.T @ dq
+    dkv = np.empty((n, SPAN, 2 * WIDTH), x.dtype)
+    dkv[:, :, :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+    dkv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dm)[:, :, :WIDTH]
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    scale = np.float32(WIDTH**-0.5)
+    d["q"] = own.T @ dq * scale
     d["kv"] = x.reshape(-1, WIDTH).T @ dkv
-    dx = (dkv @ p["kv"].T).reshape(n, SPAN, WIDTH)
-    dx[:, OVERLAP:] += (dy + dq @ p["q"].T).reshape(n, LIVE, WIDTH)
+    dx = (dkv @ np.ascontiguousarray(p["kv"].T)).reshape(n, SPAN, WIDTH)
+    dy += dq @ (p["q"].T * scale)
+    dx[:, OVERLAP:] += dy.reshape(n, LIVE, WIDTH)
     d["pos"] = dx.sum(axis=0)
-    for name, ids in (("cls", c), ("own", o)):
-        d[name] = np.zeros_like(p[name])
-        np.add.at(d[name], ids.reshape(-1), dx.reshape(-1, WIDTH))
+    dx = dx.reshape(-1, WIDTH)
+    d["cls"] = np.eye(len(p["cls"]), dtype=dx.dtype)[c.reshape(-1)].T @ dx
+    cells = (o.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+    d["own"] = np.bincount(cells, weights=dx.reshape(-1), minlength=p["own"].size).reshape(p["own"].shape).astype(dx.dtype)
     return loss, d
 
 
@@ -339,6 +459,7 @@ class Model:
     def __init__(self, prior: Prior, p: dict[str, np.ndarray]) -> None:
         self.prior, self.p = prior, p
         self.ready: dict[str, np.ndarray] | None = None
+        self.windows = 0  # seen where the texts lie
 
     def spread(self, texts: list[np.ndarray]):
         """The texts as ``layout`` places them: ids with one number more for nothing, classes, log probabilities in the class, priors of classes."""
@@ -352,11 +473,11 @@ class Model:
         return ids, flat["cls"].astype(np.int64), flat["within"], flat["after"]
 
     def classes_prior(self, after: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes from what is known behind an id."""
-        out = np.empty((len(after), CLASSES), np.float32)
-        np.add(after[:, :1], self.prior.start_class.astype(np.float32)[None], out=out[:, :FIRST_REST])
-        out[:, FIRST_REST:] = after[:, 1:]
-        return out
+        """Log probabilities of the classes (places, classes) from what is known behind an id; columns are contiguous."""
+        out = np.empty((CLASSES, len(after)), np.float32)
+        np.add(after[:, 0], self.prior.start_class.astype(np.float32)[:, None], out=out[:FIRST_REST])
+        out[FIRST_REST:] = after[:, 1:].T
+        return out.T
 
     def prepared(self) -> dict[str, np.ndarray]:
         """The parameters as ``log_classes`` uses them, made once training is over."""
@@ -422,15 +543,29 @@ class Model:
         c_of, o_of = np.append(self.prior.label, CLASSES), np.append(np.arange(len(self.prior.label)) % OWN, OWN)
         order = rng.permutation(len(before))
         rounds = -(-len(before) // BATCH) if steps is None else steps
-        m1, m2 = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        names = sorted(self.p)
+        every = np.concatenate([self.p[k].reshape(-1) for k in names])  # all parameters, which self.p shows by name
+        ends = np.cumsum([self.p[k].size for k in names])[:-1]
+        self.p = {k: x.reshape(self.p[k].shape) for k, x in zip(names, np.split(every, ends), strict=True)}
+        m1, m2 = np.zeros_like(every), np.zeros_like(every)
         for step in range(1, rounds + 1):
             pick = order[(step - 1) * BATCH : step * BATCH] if steps is None else rng.integers(0, len(before), BATCH)
             b, g_at = ids[before[pick]], goal[pick]
             prior = self.classes_prior(after[g_at.reshape(-1) - 1].astype(np.float32))
-            _, d = gradients(self.p, c_of[b], o_of[b], prior, cls[g_at], live[pick])
+            _, of = gradients(self.p, c_of[b], o_of[b], prior, cls[g_at], live[pick])
+            d = np.concatenate([of[k].reshape(-1) for k in names])
             now = rate * min(1, 2 * (1 - step / (rounds + 1)))
-            for k in self.p:
-                m1[k] += 0.1 * (d[k] - m1[k])
-                m2[k] += 0.01 * (d[k] ** 2 - m2[k])
-                self.p[k] -= (now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            change = d * d
+            change -= m2
+            change *= 0.01
+            m2 += change
+            d -= m1
+            d *= 0.1
+            m1 += d
+            np.sqrt(m2, out=change)
+            change *= (1 - 0.99**step) ** -0.5
+            change += 1e-8
+            np.divide(m1, change, out=change)
+            change *= now / (1 - 0.9**step)
+            every -= change
         return len(before)

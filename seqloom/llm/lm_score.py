@@ -6,11 +6,11 @@ the other words of a text are joined with their counts. Nothing is sampled or ca
 
 The model (see ``lm_model``) reads byte-level BPE ids of the words, each with a space before it, and the end, so it is a distribution
 over word sequences. Its counts of ids inside words come from all words of all training texts; the ``GRAMS`` most frequent are
-broadcast, and what is left out is known as a sum. Its attention begins with a fit in the driver on a bounded sample: a stretch of at
-most ``STRETCH`` bytes from each of about ``SAMPLE_TEXTS`` training texts. Then it is fitted on ``SHARE`` of all training texts, whole
-and where they lie: in each of ``ROUNDS`` rounds a task improves the parameters on its part, and the mean of all tasks' parameters,
-weighted by windows, begins the next round. So both counts and fit grow with the corpus. Long texts are scored in windows whose
-first part is context only, so each id is scored once.
+broadcast, and what is left out is known as a sum. The classes of ids come from counts of the ids beside them in all training texts.
+The attention is fitted on all training texts, whole and where they lie: hashes deal them to ``ROUNDS`` rounds, in each a task improves
+the parameters on its part, and the mean of all tasks' parameters, weighted by windows, begins the next round, so each window is
+seen once. Only where the first round begins comes from a bounded sample, a stretch of at most ``STRETCH`` bytes from each of about
+``SAMPLE_TEXTS`` training texts. Long texts are scored in windows whose first part is context only, so each id is scored once.
 
 Null and empty texts have just the end token. With no training text at all, N and V are 0, base scores use 1 / (0 + 0 + 1), and the
 model is untrained. Rows with equal or null ids stay rows of their own; samples are drawn by hashes of id and text, of rows that are
@@ -23,6 +23,7 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from seqloom.llm.lm_model import CACHE_WORDS, RECORD, STEPS, Model, Prior
 
 FREQUENT, TASK_WORDS, GRAMS, GRAM_WORDS = 200_000, 250_000, 400_000, 200_000
 SAMPLE_TEXTS, STRETCH = 1_500, 4_000
-#: Of all training texts in the distributed fit, its rounds, and ids that a task fits together.
-SHARE, ROUNDS, FIT_RATE, FIT_IDS = 0.02, 1, 0.003, 400_000
+#: Rounds of the distributed fit, to which all training texts are dealt, and ids that a task fits together.
+ROUNDS, FIT_RATE, FIT_IDS = 3, 0.003, 400_000
 END = b""  # no word is empty
 
 
@@ -48,6 +49,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: Counter = Counter()
         for part in slices(batches):
             for text in as_bytes(part.column(0)):
@@ -72,6 +74,7 @@ def gram_table(counts: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("context", pa.int64()), ("following", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         end = lm_model.subwords(path).n_vocab
         held, sizes = [], []
 
@@ -91,50 +94,162 @@ def gram_table(counts: DataFrame, path: str) -> DataFrame:
     return counts.where(F.octet_length("word") > 0).select("word", "c").mapInArrow(run, "context long, following int, n long").groupBy("context", "following").agg(F.sum("n").alias("n"))
 
 
-def prior(counts: DataFrame, texts: int, path: str, sample: list[np.ndarray], seed: int) -> Prior:
-    """The prior of texts with these word ``counts``; the driver gets counts of single ids and a bounded table."""
+class Coded:
+    """Ids of words, of which a worker keeps two generations."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.young: dict[bytes, list[int]] = {}
+        self.old: dict[bytes, list[int]] = {}
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of each text (its words)."""
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        found = [list(map(self.young.get, words)) for words in texts]
+        made = {w: self.old.get(w) for words, own in zip(texts, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
+        new = [w for w, x in made.items() if x is None]
+        made.update(zip(new, (np.array(x, np.uint16).tobytes() for x in lm_model.encode(new, self.path)), strict=True))
+        self.young.update(made)
+        return [np.frombuffer(b"".join([made[w] if x is None else x for w, x in zip(words, own, strict=True)] if None in own else own), np.uint16) for words, own in zip(texts, found, strict=True)]
+
+
+def neighbours(learned: DataFrame, top: np.ndarray, path: str) -> tuple[np.ndarray, int]:
+    """How often each id has each of the ids ``top`` beside it in all texts ``learned``, and the number of pairs (see ``lm_model.Neighbours``).
+
+    A task sums what it meets, a shuffle by id sums the tasks'; the driver gets a row of ``lm_model.MET`` counts for each id.
+    """
+    size = len(lm_model.starts_of(path))
+    schema = pa.schema([("id", pa.int32()), ("place", pa.binary()), ("n", pa.binary()), ("pairs", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        coded, met, held = Coded(path), lm_model.Neighbours(top, size), []
+
+        def taken() -> pa.RecordBatch:
+            own, place, n, pairs = met.taken()
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+            places, counts, ends = place.astype(np.uint8), n.astype(np.int32), [*first[1:], len(own)]
+            parts = list(zip(first.tolist(), ends, strict=False))
+            return record_batch(schema, [*own[first].tolist(), size - 1], [*(places[a:b].tobytes() for a, b in parts), b""], [*(counts[a:b].tobytes() for a, b in parts), b""], [0] * len(parts) + [pairs])
+
+        for part in slices(batches, 64):
+            held += coded.of([t.lower().split() for t in as_bytes(part.column("text"))])
+            if sum(map(len, held)) > FIT_IDS:
+                met.add(held)
+                held = []
+            if met.pairs > 1 << 30:  # a count stays below 2 ** 31, as a slice of 64 texts has far fewer pairs
+                yield taken()
+        met.add(held)
+        yield taken()
+
+    summed = pa.schema([("id", pa.int32()), ("n", pa.binary()), ("pairs", pa.int64())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, np.ndarray] = {}
+        pairs = 0
+        for part in slices(batches):
+            for own, place, n, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                pairs += more
+                if n:
+                    if own not in rows:
+                        rows[own] = np.zeros(lm_model.MET, np.int64)
+                    rows[own][np.frombuffer(place, np.uint8)] += np.frombuffer(n, np.int32)
+        yield record_batch(summed, [*rows, size - 1], [*(x.astype(np.float32).tobytes() for x in rows.values()), b""], [0] * len(rows) + [pairs])
+
+    got = learned.select("text").mapInArrow(count, "id int, place binary, n binary, pairs long").repartition("id").mapInArrow(merge, "id int, n binary, pairs long").toArrow()
+    around = np.zeros((size, lm_model.MET), np.float32)
+    for batch in got.to_batches():
+        for own, n in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            if n:
+                around[own] = np.frombuffer(n, np.float32)
+    return around, sum(got.column("pairs").to_pylist())
+
+
+def prior(counts: DataFrame, learned: DataFrame, texts: int, path: str, seed: int) -> Prior:
+    """The prior of the training texts ``learned`` (text) with these word ``counts``; the driver gets counts of single ids and bounded tables."""
     grams = stored(gram_table(counts, path), "grams")
     starts = lm_model.starts_of(path)
     singles = (np.zeros(len(starts)), np.zeros(len(starts)))
     for r in grams.where("context in (0, 1)").collect():  # a row for each id
         singles[r["context"]][r["following"]] = r["n"]
+    met = singles[0] + singles[1]
+    met[-1] = 0  # the end is beside no id
+    label = lm_model.clusters(*neighbours(learned, lm_model.most_met(met), path), met, starts, np.random.default_rng(seed))
     inner = grams.where("context not in (0, 1)")
     kept = most_frequent(inner, "n", GRAMS)
     # all followers of a context are ids, so a list is at most the vocabulary
     lists = inner.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("different"), F.collect_list(F.when(kept, F.struct("following", "n"))).alias("kept"))
     rows = lists.where("size(kept) > 0").select("context", "total", "different", F.col("kept.following").alias("following"), F.col("kept.n").alias("n")).toArrow()
     columns = [rows.column("context").to_numpy().view(np.uint64), rows.column("total").to_numpy(), rows.column("different").to_numpy(), rows.column("following").to_pylist(), rows.column("n").to_pylist()]
-    label = lm_model.classes(sample, starts, np.random.default_rng(seed))
     return Prior(starts, label, texts, singles, list(zip(*columns, strict=True)))
 
 
 # Words of a worker
 
 
+class Known:
+    """Words with a number each: their ``RECORD`` one behind the other, and the logarithms of their counts. Number 0, the empty word, is the end."""
+
+    def __init__(self, end: np.ndarray) -> None:
+        self.number: dict[bytes, int] = {}
+        self.records, self.used = np.empty(1 << 16, RECORD), 0
+        self.begin, self.size, self.log = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+        self.add([END], end, np.array([len(end)]), np.zeros(1))
+
+    def add(self, words: list[bytes], records: np.ndarray, sizes: np.ndarray, logs: np.ndarray) -> None:
+        a = len(self.number)
+        b, used = a + len(words), self.used + len(records)
+        if used > len(self.records):
+            self.records = np.concatenate([self.records, np.empty(used + (used >> 2) - len(self.records), RECORD)])
+        if b > len(self.begin):
+            self.begin, self.size, self.log = (np.concatenate([x, np.zeros(b + (b >> 2) - len(x), x.dtype)]) for x in (self.begin, self.size, self.log))
+        self.records[self.used : used] = records
+        self.begin[a:b], self.size[a:b], self.log[a:b] = self.used + np.cumsum(sizes) - sizes, sizes, logs
+        self.number.update(zip(words, range(a, b), strict=True))
+        self.used = used
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, or -1."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The records of these words one behind the other, and the words' sizes."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.records[np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 class Words:
     """What a worker knows of words: their ids with the prior, and the logarithm of their counts where they are frequent."""
 
     def __init__(self, prior_: Prior, path: str, frequent: dict[bytes, float]) -> None:
         self.prior, self.path, self.frequent = prior_, path, frequent
-        self.end = prior_.end_record()
+        self.end = np.frombuffer(prior_.end_record(), RECORD)
         #: Two generations: words that are met again stay when the older one goes.
-        self.young: dict[bytes, tuple[bytes, float]] = {}
-        self.old: dict[bytes, tuple[bytes, float]] = {}
+        self.young, self.old = Known(self.end), Known(self.end)
 
-    def of(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[list[float]]]:
+    def of(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each text (its words): ``RECORD`` of all ids and the end, and log10(count + 1) of each word (-1 where it is not frequent)."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        found = [list(map(self.young.get, words)) for words in texts]
-        made = {w: self.old.get(w) for words, own in zip(texts, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
-        new = [w for w, x in made.items() if x is None]
-        if made:
+        if len(self.young.number) > CACHE_WORDS:
+            self.young, self.old = Known(self.end), self.young
+        words = [w for t in texts for w in chain(t, (END,))]
+        numbers = self.young.find(words)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            met = list(dict.fromkeys(words[i] for i in missing.tolist()))
+            before = self.old.find(met)
+            again = np.flatnonzero(before >= 0)
+            self.young.add([met[i] for i in again.tolist()], *self.old.take(before[again]), self.old.log[before[again]])
+            new = [met[i] for i in np.flatnonzero(before < 0).tolist()]
+            records, offsets = self.prior.flat_records(lm_model.encode(new, self.path))
             tier = self.frequent
-            logs = [tier.get(w if len(w) <= 64 else mark(w), -1.0) for w in new]
-            made.update(zip(new, zip(self.prior.records(lm_model.encode(new, self.path)), logs, strict=True), strict=True))
-            self.young.update(made)
-            found = [[made[w] if x is None else x for w, x in zip(words, own, strict=True)] if None in own else own for words, own in zip(texts, found, strict=True)]
-        return [np.frombuffer(b"".join([x[0] for x in own] + [self.end]), RECORD) for own in found], [[x[1] for x in own] for own in found]
+            self.young.add(new, records, np.diff(offsets), np.array([tier.get(w if len(w) <= 64 else mark(w), -1.0) for w in new]))
+            numbers[missing] = self.young.find([words[i] for i in missing.tolist()])
+        records, sizes = self.young.take(numbers)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        logs, places = self.young.log[numbers], np.cumsum(sizes)[ends - 1] if len(texts) else ends
+        return [records[a:b] for a, b in zip([0, *places.tolist()], places.tolist(), strict=False)], [logs[b - len(t) - 1 : b - 1] for t, b in zip(texts, ends.tolist(), strict=True)]
 
 
 _words: dict[str, Words] = {}
@@ -148,6 +263,11 @@ def worker_words(key: str, *made) -> Words:
     return _words[key]
 
 
+def forget() -> None:
+    """Frees the words of a former run; tasks that come before a model call it."""
+    _words.clear()
+
+
 # Fitting
 
 
@@ -166,19 +286,19 @@ def warm_start(learned: DataFrame, texts: int) -> list[bytes]:
     return [bytes(r["text"]) for r in sorted(rows.collect(), key=lambda r: r["h"])]
 
 
-def fitted(model: Model, learned: DataFrame, texts: int, path: str, key: str, rounds: int) -> Model:
-    """The model after ``rounds`` rounds over the share of ``learned``; nothing but means of parameters reaches the driver."""
+def fitted(model: Model, learned: DataFrame, path: str, key: str, rounds: int, frequent: dict[bytes, float]) -> Model:
+    """The model after ``rounds`` rounds, which share all of ``learned``; nothing but means of parameters reaches the driver."""
     spark = learned.sparkSession
-    share = stored(drawn(learned, max(SHARE, min(1.0, SAMPLE_TEXTS / max(1, texts))), 1).select("text"), "lm-share")
     names = sorted(model.p)
     schema = pa.schema([("k", pa.int32()), ("total", pa.float64()), ("n", pa.float64())])
+    known = spark.sparkContext.broadcast((model.prior, frequent))
     for turn in range(rounds):
-        shipped = spark.sparkContext.broadcast((model.prior, model.p))
+        shipped = spark.sparkContext.broadcast(model.p)
 
         def improve(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
-            prior_, p = shipped.value
-            words = worker_words(f"{key}-fit", prior_, path, {})
-            own, rng, seen, held = Model(prior_, {k: v.copy() for k, v in p.items()}), np.random.default_rng(turn), 0, []
+            prior_, tier = known.value
+            words = worker_words(key, prior_, path, tier)
+            own, rng, seen, held = Model(words.prior, {k: v.copy() for k, v in shipped.value.items()}), np.random.default_rng(turn), 0, []
             for part in slices(batches, 64):
                 held += words.of([t.lower().split() for t in as_bytes(part.column("text"))])[0]
                 if sum(map(len, held)) > FIT_IDS:
@@ -189,33 +309,32 @@ def fitted(model: Model, learned: DataFrame, texts: int, path: str, key: str, ro
                 flat = np.concatenate([own.p[k].reshape(-1) for k in names]).astype(float)
                 yield record_batch(schema, np.arange(len(flat), dtype=np.int32), flat * seen, np.full(len(flat), float(seen)))
 
-        means = share.mapInArrow(improve, "k int, total double, n double").groupBy("k").agg((F.sum("total") / F.sum("n")).alias("v"))
+        part = learned.where(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(rounds)) == turn).select("text")
+        means = part.mapInArrow(improve, "k int, total double, n double").groupBy("k").agg((F.sum("total") / F.sum("n")).alias("v"), F.sum("n").alias("n"))
         rows = means.orderBy("k").toArrow()
         shipped.unpersist()
         if not rows.num_rows:
-            break
+            continue  # no text in this round
+        model.windows += int(rows.column("n")[0].as_py())
         flat, at = rows.column("v").to_numpy().astype(np.float32), 0
         for k in names:
             shape = model.p[k].shape
             model.p[k] = flat[at : at + model.p[k].size].reshape(shape).copy()
             at += model.p[k].size
+    known.unpersist()
     return model
 
 
-def model_of(learned: DataFrame, counts: DataFrame, texts: int, path: str, key: str, steps: int = STEPS, rounds: int = ROUNDS, seed: int = 0) -> Model:
-    """The model of the training texts ``learned`` (doc_id, text), whose words have ``counts``."""
-    sample = [t.lower().split() for t in warm_start(learned, texts)]
-    distinct = list({w: None for t in sample for w in t})
-    ids = dict(zip(distinct, lm_model.encode(distinct, path), strict=True))
-    coded = [np.array([i for w in t for i in ids[w]], np.int64) for t in sample]
-    own = prior(counts, texts, path, coded, seed)
+def model_of(learned: DataFrame, counts: DataFrame, texts: int, path: str, key: str, steps: int = STEPS, rounds: int = ROUNDS, seed: int = 0, frequent: dict[bytes, float] | None = None) -> Model:
+    """The model of the training texts ``learned`` (doc_id, text), whose words have ``counts``; ``frequent`` is for workers' words."""
+    own = prior(counts, learned, texts, path, seed)
     rng = np.random.default_rng(seed)
     model = Model(own, lm_model.init(rng))
-    if not sample:
+    if not texts:
         return model
-    words = Words(own, path, {})
-    model.fit(words.of(sample)[0], rng, steps)
-    return fitted(model, learned, texts, path, key, rounds)
+    sample = [t.lower().split() for t in warm_start(learned, texts)]
+    model.fit(Words(own, path, {}).of(sample)[0], rng, steps)
+    return fitted(model, learned, path, key, rounds, frequent or {})
 
 
 # Scoring
@@ -232,7 +351,7 @@ def score(docs: DataFrame, path: str, steps: int = STEPS, rounds: int = ROUNDS)
     rows = counts.where(most_frequent(counts, "c", FREQUENT)).toArrow()
     frequent = {mark(w): float(np.log10(c + 1)) for w, c in zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True)}
     key = uuid.uuid4().hex  # workers that are used again must not take one model for another
-    model = model_of(learned, counts, texts, path, key, steps, rounds)
+    model = model_of(learned, counts, texts, path, key, steps, rounds, frequent=frequent)
     shipped = spark.sparkContext.broadcast((model, frequent))
     end_log = frequent.get(END, -1.0)
     rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -249,10 +368,10 @@ def score(docs: DataFrame, path: str, steps: int = STEPS, rounds: int = ROUNDS)
             coded, logs = words.of(texts)
             n_known, known, left = [], [], []
             for found, log in zip(texts, logs, strict=True):
-                more = Counter([w for w, x in zip(found, log, strict=True) if x < 0])
-                seldom = more.total()
-                n_known.append(len(found) - seldom + (end_log >= 0))
-                known.append(sum(log) + seldom + max(0.0, end_log))
+                rare_at = np.flatnonzero(log < 0)
+                more = Counter([found[i] for i in rare_at.tolist()])
+                n_known.append(len(found) - len(rare_at) + (end_log >= 0))
+                known.append(float(log.sum()) + len(rare_at) + max(0.0, end_log))
                 if end_log < 0:
                     more[END] += 1
                 left.append([{"word": w, "n": n} for w, n in more.items()])

@@ -242,3 +242,73 @@ def test_sample_is_bounded_and_has_equal_rows_once(spark, monkeypatch):
     assert 10 < len(sample) < 90 and max(map(len, sample)) <= op.STRETCH and len(set(sample)) == len(sample)
     many = spark.range(2_000).selectExpr("id doc_id", "cast(id as string) text")
     assert op.drawn(many, 1e-12, 0).count() == 0 and op.drawn(many, 1.0, 0).count() == 2000 and 300 < op.drawn(many, 0.2, 0).count() < 500
+
+
+def test_words_encoded_together_equal_single_words():
+    one = model.subwords(PATH).encode_ordinary
+    odd = ["a ", " x", "　", "'s", "''", "\x1c", "\x85b", "﻿a", "日本", "123abc!!", "", "İ", "it's"]
+    for words in (odd, [w for w in odd if w.split() == [w]] * 200, [f"w{i}" for i in range(2000)], []):
+        assert model.encode([w.encode() for w in words], PATH) == [one(" " + w) for w in words]
+
+
+def test_places_find_what_is_there():
+    keys = np.random.default_rng(0).choice(1 << 40, 3000, replace=False).astype(np.uint64) << np.uint64(20)
+    at, there = model.Places(keys[:2000]).find(np.concatenate([keys, keys[:10]]))
+    assert there.tolist() == [True] * 2000 + [False] * 1000 + [True] * 10
+    assert at[there].tolist() == [*range(2000), *range(10)]
+    assert not model.Places(keys[:0]).find(keys)[1].any()
+
+
+def test_words_stay_the_same_when_generations_go(monkeypatch):
+    prior, _, _ = prior_of(TEXTS)
+    tier = {b"the": 2.5, b"cat": 0.5}
+    monkeypatch.setattr(op, "CACHE_WORDS", 3)
+    words, end = op.Words(prior, PATH, tier), np.frombuffer(prior.end_record(), model.RECORD)
+    texts = [*words_of(TEXTS), [], [b"the"], [f"w{i}".encode() for i in range(9)]]
+    for _ in range(3):
+        for at in range(len(texts)):
+            got, logs = words.of(texts[at : at + 2])
+            for t, rec, log in zip(texts[at : at + 2], got, logs, strict=True):
+                assert rec.tobytes() == b"".join(prior.records(model.encode(t, PATH))) + end.tobytes()
+                assert log.tolist() == [tier.get(w, -1.0) for w in t]
+
+
+def many(spark, n=300):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"{'the of cat mat'.split()[k % 4]} {chr(97 + k)}{k}" for k in rng.integers(0, 20, 30).tolist())) for i in range(n)]
+    return spark.createDataFrame([*rows, (None, None), (None, "the cat"), (0, rows[0][1])], "doc_id long, text string").repartition(3)
+
+
+def test_classes_come_from_all_texts(spark, monkeypatch):
+    """Against plain loops over all pairs, and against classes of all texts; a sample of a few texts has others."""
+    monkeypatch.setattr(op, "SAMPLE_TEXTS", 3)
+    docs = many(spark)
+    coded = [np.array([i for w in model.encode((r["text"] or "").encode().lower().split(), PATH) for i in w], np.int64) for r in docs.collect()]
+    counts = np.bincount(np.concatenate(coded), minlength=END + 1)
+    top = model.most_met(counts)
+    want, pairs = np.zeros((END + 1, model.MET)), 0
+    place = {int(i): k for k, i in enumerate(top)}
+    for ids in coded:
+        for a, i in enumerate(ids):
+            for b in (a + s * k for s in (-1, 1) for k in model.DISTANCES):
+                if 0 <= b < len(ids):
+                    pairs += 1
+                    if int(ids[b]) in place:
+                        want[i, place[int(ids[b])]] += 1
+    got, met = op.neighbours(docs, top, PATH)
+    assert met == pairs and (got == want).all()
+    made = op.model_of(docs, op.word_counts(docs).cache(), len(coded), PATH, "classes", 1, 0)
+    assert (made.prior.label == model.classes(coded, model.starts_of(PATH), np.random.default_rng(0))).all()
+
+
+def test_fit_sees_all_training_texts_once(spark, monkeypatch):
+    """The windows of all rounds are those of all texts, also where hardly any text is in the sample."""
+    monkeypatch.setattr(op, "SAMPLE_TEXTS", 3)
+    docs = many(spark)
+    prior, _, _ = prior_of(TEXTS)
+    start = model.init(np.random.default_rng(0))
+    want = sum(-(-(sum(map(len, model.encode((r["text"] or "").encode().lower().split(), PATH))) + 1) // model.LIVE) for r in docs.collect())
+    for rounds in (1, 3):
+        made = op.fitted(model.Model(prior, {k: v.copy() for k, v in start.items()}), docs, PATH, "fit", rounds, {})
+        assert made.windows == want
+        assert any(np.abs(made.p[k] - start[k]).max() > 1e-4 for k in start)
