@@ -36,9 +36,18 @@ FIRST_REST = END_CLASS + 1
 RESTS = REST_CLUSTERS + 1
 CLASSES = FIRST_REST + RESTS
 #: What a worker knows of an id: itself, its class, its log probability in the class, and the log probabilities of a word's end and
-#: of the classes of the rest behind it.
-RECORD = np.dtype([("id", "<u2"), ("cls", "u1"), ("pad", "u1"), ("within", "<f4"), ("after", "<f2", (1 + RESTS,))])
+#: of the classes of the rest behind it. numpy gathers items of 32 bytes fastest.
+RECORD = np.dtype([("id", "<u2"), ("cls", "u1"), ("pad", "u1", (5,)), ("within", "<f4"), ("after", "<f2", (1 + RESTS,))])
+#: All numbers of 16 bits as floats, as looking them up is faster than numpy's conversion.
+HALVES = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
 
+
+def joined(records: list[np.ndarray]) -> np.ndarray:
+    """Arrays of ``RECORD`` one behind the other; numpy copies what has no fields much faster."""
+    return np.concatenate([x.view(_PLAIN) for x in records]).view(RECORD)
+
+
+_PLAIN = np.dtype((np.void, RECORD.itemsize))
 _encoders: dict[str, object] = {}
 _starts: dict[str, np.ndarray] = {}
 #: Words encoded together.
@@ -65,25 +74,33 @@ def starts_of(path: str) -> np.ndarray:
     return _starts[path]
 
 
-def encode(words: list[bytes], path: str) -> list[list[int]]:
-    """Ids of each word, with a space before it.
+def coded(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, each with a space before it, one behind the other, and the words' sizes.
 
     Words without whitespace of their own are encoded together: a space always goes to the piece behind it, so the ids are those of
     single words, and only a word's first id begins with a space.
     """
     one = subwords(path).encode_ordinary
-    plain = [w.decode("utf-8", "replace") for w in words]
-    out: list[list[int]] = []
-    for at in range(0, len(plain), JOINED):
-        part = plain[at : at + JOINED]
-        joined = " ".join(part)
-        if joined.split() == part:
-            ids = one(" " + joined)
-            first = np.flatnonzero(starts_of(path)[ids]).tolist()
-            out += [ids[a:b] for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), JOINED):
+        part = words[at : at + JOINED]
+        joined = b" ".join(part).decode("utf-8", "replace")
+        plain = joined.split()
+        if len(plain) == len(part) and plain == joined.split(" "):
+            ids.append(np.array(one(" " + joined), np.int64))
+            sizes.append(np.diff(np.append(np.flatnonzero(starts_of(path).take(ids[-1])), len(ids[-1]))))
         else:
-            out += [one(" " + w) for w in part]
-    return out
+            single = [one(" " + w.decode("utf-8", "replace")) for w in part]
+            ids.append(np.array([*chain.from_iterable(single)], np.int64))
+            sizes.append(np.array([*map(len, single)], np.int64))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def encode(words: list[bytes], path: str) -> list[list[int]]:
+    """Ids of each word, see ``coded``."""
+    ids, sizes = coded(words, path)
+    flat, ends = ids.tolist(), [0, *np.cumsum(sizes).tolist()]
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 # The prior
@@ -96,13 +113,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Flat:
-    """Words in one array of ids: length, place in the word, next id (``end`` behind the last) and the three contexts of each id."""
+    """Words in one array of ids: length, place in the word, next id (``end`` behind the last) and the three contexts of each id.
+
+    The words are lists of ids or what ``coded`` gives.
+    """
 
-    def __init__(self, words: list[list[int]], end: int) -> None:
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.ids = np.fromiter(chain.from_iterable(words), np.int64, self.sizes.sum())
+    def __init__(self, words: list[list[int]] | tuple[np.ndarray, np.ndarray], end: int) -> None:
+        if isinstance(words, tuple):
+            self.ids, self.sizes = words
+        else:
+            self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+            self.ids = np.fromiter(chain.from_iterable(words), np.int64, self.sizes.sum())
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.owner = np.repeat(np.arange(len(words)), self.sizes)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(len(self.ids)) - self.offsets[self.owner]
         self.last = self.place == self.sizes[self.owner] - 1
         self.next = np.where(self.last, end, np.append(self.ids[1:], end))
@@ -227,7 +250,7 @@ class Prior:
         data, ends = out.tobytes(), (offsets * RECORD.itemsize).tolist()
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def flat_records(self, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def flat_records(self, words: list[list[int]] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """``RECORD`` of each id of all words, and where each word begins and the last ends."""
         flat = Flat(words, self.end)
         if self.places is None:
@@ -242,7 +265,11 @@ class Prior:
             back, total = self.back[at], self.total[at]
             where, there = of_event.find(event(context[own], flat.next[own]))
             p[own] = (np.where(there, self.counts[where], 0) + back * p[own]) / total
-            kinds[own] = (self.by_kind[at] + back[:, None] * kinds[own]) / total[:, None]
+            mixed = kinds.take(own, axis=0)
+            mixed *= back[:, None]
+            mixed += self.by_kind.take(at, axis=0)
+            mixed /= total[:, None]
+            kinds[own] = mixed
         out = np.zeros(len(flat.ids), RECORD)
         out["id"], out["cls"] = flat.ids, self.label[flat.ids]
         inside = np.flatnonzero(~flat.last)
@@ -340,38 +367,42 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: (rng.normal(0, 0.1 if k in ("cls", "own", "pos") else 0.3 / np.sqrt(s[0]), s) * (k not in ("b1", "bias", "top"))).astype(np.float32) for k, s in shapes.items()}
 
 
-#: Which of a window's last ``LIVE`` places each of them sees: those up to its own. All see the places before.
-_SEEN = np.tri(LIVE, dtype=np.float32)
+#: Which places of a window each of its last ``LIVE`` sees: those up to its own.
+_SEEN = np.tri(LIVE, SPAN, OVERLAP, dtype=np.float32)
+#: Where the numbers of each own embedding stand.
+_CELLS = np.arange((OWN + 1) * WIDTH).reshape(OWN + 1, WIDTH)
+_ALL = np.ones(SPAN, np.float32)
 #: Scores of attention are held within this range, so weights neither overflow nor vanish all together.
 BOUND = np.float32(30)
 
 
+def folded(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Queries with keys, and values with what they become: as products, they save the keys and values of all places."""
+    return p["q"] @ p["kv"][:, :WIDTH].T * np.float32(WIDTH**-0.5), p["kv"][:, WIDTH:] @ p["out"]
+
+
 def forward(p: dict[str, np.ndarray], x: np.ndarray, prior: np.ndarray):
     """Logits (classes, windows * LIVE) of what follows each live place, and what led to them.
 
-    ``x`` (windows, SPAN, WIDTH) has the inputs, an id behind; ``prior`` (windows * LIVE, classes) the log probabilities that the
+    ``x`` (windows, SPAN, WIDTH) has the inputs, an id behind, and is changed; ``prior`` (windows * LIVE, classes) the log probabilities that the
     attention corrects. Weights of attention are not divided by their sum; what they gather is.
     """
     n = len(x)
-    x = x + p["pos"][None]
+    x += p["pos"]
     own = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
-    q = (own @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(n, LIVE, WIDTH)
-    flat = x.reshape(-1, WIDTH)
-    k = (flat @ np.ascontiguousarray(p["kv"][:, :WIDTH])).reshape(n, SPAN, WIDTH)
-    v = flat @ np.append(p["kv"][:, WIDTH:], np.zeros((WIDTH, 1), x.dtype), axis=1)
-    v[:, WIDTH] = 1  # the weights' sum comes with the product
-    v = v.reshape(n, SPAN, WIDTH + 1)
-    a = np.matmul(q, k.transpose(0, 2, 1))
+    ask, give = folded(p)
+    q = (own @ ask).reshape(n, LIVE, WIDTH)
+    a = np.matmul(q, x.transpose(0, 2, 1))
     held = None
     if a.size and max(a.max(), -a.min()) >= BOUND:
         held = np.abs(a) < BOUND
         np.clip(a, -BOUND, BOUND, out=a)
     np.exp(a, out=a)
-    a[:, :, OVERLAP:] *= _SEEN
-    m = np.matmul(a, v).reshape(-1, WIDTH + 1)
-    share = 1 / m[:, WIDTH:]
-    m = m[:, :WIDTH] * share
-    y = own + m @ p["out"]
+    a *= _SEEN
+    share = 1 / (a.reshape(-1, SPAN) @ _ALL.astype(a.dtype))
+    m = np.matmul(a, x).reshape(-1, WIDTH)
+    m *= share[:, None]
+    y = own + m @ give
     h = y @ p["w1"]
     h += p["b1"]
     np.maximum(h, 0, out=h)
@@ -380,13 +411,13 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, prior: np.ndarray):
     g = np.ascontiguousarray(p["top"].T) @ z.T
     g += p["bias"][:, None]
     g += prior.T
-    return g, (x, own, q, k, v, a, held, share, m, y, h, z)
+    return g, (x, own, q, a, held, share, m, y, h, z, ask, give)
 
 
 def log_share(g: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each goal class, and the probabilities of all (classes, places); overwrites ``g``."""
     g -= g.max(axis=0)
-    own = g[goal, np.arange(len(goal))]
+    own = g.take(goal * g.shape[1] + np.arange(g.shape[1]))
     np.exp(g, out=g)
     total = g.sum(axis=0)
     g /= total
@@ -395,64 +426,69 @@ def log_share(g: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gradients(p: dict[str, np.ndarray], c: np.ndarray, o: np.ndarray, prior: np.ndarray, goal: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over live places, and its gradient for every parameter; c and o are classes and own numbers of the inputs."""
-    g, (x, own, q, k, v, a, held, share, m, y, h, z) = forward(p, p["cls"][c] + p["own"][o], prior)
-    n = len(c)
+    x = p["own"].take(o, axis=0)
+    x += p["cls"].take(c, axis=0)
+    g, (x, own, q, a, held, share, m, y, h, z, ask, give) = forward(p, x, prior)
+    n, goal = len(c), goal.reshape(-1)
     w = (live / max(1, live.sum())).reshape(-1).astype(np.float32)
-    logp, dg = log_share(g, goal.reshape(-1))
+    logp, dg = log_share(g, goal)
     loss = -float((logp * w).sum())
-    dg[goal.reshape(-1), np.arange(dg.shape[1])] -= 1
+    dg.reshape(-1)[goal * len(goal) + np.arange(len(goal))] -= 1
     dg *= w
+    ones = np.ones(len(goal), x.dtype)  # products sum columns faster
     d = {"top": (dg @ z).T, "bias": dg.sum(axis=1)}
     dz = dg.T @ np.ascontiguousarray(p["top"].T)
     d["w2"] = h.T @ dz
     dh = dz @ np.ascontiguousarray(p["w2"].T)
     dh *= h > 0
-    d["w1"], d["b1"] = y.T @ dh, dh.sum(axis=0)
+    d["w1"], d["b1"] = y.T @ dh, ones @ dh
     dy = dz
     dy += dh @ np.ascontiguousarray(p["w1"].T)
-    d["out"] = m.T @ dy
-    dm = np.empty((len(m), WIDTH + 1), m.dtype)  # the last: what the division by the sum takes off
-    np.matmul(dy, np.ascontiguousarray(p["out"].T), out=dm[:, :WIDTH])
-    dm[:, WIDTH] = -np.einsum("ij,ij->i", dm[:, :WIDTH], m)
-    dm *= share
-    dm = dm.reshape(n, LIVE, WIDTH + 1)
-    ds = np.matmul(dm, v.transpose(0, 2, 1))
+    dgive = m.T @ dy
+    d["out"] = p["kv"][:, WIDTH:].T @ dgive
+    dm = dy @ np.ascontiguousarray(give.T)
+    dm *= share[:, None]
+    off = np.einsum("ij,ij->i", dm, m)  # what the division by the sum takes off
+    dm = dm.reshape(n, LIVE, WIDTH)
+    ds = np.matmul(dm, x.transpose(0, 2, 1))
+    ds -= off.reshape(n, LIVE, 1)
     ds *= a
     if held is not None:
         ds *= held
-    dq = np.matmul(ds, k).reshape(-1, WIDTH)
-    dkv = np.empty((n, SPAN, 2 * WIDTH), x.dtype)
-    dkv[:, :, :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-    dkv[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dm)[:, :, :WIDTH]
-    dkv = dkv.reshape(-1, 2 * WIDTH)
-    scale = np.float32(WIDTH**-0.5)
-    d["q"] = own.T @ dq * scale
-    d["kv"] = x.reshape(-1, WIDTH).T @ dkv
-    dx = (dkv @ np.ascontiguousarray(p["kv"].T)).reshape(n, SPAN, WIDTH)
-    dy += dq @ (p["q"].T * scale)
+    dx = np.matmul(ds.transpose(0, 2, 1), q)
+    dx += np.matmul(a.transpose(0, 2, 1), dm)
+    dq = np.matmul(ds, x).reshape(-1, WIDTH)
+    dask = own.T @ dq * np.float32(WIDTH**-0.5)
+    d["q"] = dask @ p["kv"][:, :WIDTH]
+    d["kv"] = np.concatenate([dask.T @ p["q"], dgive @ p["out"].T], axis=1)
+    dy += dq @ np.ascontiguousarray(ask.T)
     dx[:, OVERLAP:] += dy.reshape(n, LIVE, WIDTH)
     d["pos"] = dx.sum(axis=0)
     dx = dx.reshape(-1, WIDTH)
-    d["cls"] = np.eye(len(p["cls"]), dtype=dx.dtype)[c.reshape(-1)].T @ dx
-    cells = (o.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-    d["own"] = np.bincount(cells, weights=dx.reshape(-1), minlength=p["own"].size).reshape(p["own"].shape).astype(dx.dtype)
+    d["cls"] = np.eye(len(p["cls"]), dtype=dx.dtype).take(c.reshape(-1), axis=0).T @ dx
+    d["own"] = np.zeros(p["own"].shape, dx.dtype)
+    np.add.at(d["own"].reshape(-1), _CELLS.take(o.reshape(-1), axis=0).reshape(-1), dx.reshape(-1))
     return loss, d
 
 
-def layout(texts: list[np.ndarray]):
-    """For all windows of the texts (arrays of ``RECORD``): places of inputs, of goals, live places, and the text of each window.
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of the texts (arrays of ``RECORD``): place of the first input, number of live places to the text's end, the text.
 
     Places count in the texts set one behind the other, each with ``OVERLAP`` + 1 places for nothing before it.
     """
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     counts = np.maximum(1, -(-sizes // LIVE))
     owner = np.repeat(np.arange(len(texts)), counts)
     first = (np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]) * LIVE
-    offsets = np.concatenate([[0], np.cumsum(sizes + OVERLAP + 1)])[:-1]
-    before = (offsets[owner] + first)[:, None] + np.arange(SPAN)[None]
-    goal = before[:, OVERLAP:] + 1
-    live = first[:, None] + np.arange(LIVE)[None] < sizes[owner][:, None]
-    return before, goal, live, owner
+    offsets = np.cumsum(sizes + OVERLAP + 1) - sizes - OVERLAP - 1
+    return offsets[owner] + first, sizes[owner] - first, owner
+
+
+def layout(texts: list[np.ndarray]):
+    """For all ``windows`` of the texts: places of inputs, of goals, live places, and the text of each window."""
+    start, left, owner = windows(texts)
+    before = start[:, None] + np.arange(SPAN)
+    return before, before[:, OVERLAP:] + 1, np.arange(LIVE) < left[:, None], owner
 
 
 class Model:
@@ -462,21 +498,28 @@ class Model:
         self.windows = 0  # seen where the texts lie
 
     def spread(self, texts: list[np.ndarray]):
-        """The texts as ``layout`` places them: ids with one number more for nothing, classes, log probabilities in the class, priors of classes."""
+        """The texts as ``windows`` places them: ids with one number more for nothing, classes, log probabilities in the class, priors of classes.
+
+        Views that have a window from each place on: of ids ``SPAN`` long, of the others ``LIVE``; that of priors begins with the kind and
+        has the numbers for ``HALVES``.
+        """
         none = np.zeros(OVERLAP + 1, RECORD)
         none["id"], none["cls"] = self.prior.end, END_CLASS
         none["after"][:, 1:] = -20  # a text begins with a word
-        flat = np.concatenate([x for t in texts for x in (none, t)] + [np.repeat(none[:1], SPAN)])
+        flat = joined([x for t in texts for x in (none, t)] + [np.repeat(none[:1], SPAN)])
         ids = flat["id"].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(t) + OVERLAP + 1 for t in texts])])[:-1]
-        ids[(ends[:, None] + np.arange(OVERLAP + 1)[None]).reshape(-1)] += 1
-        return ids, flat["cls"].astype(np.int64), flat["within"], flat["after"]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes + OVERLAP + 1) - sizes - OVERLAP - 1
+        ids[(begins[:, None] + np.arange(OVERLAP + 1)).reshape(-1)] += 1
+        after = np.ascontiguousarray(flat["after"].view(np.uint16).T)
+        view = np.lib.stride_tricks.sliding_window_view
+        return view(ids, SPAN), view(flat["cls"].astype(np.int64), LIVE), view(np.ascontiguousarray(flat["within"]), LIVE), view(after, LIVE, axis=1)
 
     def classes_prior(self, after: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes (places, classes) from what is known behind an id; columns are contiguous."""
-        out = np.empty((CLASSES, len(after)), np.float32)
-        np.add(after[:, 0], self.prior.start_class.astype(np.float32)[:, None], out=out[:FIRST_REST])
-        out[FIRST_REST:] = after[:, 1:].T
+        """Log probabilities of the classes (places, classes) from what is known behind ids (kinds, places); columns are contiguous."""
+        out = np.empty((CLASSES, after.shape[1]), np.float32)
+        np.add(after[0], self.prior.start_class.astype(np.float32)[:, None], out=out[:FIRST_REST])
+        out[FIRST_REST:] = after[1:]
         return out.T
 
     def prepared(self) -> dict[str, np.ndarray]:
@@ -485,9 +528,8 @@ class Model:
             p, size = self.p, len(self.prior.label)
             self.ready = {
                 "inputs": p["cls"][np.append(self.prior.label, CLASSES)] + p["own"][np.append(np.arange(size) % OWN, OWN)],
-                "q": p["q"] * np.float32(WIDTH**-0.5),
-                "k": np.ascontiguousarray(p["kv"][:, :WIDTH]),
-                "v1": np.append(p["kv"][:, WIDTH:], np.zeros((WIDTH, 1), np.float32), axis=1),
+                "ask": folded(p)[0],
+                "give": folded(p)[1],
                 "top": np.ascontiguousarray(p["top"].T),
                 "bias": (p["bias"] + np.append(self.prior.start_class, np.zeros(RESTS))).astype(np.float32)[:, None],
             }
@@ -496,41 +538,41 @@ class Model:
     def log_classes(self, ids: np.ndarray, after: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Log probability of the class of each live place: what ``forward`` gives, with the classes as rows and sums from products."""
         p, r, n = self.p, self.prepared(), len(ids)
-        x = r["inputs"][ids]
+        x = r["inputs"].take(ids, axis=0)
         x += p["pos"]
         own = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
-        x = x.reshape(-1, WIDTH)
-        v = x @ r["v1"]
-        v[:, WIDTH] = 1  # the weights' sum comes with the product
-        a = np.matmul((own @ r["q"]).reshape(n, LIVE, WIDTH), (x @ r["k"]).reshape(n, SPAN, WIDTH).transpose(0, 2, 1))
+        a = np.matmul((own @ r["ask"]).reshape(n, LIVE, WIDTH), x.transpose(0, 2, 1))
         np.clip(a, -BOUND, BOUND, out=a)
         np.exp(a, out=a)
-        a[:, :, OVERLAP:] *= _SEEN
-        m = np.matmul(a, v.reshape(n, SPAN, WIDTH + 1)).reshape(-1, WIDTH + 1)
-        own += (m[:, :WIDTH] / m[:, WIDTH:]) @ p["out"]
+        a *= _SEEN
+        m = np.matmul(a, x).reshape(-1, WIDTH)
+        m /= (a.reshape(-1, SPAN) @ _ALL)[:, None]
+        own += m @ r["give"]
         h = own @ p["w1"]
         h += p["b1"]
         np.maximum(h, 0, out=h)
         own += h @ p["w2"]
         g = r["top"] @ own.T
         g += r["bias"]
-        g[:FIRST_REST] += after[:, 0]
-        g[FIRST_REST:] += after[:, 1:].T
+        g[:FIRST_REST] += after[0]
+        g[FIRST_REST:] += after[1:]
         g -= g.max(axis=0)
-        goal = g[cls, np.arange(len(cls))]
+        goal = g.take(cls * len(cls) + np.arange(len(cls)))
         np.exp(g, out=g)
         return goal - np.log(g.sum(axis=0))
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text (an array of ``RECORD`` with the end)."""
         ids, cls, within, after = self.spread(texts)
-        before, goal, live, owner = layout(texts)
+        start, left, owner = windows(texts)
         out = np.zeros(len(texts))
-        for at in range(0, len(before), TOGETHER):
-            to = goal[at : at + TOGETHER].reshape(-1)
-            logp = self.log_classes(ids[before[at : at + TOGETHER]], after[to - 1].astype(np.float32), cls[to]) + within[to]
-            ok = live[at : at + TOGETHER]
-            out += np.bincount(owner[at : at + TOGETHER], weights=np.where(ok, logp.reshape(ok.shape), 0).sum(axis=1, dtype=np.float64), minlength=len(texts))
+        for at in range(0, len(start), TOGETHER):
+            begin = start[at : at + TOGETHER]
+            goal = begin + OVERLAP + 1
+            logp = self.log_classes(ids[begin], HALVES[after[:, goal - 1].reshape(1 + RESTS, -1)], cls[goal].reshape(-1)).reshape(-1, LIVE)
+            logp += within[goal]
+            logp[np.arange(LIVE) >= left[at : at + TOGETHER, None]] = 0
+            out += np.bincount(owner[at : at + TOGETHER], weights=logp.sum(axis=1, dtype=np.float64), minlength=len(texts))
         return out / np.log(10)
 
     def fit(self, texts: list[np.ndarray], rng: np.random.Generator, steps: int | None = None, rate: float = RATE) -> int:
@@ -539,20 +581,20 @@ class Model:
         if not texts:
             return 0
         ids, cls, _, after = self.spread(texts)
-        before, goal, live, _ = layout(texts)
+        start, left, _ = windows(texts)
         c_of, o_of = np.append(self.prior.label, CLASSES), np.append(np.arange(len(self.prior.label)) % OWN, OWN)
-        order = rng.permutation(len(before))
-        rounds = -(-len(before) // BATCH) if steps is None else steps
+        order = rng.permutation(len(start))
+        rounds = -(-len(start) // BATCH) if steps is None else steps
         names = sorted(self.p)
         every = np.concatenate([self.p[k].reshape(-1) for k in names])  # all parameters, which self.p shows by name
         ends = np.cumsum([self.p[k].size for k in names])[:-1]
         self.p = {k: x.reshape(self.p[k].shape) for k, x in zip(names, np.split(every, ends), strict=True)}
         m1, m2 = np.zeros_like(every), np.zeros_like(every)
         for step in range(1, rounds + 1):
-            pick = order[(step - 1) * BATCH : step * BATCH] if steps is None else rng.integers(0, len(before), BATCH)
-            b, g_at = ids[before[pick]], goal[pick]
-            prior = self.classes_prior(after[g_at.reshape(-1) - 1].astype(np.float32))
-            _, of = gradients(self.p, c_of[b], o_of[b], prior, cls[g_at], live[pick])
+            pick = order[(step - 1) * BATCH : step * BATCH] if steps is None else rng.integers(0, len(start), BATCH)
+            b, goal = ids[start[pick]], start[pick] + OVERLAP + 1
+            prior = self.classes_prior(HALVES[after[:, goal - 1].reshape(1 + RESTS, -1)])
+            _, of = gradients(self.p, c_of.take(b), o_of.take(b), prior, cls[goal], np.arange(LIVE) < left[pick, None])
             d = np.concatenate([of[k].reshape(-1) for k in names])
             now = rate * min(1, 2 * (1 - step / (rounds + 1)))
             change = d * d
@@ -568,4 +610,4 @@ class Model:
             np.divide(m1, change, out=change)
             change *= now / (1 - 0.9**step)
             every -= change
-        return len(before)
+        return len(start)

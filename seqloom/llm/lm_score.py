@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,26 +94,6 @@ def gram_table(counts: DataFrame, path: str) -> DataFrame:
     return counts.where(F.octet_length("word") > 0).select("word", "c").mapInArrow(run, "context long, following int, n long").groupBy("context", "following").agg(F.sum("n").alias("n"))
 
 
-class Coded:
-    """Ids of words, of which a worker keeps two generations."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
-
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of each text (its words)."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        found = [list(map(self.young.get, words)) for words in texts]
-        made = {w: self.old.get(w) for words, own in zip(texts, found, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
-        new = [w for w, x in made.items() if x is None]
-        made.update(zip(new, (np.array(x, np.uint16).tobytes() for x in lm_model.encode(new, self.path)), strict=True))
-        self.young.update(made)
-        return [np.frombuffer(b"".join([made[w] if x is None else x for w, x in zip(words, own, strict=True)] if None in own else own), np.uint16) for words, own in zip(texts, found, strict=True)]
-
-
 def neighbours(learned: DataFrame, top: np.ndarray, path: str) -> tuple[np.ndarray, int]:
     """How often each id has each of the ids ``top`` beside it in all texts ``learned``, and the number of pairs (see ``lm_model.Neighbours``).
 
@@ -134,7 +114,7 @@ def neighbours(learned: DataFrame, top: np.ndarray, path: str) -> tuple[np.ndarr
             return record_batch(schema, [*own[first].tolist(), size - 1], [*(places[a:b].tobytes() for a, b in parts), b""], [*(counts[a:b].tobytes() for a, b in parts), b""], [0] * len(parts) + [pairs])
 
         for part in slices(batches, 64):
-            held += coded.of([t.lower().split() for t in as_bytes(part.column("text"))])
+            held += coded.of([t.lower().split() for t in as_bytes(part.column("text"))])[0]
             if sum(map(len, held)) > FIT_IDS:
                 met.add(held)
                 held = []
@@ -189,24 +169,33 @@ def prior(counts: DataFrame, learned: DataFrame, texts: int, path: str, seed: in
 
 
 class Known:
-    """Words with a number each: their ``RECORD`` one behind the other, and the logarithms of their counts. Number 0, the empty word, is the end."""
-
-    def __init__(self, end: np.ndarray) -> None:
-        self.number: dict[bytes, int] = {}
-        self.records, self.used = np.empty(1 << 16, RECORD), 0
-        self.begin, self.size, self.log = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
-        self.add([END], end, np.array([len(end)]), np.zeros(1))
-
-    def add(self, words: list[bytes], records: np.ndarray, sizes: np.ndarray, logs: np.ndarray) -> None:
-        a = len(self.number)
-        b, used = a + len(words), self.used + len(records)
+    """Words with a number each: what is known of their ids, one behind the other, and the logarithms of their counts. Number 0, the empty word, is the end."""
+
+    def __init__(self, end: np.ndarray, left: Known | None = None) -> None:
+        """``left``, which isn't used any more, gives its room."""
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)  # a word that is met for the first time gets the next
+        self.plain = np.dtype((np.void, end.dtype.itemsize))  # numpy copies what has no fields faster
+        self.records, self.used = left.records if left else np.empty(1 << 16, end.dtype), 0
+        self.begin, self.size, self.log = (left.begin, left.size, left.log) if left else (np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14))
+        self.number[END]
+        self.put(np.zeros(1, np.int64), end, np.array([len(end)]), np.zeros(1))
+
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and the words that had none, in the order of their numbers, the last; ``put`` must follow for these."""
+        had = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return out, list(islice(reversed(self.number), len(self.number) - had))[::-1]
+
+    def put(self, numbers: np.ndarray, records: np.ndarray, sizes: np.ndarray, logs: np.ndarray) -> None:
+        most, used = len(self.number), self.used + len(records)
         if used > len(self.records):
-            self.records = np.concatenate([self.records, np.empty(used + (used >> 2) - len(self.records), RECORD)])
-        if b > len(self.begin):
-            self.begin, self.size, self.log = (np.concatenate([x, np.zeros(b + (b >> 2) - len(x), x.dtype)]) for x in (self.begin, self.size, self.log))
-        self.records[self.used : used] = records
-        self.begin[a:b], self.size[a:b], self.log[a:b] = self.used + np.cumsum(sizes) - sizes, sizes, logs
-        self.number.update(zip(words, range(a, b), strict=True))
+            room = np.empty(used + (used >> 1), self.records.dtype)
+            room.view(self.plain)[: self.used] = self.records.view(self.plain)[: self.used]
+            self.records = room
+        if most > len(self.begin):
+            self.begin, self.size, self.log = (np.concatenate([x, np.zeros(most + (most >> 1) - len(x), x.dtype)]) for x in (self.begin, self.size, self.log))
+        self.records.view(self.plain)[self.used : used] = records.astype(self.records.dtype, copy=False).view(self.plain)
+        self.begin[numbers], self.size[numbers], self.log[numbers] = self.used + np.cumsum(sizes) - sizes, sizes, logs
         self.used = used
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -215,43 +204,66 @@ class Known:
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The records of these words one behind the other, and the words' sizes."""
-        sizes = self.size[numbers]
+        sizes = self.size.take(numbers)
         ends = np.cumsum(sizes)
-        return self.records[np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        at = np.repeat(self.begin.take(numbers) - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.records.take(at), sizes
 
 
-class Words:
-    """What a worker knows of words: their ids with the prior, and the logarithm of their counts where they are frequent."""
+class Generations:
+    """Words that a worker knows, in two generations: words that are met again stay when the older one goes."""
 
-    def __init__(self, prior_: Prior, path: str, frequent: dict[bytes, float]) -> None:
-        self.prior, self.path, self.frequent = prior_, path, frequent
-        self.end = np.frombuffer(prior_.end_record(), RECORD)
-        #: Two generations: words that are met again stay when the older one goes.
-        self.young, self.old = Known(self.end), Known(self.end)
+    def __init__(self, end: np.ndarray, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.end, self.learn = end, learn
+        self.young, self.old = Known(end), Known(end)
 
     def of(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text (its words): ``RECORD`` of all ids and the end, and log10(count + 1) of each word (-1 where it is not frequent)."""
+        """For each text (its words): what is known of all ids and the end, and the logarithm of each word."""
         if len(self.young.number) > CACHE_WORDS:
-            self.young, self.old = Known(self.end), self.young
-        words = [w for t in texts for w in chain(t, (END,))]
-        numbers = self.young.find(words)
-        missing = np.flatnonzero(numbers < 0)
-        if len(missing):
-            met = list(dict.fromkeys(words[i] for i in missing.tolist()))
-            before = self.old.find(met)
-            again = np.flatnonzero(before >= 0)
-            self.young.add([met[i] for i in again.tolist()], *self.old.take(before[again]), self.old.log[before[again]])
-            new = [met[i] for i in np.flatnonzero(before < 0).tolist()]
-            records, offsets = self.prior.flat_records(lm_model.encode(new, self.path))
-            tier = self.frequent
-            self.young.add(new, records, np.diff(offsets), np.array([tier.get(w if len(w) <= 64 else mark(w), -1.0) for w in new]))
-            numbers[missing] = self.young.find([words[i] for i in missing.tolist()])
+            self.young, self.old = Known(self.end, self.old), self.young
+        words: list[bytes] = []
+        for t in texts:
+            words += t
+            words.append(END)
+        numbers, fresh = self.young.numbers(words)
+        if fresh:
+            own = np.arange(len(self.young.number) - len(fresh), len(self.young.number))
+            before = self.old.find(fresh)
+            known = before >= 0
+            self.young.put(own[known], *self.old.take(before[known]), self.old.log[before[known]])
+            if not known.all():
+                self.young.put(own[~known], *self.learn([fresh[i] for i in np.flatnonzero(~known).tolist()]))
         records, sizes = self.young.take(numbers)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        logs, places = self.young.log[numbers], np.cumsum(sizes)[ends - 1] if len(texts) else ends
+        logs = self.young.log.take(numbers)
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        places = np.cumsum(sizes)[ends - 1] if len(texts) else ends
         return [records[a:b] for a, b in zip([0, *places.tolist()], places.tolist(), strict=False)], [logs[b - len(t) - 1 : b - 1] for t, b in zip(texts, ends.tolist(), strict=True)]
 
 
+class Coded(Generations):
+    """Ids of words."""
+
+    def __init__(self, path: str) -> None:
+        def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids, sizes = lm_model.coded(words, path)
+            return ids, sizes, np.zeros(len(words))
+
+        super().__init__(np.zeros(0, np.uint16), learn)  # the end is beside no id
+
+
+class Words(Generations):
+    """What a worker knows of words: their ids with the prior (``RECORD``), and log10(count + 1) where they are frequent, else -1."""
+
+    def __init__(self, prior_: Prior, path: str, frequent: dict[bytes, float]) -> None:
+        def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            records, offsets = prior_.flat_records(lm_model.coded(words, path))
+            return records, np.diff(offsets), np.fromiter(map(frequent.get, map(mark, words) if max(map(len, words)) > 64 else words, repeat(-1.0)), float, len(words))
+
+        super().__init__(np.frombuffer(prior_.end_record(), RECORD), learn)
+        self.prior = prior_
+
+
 _words: dict[str, Words] = {}
 
 

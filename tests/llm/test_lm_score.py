@@ -312,3 +312,43 @@ def test_fit_sees_all_training_texts_once(spark, monkeypatch):
         made = op.fitted(model.Model(prior, {k: v.copy() for k, v in start.items()}), docs, PATH, "fit", rounds, {})
         assert made.windows == want
         assert any(np.abs(made.p[k] - start[k]).max() > 1e-4 for k in start)
+
+
+def test_ids_and_sizes_equal_single_words():
+    one = model.subwords(PATH).encode_ordinary
+    words = [w.encode() for w in ["a", "it's", "　", "b　c", "123abc!!", *(f"w{i}" for i in range(2000))]] + [b"\xe2\x82", b"\xff"]
+    ids, sizes = model.coded(words, PATH)
+    want = [one(" " + w.decode("utf-8", "replace")) for w in words]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [x.size for x in model.coded([], PATH)] == [0, 0]
+
+
+def test_folded_products_equal_keys_and_values():
+    """Folded products give what keys and values of all places give."""
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in model.init(rng).items()}
+    x, prior = rng.normal(size=(3, model.SPAN, model.WIDTH)), rng.normal(size=(3 * model.LIVE, model.CLASSES))
+    at = x + p["pos"]
+    k, v = np.split(at @ p["kv"], 2, axis=2)
+    own = at[:, model.OVERLAP :]
+    a = np.exp(own @ p["q"] @ k.transpose(0, 2, 1) / model.WIDTH**0.5) * np.tri(model.LIVE, model.SPAN, model.OVERLAP)
+    y = own + (a / a.sum(axis=2, keepdims=True)) @ v @ p["out"]
+    want = (y + np.maximum(y @ p["w1"] + p["b1"], 0) @ p["w2"]) @ p["top"] + p["bias"]
+    g, _ = model.forward(p, x.copy(), prior)
+    np.testing.assert_allclose(g.T, want.reshape(-1, model.CLASSES) + prior, rtol=1e-5, atol=1e-5)
+    ask, give = model.folded(p)
+    np.testing.assert_allclose(own @ ask @ at.transpose(0, 2, 1), own @ p["q"] @ k.transpose(0, 2, 1) / model.WIDTH**0.5, rtol=1e-5, atol=1e-7)
+    np.testing.assert_allclose(at @ give, v @ p["out"], rtol=1e-5, atol=1e-7)
+
+
+def test_known_words_are_looked_up_once(monkeypatch):
+    """A word is encoded when it is met first, also if it stands in a batch many times, and again only when both generations forgot it."""
+    monkeypatch.setattr(op, "CACHE_WORDS", 40)
+    coded = op.Coded(PATH)
+    asked, learn = [], coded.learn
+    coded.learn = lambda words: (asked.extend(words), learn(words))[1]
+    for at in range(0, 90, 10):
+        texts = [[f"w{i}".encode(), b"the"] * 5 for i in range(at, at + 10)]
+        got, _ = coded.of(texts)
+        assert [x.tolist() for x in got] == [[i for w in model.encode(t, PATH) for i in w] for t in texts]
+    assert Counter(asked) == Counter([b"the", *(f"w{i}".encode() for i in range(90))])
