@@ -16,13 +16,13 @@ from seqloom.llm import bpe, decontaminate, pii, quality, simhash
 from seqloom.llm.common import discarded, fresh_path, stored, table
 
 
-#: Row keys (16 bytes each) that may be broadcast, so that the texts stay in place; with more, Spark joins by key.
+#: Row keys (16 bytes each) that may be broadcast, so that the texts stay in place; with more, they are merged by key.
 BROADCAST_KEYS = 500_000
 
 
 def _small(keys: DataFrame) -> DataFrame:
-    """``keys``, a stored table, to be broadcast if it has few rows."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    """``keys``, a stored table, to be broadcast if it has few rows, and else merged, whatever size Spark expects."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys.hint("merge")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = decontaminate.row_key(docs)
     groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select("doc_id", "component_id").distinct()
     ids = docs.select(key.alias("key"), F.col("doc_id").alias("id")).groupBy(F.col("key").alias("doc_id")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    ranked = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id", "n")).alias("best"))
+    ranked = groups.join(ids.hint("merge"), "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id", "n")).alias("best"))
     best = stored(ranked.select(F.col("best.doc_id").alias("key"), F.col("best.n").alias("n")), "best")
     left = docs.join(_small(best), key == best["key"], "left_semi")
     return left.dropDuplicates(["doc_id", "text"]) if best.where("n > 1").limit(1).count() else left

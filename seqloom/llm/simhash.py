@@ -134,7 +134,7 @@ def links(distinct: DataFrame) -> DataFrame:
     keys = [F.shiftleft(F.shiftleft(piece(p), 13).bitwiseOR(piece(q)), 4).bitwiseOR(F.lit(i)) for i, (p, q) in enumerate(pairs)]
     buckets = distinct.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("bucket"))
     counted = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    cut = buckets.join(counted, "bucket").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cut = buckets.join(counted.hint("merge"), "bucket").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("s", F.expr("cast(pmod(xxhash64(fp), g) as int)")).withColumn("t", F.explode(F.expr("sequence(0, g - 1)")))
     cells = cut.select(F.expr("if(g = 1, bucket, xxhash64(bucket, least(s, t), greatest(s, t)))").alias("cell"), "fp")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
@@ -144,15 +144,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) for each row of ``docs``.
 
     Exact copies share a fingerprint and are compared once. An empty table gives an empty result; null ids are kept and never
-    name a component that has other ids.
+    name a component that has other ids. Joins are merged: Spark takes a table for as large as its files, whatever is exploded from it
+    and however well they are packed, and would send millions of fingerprints through the driver.
     """
     marked = stored(fingerprints(docs, width), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_mark = rooted.join(named, "root").select("fp", "component_id")
-    joined = marked.join(of_mark, "fp")
+    of_mark = rooted.join(named.hint("merge"), "root").select("fp", "component_id")
+    joined = marked.join(of_mark.hint("merge"), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -58,3 +58,19 @@ def test_near_duplicates_tell_rows_by_id_and_text(spark, sf, few, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
     assert len(left) == 5 and set(left) == {(None, text(2)), (None, text(3)), (5, text(4)), (1, text(6)), (7, None)}
+
+
+def test_near_duplicates_send_no_table_through_the_driver(spark, sf, monkeypatch):
+    """However small Spark takes its tables for: a table that is exploded or packed well is expected to be small at any size."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
+    text = lambda k, last="": " ".join(f"w{k}x{i * k}" for i in range(200)) + last
+    rows = [(k, text(k // 3, last), "en", "s", 1) for k, last in zip(range(3, 15), ["", " a", " b"] * 4, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = seen.executionsCount()
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} >= {3, 6, 9, 12}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = seen.executionsList()
+    plans = [made.apply(i).physicalPlanDescription() for i in range(before, made.size())]
+    assert len(plans) > 5 and sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
